@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import mixing, packing, quality_rules, token_counts, warc_bundles
+from sparkloom.llm import lsh_forest, mixing, packing, quality_rules, token_counts, warc_bundles
 from sparkloom.llm.common import documents, n_words_of, written
 
 
@@ -38,6 +38,28 @@ FROM g
 """
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_forest.near_duplicates(documents(spark, sf_dir), words=3, percent=85)
+
+
+OP3_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN w ELSE w[i:i + 2] END AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 85 * (na.n + nb.n - c)),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+m AS (SELECT a, min(b) AS b FROM r GROUP BY a)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(m.b, w.doc_id)) AS component_id,
+  w.doc_id <= coalesce(m.b, w.doc_id) AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.a = w.doc_id
+"""
+
+
 def op6_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pieces_of(documents(spark, sf_dir), capacity=2048, tokenizer="byte_bpe_50k.json", end_id=0)
     pieces = written(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pieces")
@@ -79,5 +101,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_warc_bundles, op6_pack_sequences, op8_quality_rules, op10_token_counts)}
-SQL = {"op2_warc_bundles": OP2_SQL, "op8_quality_rules": OP8_SQL}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_warc_bundles, op3_near_duplicates, op6_pack_sequences, op8_quality_rules, op10_token_counts)}
+SQL = {"op2_warc_bundles": OP2_SQL, "op3_near_duplicates": OP3_SQL, "op8_quality_rules": OP8_SQL}
