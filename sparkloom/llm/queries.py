@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import lsh_forest, mixing, packing, quality_rules, token_counts, warc_bundles
+from sparkloom.llm import debruijn, lsh_forest, mixing, packing, quality_rules, token_counts, warc_bundles
 from sparkloom.llm.common import documents, n_words_of, written
 
 
@@ -60,6 +60,24 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.a = w.doc_id
 """
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = debruijn.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"), words=20)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+k AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+g AS (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS r FROM k),
+c AS (SELECT DISTINCT doc_id, i + x AS i FROM (SELECT doc_id, i, unnest(range(20)) AS x FROM g WHERE r > 1)),
+m AS (SELECT d.doc_id, u.i, w[u.i] AS word, c.i IS NOT NULL AS gone
+  FROM d, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS i) u LEFT JOIN c ON c.doc_id = d.doc_id AND c.i = u.i),
+a AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS t FROM m GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN a USING (doc_id)
+"""
+
+
 def op6_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pieces_of(documents(spark, sf_dir), capacity=2048, tokenizer="byte_bpe_50k.json", end_id=0)
     pieces = written(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pieces")
@@ -101,5 +119,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_warc_bundles, op3_near_duplicates, op6_pack_sequences, op8_quality_rules, op10_token_counts)}
-SQL = {"op2_warc_bundles": OP2_SQL, "op3_near_duplicates": OP3_SQL, "op8_quality_rules": OP8_SQL}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_warc_bundles, op3_near_duplicates, op5_substring_dedup, op6_pack_sequences, op8_quality_rules, op10_token_counts)}
+SQL = {"op2_warc_bundles": OP2_SQL, "op3_near_duplicates": OP3_SQL, "op5_substring_dedup": OP5_SQL, "op8_quality_rules": OP8_SQL}
