@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import debruijn, lsh_forest, mixing, packing, quality_rules, token_counts, warc_bundles
+from sparkloom.llm import debruijn, lsh_forest, mixing, packing, ppm, quality_rules, token_counts, warc_bundles
 from sparkloom.llm.common import documents, n_words_of, written
 
 
@@ -60,6 +60,11 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.a = w.doc_id
 """
 
 
+def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = ppm.score(documents(spark, sf_dir), ~ppm.held_out(F.col("doc_id")), depth=5)
+    return scored.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = debruijn.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"), words=20)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -119,5 +124,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_warc_bundles, op3_near_duplicates, op5_substring_dedup, op6_pack_sequences, op8_quality_rules, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_warc_bundles, op3_near_duplicates, op4_lm_scores, op5_substring_dedup, op6_pack_sequences, op8_quality_rules, op10_token_counts)}
 SQL = {"op2_warc_bundles": OP2_SQL, "op3_near_duplicates": OP3_SQL, "op5_substring_dedup": OP5_SQL, "op8_quality_rules": OP8_SQL}
