@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import debruijn, lsh_forest, mixing, packing, ppm, quality_rules, token_counts, warc_bundles
+from sparkloom.llm import debruijn, lsh_forest, mixing, packing, ppm, pq_dedup, quality_rules, token_counts, warc_bundles
 from sparkloom.llm.common import documents, n_words_of, written
 
 
@@ -89,6 +89,26 @@ def op6_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces, capacity=2048)
 
 
+def op7_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pq_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), cosine=0.95)
+
+
+OP7_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n
+  FROM embeddings WHERE embedding IS NOT NULL AND list_count(embedding) = len(embedding)),
+u AS (SELECT * FROM v WHERE isfinite(n) AND n > 0),
+l AS (SELECT x.vec_id AS a, y.vec_id AS b FROM u x JOIN u y ON x.vec_id <> y.vec_id AND len(x.e) = len(y.e)
+  WHERE list_inner_product(x.e, y.e) / (x.n * y.n) >= 0.95),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+m AS (SELECT a, min(b) AS b FROM r GROUP BY a),
+c AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT e.vec_id, coalesce(c.n, 0)::BIGINT AS n_links, least(e.vec_id, coalesce(m.b, e.vec_id)) AS component_id,
+  e.vec_id <= coalesce(m.b, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN c ON c.a = e.vec_id LEFT JOIN m ON m.a = e.vec_id
+"""
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     led = quality_rules.ledger(documents(spark, sf_dir).select("doc_id", "text"))
     led = quality_rules.apply_policy(quality_rules.apply_policy(led, "base", "_base"), "v1", "kept")
@@ -124,5 +144,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_warc_bundles, op3_near_duplicates, op4_lm_scores, op5_substring_dedup, op6_pack_sequences, op8_quality_rules, op10_token_counts)}
-SQL = {"op2_warc_bundles": OP2_SQL, "op3_near_duplicates": OP3_SQL, "op5_substring_dedup": OP5_SQL, "op8_quality_rules": OP8_SQL}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_warc_bundles, op3_near_duplicates, op4_lm_scores, op5_substring_dedup, op6_pack_sequences, op7_embedding_duplicates, op8_quality_rules, op10_token_counts)}
+SQL = {"op2_warc_bundles": OP2_SQL, "op3_near_duplicates": OP3_SQL, "op5_substring_dedup": OP5_SQL, "op7_embedding_duplicates": OP7_SQL, "op8_quality_rules": OP8_SQL}
