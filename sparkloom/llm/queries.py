@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import debruijn, lsh_forest, mixing, packing, ppm, pq_dedup, quality_rules, token_counts, warc_bundles
+from sparkloom.llm import cotraining, debruijn, lsh_forest, mixing, packing, ppm, pq_dedup, quality_rules, token_counts, warc_bundles
 from sparkloom.llm.common import documents, n_words_of, written
 
 
@@ -138,11 +138,18 @@ FROM f
 """
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    heads = cotraining.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = cotraining.score(docs, heads)
+    return scored.select("*", ((F.col("p_quality") >= 0.5) & (F.col("p_toxic") < 0.5)).alias("kept"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", F.coalesce(F.octet_length("text").cast("long"), F.lit(0)).cast("long").alias("n_bytes"))
     counted = token_counts.count_tokens(docs, tokenizer="byte_bpe_50k.json")
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_warc_bundles, op3_near_duplicates, op4_lm_scores, op5_substring_dedup, op6_pack_sequences, op7_embedding_duplicates, op8_quality_rules, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_warc_bundles, op3_near_duplicates, op4_lm_scores, op5_substring_dedup, op6_pack_sequences, op7_embedding_duplicates, op8_quality_rules, op9_quality_classifier, op10_token_counts)}
 SQL = {"op2_warc_bundles": OP2_SQL, "op3_near_duplicates": OP3_SQL, "op5_substring_dedup": OP5_SQL, "op7_embedding_duplicates": OP7_SQL, "op8_quality_rules": OP8_SQL}
