@@ -5,13 +5,15 @@ min-hashes. The forest holds several orders (permutations of the signature);
 documents that share a prefix of an order are neighbours in it. The depth of
 the prefix adapts to the region: a region larger than ``region_docs`` is split
 at the next depth, down to the whole signature, where consecutive documents
-of the sorted order become candidates.
+of the sorted order become candidates. Members of a region that is split are
+also candidates of its two ends, so that a large group holds together.
 
 Copies (equal sets) are folded first. Candidates within a region are screened
 by their signatures at four and a half standard errors below the threshold,
 and are confirmed on full shingle sets. Only what components need is
-confirmed: a spanning forest of each large region first, then the pairs whose
-ends still lie in different components.
+confirmed: a spanning forest of each large region first; then, within the
+region's task, every pair whose ends still lie in different components. Those
+pairs never leave the task, and sets come in blocks of ``block_shingles``.
 
 Expected recall of a pair at the threshold: 1 - (1 - 0.85 ** 5) ** 24, over
 0.999999, in regions of normal size; 0.9995 at depth 8 and 0.975 at depth 12
@@ -28,10 +30,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm.arrow_groups import runs
@@ -139,26 +142,27 @@ def _regions(entries: DataFrame, limit: int) -> DataFrame:
 
 
 def forest(reps: DataFrame, region_docs: int) -> tuple[DataFrame, DataFrame | None]:
-    """(members of bounded regions, chain of candidates from regions equal in the whole signature)."""
+    """Members of bounded regions, and candidate pairs (a, b) of those too large.
+
+    A region too large goes on at the next depth; its members are also
+    candidates of its smallest and largest id, and where the whole signature
+    is equal, of their neighbours in the order.
+    """
     found = written(_regions(_entries(reps), region_docs), "forest")
-    parts, chain = [found.where("size > 0")], None
-    hot = found.where("size = 0")
-    for depth in DEPTHS[1:]:
+    parts, pairs = [found.where("size > 0")], []
+    for depth in [*DEPTHS[1:], None]:
+        hot = found.where("size = 0").drop("size")
         if hot.isEmpty():
             break
-        if depth == DEPTHS[-1]:
-            from pyspark.sql import Window
-
+        ends = hot.groupBy("tree", "key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"))
+        pairs.append(hot.join(ends, ["tree", "key"]).select(F.explode(F.array("low", "high")).alias("a"), F.col("rep").alias("b")).where("a <> b"))
+        if depth is None:
             nxt = F.lead("rep").over(Window.partitionBy("key").orderBy("rep"))
-            chain = _deeper(hot, reps, depth).select(F.col("rep").alias("a"), nxt.alias("b")).where("b is not null")
+            pairs.append(hot.select(F.col("rep").alias("a"), nxt.alias("b")).where("b is not null"))
             break
         found = written(_regions(_deeper(hot, reps, depth), region_docs), "forest")
         parts.append(found.where("size > 0"))
-        hot = found.where("size = 0")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out, chain
+    return reduce(DataFrame.unionByName, parts), reduce(DataFrame.unionByName, pairs) if pairs else None
 
 
 def _spanning(sig: np.ndarray, n: np.ndarray, least: float, share: float) -> Iterator[tuple[int, int]]:
@@ -178,82 +182,144 @@ def _spanning(sig: np.ndarray, n: np.ndarray, least: float, share: float) -> Ite
         x = int(left.argmax())
 
 
-def _candidates(members: DataFrame, least: float, share: float, second: bool, limit: int) -> DataFrame:
-    """Candidate pairs (a < b) of the regions.
+def _column(t: pa.Table, name: str) -> pa.Array:
+    col = t.column(name)
+    return col.chunk(0) if col.num_chunks == 1 else pa.concat_arrays(col.chunks)
 
-    First pass: all pairs of regions of up to SMALL members that pass the
-    screen, and a spanning forest of larger ones. Second pass (members carry a
-    component): the pairs between components in larger regions.
-    """
+
+def _candidates(members: DataFrame, least: float, share: float, limit: int) -> DataFrame:
+    """Candidate pairs (a < b): all that pass the screen in regions of up to
+    SMALL members, and a spanning forest of larger ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, at, _ in runs(batches, 0, limit, 20_000):
-            rep, n, sig = t.column(1).to_numpy(), t.column(2).to_numpy(), _matrix(t.column(3).combine_chunks() if t.column(3).num_chunks == 1 else pa.concat_arrays(t.column(3).chunks), "u1")
+            rep, n, sig = t.column(1).to_numpy(), t.column(2).to_numpy(), _matrix(_column(t, "sig8"), "u1")
             size = np.diff(at)
             out: list[tuple[np.ndarray, np.ndarray]] = []
-            if not second:
-                row_end = np.repeat(at[1:], size)
-                small = np.repeat(size <= SMALL, size)
-                for d in range(1, SMALL):
-                    i = np.flatnonzero(small & (np.arange(len(rep)) + d < row_end))
-                    if not len(i):
-                        break
-                    j = i + d
-                    ok = np.minimum(n[i], n[j]) >= share * np.maximum(n[i], n[j])
-                    i, j = i[ok], j[ok]
-                    ok = (sig[i] == sig[j]).mean(axis=1) >= least
-                    out.append((rep[i[ok]], rep[j[ok]]))
+            row_end = np.repeat(at[1:], size)
+            small = np.repeat(size <= SMALL, size)
+            for d in range(1, SMALL):
+                i = np.flatnonzero(small & (np.arange(len(rep)) + d < row_end))
+                if not len(i):
+                    break
+                j = i + d
+                ok = np.minimum(n[i], n[j]) >= share * np.maximum(n[i], n[j])
+                i, j = i[ok], j[ok]
+                ok = (sig[i] == sig[j]).mean(axis=1) >= least
+                out.append((rep[i[ok]], rep[j[ok]]))
             for g in np.flatnonzero(size > SMALL):
                 a, b = at[g], at[g + 1]
-                r, m, s = rep[a:b], n[a:b], sig[a:b]
-                if not second:
-                    e = np.array(list(_spanning(s, m, least, share)), np.int64).reshape(-1, 2)
-                    out.append((r[e[:, 0]], r[e[:, 1]]))
-                    continue
-                c = t.column(4).slice(a, b - a).to_numpy()
-                if (c == c[0]).all():
-                    continue
-                order = np.argsort(c, kind="stable")
-                r, m, s, c = r[order], m[order], s[order], c[order]
-                end = np.searchsorted(c, c, "right")
-                for x in range(len(r)):
-                    if end[x] == len(r):
-                        break
-                    y = np.arange(end[x], len(r))
-                    y = y[np.minimum(m[y], m[x]) >= share * np.maximum(m[y], m[x])]
-                    y = y[(s[y] == s[x]).mean(axis=1) >= least]
-                    if len(y):
-                        out.append((np.full(len(y), r[x]), r[y]))
-            if out:
-                a, b = np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
-                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-                pairs = pairs[:, pairs[0] != pairs[1]]
+                r = rep[a:b]
+                e = np.array(list(_spanning(sig[a:b], n[a:b], least, share)), np.int64).reshape(-1, 2)
+                out.append((r[e[:, 0]], r[e[:, 1]]))
+            a, b = np.concatenate([o[0] for o in out]) if out else rep[:0], np.concatenate([o[1] for o in out]) if out else rep[:0]
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            pairs = pairs[:, pairs[0] != pairs[1]]
+            if pairs.shape[1]:
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
     k = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cols = ["key", "rep", "n", "sig8"] + (["component"] if second else [])
-    return members.select(*cols).repartition(k, "key").sortWithinPartitions("key", "rep").mapInArrow(run, "a long, b long").distinct()
+    return members.select("key", "rep", "n", "sig8").repartition(k, "key").sortWithinPartitions("key", "rep").mapInArrow(run, "a long, b long").distinct()
+
+
+def _partners(x: int, y: np.ndarray, n: np.ndarray, sig: np.ndarray, trees: np.ndarray, tree: int, least: float, share: float) -> np.ndarray:
+    """Those of y that pass the screen with x and have not met it in an earlier tree."""
+    y = y[np.minimum(n[y], n[x]) >= share * np.maximum(n[y], n[x])]
+    y = y[(sig[y] == sig[x]).mean(axis=1) >= least]
+    return y[~((trees[y, :tree] == trees[x, :tree]) & (trees[x, :tree] != 0)).any(axis=1)]
+
+
+def _open_members(large: DataFrame, least: float, share: float, limit: int, block_shingles: int) -> DataFrame:
+    """(key, i, j, rep): members of larger regions with a candidate in another
+    component, for every tile (block i against block j) that needs them."""
+    names = ["key", "i", "j", "rep"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, at, _ in runs(batches, 0, limit, 20_000):
+            key, rep, n, comp, tree = (t.column(c).to_numpy() for c in ("key", "rep", "n", "component", "tree"))
+            sig = _matrix(_column(t, "sig8"), "u1")
+            trees = _column(t, "trees").flatten().to_numpy().reshape(-1, ORDERS)
+            for a, b in zip(at[:-1], at[1:], strict=True):
+                if (comp[a:b] == comp[a]).all():
+                    continue
+                order = a + np.argsort(comp[a:b], kind="stable")
+                end = np.searchsorted(comp[order], comp[order], "right")
+                open_ = np.zeros(b - a, bool)
+                for k in range(b - a):
+                    if end[k] == b - a:
+                        break
+                    y = _partners(order[k], order[end[k] :], n, sig, trees, int(tree[a]), least, share)
+                    open_[y - a] = True
+                    open_[order[k] - a] |= len(y) > 0
+                rows = a + np.flatnonzero(open_)
+                if not len(rows):
+                    continue
+                block = (np.cumsum(n[rows]) - n[rows]) // block_shingles
+                _, block = np.unique(block, return_inverse=True)
+                i, j = np.triu_indices(block.max() + 1)
+                for p, q in zip(i.tolist(), j.tolist(), strict=True):
+                    r = rep[rows[(block == p) | (block == q)]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), key[a])), pa.array(np.full(len(r), p, np.int32)), pa.array(np.full(len(r), q, np.int32)), pa.array(r)], names=names)
+
+    k = int(large.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = large.select("key", "rep", "n", "component", "tree", "sig8", "trees").repartition(k, "key").sortWithinPartitions("key", "rep")
+    return rows.mapInArrow(run, "key long, i int, j int, rep long")
+
+
+def _tile_links(tiles: DataFrame, least: float, share: float, percent: int, chunk: int = 1 << 20) -> DataFrame:
+    """Links (a, b) that join different components within a tile, confirmed on
+    full sets there: the pairs themselves never leave the task."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("rep").combine_chunks()
+        rep, n, comp, tree = (t.column(c).to_numpy() for c in ("rep", "n", "component", "tree"))
+        sig, trees = _matrix(_column(t, "sig8"), "u1"), _column(t, "trees").flatten().to_numpy().reshape(-1, ORDERS)
+        sets = _column(t, "s")
+        off = sets.offsets.to_numpy().astype(np.int64)
+        off, flat = off - off[0], sets.flatten().to_numpy()
+        comp, out = comp.copy(), []
+        for x in range(len(rep) - 1):
+            y = np.arange(x + 1, len(rep))
+            y = _partners(x, y[comp[y] != comp[x]], n, sig, trees, int(tree[0]), least, share)
+            own = flat[off[x] : off[x + 1]]
+            while len(y):
+                m = max(1, int(np.searchsorted(np.cumsum(n[y]), chunk, "right")))
+                now, y = y[:m], y[m:]
+                size = off[now + 1] - off[now]
+                at = np.concatenate(([0], np.cumsum(size)[:-1]))
+                other = flat[np.repeat(off[now] - at, size) + np.arange(int(size.sum()))]
+                hit = own[np.minimum(np.searchsorted(own, other), len(own) - 1)] == other
+                both = np.add.reduceat(hit.astype(np.int64), at)
+                for z in now[100 * both >= percent * (len(own) + size - both)].tolist():
+                    if comp[z] != comp[x]:
+                        out.append((rep[x], rep[z]))
+                        comp[comp == comp[z]] = comp[x]
+                y = y[comp[y] != comp[x]]
+        e = np.array(out, np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(e[:, 0]), "b": pa.array(e[:, 1])})
+
+    return tiles.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = list(shingle_sets(b.column(1), words))
-            flat = np.concatenate(sets) if sets else np.zeros(0, U64)
+            flat = np.concatenate([np.sort(s.view(np.int64)) for s in sets]) if sets else np.zeros(0, np.int64)
             off = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(off, pa.array(flat.view(np.int64)))], names=["rep", "s"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(off, pa.array(flat))], names=["rep", "s"])
 
     return docs.mapInArrow(run, "rep long, s array<long>")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """pairs with linked (boolean): 100 * intersection >= percent * union on full sets."""
+    """The pairs with 100 * intersection >= percent * union on full sets."""
     j = pairs.join(sets.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb")).cast("long")
-    return j.select("a", "b", (100 * both >= percent * (F.size("sa") + F.size("sb") - both)).alias("linked"))
+    return j.where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, text_col: str = "text", words: int = 5, percent: int = 80, region_docs: int = 4096) -> DataFrame:
+def near_duplicates(docs: DataFrame, text_col: str = "text", words: int = 5, percent: int = 80, region_docs: int = 4096, block_shingles: int = 2_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     thr = percent / 100
@@ -270,22 +336,25 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", words: int = 5, per
 
     sig8 = reps.select("rep", "n", "sig").mapInArrow(low_bytes, "rep long, n long, sig8 binary")
     members = written(members.join(sig8, "rep"), "members")
-    first = _candidates(members, least, thr, False, region_docs)
+    first = _candidates(members, least, thr, region_docs)
     if chain is not None:
         first = first.unionByName(chain.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
     first = written(first, "pairs")
     ids = first.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = written(_sets(base.join(ids, "doc_id", "left_semi"), words), "sets")
-    tested = written(_confirm(first, sets, percent), "tested")
-    links = tested.where("linked").select("a", "b")
-    comp = written(components(links), "components")
-    big = members.where(f"size > {SMALL}").join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    rest = written(_candidates(big, least, thr, True, region_docs), "pairs").join(tested, ["a", "b"], "left_anti")
-    more = written(_confirm(rest, sets, percent), "tested").where("linked").select("a", "b")
-    if not more.isEmpty():
-        contracted = comp.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        comp = components(contracted.unionByName(more))
-    node = sk.select("doc_id", "n_shingles", "digest").join(reps.select("digest", "rep"), "digest", "left")
+    sets = written(_sets(base.join(ids, "doc_id", "left_semi"), words).dropDuplicates(["rep"]), "sets")
+    node = written(sk.select("doc_id", "n_shingles", "digest").join(reps.select("digest", "rep"), "digest", "left").drop("digest"), "nodes")
+    ids = node.where("doc_id is not null and rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z")
+    again = ids.join(node, "doc_id").select("a", F.col("rep").alias("b"))  # one id, several texts
+    comp = components(written(_confirm(first, sets, percent).unionByName(again), "links"))
+    large = members.where(f"size > {SMALL}")
+    trees = large.groupBy("rep").agg(F.array(*[F.coalesce(F.max(F.when(F.col("tree") == t, F.col("key"))), F.lit(0)) for t in range(ORDERS)]).alias("trees"))
+    large = large.join(comp.withColumnRenamed("node", "rep"), "rep", "left").join(trees, "rep").withColumn("component", F.coalesce("component", "rep"))
+    open_ = written(_open_members(large, least, thr, region_docs, block_shingles), "open")
+    if not open_.isEmpty():
+        tiles = open_.join(large.select("key", "rep", "n", "component", "tree", "sig8", "trees"), ["key", "rep"]).join(sets, "rep")
+        more = written(_tile_links(tiles, least, thr, percent), "links")
+        if not more.isEmpty():
+            comp = components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     out = node.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
     comp_id = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "rep", "doc_id"))
     return out.select("doc_id", "n_shingles", comp_id.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
