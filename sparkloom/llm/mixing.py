@@ -48,13 +48,14 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0
     before, everything = fill.rowsBetween(Window.unboundedPreceding, -1), Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     s = s.select(
         "*",
+        F.row_number().over(fill).alias("at"),
         F.coalesce(F.sum("cap").over(before), F.lit(0.0)).alias("cap_before"),
         F.sum("w").over(fill.rowsBetween(Window.currentRow, Window.unboundedFollowing)).alias("w_left"),
         F.sum("source_size").over(everything).cast("double").alias("total"),
     )
     s = s.withColumn("level", (F.col("total") - F.col("cap_before")) / F.col("w_left"))
     # at the first source whose cap is not reached, the level is that of all from there on
-    s = s.withColumn("lam", F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "level"))).over(everything)["level"])
+    s = s.withColumn("lam", F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("at", "level"))).over(everything)["level"])
     return s.select("source", "n_docs", "source_size", F.coalesce(F.least("cap", F.col("lam") * F.col("w")), F.lit(0.0)).alias("target"))
 
 
@@ -164,12 +165,16 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_
 def mix(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """docs as often as the mix takes them: a document taken k times is there k times.
 
-    Rows that repeat a doc_id are told apart by their place in a fixed order.
+    Where ids repeat, rows are told apart by their place in a fixed order.
     """
     cols = docs.columns
-    place = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(c) for c in cols if not docs.schema[c].dataType.typeName() == "map"]))
-    keyed = docs.withColumn("_place", F.row_number().over(place)).withColumn("_key", F.struct("doc_id", "_place"))
-    plan = mix_plan(keyed.select(F.to_json("_key", {"ignoreNullFields": "false"}).alias("doc_id"), "source", n_words_of(F.col(text_col)).alias("size")), **options)
-    taken = plan.where("copies > 0").select(F.col("doc_id").alias("_k"), "copies")
-    j = keyed.withColumn("_k", F.to_json("_key", {"ignoreNullFields": "false"})).join(taken, "_k")
-    return j.select(*cols, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).select(*cols)
+    key = F.col("doc_id")
+    if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        order = [F.xxhash64(F.col(c)) for c in cols if docs.schema[c].dataType.typeName() != "map"]
+        docs = docs.withColumn("_place", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)))
+        key = F.to_json(F.struct("doc_id", "_place"), {"ignoreNullFields": "false"})
+    docs = docs.withColumn("_key", key)
+    plan = mix_plan(docs.select(F.col("_key").alias("doc_id"), "source", n_words_of(F.col(text_col)).alias("size")), **options)
+    taken = plan.where("copies > 0").select(F.col("doc_id").alias("_taken"), F.col("copies").cast("int").alias("_copies"))
+    j = docs.join(taken, F.col("_key").eqNullSafe(F.col("_taken")))
+    return j.select(*cols, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).select(*cols)
