@@ -226,16 +226,17 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", words: int = 20) ->
     n = block_count(text_bytes(docs, text_col))
     made = ("n_words", "n_removed", "kept_text", "block", "_id", "_text")
     keep = [c for c in docs.columns if c not in made]
-    base = docs.select(*keep, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    base = docs.select(*keep, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_id"))
     base = base.withColumn("block", block_of("_id", n))
-    seeds = written(_twice(_seeds(base, words), n), "seeds")
-    edges = written(_repeated(_edges(base, seeds, words)), "edges")
+    texts = base.select("block", "_id", F.col(text_col).alias("_text"))
+    seeds = written(_twice(_seeds(texts, words), n), "seeds")
+    edges = written(_repeated(_edges(texts, seeds, words)), "edges")
     paths = _paths(edges)
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
 
     def run(d: pa.Table, p: pa.Table) -> pa.Table:
-        off, gone = _removed(d.column("_text"), _ids(d), p, words)
-        buf, at = raw(d.column("_text"))
+        off, gone = _removed(d.column(text_col), _ids(d), p, words)
+        buf, at = raw(d.column(text_col))
         buf, left = buf.tobytes(), []
         total = np.concatenate(([0], np.cumsum(gone)))
         removed = total[off[1:]] - total[off[:-1]]
