@@ -1,8 +1,65 @@
-"""The corpus pipeline (stages are added as their operators come)."""
+"""The corpus pipeline: five stages over `documents`, each written and read again.
 
-STAGES: list = []
+Every stage takes (spark, docs, sf_dir) and returns the columns of documents;
+the last returns one row a packed piece. Mixing draws documents and packing
+places them, which SQL cannot express, so ORACLE_SQL is None and the stages
+are tested against brute force.
+"""
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparkloom.llm import debruijn, lsh_forest, mixing, packing, quality_rules
+from sparkloom.llm.common import documents, written
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the current policy of the rule ledger keeps."""
+    # the ledger is stored: a filter on its bits would otherwise be pushed through every measurement
+    led = written(quality_rules.ledger(docs.select(*COLUMNS)), "ledger")
+    return quality_rules.apply_policy(led, "v1", "kept").where("kept").select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: that with the smallest id."""
+    docs = docs.select(*COLUMNS)
+    found = lsh_forest.near_duplicates(docs, words=5, percent=80)
+    left = docs.join(written(found.where("not kept").select("doc_id"), "dropped"), "doc_id", "left_anti").select(*COLUMNS)
+    repeated = left.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    if repeated.isEmpty():
+        return left
+    ids = written(repeated.select("doc_id"), "repeated")
+    return left.join(ids, "doc_id", "left_anti").select(*COLUMNS).unionByName(left.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS))
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the words that an earlier passage of 20 words or more covers; what is left empty goes."""
+    out = debruijn.remove_repeats(docs.select(*COLUMNS), words=20).where("n_removed < n_words or n_words = 0")
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    out = out.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+    return out.select(*COLUMNS)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources (weights 5, 2, 1 in turn, three times at most) takes them."""
+    return mixing.mix(docs.select(*COLUMNS), weights=(5.0, 2.0, 1.0), max_repeat=3.0)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its sequence of 2048 tokens and its place there."""
+    pieces = packing.pieces_of(docs, capacity=2048, tokenizer="byte_bpe_50k.json", end_id=0)
+    pieces = written(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pieces")
+    return packing.pack(pieces, capacity=2048)
+
+
+STAGES = [("quality rules", quality), ("near duplicates", near_duplicates), ("substring dedup", repeated_passages), ("mixing", mixture), ("packing", packed)]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
