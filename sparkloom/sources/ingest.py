@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
+from sparkloom.operators import merge
 
 
 def load_json(spark: SparkSession, path: str, schema: str, encoding: str = "UTF-8") -> DataFrame:
@@ -44,8 +45,8 @@ def formation_text() -> Column:
 
 
 def numbered(df: DataFrame, out: str = "exp_idx") -> DataFrame:
-    """The place of each record in its file: order of the file's own rows."""
-    return df.withColumn("_m", F.monotonically_increasing_id()).withColumn(out, F.row_number().over(Window.orderBy("_m"))).drop("_m")
+    """The place of each record: consecutive numbers in the order of the files' rows."""
+    return merge.surrogate_keys(df.withColumn("_m", F.monotonically_increasing_id()), ["_m"], out).drop("_m")
 
 
 def child_projects(experiences: DataFrame) -> DataFrame:
