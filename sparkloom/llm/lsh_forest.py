@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from sparkloom.llm.arrow_groups import runs
 from sparkloom.llm.common import written
 from sparkloom.llm.components import components
-from sparkloom.llm.wordhash import U64, hash_words, mix, ngram_hash, stream
+from sparkloom.llm.wordhash import U64, hash_words, mix, ngram_hash, row_slices, stream
 
 SIG = 128
 ORDERS = 24
@@ -53,16 +53,17 @@ _PERM = np.stack([np.argsort(stream(100 + t, SIG), kind="stable") for t in range
 
 def shingle_sets(texts, words: int) -> Iterator[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of each text, A-Z lower-cased."""
-    w = hash_words(texts, lower=True)
-    grams = ngram_hash(w.hash, words, 9)
-    for a, b in zip(w.doc[:-1].tolist(), w.doc[1:].tolist(), strict=True):
-        if b - a >= words:
-            yield np.unique(grams[a : b - words + 1])
-        elif b > a:
-            with np.errstate(over="ignore"):
-                yield mix((w.hash[a:b] * stream(600 + b - a, b - a)).sum(keepdims=True, dtype=U64))
-        else:
-            yield np.zeros(0, U64)
+    for i, j in row_slices(texts):
+        w = hash_words(texts.slice(i, j - i), lower=True)
+        grams = ngram_hash(w.hash, words, 9)
+        for a, b in zip(w.doc[:-1].tolist(), w.doc[1:].tolist(), strict=True):
+            if b - a >= words:
+                yield np.unique(grams[a : b - words + 1])
+            elif b > a:
+                with np.errstate(over="ignore"):
+                    yield mix((w.hash[a:b] * stream(600 + b - a, b - a)).sum(keepdims=True, dtype=U64))
+            else:
+                yield np.zeros(0, U64)
 
 
 def signature(s: np.ndarray) -> np.ndarray:
@@ -304,10 +305,10 @@ def _tile_links(tiles: DataFrame, least: float, share: float, percent: int, chun
 def _sets(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = list(shingle_sets(b.column(1), words))
-            flat = np.concatenate([np.sort(s.view(np.int64)) for s in sets]) if sets else np.zeros(0, np.int64)
-            off = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(off, pa.array(flat))], names=["rep", "s"])
+            for i, j in row_slices(b.column(1)):
+                sets = [np.sort(x.view(np.int64)) for x in shingle_sets(b.column(1).slice(i, j - i), words)]
+                off = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.ListArray.from_arrays(off, pa.array(np.concatenate(sets)))], names=["rep", "s"])
 
     return docs.mapInArrow(run, "rep long, s array<long>")
 

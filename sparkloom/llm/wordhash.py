@@ -7,6 +7,7 @@ finished with an avalanche step. No Python object is made for a word.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -80,7 +81,7 @@ def raw(arr) -> tuple[np.ndarray, np.ndarray]:
     return buf[off[0] : off[-1]], off - off[0]
 
 
-def hash_words(arr, lower: bool = False, seeds: tuple[int, ...] = (1,), piece: int = 4 << 20) -> Words | tuple:
+def hash_words(arr, lower: bool = False, seeds: tuple[int, ...] = (1,), piece: int = 1 << 20) -> Words | tuple:
     """Words and their hashes for all texts of arr.
 
     Work goes in pieces of whole texts of about `piece` bytes, which bounds
@@ -130,6 +131,16 @@ def hash_words(arr, lower: bool = False, seeds: tuple[int, ...] = (1,), piece: i
     return Words(hs[0] if len(seeds) == 1 else hs, doc, cat(starts, np.int64), cat(ends, np.int64), buf)
 
 
+def row_slices(arr, limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of whole rows of about limit bytes; a longer row is a range of its own."""
+    _, off = raw(arr)
+    i, n = 0, len(off) - 1
+    while i < n:
+        j = min(n, max(i + 1, int(np.searchsorted(off, off[i] + limit, "right")) - 1))
+        yield i, j
+        i = j
+
+
 def ngram_hash(h: np.ndarray, n: int, seed: int) -> np.ndarray:
     """Hash of the n values from each position on (len(h) - n + 1 of them, across texts)."""
     m = len(h) - n + 1
