@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,6 +47,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished jobs now.
+
+    It does so when the driver collects its garbage, which may come only after
+    far more than one step's files have gathered. The first round frees what
+    Python still held, the second the shuffles behind it.
+    """
+    for _ in range(2):
+        gc.collect()
+        time.sleep(1)
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def words_of(text: Column) -> Column:
     """The words of a text as an array; none for null or blank texts."""
     bare = F.btrim(text, F.lit(WS))

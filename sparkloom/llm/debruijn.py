@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkloom.llm.arrow_groups import block_count, block_of, runs
-from sparkloom.llm.common import text_bytes, written
+from sparkloom.llm.common import release, text_bytes, written
 from sparkloom.llm.wordhash import U64, hash_words, inside, ngram_hash, raw
 
 SEED_WORDS = 6
@@ -230,7 +230,9 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", words: int = 20) ->
     base = base.withColumn("block", block_of("_id", n))
     texts = base.select("block", "_id", F.col(text_col).alias("_text"))
     seeds = written(_twice(_seeds(texts, words), n), "seeds")
+    release(docs.sparkSession)
     edges = written(_repeated(_edges(texts, seeds, words)), "edges")
+    release(docs.sparkSession)
     paths = _paths(edges)
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
 
