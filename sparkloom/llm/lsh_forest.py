@@ -2,22 +2,24 @@
 
 Every document gets the set of its word shingles and a signature of 128
 min-hashes. The forest holds several orders (permutations of the signature);
-documents that share a prefix of an order are neighbours in it. The depth of
-the prefix adapts to the region: a region larger than ``region_docs`` is split
-at the next depth, down to the whole signature, where consecutive documents
-of the sorted order become candidates. Members of a region that is split are
-also candidates of its two ends, so that a large group holds together.
+documents that share a prefix of an order are neighbours in it, and all pairs
+of neighbours at the first depth are covered. To link most of a region larger
+than ``region_docs`` cheaply, it is split at the next depth, down to the whole
+signature, where consecutive documents of the sorted order become candidates;
+its members are also candidates of its two ends, so that a large group holds
+together. What pairs this leaves between components are then tested in tiles
+of the whole region (block against block), so depth costs no recall.
 
 Copies (equal sets) are folded first. Candidates within a region are screened
 by their signatures at four and a half standard errors below the threshold,
 and are confirmed on full shingle sets. Only what components need is
 confirmed: a spanning forest of each large region first; then, within the
-region's task, every pair whose ends still lie in different components. Those
-pairs never leave the task, and sets come in blocks of ``block_shingles``.
+region's (or tile's) task, every pair whose ends still lie in different
+components. Those pairs never leave the task, and sets come in blocks of
+``block_shingles``.
 
-Expected recall of a pair at the threshold: 1 - (1 - 0.85 ** 5) ** 24, over
-0.999999, in regions of normal size; 0.9995 at depth 8 and 0.975 at depth 12
-(for one pair alone; members of such regions have many partners).
+Expected recall of a pair at the threshold s, in regions of any size:
+1 - (1 - s ** 5) ** 24, over 0.999999 at 0.85 and 0.99992 at 0.8.
 
 Defined cases: a document without words or with null text has an empty set
 and is linked with nothing; with fewer words than a shingle, its whole
@@ -142,15 +144,17 @@ def _regions(entries: DataFrame, limit: int) -> DataFrame:
     return entries.repartition(n, "key").sortWithinPartitions("key", "rep").mapInArrow(run, "tree int, key long, rep long, size int")
 
 
-def forest(reps: DataFrame, region_docs: int) -> tuple[DataFrame, DataFrame | None]:
-    """Members of bounded regions, and candidate pairs (a, b) of those too large.
+def forest(reps: DataFrame, region_docs: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Members of bounded regions, candidate pairs (a, b) of those too large,
+    and the members of regions too large at the first depth.
 
     A region too large goes on at the next depth; its members are also
     candidates of its smallest and largest id, and where the whole signature
     is equal, of their neighbours in the order.
     """
     found = written(_regions(_entries(reps), region_docs), "forest")
-    parts, pairs = [found.where("size > 0")], []
+    first = found.where("size = 0").drop("size")
+    parts, pairs = [found.where("size > 0").withColumn("depth", F.lit(DEPTHS[0]))], []
     for depth in [*DEPTHS[1:], None]:
         hot = found.where("size = 0").drop("size")
         if hot.isEmpty():
@@ -162,8 +166,8 @@ def forest(reps: DataFrame, region_docs: int) -> tuple[DataFrame, DataFrame | No
             pairs.append(hot.select(F.col("rep").alias("a"), nxt.alias("b")).where("b is not null"))
             break
         found = written(_regions(_deeper(hot, reps, depth), region_docs), "forest")
-        parts.append(found.where("size > 0"))
-    return reduce(DataFrame.unionByName, parts), reduce(DataFrame.unionByName, pairs) if pairs else None
+        parts.append(found.where("size > 0").withColumn("depth", F.lit(depth)))
+    return reduce(DataFrame.unionByName, parts), reduce(DataFrame.unionByName, pairs) if pairs else None, first if pairs else None
 
 
 def _spanning(sig: np.ndarray, n: np.ndarray, least: float, share: float) -> Iterator[tuple[int, int]]:
@@ -230,10 +234,22 @@ def _partners(x: int, y: np.ndarray, n: np.ndarray, sig: np.ndarray, trees: np.n
     return y[~((trees[y, :tree] == trees[x, :tree]) & (trees[x, :tree] != 0)).any(axis=1)]
 
 
+_OPEN = "key long, i long, j long, part long, rep long"
+
+
+def _blocks(n: np.ndarray, block_shingles: int) -> np.ndarray:
+    """Consecutive sets in numbered blocks of about block_shingles."""
+    return np.unique((np.cumsum(n) - n) // block_shingles, return_inverse=True)[1]
+
+
+def _open_batch(key: int, i: int, j: int, part: np.ndarray, rep: np.ndarray) -> pa.RecordBatch:
+    full = lambda v: pa.array(np.full(len(rep), v, np.int64))
+    return pa.RecordBatch.from_arrays([full(key), full(i), full(j), pa.array(part.astype(np.int64)), pa.array(rep)], names=["key", "i", "j", "part", "rep"])
+
+
 def _open_members(large: DataFrame, least: float, share: float, limit: int, block_shingles: int) -> DataFrame:
-    """(key, i, j, rep): members of larger regions with a candidate in another
-    component, for every tile (block i against block j) that needs them."""
-    names = ["key", "i", "j", "rep"]
+    """(key, i, j, part, rep): members of larger regions with a candidate in
+    another component, for every tile (block i against block j) that needs them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, at, _ in runs(batches, 0, limit, 20_000):
@@ -255,16 +271,64 @@ def _open_members(large: DataFrame, least: float, share: float, limit: int, bloc
                 rows = a + np.flatnonzero(open_)
                 if not len(rows):
                     continue
-                block = (np.cumsum(n[rows]) - n[rows]) // block_shingles
-                _, block = np.unique(block, return_inverse=True)
+                block = _blocks(n[rows], block_shingles)
                 i, j = np.triu_indices(block.max() + 1)
                 for p, q in zip(i.tolist(), j.tolist(), strict=True):
-                    r = rep[rows[(block == p) | (block == q)]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), key[a])), pa.array(np.full(len(r), p, np.int32)), pa.array(np.full(len(r), q, np.int32)), pa.array(r)], names=names)
+                    at_ = (block == p) | (block == q)
+                    yield _open_batch(key[a], p, q, block[at_], rep[rows[at_]])
 
     k = int(large.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = large.select("key", "rep", "n", "component", "tree", "sig8", "trees").repartition(k, "key").sortWithinPartitions("key", "rep")
-    return rows.mapInArrow(run, "key long, i int, j int, rep long")
+    return rows.mapInArrow(run, _OPEN)
+
+
+def _region_tiles(first: DataFrame, comp: DataFrame, block_docs: int) -> DataFrame:
+    """(key, i, j, part, rep): every pair of different components in a region
+    too large meets in a tile, block i against block j.
+
+    The region's largest component has blocks of its own, which need not meet
+    each other: a group that already holds together is dealt only as often as
+    the rest has blocks.
+    """
+    own = first.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    of = own.groupBy("key", "component").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.max("m").alias("most"), F.sum("m").alias("m")).where("most < m")
+    blocks = lambda m: F.ceil(m / F.lit(block_docs)).cast("long")
+    of = of.select("key", "main", blocks(F.col("m") - F.col("most")).alias("n_rest"), blocks(F.col("most")).alias("n_main"))
+    is_main, h = F.col("component") == F.col("main"), F.xxhash64("rep")
+    part = F.when(is_main, F.col("n_rest") + F.pmod(h, "n_main")).otherwise(F.pmod(h, "n_rest"))
+    to = F.when(is_main, F.col("n_rest")).otherwise(F.col("n_rest") + F.col("n_main")) - 1
+    dealt = own.join(of, "key").select("key", "rep", part.alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), to)).alias("other"))
+    return dealt.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "rep")
+
+
+def _open_in_tiles(tiles: DataFrame, least: float, share: float, block_shingles: int) -> DataFrame:
+    """As _open_members, for the tiles of regions too large."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("rep").combine_chunks()
+        key, i, j, tree = (t.column(c)[0].as_py() for c in ("key", "i", "j", "tree"))
+        part, rep, n, comp = (t.column(c).to_numpy() for c in ("part", "rep", "n", "component"))
+        sig, trees = _matrix(_column(t, "sig8"), "u1"), _column(t, "trees").flatten().to_numpy().reshape(-1, ORDERS)
+        open_ = np.zeros(len(rep), bool)
+        xs, ys = sorted((np.flatnonzero(part == i), np.flatnonzero(part == j)), key=len)
+        for k, x in enumerate(xs):
+            y = ys[k + 1 :] if i == j else ys
+            y = _partners(x, y[comp[y] != comp[x]], n, sig, trees, tree, least, share)
+            open_[y] = True
+            open_[x] |= len(y) > 0
+        p, q = (np.flatnonzero(open_ & (part == b)) for b in (i, j))
+        out = []
+        if len(p) and len(q):
+            bp, bq = _blocks(n[p], block_shingles), _blocks(n[q], block_shingles)
+            for a in range(bp.max() + 1):
+                for b in range(a if i == j else 0, bq.max() + 1):
+                    l, r = p[bp == a], q[bq == b]  # noqa: E741
+                    rows = l if i == j and a == b else np.concatenate([l, r])
+                    side = np.repeat([i << 20 | a, j << 20 | b], [len(l), len(rows) - len(l)])
+                    out.append(_open_batch(key, i << 20 | a, j << 20 | b, side, rep[rows]))
+        return pa.Table.from_batches(out or [_open_batch(key, i, j, part[:0], rep[:0])])
+
+    return tiles.groupBy("key", "i", "j").applyInArrow(run, _OPEN)
 
 
 def _tile_links(tiles: DataFrame, least: float, share: float, percent: int, chunk: int = 1 << 20) -> DataFrame:
@@ -273,7 +337,8 @@ def _tile_links(tiles: DataFrame, least: float, share: float, percent: int, chun
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("rep").combine_chunks()
-        rep, n, comp, tree = (t.column(c).to_numpy() for c in ("rep", "n", "component", "tree"))
+        rep, n, comp, tree, part = (t.column(c).to_numpy() for c in ("rep", "n", "component", "tree", "part"))
+        across = t.column("i")[0] != t.column("j")[0]  # pairs within a block are those of its own tile
         sig, trees = _matrix(_column(t, "sig8"), "u1"), _column(t, "trees").flatten().to_numpy().reshape(-1, ORDERS)
         sets = _column(t, "s")
         off = sets.offsets.to_numpy().astype(np.int64)
@@ -281,6 +346,7 @@ def _tile_links(tiles: DataFrame, least: float, share: float, percent: int, chun
         comp, out = comp.copy(), []
         for x in range(len(rep) - 1):
             y = np.arange(x + 1, len(rep))
+            y = y[part[y] != part[x]] if across else y
             y = _partners(x, y[comp[y] != comp[x]], n, sig, trees, int(tree[0]), least, share)
             own = flat[off[x] : off[x + 1]]
             while len(y):
@@ -328,7 +394,7 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", words: int = 5, per
     sk = written(_sketches(base, words), "sketches")
     same = sk.where("digest is not null and doc_id is not null").groupBy("digest")
     reps = written(same.agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "reps")
-    members, chain = forest(reps.select("rep", "sig"), region_docs)
+    members, chain, first_depth = forest(reps.select("rep", "sig"), region_docs)
 
     def low_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -347,12 +413,23 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", words: int = 5, per
     ids = node.where("doc_id is not null and rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z")
     again = ids.join(node, "doc_id").select("a", F.col("rep").alias("b"))  # one id, several texts
     comp = components(written(_confirm(first, sets, percent).unionByName(again), "links"))
-    large = members.where(f"size > {SMALL}")
-    trees = large.groupBy("rep").agg(F.array(*[F.coalesce(F.max(F.when(F.col("tree") == t, F.col("key"))), F.lit(0)) for t in range(ORDERS)]).alias("trees"))
-    large = large.join(comp.withColumnRenamed("node", "rep"), "rep", "left").join(trees, "rep").withColumn("component", F.coalesce("component", "rep"))
-    open_ = written(_open_members(large, least, thr, region_docs, block_shingles), "open")
+
+    def with_trees(regions: DataFrame) -> DataFrame:
+        trees = regions.groupBy("rep").agg(F.array(*[F.coalesce(F.max(F.when(F.col("tree") == t, F.col("key"))), F.lit(0)) for t in range(ORDERS)]).alias("trees"))
+        own = regions.join(comp.withColumnRenamed("node", "rep"), "rep", "left").join(trees, "rep").withColumn("component", F.coalesce("component", "rep"))
+        return own.select("key", "rep", "n", "component", "tree", "sig8", "trees")
+
+    large = with_trees(members.where(f"size > {SMALL} and depth = {DEPTHS[0]}"))
+    open_ = _open_members(large, least, thr, region_docs, block_shingles)
+    if first_depth is not None:
+        tiles = written(_region_tiles(first_depth, comp, max(1, region_docs // 2)), "tiles")
+        if not tiles.isEmpty():
+            wide = with_trees(first_depth.join(tiles.select("key").distinct(), "key", "left_semi").join(sig8, "rep"))
+            open_ = open_.unionByName(_open_in_tiles(tiles.join(wide, ["key", "rep"]), least, thr, block_shingles))
+            large = large.unionByName(wide)
+    open_ = written(open_, "open")
     if not open_.isEmpty():
-        tiles = open_.join(large.select("key", "rep", "n", "component", "tree", "sig8", "trees"), ["key", "rep"]).join(sets, "rep")
+        tiles = open_.join(large, ["key", "rep"]).join(sets, "rep")
         more = written(_tile_links(tiles, least, thr, percent), "links")
         if not more.isEmpty():
             comp = components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))

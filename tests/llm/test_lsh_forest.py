@@ -87,3 +87,28 @@ def test_empty_table_and_many_copies(spark):
 def test_documents(spark, sf):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert run(spark, rows, 5, 80) == brute(rows, 5, 80)
+
+
+def test_isolated_pairs_in_regions_too_large(spark):
+    """Pairs just above the threshold among distinct texts of one template, 0.78 to each other, which hold regions together to depth 12 and more."""
+    rng = random.Random(8)
+
+    def changed(words, at):
+        return [f"c{rng.randrange(10**9)}" if k in at else w for k, w in enumerate(words)]
+
+    rows = []
+    for k in range(170):
+        w = changed([f"t{i}" for i in range(300)], rng.sample(range(3, 297, 3), 6))
+        rows += [w, changed(w, rng.sample(range(4, 295, 3), 8))] if k < 130 else [w]  # 274 of 322 shingles: 0.851
+    rng.shuffle(rows)
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    want = brute(rows, 3, 85)
+    assert sum(i != c for i, _, c in want) >= 130
+    assert run(spark, rows, region_docs=16) == want
+
+
+def test_regions_too_large_in_several_blocks_of_sets(spark):
+    rng = random.Random(9)
+    base = [f"t{i}" for i in range(200)]
+    rows = [(i, edited(rng, base, rng.randrange(3, 14))) for i in range(120)]
+    assert run(spark, rows, region_docs=16, block_shingles=600) == brute(rows, 3, 85)
