@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from decimal import ROUND_HALF_UP, Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from sparkloom.functions import text as T
+from sparkloom.operators.folds import ordered_fold
 
 
 def with_cost(usage: DataFrame, prices: DataFrame, model: str = "model", tokens: str = "tokens", out: str = "cost") -> DataFrame:
@@ -23,23 +28,28 @@ def session_metrics_exact(log: DataFrame, session: str, order: list[str], cost:
     """A3, A4: the running fold, rounding at every step: the mean floors, the cost
     goes back to six decimals. `order` must be a total order within a session.
 
-    A session's turns meet in one row; quotas keep sessions short. For keys
-    without such a bound use session_metrics or the streaming fold.
+    Turns are sorted within partitions and folded batch by batch, so a session
+    of any length needs the memory of one batch; its walk is one task's.
     """
-    turn = F.struct(*order, F.col(latency).cast("bigint").alias("_l"), F.col(cost).cast("double").alias("_c"))
-    zero = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("avg"), F.lit(0).cast("decimal(10,6)").alias("cost"))
+    ansi = log.sparkSession.conf.get("spark.sql.ansi.enabled") == "true"
 
-    def step(a: Column, x: Column) -> Column:
-        n = a["n"] + 1
-        return F.struct(n.alias("n"), _floor_div(a["avg"] * a["n"] + x["_l"], n).alias("avg"), (a["cost"].cast("double") + x["_c"]).cast("decimal(10,6)").alias("cost"))
+    def step(state: tuple, lat: int | None, c: float | None) -> tuple:
+        n, total, avg = state
+        avg = None if avg is None or lat is None else (avg * n + lat) // (n + 1)
+        return n + 1, None if total is None or c is None else _six_decimals(float(total) + c, ansi), avg
 
-    fold = F.aggregate(F.array_sort(F.collect_list(turn)), zero, step)
-    return log.groupBy(session).agg(fold.alias("m")).select(session, F.col("m.n").alias("question_count"), F.col("m.cost").alias("total_cost"), F.col("m.avg").alias("avg_latency_ms"))
+    out = S.StructType([S.StructField("question_count", S.LongType()), S.StructField("total_cost", S.DecimalType(10, 6)), S.StructField("avg_latency_ms", S.LongType())])
+    values = [F.col(latency).cast("bigint").alias("_l"), F.col(cost).cast("double").alias("_c")]
+    return ordered_fold(log, session, order, values, (0, Decimal(0), 0), step, out)
 
 
-def _floor_div(a: Column, b: Column) -> Column:
-    """Integer division towards minus infinity."""
-    return ((a - F.pmod(a, b)) / b).cast("bigint")
+def _six_decimals(x: float, ansi: bool) -> Decimal | None:
+    """Spark's cast of a double to decimal(10,6): half up on its shortest form; out of range, an error or null."""
+    if math.isfinite(x) and abs(d := Decimal(repr(x)).quantize(Decimal("0.000001"), ROUND_HALF_UP)) < 10_000:
+        return d
+    if ansi:
+        raise ArithmeticError(f"{x} is out of the range of decimal(10,6)")
+    return None
 
 
 def provider_counts(log: DataFrame, session: str, provider: str) -> DataFrame:

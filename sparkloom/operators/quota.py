@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from sparkloom.operators.folds import ordered_fold
 from sparkloom.session import SETTINGS
 
 
@@ -25,18 +27,11 @@ def remaining_ms(count: Column, last_ms: Column, now_ms: Column, quota: int = SE
 
 def quota_fold(events: DataFrame, user: str, ms: str, tie: str, quota: int = SETTINGS.quota, cooldown_ms: int = SETTINGS.cooldown_ms) -> DataFrame:
     """Batch form: every user's questions in order -> asked, blocked and sessions."""
-    turn = F.array_sort(F.collect_list(F.struct(F.col(ms).alias("t"), F.col(tie).alias("x"))))
-    big = lambda v: F.lit(v).cast("bigint")
-    zero = F.struct(big(0).alias("count"), big(None).alias("last"), big(0).alias("asked"), big(0).alias("blocked"), big(0).alias("sessions"))
-
-    def fold(a: Column, x: Column) -> Column:
-        fresh = (a["count"] >= quota) & F.coalesce(x["t"] - a["last"] >= cooldown_ms, F.lit(False))
-        count = F.when(fresh, big(0)).otherwise(a["count"])
-        ok = count < quota
-        first = a["asked"] == 0
-        return F.struct(
-            F.when(ok, count + 1).otherwise(count).alias("count"), F.when(ok, x["t"]).otherwise(a["last"]).alias("last"), (a["asked"] + ok.cast("bigint")).alias("asked"),
-            (a["blocked"] + (~ok).cast("bigint")).alias("blocked"), (a["sessions"] + (fresh | first).cast("bigint")).alias("sessions"),
-        )
-
-    return events.groupBy(user).agg(F.aggregate(turn, zero, fold).alias("s")).select(user, "s.asked", "s.blocked", "s.sessions", F.col("s.count").alias("open_count"))
+
+    def fold(state: tuple, t: int | None) -> tuple:
+        asked, blocked, sessions, count, last = state
+        count, at, ok, fresh = step(count, None if t is None else last, t, quota, cooldown_ms)
+        return asked + ok, blocked + (not ok), sessions + (fresh or asked == 0), count, at if ok else last
+
+    out = T.StructType([T.StructField(c, T.LongType()) for c in ("asked", "blocked", "sessions", "open_count", "last")])
+    return ordered_fold(events, user, [ms, tie], [F.col(ms).cast("bigint")], (0, 0, 0, 0, None), fold, out).drop("last")
