@@ -12,51 +12,57 @@ one small landing problem a source remains.
 
 Defined cases: null texts and texts without words have size 0 and are drawn
 by document counts alone; a null source is a source of its own, last in
-order; repeated rows are separate units; a source without words takes none
-of the mix; an empty table gives an empty result. Same input, same mix: the
-draw is seeded by source and shard and ordered by a hash of the key.
+order; rows of equal id, source and size are one unit (so a null id on a
+third of all rows makes no large shard), whose copies they share as evenly as
+whole copies go; null ids are kept as they are; a source without words takes
+none of the mix; an empty table gives an empty result. Same input, same mix:
+the draw is seeded by source and shard and ordered by a hash of the key.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from functools import reduce
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import n_words_of, written
+from sparkloom.operators import merge
 
 EPS = 1e-9
 
 
 def source_targets(sized: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_repeat: float = 3.0) -> DataFrame:
-    """One row a source: source, n_docs, source_size, target (double).
+    """One row a source: source, n_docs (rows given), source_size, target (double).
 
-    Water-filling in closed form: with the sources in order of cap / weight,
-    the first k are at their caps where the level of the rest stays below the
-    next ratio. Windows run over one row a source.
+    sized has source and size, and may have m, the number of documents a row
+    stands for. Sources are ranked by a distributed sort. The level of the
+    targets is found by resharing: each round is one aggregate over the
+    sources, and those whose cap lies below the level are at their caps from
+    then on. Sums are of whole numbers, so any order of rows gives the same.
     """
-    s = sized.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("size").cast("long").alias("source_size"))
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    w = F.get(F.array(*[F.lit(float(x)) for x in weights]), ((F.row_number().over(order) - 1) % len(weights)).cast("int"))
-    s = s.select("*", w.alias("w"), (F.lit(float(max_repeat)) * F.col("source_size")).alias("cap"))
-    s = s.withColumn("ratio", F.col("cap") / F.col("w"))
-    fill = Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    before, everything = fill.rowsBetween(Window.unboundedPreceding, -1), Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    s = s.select(
-        "*",
-        F.row_number().over(fill).alias("at"),
-        F.coalesce(F.sum("cap").over(before), F.lit(0.0)).alias("cap_before"),
-        F.sum("w").over(fill.rowsBetween(Window.currentRow, Window.unboundedFollowing)).alias("w_left"),
-        F.sum("source_size").over(everything).cast("double").alias("total"),
-    )
-    s = s.withColumn("level", (F.col("total") - F.col("cap_before")) / F.col("w_left"))
-    # at the first source whose cap is not reached, the level is that of all from there on
-    s = s.withColumn("lam", F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("at", "level"))).over(everything)["level"])
-    return s.select("source", "n_docs", "source_size", F.coalesce(F.least("cap", F.col("lam") * F.col("w")), F.lit(0.0)).alias("target"))
+    m = F.col("m") if "m" in sized.columns else F.lit(1).cast("long")
+    s = sized.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum(F.col("size") * m).cast("long").alias("source_size"))
+    s = merge.surrogate_keys(s, [F.col("source").asc_nulls_last()], "_rank", start=0)
+    w = F.get(F.array(*[F.lit(float(x)) for x in weights]), (F.col("_rank") % len(weights)).cast("int"))
+    s = written(s.select("source", "n_docs", "source_size", w.alias("w")), "mix-sources")
+    total = s.agg(F.sum("source_size")).first()[0] or 0
+    ratio, level = F.lit(float(max_repeat)) * F.col("source_size") / F.col("w"), 0.0
+    while True:
+        free = ratio > level
+        capped, w_free = s.agg(F.sum(F.when(free, 0).otherwise(F.col("source_size"))), F.sum(F.when(free, F.col("w")).otherwise(0.0))).first()
+        if not w_free:
+            break
+        nxt = max(level, (total - max_repeat * capped) / w_free)
+        if nxt == level:
+            break
+        level = nxt
+    target = F.least(F.lit(float(max_repeat)) * F.col("source_size"), F.lit(level) * F.col("w"))
+    return s.select("source", "n_docs", "source_size", target.alias("target"))
 
 
 def flight(pi: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -111,43 +117,45 @@ def _seed(*parts: object) -> int:
     return int.from_bytes(hashlib.blake2b(repr(parts).encode(), digest_size=8).digest(), "little")
 
 
-def mix_plan(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_repeat: float = 3.0, shard_docs: int = 1000, seed: int = 7) -> DataFrame:
-    """docs (doc_id, source, size) -> doc_id, source, size, source_size, target, copies (long).
+def mix_units(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_repeat: float = 3.0, shard_docs: int = 1000, seed: int = 7) -> DataFrame:
+    """docs (doc_id, source, size) -> doc_id, source, size, m, source_size, target, copies (long).
 
-    shard_docs bounds what one task flies together. Rounds over what is left
-    go on until a source's rest fits one shard, so nothing unbounded meets.
+    A unit stands for the m rows of equal id, source and size, and copies is
+    what all of them get together. shard_docs bounds what one task flies
+    together; rounds over what is left go on until a source's rest fits one
+    shard, so nothing unbounded meets. Ids stay Arrow values throughout.
     """
-    sized = docs.select("doc_id", "source", F.coalesce(F.col("size"), F.lit(0)).cast("long").alias("size"))
-    stats = written(source_targets(sized, weights, max_repeat), "mix-sources")
+    size = F.coalesce(F.col("size"), F.lit(0)).cast("long").alias("size")
+    units = written(docs.select("doc_id", "source", size).groupBy("doc_id", "source", "size").agg(F.count("*").alias("m")), "mix-sizes")
+    stats = written(source_targets(units, weights, max_repeat), "mix-targets")
     largest = stats.agg(F.max("n_docs")).first()[0] or 0
     same = F.col("t.source").eqNullSafe(F.col("d.source"))
-    f = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    rows = sized.alias("d").join(stats.alias("t"), same).select("doc_id", "d.source", "size", "source_size", "target", "n_docs", f.alias("f"))
-    whole = F.floor(F.col("f") + EPS)
-    rows = rows.select("*", whole.cast("long").alias("base"), F.greatest(F.col("f") - whole, F.lit(0.0)).alias("pi"))
-    rows = rows.withColumn("pi", F.when(F.col("pi") < EPS, 0.0).otherwise(F.col("pi")))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.ceil(F.col("n_docs") / shard_docs))).drop("f", "n_docs")
-    schema = rows.schema
+    due = F.when(F.col("source_size") > 0, F.col("m") * F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    rows = units.alias("d").join(stats.alias("t"), same).select("doc_id", "d.source", "size", "m", "source_size", "target", "n_docs", due.alias("due"))
+    whole = F.floor(F.col("due") + EPS)
+    rows = rows.select("*", whole.cast("long").alias("base"), F.greatest(F.col("due") - whole, F.lit(0.0)).alias("pi"))
+    rows = rows.withColumn("pi", F.when(F.col("pi") < EPS, 0.0).otherwise(F.col("pi"))).withColumn("place", F.xxhash64(F.lit(seed), "doc_id", "size"))
+    rows = rows.withColumn("shard", F.pmod("place", F.ceil(F.col("n_docs") / shard_docs))).drop("due", "n_docs")
 
     def fly(last: bool):
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(["doc_id", "size"], kind="stable", na_position="last")
-            rng = np.random.default_rng(_seed(seed, last, pdf["source"].iloc[0], int(pdf["shard"].iloc[0]), len(pdf)))
-            at = rng.permutation(len(pdf))
-            size = pdf["size"].to_numpy(float)[at]
-            p = flight(pdf["pi"].to_numpy(float)[at], size, rng)
+        def run(t: pa.Table) -> pa.Table:
+            size, pi, place = (t.column(c).to_numpy() for c in ("size", "pi", "place"))
+            rng = np.random.default_rng(_seed(seed, last, t.column("source")[0].as_py(), t.column("shard")[0].as_py(), t.num_rows))
+            at = np.lexsort((size, place))
+            at = at[rng.permutation(len(at))]
+            p = flight(pi[at], size[at].astype(float), rng)
             if last:
-                p = land(p, size)
+                p = land(p, size[at].astype(float))
             out = np.empty(len(p))
             out[at] = p
-            return pdf.assign(pi=out)
+            return t.set_column(t.column_names.index("pi"), "pi", pa.array(out))
 
         return run
 
     done, left = [], largest
     while True:
         last = left <= shard_docs
-        rows = written(rows.groupBy("source", "shard").applyInPandas(fly(last), schema), "mix-flight")
+        rows = written(rows.groupBy("source", "shard").applyInArrow(fly(last), rows.schema), "mix-flight")
         if last:
             done.append(rows)
             break
@@ -156,25 +164,45 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_
         # each shard left two units at most
         rows = rows.where(~settled).withColumn("shard", F.floor(F.col("shard") * 2 / shard_docs).cast("long"))
         left = 2 * math.ceil(left / shard_docs)
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("base") + F.col("pi").cast("long")).alias("copies"))
+    out = reduce(DataFrame.unionByName, done)
+    return out.select("doc_id", "source", "size", "m", "source_size", "target", (F.col("base") + F.col("pi").cast("long")).alias("copies"))
+
+
+def _share(copies: Column, m: Column, place: Column) -> Column:
+    """What row number `place` (from 0) of a unit's m rows gets of the unit's copies."""
+    return F.floor(copies / m).cast("long") + (place < copies % m).cast("long")
+
+
+def mix_plan(docs: DataFrame, **options) -> DataFrame:
+    """docs (doc_id, source, size) -> one row a document: doc_id, source, size, source_size, target, copies (long)."""
+    units = mix_units(docs, **options)
+    each = units.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("place"))
+    return each.select("doc_id", "source", "size", "source_size", "target", _share(F.col("copies"), F.col("m"), F.col("place")).alias("copies"))
 
 
 def mix(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """docs as often as the mix takes them: a document taken k times is there k times.
 
-    Where ids repeat, rows are told apart by their place in a fixed order.
+    Rows of equal id, source and size share their unit's copies; where these
+    are no multiple of the rows, the first rows in the order of a hash of all
+    columns get one more. Only such rows are ranked, by a distributed sort.
     """
     cols = docs.columns
-    key = F.col("doc_id")
-    if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
-        order = [F.xxhash64(F.col(c)) for c in cols if docs.schema[c].dataType.typeName() != "map"]
-        docs = docs.withColumn("_place", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)))
-        key = F.to_json(F.struct("doc_id", "_place"), {"ignoreNullFields": "false"})
-    docs = docs.withColumn("_key", key)
-    plan = mix_plan(docs.select(F.col("_key").alias("doc_id"), "source", n_words_of(F.col(text_col)).alias("size")), **options)
-    taken = plan.where("copies > 0").select(F.col("doc_id").alias("_taken"), F.col("copies").cast("int").alias("_copies"))
-    j = docs.join(taken, F.col("_key").eqNullSafe(F.col("_taken")))
-    return j.select(*cols, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).select(*cols)
+    docs = docs.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(cols)], F.col("doc_id").alias("_id"), F.col("source").alias("_source"), n_words_of(F.col(text_col)).alias("_size"))
+    plan = mix_units(docs.select(F.col("_id").alias("doc_id"), F.col("_source").alias("source"), F.col("_size").alias("size")), **options)
+    taken = plan.where("copies > 0").select("doc_id", "source", "size", "m", "copies")
+    same = F.col("_id").eqNullSafe(F.col("doc_id")) & F.col("_source").eqNullSafe(F.col("source")) & (F.col("_size") == F.col("size"))
+    j = docs.join(taken, same)
+    back = [F.col(f"c{k}").alias(c) for k, c in enumerate(cols)]
+    times = lambda df, n: df.select(*back, F.explode(F.sequence(F.lit(1).cast("long"), n)).alias("_copy")).drop("_copy")
+    uneven = F.col("copies") % F.col("m") != 0
+    out = times(j.where(~uneven), F.floor(F.col("copies") / F.col("m")).cast("long"))
+    if taken.where(uneven & (F.col("m") > 1)).isEmpty():
+        return out
+    hashed = F.xxhash64(*[F.col(f"c{k}") for k, c in enumerate(cols) if j.schema[f"c{k}"].dataType.typeName() not in ("map", "variant")])
+    ranked = merge.surrogate_keys(j.where(uneven).withColumns({"_hash": hashed, "_row": F.monotonically_increasing_id()}), ["_id", "_source", "_size", "_hash", "_row"], "_place")
+    first = ranked.groupBy("_id", "_source", "_size").agg(F.min("_place").alias("_first"))
+    first = first.select(F.col("_id").alias("_i"), F.col("_source").alias("_s"), F.col("_size").alias("_z"), "_first")
+    r = ranked.join(first, F.col("_id").eqNullSafe(F.col("_i")) & F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z")))
+    r = r.withColumn("_n", _share(F.col("copies"), F.col("m"), F.col("_place") - F.col("_first"))).where("_n > 0")
+    return out.unionByName(times(r, F.col("_n")))

@@ -73,3 +73,29 @@ def test_defined_cases(spark):
     assert small.count() == 300
     got = {r["source"]: (r["t"], r["target"]) for r in small.groupBy("source", "target").agg(F.sum(F.col("copies") * F.col("size")).alias("t")).collect()}
     assert all(abs(t - target) <= 50 for t, target in got.values())
+
+
+def test_null_ids_leave_large_ids_whole(spark):
+    ids = [2**53 + 1 + k for k in range(8)] + [None, None]
+    df = spark.createDataFrame([(i, "x", 10 + k) for k, i in enumerate(ids)], "doc_id long, source string, size long")
+    assert sorted(str(r["doc_id"]) for r in mixing.mix_plan(df).collect()) == sorted(map(str, ids))
+    text = spark.createDataFrame([(i, "w " * (k + 1), "ab"[k % 2]) for k, i in enumerate(ids)], "doc_id string, text string, source string")
+    assert {r["doc_id"] for r in mixing.mix(text).collect()} <= {str(i) if i else None for i in ids}
+
+
+def test_repeated_keys_share_their_copies(spark):
+    """A third of all rows with one key: few units fly, and no row gets more than its share."""
+    rows = [(None, "a", 7)] * 400 + [(k, "ab"[k % 2], k % 40) for k in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    assert mixing.mix_units(df, shard_docs=16).where("m > 1").count() == 1
+    plan = mixing.mix_plan(df, shard_docs=16).collect()
+    assert sorted((str(r["doc_id"]), r["source"], r["size"]) for r in plan) == sorted((str(i), s, n) for i, s, n in rows)
+    hot = [r["copies"] for r in plan if r["doc_id"] is None]
+    assert max(hot) - min(hot) <= 1
+    for s in "ab":
+        mine = [r for r in plan if r["source"] == s]
+        assert abs(sum(r["copies"] * r["size"] for r in mine) - mine[0]["target"]) <= 40
+    texts = spark.createDataFrame([(i, f"{'w ' * n}" if i is not None else "t " * n, s, str(k % 5)) for k, (i, s, n) in enumerate(rows)], "doc_id long, text string, source string, other string")
+    got = mixing.mix(texts, shard_docs=16)
+    assert got.where("doc_id is null").count() == sum(hot)
+    assert sorted(map(str, got.collect())) == sorted(map(str, mixing.mix(texts.repartition(7), shard_docs=16).collect()))
