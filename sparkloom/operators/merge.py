@@ -40,24 +40,25 @@ def staged(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def surrogate_keys(df: DataFrame, order: list[str], out: str = "id", start: int = 1) -> DataFrame:
-    """K6: consecutive ids in a total order, without one task seeing all rows.
+def surrogate_keys(df: DataFrame, order: list, out: str = "id", start: int = 1) -> DataFrame:
+    """K6: consecutive ids in a total order, with one shuffle and no task that sees all rows.
 
-    Rows are range-partitioned and staged with their partition's number (its
-    bounds are sampled, so a second run might draw others); the partitions'
-    counts (one row each) give every partition its first id.
+    Rows are range-partitioned, sorted and staged with their place in their
+    partition (the bounds are sampled, so a second run might draw others); the
+    partitions' counts (one row each) give every partition its first id.
     """
     spark = df.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = staged(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
-    counts = {r["_part"]: r["count"] for r in ranged.groupBy("_part").count().collect()}
-    before, total = [], start - 1
+    # monotonically_increasing_id: the partition's number above bit 33, the row's place in it below
+    placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    placed = staged(placed.withColumn("_part", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))))
+    counts = {r["_part"]: r["count"] for r in placed.groupBy("_part").count().collect()}
+    before, total = [], start
     for p in sorted(counts):
         before.append((p, total))
         total += counts[p]
-    first = spark.createDataFrame(before or [(0, start - 1)], "_part int, _before long")
-    rank = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return ranged.withColumn("_rank", rank).join(F.broadcast(first), "_part").withColumn(out, F.col("_before") + F.col("_rank")).drop("_part", "_rank", "_before")
+    first = spark.createDataFrame(before or [(0, start)], "_part long, _before long")
+    return placed.join(F.broadcast(first), "_part").withColumn(out, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
 
 
 def cascade(parents: DataFrame, children: DataFrame, deleted: DataFrame, key: str, foreign: str) -> tuple[DataFrame, DataFrame]:
