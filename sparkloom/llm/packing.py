@@ -3,12 +3,15 @@
 Lengths are integers up to the capacity, so the whole packing problem is the
 histogram of lengths: at most ``capacity`` counts, whatever the number of
 documents. The branch-and-bound runs over that histogram. It fills one bin
-around the largest length, over undominated fillings in order of waste,
-applies a filling as often as the counts allow, prunes by the waste bound and
-keeps best-fit-decreasing solutions as incumbents. Its result is a short list
-of patterns, from which Spark assigns every piece its sequence and offset by
-its rank among the pieces of equal length. Ranks are taken in hashed buckets,
-so that one very common length does not meet in one task.
+around the largest length, over undominated fillings in order of waste (any
+number of pieces, found by exact subset sums), applies a filling as often as
+the counts allow, prunes by the waste bound and keeps best-fit-decreasing
+solutions as incumbents. Where best fit already meets the bound, that solution
+is optimal and no node is visited. ``Solution`` reports the gap to the bound.
+The result is a short list of patterns, from which Spark assigns every piece
+its sequence and offset by its rank among the pieces of equal length. Ranks
+are taken in salted buckets, so that one very common length does not meet in
+one task.
 
 Defined cases: a null text is the empty text and packs as its end token;
 only documents longer than the capacity are cut (the first piece is the
@@ -20,6 +23,8 @@ from __future__ import annotations
 
 import bisect
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import written
-from sparkloom.llm.token_counts import chunks, encoder
+from sparkloom.llm.token_counts import encoded, encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 Pattern = tuple[int, tuple[tuple[int, int], ...]]  # times, ((length, number in a bin), ...)
@@ -40,8 +45,14 @@ def pieces_of(docs: DataFrame, capacity: int = 2048, tokenizer: str = "byte_bpe_
         enc = encoder(tokenizer)
         for b in batches:
             rows: tuple[list, ...] = ([], [], [], [], [])
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = np.array([t for c in chunks(text or "") for t in enc.ids(c)] + [end_id], "<u4")
+            parts = groupby(encoded(b.column(1).to_pylist(), enc), key=lambda p: p[0])
+            at, got = next(parts, (b.num_rows, ()))
+            for place, doc in enumerate(b.column(0).to_pylist()):
+                mine: list[int] = []
+                if place == at:  # empty texts have no parts
+                    mine = [t for _, ids in got for t in ids]
+                    at, got = next(parts, (b.num_rows, ()))
+                ids = np.array([*mine, end_id], "<u4")
                 first = len(ids) if len(ids) <= capacity else len(ids) % capacity or capacity
                 for k, a in enumerate([0, *range(first, len(ids), capacity)]):
                     part = ids[a : first if k == 0 else a + capacity]
@@ -62,18 +73,19 @@ def pieces_of(docs: DataFrame, capacity: int = 2048, tokenizer: str = "byte_bpe_
 
 
 def waste_bound(counts: dict[int, int], cap: int) -> int:
-    """A lower bound of the number of bins (total size, and Martello and Toth's L2)."""
-    total = sum(s * c for s, c in counts.items())
-    best = -(-total // cap)
-    sizes = sorted(counts)
-    big = [s for s in sizes if 2 * s > cap]
-    n_big = sum(counts[s] for s in big)
-    for k in [0, *[s for s in sizes if 2 * s <= cap]]:
-        above = sum(counts[s] for s in big if s > cap - k)
-        room = sum(counts[s] * (cap - s) for s in big if s <= cap - k)
-        small = sum(counts[s] * s for s in sizes if k <= s and 2 * s <= cap)
-        best = max(best, n_big + max(0, -(-(small - room) // cap)), above)
-    return best
+    """A lower bound of the number of bins (total size, and Martello and Toth's L2 for every split length)."""
+    if not counts:
+        return 0
+    s = np.array(sorted(counts), np.int64)
+    c = np.array([counts[x] for x in s.tolist()], np.int64)
+    number, size = np.concatenate(([0], np.cumsum(c))), np.concatenate(([0], np.cumsum(c * s)))
+    half = np.searchsorted(s, cap // 2, "right")  # lengths from here on fill more than half a bin
+    k = np.concatenate(([0], s[:half]))
+    wide = np.maximum(np.searchsorted(s, cap - k, "right"), half)  # lengths from here on leave no room for k
+    room = cap * (number[wide] - number[half]) - (size[wide] - size[half])
+    small = size[half] - size[np.searchsorted(s[:half], k)]
+    rest = np.maximum(0, -(-(small - room) // cap))
+    return int(max(-(-int(size[-1]) // cap), (number[-1] - number[half] + rest).max()))
 
 
 def best_fit(counts: dict[int, int], cap: int) -> list[Pattern]:
@@ -116,107 +128,154 @@ def best_fit(counts: dict[int, int], cap: int) -> list[Pattern]:
     return [(t, b) for gs in groups.values() for t, b in gs]
 
 
-def fillings(counts: dict[int, int], cap: int, width: int) -> list[tuple[tuple[int, int], ...]]:
-    """Fillings around the largest length, least waste first.
+def dominates(x: tuple[int, ...], y: tuple[int, ...]) -> bool:
+    """Whether y's elements fit into x's, each as a box: then x in its place is never worse."""
+    rooms = list(x)
+    for e in sorted(y, reverse=True):
+        k = min((k for k, r in enumerate(rooms) if r >= e), key=lambda k: rooms[k], default=None)
+        if k is None:
+            return False
+        rooms[k] -= e
+    return True
+
+
+def completions(counts: dict[int, int], room: int) -> Iterator[tuple[int, ...]]:
+    """Multisets of counted lengths that fit the room and leave no length that
+    would still fit, least waste first, larger elements first among equal ones.
+
+    reach[i] has bit v set where the i smallest lengths can fill exactly v, so
+    the search below never enters a branch without a filling.
+    """
+    sizes = [s for s in sorted(counts) if s <= room]
+    full, reach = (1 << room + 1) - 1, [1]
+    for s in sizes:
+        bits, left, k = reach[-1], min(counts[s], room // s), 1
+        while left:
+            k = min(k, left)
+            bits |= bits << s * k & full
+            left, k = left - k, 2 * k
+        reach.append(bits)
+
+    def fill(i: int, v: int) -> Iterator[tuple[int, ...]]:
+        while i and v:
+            s = sizes[i - 1]
+            at = [k for k in range(min(counts[s], v // s), -1, -1) if reach[i - 1] >> v - k * s & 1]
+            if at != [0]:
+                for k in at:
+                    for rest in fill(i - 1, v - k * s):
+                        yield (s,) * k + rest
+                return
+            i -= 1
+        if not v:
+            yield ()
+
+    for waste in range(room + 1):
+        if reach[-1] >> room - waste & 1:
+            for f in fill(len(sizes), room - waste):
+                if not any(s <= waste and f.count(s) < counts[s] for s in sizes):
+                    yield f
+
+
+def fillings(counts: dict[int, int], cap: int, width: int, look: int = 8) -> Iterator[tuple[tuple[int, int], ...]]:
+    """Fillings of a bin around the largest length, as ((length, number), ...).
 
-    Singles, pairs and triples, each completed by the largest length that
-    still fits; dominated ones (no element larger in order) are left out.
+    Of each run of look * width completions those that another one there
+    dominates are left out; the first is never dominated by a later one.
     """
-    sizes = sorted(counts)
-    top = sizes[-1]
-    have = dict(counts)
-    have[top] -= 1
-    room = cap - top
-
-    def fit(r: int, used: tuple[int, ...]) -> int:
-        k = bisect.bisect_right(sizes, r) - 1
-        while k >= 0 and have[sizes[k]] - used.count(sizes[k]) <= 0:
-            k -= 1
-        return sizes[k] if k >= 0 else 0
-
-    found: set[tuple[int, ...]] = set()
-    single = fit(room, ())
-    found.add((single,) if single else ())
-    firsts = [s for s in sizes if s <= room and have[s] > 0]
-    for a in firsts[-64:] + firsts[:-64:max(1, len(firsts) // 64)]:
-        b = fit(room - a, (a,))
-        if not b:
+    top = max(counts)
+    rest = {s: c - (s == top) for s, c in counts.items() if c > (s == top)}
+    found: list[tuple[int, ...]] = []
+    for k, x in enumerate(islice(completions(rest, cap - top), look * width)):
+        if len(found) >= width:
+            return
+        if k and any(dominates(y, x) for y in found):
             continue
-        found.add(tuple(sorted((a, b), reverse=True)))
-        c = fit(room - a - b, (a, b))
-        if c:
-            found.add(tuple(sorted((a, b, c), reverse=True)))
-            d = fit(room - a - b - c, (a, b, c))
-            if d:
-                found.add(tuple(sorted((a, b, c, d), reverse=True)))
-    dominated = lambda x, y: x != y and len(x) <= len(y) and all(p <= q for p, q in zip(x, y, strict=False))
-    best = sorted(found, key=lambda x: (room - sum(x), len(x), [-v for v in x]))[: 4 * width]
-    best = [x for x in best if not any(dominated(x, y) for y in best)][:width]
-    out = []
-    for x in best:
+        found.append(x)
         use: dict[int, int] = {top: 1}
         for s in x:
             use[s] = use.get(s, 0) + 1
-        out.append(tuple(sorted(use.items(), reverse=True)))
-    return out
+        yield tuple(sorted(use.items(), reverse=True))
 
 
-def bin_completion(counts: dict[int, int], cap: int, nodes: int = 4000, width: int = 6) -> list[Pattern]:
-    """Patterns that hold all counted lengths in as few bins as found.
+@dataclass(frozen=True)
+class Solution:
+    """Patterns, their number of bins, the waste bound, and the nodes visited.
 
-    Stops at the waste bound (then optimal) or after `nodes` nodes with the
-    best solution so far.
+    bins - bound is the gap: 0 means that the solution is proven optimal.
+    """
+
+    patterns: list[Pattern]
+    bins: int
+    bound: int
+    visited: int
+
+
+def bin_completion(counts: dict[int, int], cap: int, nodes: int = 4000, width: int = 6) -> Solution:
+    """Holds all counted lengths in as few bins as found.
+
+    A step fills bins around the largest length with one filling, as often as
+    the counts allow. Search goes by limited discrepancy: first always the
+    filling of least waste, then with one other choice (another filling, or
+    the same for one bin only), then two, and so on. Nodes whose waste bound
+    reaches the best solution are left; best-fit decreasing over what is left
+    completes nodes to solutions. Stops at the waste bound (then optimal), when
+    all is searched, or after `nodes` nodes with the best solution so far.
     """
     counts = {int(s): int(c) for s, c in counts.items() if c}
-    if not counts:
-        return []
     number = lambda sol: sum(t for t, _ in sol)
-    best = best_fit(counts, cap)
-    bound = waste_bound(counts, cap)
-    left = nodes
-
-    def search(rest: dict[int, int], taken: list[Pattern], used: int) -> None:
-        nonlocal best, left
-        path = []  # single-choice steps go on in this loop: depth stays small
-        while True:
-            if left <= 0 or number(best) == bound:
-                return
-            left -= 1
-            here = [*taken, *path]
-            if not rest:
-                if used < number(best):
-                    best = here
-                return
-            low = used + -(-sum(s * c for s, c in rest.items()) // cap)
-            if low >= number(best):
-                return
-            if left % 16 == 0 or len(rest) < 64:
-                greedy = best_fit(rest, cap)
-                if used + number(greedy) < number(best):
-                    best = [*here, *greedy]
-                    if number(best) <= low:
-                        return
-            options = fillings(rest, cap, width)
-            if not options:
-                return
-            small = sum(rest.values()) <= 200
-            for f in options[1:] if small else []:
-                search(*step(rest, here, used, f))
-            rest, more, used = step(rest, [], used, options[0])
-            path += more
-
-    def step(rest: dict[int, int], taken: list[Pattern], used: int, f: tuple) -> tuple:
-        times = min(rest[s] // k for s, k in f)
+    best = best_fit(counts, cap) if counts else []
+    bound, visited, cut = waste_bound(counts, cap), 0, False
+
+    def offer(taken: list[Pattern], rest: dict[int, int]) -> None:
+        nonlocal best
+        sol = [*taken, *best_fit(rest, cap)] if rest else taken
+        if number(sol) < number(best):
+            best = sol
+
+    def step(rest: dict[int, int], f: tuple[tuple[int, int], ...], times: int) -> dict[int, int]:
         nxt = dict(rest)
         for s, k in f:
             nxt[s] -= times * k
             if not nxt[s]:
                 del nxt[s]
-        return nxt, [*taken, (times, f)], used + times
+        return nxt
+
+    def search(rest: dict[int, int], taken: list[Pattern], used: int, others: int) -> None:
+        """Goes on along first choices in a loop; `others` more other choices may be made."""
+        nonlocal visited, cut
+        taken = list(taken)
+        while number(best) > bound:
+            if visited >= nodes:
+                cut = True
+                return
+            visited += 1
+            if not rest or used + waste_bound(rest, cap) >= number(best):
+                return offer(taken, rest) if not rest else None
+            if not others and (len(rest) < 64 or visited % 16 == 0):
+                offer(taken, rest)
+            options = fillings(rest, cap, width)
+            first = next(options)
+            times = min(rest[s] // k for s, k in first)
+            cut |= not others
+            if others:
+                for f in options:
+                    most = min(rest[s] // k for s, k in f)
+                    search(step(rest, f, most), [*taken, (most, f)], used + most, others - 1)
+                    if number(best) == bound or visited >= nodes:
+                        return
+                if times > 1:
+                    search(step(rest, first, 1), [*taken, (1, first)], used + 1, others - 1)
+            rest, used = step(rest, first, times), used + times
+            taken.append((times, first))
 
-    if number(best) > bound:
-        search(counts, [], 0)
-    return best
+    others = 0
+    while number(best) > bound and visited < nodes and others < len(counts) + sum(counts.values()):
+        cut = False
+        search(counts, [], 0, others)
+        if not cut:  # every choice was followed
+            break
+        others += 1
+    return Solution(best, number(best), bound, visited)
 
 
 def slots(patterns: list[Pattern]) -> list[tuple[int, int, int, int, int, int]]:
@@ -234,33 +293,33 @@ def slots(patterns: list[Pattern]) -> list[tuple[int, int, int, int, int, int]]:
     return out
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, bucket_pieces: int = 5000, nodes: int = 4000) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 2048, bucket_pieces: int = 5000, nodes: int = 4000, broadcast_slots: int = 250_000) -> DataFrame:
     """pieces (with doc_id, piece, length) with sequence_id and offset (long).
 
     Only the histogram (at most `capacity` rows) reaches the driver; the slot
-    table sent back holds one row a length and pattern, and patterns are no
-    more than the steps that use up a length. Pass pieces without wide columns
-    that a shuffle should not carry.
+    table sent back holds one row a length and pattern and is broadcast up to
+    `broadcast_slots` rows, beyond which Spark joins it by length. Pieces are
+    written once with a salt that deals them into buckets, so rows that repeat
+    an id spread like others; pass them without wide columns.
     """
     spark = pieces.sparkSession
-    n = pieces.count()
-    n_buckets = max(16, n // bucket_pieces)
     cols = pieces.columns
-    keyed = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(n_buckets)))
+    salted = written(pieces.withColumn("_salt", F.xxhash64("doc_id", "piece", F.monotonically_increasing_id())), "pack-pieces")
+    n_buckets = max(16, salted.count() // bucket_pieces)
+    keyed = salted.withColumn("_bucket", F.pmod("_salt", F.lit(n_buckets)))
     counts = written(keyed.groupBy("length", "_bucket").agg(F.count("*").alias("_n")), "pack-counts")
     hist = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
-    if any(s > capacity or s < 1 for s in hist):
+    if any(s is None or s > capacity or s < 1 for s in hist):
         raise ValueError("a piece is longer than the capacity, or empty")
-    table = slots(bin_completion(hist, capacity, nodes))
-    if len(table) > 128 * capacity:
-        raise ValueError("more slots than the bound for broadcasting")
+    table = slots(bin_completion(hist, capacity, nodes).patterns)
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("length", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    order = Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", *[c for c in ("start", "ids_crc32") if c in cols])
+    order = Window.partitionBy("length", "_bucket").orderBy("_salt", "doc_id", "piece")
     ranked = keyed.withColumn("_rank", F.row_number().over(order) - 1).join(offsets, ["length", "_bucket"])
     ranked = ranked.withColumn("_rank", F.col("_rank") + F.col("_before"))
     slot = spark.createDataFrame(table or [(0, 0, 0, 0, 1, 0)], "length long, r0 long, r1 long, seq0 long, per long, off0 long")
-    j = ranked.alias("p").join(F.broadcast(slot).alias("s"), (F.col("p.length") == F.col("s.length")) & (F.col("_rank") >= F.col("r0")) & (F.col("_rank") < F.col("r1")))
+    slot = F.broadcast(slot) if len(table) <= broadcast_slots else slot
+    j = ranked.alias("p").join(slot.alias("s"), (F.col("p.length") == F.col("s.length")) & (F.col("_rank") >= F.col("r0")) & (F.col("_rank") < F.col("r1")))
     k = F.col("_rank") - F.col("r0")
     return j.select(
         *[F.col(f"p.{c}") for c in cols],

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import cotraining, debruijn, lsh_forest, mixing, packing, ppm, pq_dedup, quality_rules, token_counts, warc_bundles
-from sparkloom.llm.common import documents, n_words_of, written
+from sparkloom.llm.common import documents, n_words_of
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,8 +85,7 @@ FROM d LEFT JOIN a USING (doc_id)
 
 def op6_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pieces_of(documents(spark, sf_dir), capacity=2048, tokenizer="byte_bpe_50k.json", end_id=0)
-    pieces = written(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pieces")
-    return packing.pack(pieces, capacity=2048)
+    return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), capacity=2048)
 
 
 def op7_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,8 @@
 Texts longer than a chunk are cut at safe boundaries: before a single space
 between two word characters. The byte-level pre-tokeniser always begins a
 piece there, so the pieces of the parts are the pieces of the whole. Chunks
-of all texts of an Arrow batch then form batches of about equal bytes.
+of all texts of an Arrow batch then form batches of about equal bytes (UTF-8),
+each of which is one call of the encoder.
 
 The ids come from the vocabulary's merge ranks; texts with the special string,
 and any that the rank encoder refuses, go to the ``tokenizers`` library with
@@ -18,7 +19,7 @@ from __future__ import annotations
 import base64
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +65,17 @@ class ByteBPE:
                 raise
             return self.library(text)
 
+    def batch(self, texts: list[str]) -> list[list[int]]:
+        """The ids of all texts in one call; text by text only where one is special or refused."""
+        if any(SPECIAL in t for t in texts):
+            return [self.ids(t) for t in texts]
+        try:
+            return self.fast.encode_ordinary_batch(texts, num_threads=1)
+        except BaseException as e:
+            if isinstance(e, KeyboardInterrupt | SystemExit | MemoryError):
+                raise
+            return [self.ids(t) for t in texts]
+
 
 def encoder(name: str) -> ByteBPE:
     if name not in _LOADED:
@@ -84,12 +96,12 @@ def chunks(text: str, size: int = CHUNK_CHARS) -> list[str]:
     return out
 
 
-def balanced(parts: list[tuple[int, str]], limit: int) -> Iterator[list[tuple[int, str]]]:
-    """Batches of whole parts of about limit bytes."""
+def balanced(parts: Iterable[tuple[int, str]], limit: int) -> Iterator[list[tuple[int, str]]]:
+    """Batches of whole parts that are full at limit bytes of UTF-8."""
     batch, size = [], 0
     for p in parts:
         batch.append(p)
-        size += len(p[1])
+        size += len(p[1].encode("utf-8", "surrogatepass"))
         if size >= limit:
             yield batch
             batch, size = [], 0
@@ -97,12 +109,17 @@ def balanced(parts: list[tuple[int, str]], limit: int) -> Iterator[list[tuple[in
         yield batch
 
 
+def encoded(texts: list[str | None], enc: ByteBPE, batch_bytes: int = BATCH_BYTES) -> Iterator[tuple[int, list[int]]]:
+    """(place of the text, ids) of every part of every text, in order."""
+    parts = ((i, c) for i, t in enumerate(texts) if t for c in chunks(t))
+    for batch in balanced(parts, batch_bytes):
+        yield from zip([i for i, _ in batch], enc.batch([c for _, c in batch]), strict=True)
+
+
 def lengths(texts: list[str | None], enc: ByteBPE, batch_bytes: int = BATCH_BYTES) -> np.ndarray:
     out = np.zeros(len(texts), np.int64)
-    parts = [(i, c) for i, t in enumerate(texts) if t for c in chunks(t)]
-    for batch in balanced(parts, batch_bytes):
-        for i, c in batch:
-            out[i] += len(enc.ids(c))
+    for i, ids in encoded(texts, enc, batch_bytes):
+        out[i] += len(ids)
     return out
 
 

@@ -179,21 +179,28 @@ def _rows_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in RECORDS.split(", ")])
 
 
-def read_bundles(index: DataFrame) -> DataFrame:
-    """All records of the bundles that the index names, frame by frame through their seek tables."""
+def read_bundles(index: DataFrame, frames_a_range: int = 16) -> DataFrame:
+    """All records of the bundles that the index names, frame by frame through their seek tables.
+
+    A task reads ranges of frames: the frame number alone says where in the
+    seek table a range lies, and ranges of one bundle go to different tasks.
+    Frames hold about as many bytes each, so equal ranges are equal work.
+    """
     spark, root = index.sparkSession, _root_uri(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _ = fs.FileSystem.from_uri(root)
+        unpack = zstandard.ZstdDecompressor()
         for b in batches:
-            for path in b.column(0).to_pylist():
-                store, _ = fs.FileSystem.from_uri(root)
+            for path, part in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 with store.open_input_file(path) as f:
-                    for at, c, d in read_seek_table(f):
+                    for at, c, d in read_seek_table(f)[part * frames_a_range : (part + 1) * frames_a_range]:
                         f.seek(at)
-                        yield _rows_batch(list(parse(zstandard.ZstdDecompressor().decompress(f.read(c), max_output_size=d))))
+                        yield _rows_batch(list(parse(unpack.decompress(f.read(c), max_output_size=d))))
 
-    paths = index.select("path").distinct()
-    return paths.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path").mapInArrow(run, RECORDS)
+    ranges = index.select("path", F.floor(F.col("frame") / frames_a_range).cast("int").alias("part")).distinct()
+    # a count without keys deals rows in turn, whatever the planner knows of their order, and stays as it is
+    return ranges.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(run, RECORDS)
 
 
 def fetch(index: DataFrame) -> DataFrame:

@@ -26,10 +26,11 @@ def used(patterns):
 @given(st.lists(st.integers(1, 30), max_size=60))
 def test_bin_completion_is_a_packing_and_near_the_bound(sizes):
     counts = Counter(sizes)
-    p = packing.bin_completion(dict(counts), 30, nodes=300)
+    found = packing.bin_completion(dict(counts), 30, nodes=300)
+    p = found.patterns
     assert used(p) == counts and all(sum(s * k for s, k in bins) <= 30 for _, bins in p)
     n = sum(t for t, _ in p)
-    assert packing.waste_bound(dict(counts), 30) <= n <= sum(t for t, _ in packing.best_fit(dict(counts), 30))
+    assert found.bins == n and found.bound == packing.waste_bound(dict(counts), 30) <= n <= sum(t for t, _ in packing.best_fit(dict(counts), 30))
 
 
 def optimum(sizes, cap):
@@ -44,7 +45,60 @@ def test_small_cases_are_optimal():
     rng = np.random.default_rng(4)
     for _ in range(25):
         sizes = rng.integers(1, 20, 6).tolist()
-        assert sum(t for t, _ in packing.bin_completion(dict(Counter(sizes)), 20)) == optimum(sizes, 20)
+        best = optimum(sizes, 20)
+        assert packing.bin_completion(dict(Counter(sizes)), 20).bins == best >= packing.waste_bound(dict(Counter(sizes)), 20)
+
+
+def full_bins(rng, bins, per, cap=2048):
+    """Lengths that fill `bins` bins of `per` pieces without waste."""
+    cuts = [np.sort(rng.choice(np.arange(1, cap), per - 1, replace=False)) for _ in range(bins)]
+    return Counter(x for c in cuts for x in np.diff([0, *c, cap]).tolist())
+
+
+@pytest.mark.parametrize("per", [3, 4, 8, 12])
+@pytest.mark.parametrize("bins", [20, 60])
+def test_search_meets_known_optima_that_best_fit_misses(per, bins):
+    counts = full_bins(np.random.default_rng(bins + per), bins, per)
+    s = packing.bin_completion(dict(counts), 2048)
+    assert used(s.patterns) == counts and s.bound == bins and s.visited > 0
+    assert sum(t for t, _ in packing.best_fit(dict(counts), 2048)) == bins + 1
+    assert s.bins == bins if (per, bins) != (3, 60) else s.bins - s.bound <= 1  # the one that the nodes do not reach
+
+
+def test_many_small_pieces_and_node_limit():
+    counts = Counter(np.random.default_rng(5).integers(180, 201, 500).tolist())
+    s = packing.bin_completion(dict(counts), 2048)
+    assert s.bins < sum(t for t, _ in packing.best_fit(dict(counts), 2048)) and s.bins - s.bound <= 1
+    assert packing.bin_completion(dict(counts), 2048, nodes=3).visited == 3
+    assert packing.bin_completion({}, 2048) == packing.Solution([], 0, 0, 0)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.integers(1, 12), st.integers(1, 3), min_size=1, max_size=5), st.integers(0, 25))
+def test_completions_are_all_the_maximal_multisets(counts, room):
+    sizes = sorted(counts)
+    want = set()
+    for n in itertools.product(*[range(counts[s] + 1) for s in sizes]):
+        left = room - sum(a * s for a, s in zip(n, sizes, strict=True))
+        if left >= 0 and not any(s <= left and a < counts[s] for a, s in zip(n, sizes, strict=True)):
+            want.add(tuple(s for a, s in zip(reversed(n), reversed(sizes), strict=True) for _ in range(a)))
+    got = list(packing.completions(counts, room))
+    assert set(got) == want and len(got) == len(want)
+    assert [sum(x) for x in got] == sorted((sum(x) for x in got), reverse=True)
+
+
+def test_search_packs_rows_that_best_fit_does_not(spark):
+    """Through Spark: a table whose optimum needs the search, half its ids null, with and without a broadcast of slots."""
+    counts = full_bins(np.random.default_rng(20), 20, 8)
+    rows = [(None if k % 2 else k, 0, int(s)) for k, s in enumerate(counts.elements())]
+    df = spark.createDataFrame(rows, "doc_id long, piece int, length long")
+    for slots in (250_000, 0):
+        got = packing.pack(df, broadcast_slots=slots).collect()
+        assert len({r["sequence_id"] for r in got}) == 20 and Counter(r["length"] for r in got) == counts
+        bins = defaultdict(list)
+        for r in got:
+            bins[r["sequence_id"]].append((r["offset"], r["length"]))
+        assert all([o for o, _ in sorted(b)] == [sum(n for _, n in sorted(b)[:k]) for k in range(len(b))] for b in bins.values())
 
 
 def check(rows, texts, capacity=2048):

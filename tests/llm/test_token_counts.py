@@ -35,10 +35,20 @@ def test_cuts_change_nothing(library, text):
     assert sum(len(enc.ids(p)) for p in parts if p) == library(text)
 
 
-def test_batches_are_balanced_and_whole():
-    parts = [(i, "x" * (i % 7)) for i in range(100)]
-    out = list(C.balanced(parts, 20))
-    assert [p for b in out for p in b] == parts and all(sum(len(t) for _, t in b) <= 20 + 6 for b in out)
+def test_batches_are_balanced_by_bytes_and_whole():
+    parts = [(i, "é" * (i % 7)) for i in range(100)]
+    out = list(C.balanced(iter(parts), 20))
+    assert [p for b in out for p in b] == parts
+    assert all(20 <= sum(len(t.encode()) for _, t in b) <= 20 + 12 for b in out[:-1])
+
+
+@pytest.mark.parametrize("limit", [1, 50, 1 << 20])
+def test_each_batch_is_one_call(library, limit, monkeypatch):
+    enc, calls = C.encoder("byte_bpe_50k.json"), []
+    batch = enc.batch
+    monkeypatch.setattr(enc, "batch", lambda texts: calls.append(len(texts)) or batch(texts))
+    assert C.lengths(EDGE, enc, limit).tolist() == [library(t) for t in EDGE]
+    assert sum(calls) == sum(len(C.chunks(t)) for t in EDGE if t) and (limit < 1 << 20 or len(calls) == 1)
 
 
 def test_query(spark, sf, library):

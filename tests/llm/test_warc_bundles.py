@@ -38,6 +38,19 @@ def test_round_trip(spark):
     assert got == want(rows)
 
 
+def test_frames_are_read_by_many_tasks(spark):
+    """One bundle of many frames: its ranges are dealt over the partitions, and a payload larger than a frame stays whole."""
+    df = table(spark, 12).coalesce(1)
+    index = W.write_bundles(df, W.bundle_dir(spark), frame_bytes=2000)
+    assert index.select("path").distinct().count() == 1 and index.select("frame").distinct().count() >= 16
+    back = W.read_bundles(index, frames_a_range=1)
+    tasks = {r[0] for r in back.select(F.spark_partition_id()).distinct().collect()}
+    assert len(tasks) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    got = sorted((r["page_id"], r["payload_bytes"]) for r in back.collect())
+    assert got == sorted((r["page_id"], len((r["html"] or "").encode())) for r in df.collect())
+    assert index.where("length > 2000").count() > 0
+
+
 def test_index_and_seek_table(spark):
     index = W.write_bundles(table(spark, 3), W.bundle_dir(spark), frame_bytes=2000)
     rows = index.collect()
