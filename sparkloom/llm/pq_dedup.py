@@ -2,14 +2,15 @@
 
 1. Equal vectors are folded; what follows runs over representatives.
 2. A bounded sample (``sample_rows`` representatives, those of smallest hash)
-   fits the coarse centroids and, on residuals, one codebook a subspace.
-   Every representative is then indexed: its list, its residual's codes and
-   the exact distance between residual and code.
+   fits the coarse centroids, the cells of their residuals and one codebook a
+   subspace, for each length of vector on its own. Every representative is
+   then indexed: its list (centroid and cell), its residual's codes and the
+   exact distance between residual and code.
 3. A vector probes the lists whose border with its own list it is near: a
    neighbour within the radius r of the threshold can only lie beyond a border
    closer than r, and a displacement without a preferred direction crosses
-   one at ``probe_sd`` * r / sqrt(dim) or more with small probability (0.13 %
-   at 3 for a pair just at the threshold). Of two lists the higher one's
+   one at ``probe_sd`` * r / sqrt(dim) or more with small probability (0.003 %
+   at 4 for a pair just at the threshold). Of two lists the higher one's
    vectors probe the lower one, so a pair meets once.
 4. Within a list, asymmetric distances from look-up tables give a lower bound
    (distance to the code less the code's own error), so no pair within the
@@ -19,11 +20,11 @@
    reaches in the tile), never its pairs. There is no cap on links.
 
 Defined cases: null, zero and empty vectors, and those with null or non-finite
-components, link with nothing; so do vectors of another length than the
-table's most common one (of equally common ones the longest); a null id links
-with nothing, has a null component and is kept; rows that repeat an id are
-vectors of their own in one node; repeated vectors link with each other; an
-empty table gives an empty result; other columns are not read.
+components, link with nothing; vectors link with those of their own length
+only; a null id links with nothing, has a null component and is kept; rows
+that repeat an id are vectors of their own in one node; repeated vectors link
+with each other; an empty table gives an empty result; other columns are not
+read.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,38 +66,67 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 10, seed: int = 5) -> np.ndarray
     return c
 
 
-def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return ((c * c).sum(axis=1) - 2 * x @ c.T).argmin(axis=1)
+def nearest(x: np.ndarray, c: np.ndarray, rows: int = 2000) -> np.ndarray:
+    size = (c * c).sum(axis=1)
+    return np.concatenate([(size - 2 * x[k : k + rows] @ c.T).argmin(axis=1) for k in range(0, len(x), rows)] or [np.zeros(0, int)])
+
+
+def _borders(u: np.ndarray, c: np.ndarray, home: np.ndarray) -> np.ndarray:
+    """Distance of each vector, nearest to centroid `home`, from the border to every centroid (0 for its own)."""
+    d = (c * c).sum(axis=1) - 2 * u @ c.T
+    near, at = np.unique(home, return_inverse=True)
+    gap = np.sqrt(np.maximum((c[near] ** 2).sum(axis=1)[:, None] + (c * c).sum(axis=1) - 2 * c[near] @ c.T, 1e-24))
+    return (d - d[np.arange(len(u)), home][:, None]) / (2 * gap[at])
 
 
 class Index:
-    """Coarse centroids and residual codebooks; its size is bounded by the sample's."""
+    """Lists in two levels (coarse centroids, and cells of the residual) and residual codebooks.
+
+    List number c * n_cells + f belongs to coarse centroid c and cell f. The
+    index's size is bounded by the sample's.
+    """
 
-    def __init__(self, sample: np.ndarray, lists: int, subspaces: int, codes: int):
+    def __init__(self, sample: np.ndarray, lists: int, cells: int, subspaces: int, codes: int):
         self.coarse = kmeans(sample, lists)
         rest = sample - self.coarse[nearest(sample, self.coarse)]
+        self.fine = kmeans(rest, cells) if cells > 1 else np.zeros((1, sample.shape[1]))
+        rest -= self.fine[nearest(rest, self.fine)]
         self.parts = [p for p in np.array_split(np.arange(sample.shape[1]), subspaces) if len(p)]
         self.books = [kmeans(rest[:, p], codes, 8) for p in self.parts]
+        self.size = len(self.coarse) * len(self.fine)
+
+    def centre(self, at: int) -> np.ndarray:
+        return self.coarse[at // len(self.fine)] + self.fine[at % len(self.fine)]
 
     def encode(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """List, codes and code error of unit vectors."""
-        home = nearest(u, self.coarse)
-        rest = u - self.coarse[home]
+        c = nearest(u, self.coarse)
+        rest = u - self.coarse[c]
+        f = nearest(rest, self.fine)
+        rest -= self.fine[f]
         code = np.stack([nearest(rest[:, p], b) for p, b in zip(self.parts, self.books, strict=True)], axis=1).astype(np.uint8)
         miss = sum(((rest[:, p] - b[code[:, k]]) ** 2).sum(axis=1) for k, (p, b) in enumerate(zip(self.parts, self.books, strict=True)))
-        return home, code, np.sqrt(miss)
-
-    def probes(self, u: np.ndarray, home: np.ndarray, reach: float) -> list[np.ndarray]:
-        """For each vector the lower-numbered lists whose border with its own lies within reach."""
-        d = (self.coarse**2).sum(axis=1) - 2 * u @ self.coarse.T
-        gap = np.sqrt(np.maximum(((self.coarse[:, None] - self.coarse[None]) ** 2).sum(axis=2), 1e-24))
-        border = (d - d[np.arange(len(u)), home][:, None]) / (2 * gap[home])
-        near = (border <= reach) & (np.arange(len(self.coarse))[None] < home[:, None])
-        return [np.flatnonzero(r).astype(np.int32) for r in near]
+        return c * len(self.fine) + f, code, np.sqrt(miss)
+
+    def probes(self, u: np.ndarray, home: np.ndarray, reach: float, chunk: int = 1 << 22) -> list[np.ndarray]:
+        """For each vector the lower-numbered lists whose border with its own place lies within reach."""
+        k = len(self.fine)
+        row, c = np.nonzero(_borders(u, self.coarse, home // k) <= reach)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for a in range(0, len(row), max(1, chunk // k)):
+            r, cc = row[a : a + max(1, chunk // k)], c[a : a + max(1, chunk // k)]
+            rest = u[r] - self.coarse[cc]
+            i, f = np.nonzero(_borders(rest, self.fine, nearest(rest, self.fine)) <= reach)
+            at = cc[i] * k + f
+            low = at < home[r[i]]
+            found.append((r[i[low]], at[low]))
+        r, at = (np.concatenate([x[j] for x in found]) if found else np.zeros(0, int) for j in (0, 1))
+        order = np.argsort(r, kind="stable")
+        return np.split(at[order], np.cumsum(np.bincount(r, minlength=len(u)))[:-1])
 
     def distances(self, u: np.ndarray, at: int, code: np.ndarray) -> np.ndarray:
         """Asymmetric distances from vectors to the coded members of list `at`."""
-        rest = u - self.coarse[at]
+        rest = u - self.centre(at)
         total = np.zeros((len(u), len(code)), np.float32)
         for k, (p, b) in enumerate(zip(self.parts, self.books, strict=True)):
             r = rest[:, p]
@@ -108,22 +139,24 @@ def _plain(col: pa.Array, dtype: str, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), dtype).reshape(-1, dim)
 
 
-def _vectors(rows: DataFrame, dim: int, dtype: str) -> DataFrame:
-    """id, digest (null where the vector is not usable), raw."""
+def _vectors(rows: DataFrame, dtype: str) -> DataFrame:
+    """id, digest (null where the vector is not usable), raw, dim."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             dig: list = [None] * b.num_rows
             out: list = [None] * b.num_rows
+            dim: list = [None] * b.num_rows
             for i, v in enumerate(b.column(1)):
-                if v.is_valid and len(v.values) == dim and v.values.null_count == 0:
+                if v.is_valid and len(v.values) and v.values.null_count == 0:
                     x = np.ascontiguousarray(v.values.to_numpy(), dtype)
                     if np.isfinite(x).all() and x.any():
                         out[i] = x.tobytes()
                         dig[i] = hashlib.blake2b(out[i], digest_size=DIGEST).digest()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(dig, pa.binary()), pa.array(out, pa.binary())], names=["id", "digest", "raw"])
+                        dim[i] = len(x)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(dig, pa.binary()), pa.array(out, pa.binary()), pa.array(dim, pa.int32())], names=["id", "digest", "raw", "dim"])
 
-    return rows.mapInArrow(run, "id long, digest binary, raw binary")
+    return rows.mapInArrow(run, "id long, digest binary, raw binary, dim int")
 
 
 def _tile(index: Index, at: int, members: tuple, others: tuple, same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -164,23 +197,25 @@ def _tile(index: Index, at: int, members: tuple, others: tuple, same: bool, thre
 
 def near_duplicates(
     vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = 0.95,
-    sample_rows: int = 20_000, lists: int | None = None, subspaces: int = 8, codes: int = 256, probe_sd: float = 3.0, block_rows: int = 2048,
+    sample_rows: int = 20_000, lists: int | None = None, list_rows: int = 4096, subspaces: int = 8, codes: int = 256, probe_sd: float = 4.0, block_rows: int = 2048,
 ) -> DataFrame:
     """id_col, n_links, component_id (smallest id reachable over links), kept.
 
-    lists defaults to the square root of the number of distinct vectors, an
-    eighth of the sample at most.
+    For each length of vector, lists defaults to the square root of the number
+    of distinct vectors, an eighth of the sample at most; where that leaves
+    more than list_rows vectors a list, residual cells divide the lists
+    further (an eighth of the sample at most, too), so lists keep their size
+    as the table grows.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
-    common = rows.where("size(v) > 0").groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    dim = common["n"] if common else 0
     dtype = "<f4" if vectors.schema[vec_col].dataType.elementType.typeName() == "float" else "<f8"
-    vecs = written(_vectors(rows, dim, dtype), "pq-vectors")
+    vecs = written(_vectors(rows, dtype), "pq-vectors")
     same = vecs.where("digest is not null and id is not null").groupBy("digest")
-    reps = written(same.agg(F.min("id").alias("rep"), F.count("*").alias("mult"), F.min("raw").alias("raw")), "pq-reps")
-    n = reps.count()
-    if n:
-        links = _linked(reps, n, dim, dtype, cosine, sample_rows, lists or round(n**0.5), subspaces, codes, probe_sd, block_rows)
+    reps = written(same.agg(F.min("id").alias("rep"), F.count("*").alias("mult"), F.min("raw").alias("raw"), F.min("dim").alias("dim")), "pq-reps")
+    # one row a length that occurs
+    sizes = {r["dim"]: r["count"] for r in reps.groupBy("dim").count().orderBy("dim").collect()}
+    if sizes:
+        links = _linked(reps, sizes, dtype, cosine, sample_rows, lists, list_rows, subspaces, codes, probe_sd, block_rows)
         links = written(links, "pq-links")
         comp = components(links.where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")))
         direct = links.groupBy("digest").agg(F.sum("n").alias("direct"))
@@ -203,37 +238,53 @@ def near_duplicates(
     return out.select(F.col("id").alias(id_col), n_links.alias("n_links"), cid.alias("component_id")).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
 
 
-def _linked(reps: DataFrame, n: int, dim: int, dtype: str, cosine: float, sample_rows: int, lists: int, subspaces: int, codes: int, probe_sd: float, block_rows: int) -> DataFrame:
+def _index(reps: DataFrame, sizes: dict[int, int], dtype: str, sample_rows: int, lists: int | None, list_rows: int, subspaces: int, codes: int) -> dict[int, tuple[Index, int]]:
+    """For each length: an index fitted on its share of the sample, and the number of its first list."""
+    out, first, total = {}, 0, sum(sizes.values())
+    for dim, n in sizes.items():
+        share = max(min(n, 64), sample_rows * n // total)
+        drawn = reps.where(F.col("dim") == dim).orderBy(F.xxhash64("digest"), "digest").limit(share).select("raw").collect()
+        sample = unit_rows(np.frombuffer(b"".join(bytes(r["raw"]) for r in drawn), dtype).reshape(-1, dim))
+        most = max(1, len(sample) // 8)
+        coarse = max(1, min(lists or round(n**0.5), most))
+        index = Index(sample, coarse, max(1, min(-(-n // (coarse * list_rows)), most)), subspaces, min(codes, 256))
+        out[dim] = (index, first)
+        first += index.size
+    return out
+
+
+def _linked(reps: DataFrame, sizes: dict[int, int], dtype: str, cosine: float, sample_rows: int, lists: int | None, list_rows: int, subspaces: int, codes: int, probe_sd: float, block_rows: int) -> DataFrame:
     """(digest, rep, n, low) of every tile: links counted there, and the smallest id reached."""
-    drawn = reps.orderBy(F.xxhash64("digest"), "digest").limit(sample_rows).select("raw").collect()
-    sample = unit_rows(np.frombuffer(b"".join(bytes(r["raw"]) for r in drawn), dtype).reshape(-1, dim))
-    index = Index(sample, max(1, min(lists, len(sample) // 8)), subspaces, min(codes, 256))
-    reach = probe_sd * np.sqrt(max(0.0, 2 - 2 * cosine)) / np.sqrt(dim)
+    indexes = _index(reps, sizes, dtype, sample_rows, lists, list_rows, subspaces, codes)
+    radius, width = np.sqrt(max(0.0, 2 - 2 * cosine)), int(dtype[-1])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, b.num_rows, 2000):
-                part = b.slice(k, 2000)
-                u = unit_rows(_plain(part.column("raw"), dtype, dim))
-                home, code, miss = index.encode(u)
-                code_col = pa.array([c.tobytes() for c in code], pa.binary())
-                cols = [part.column(c) for c in ("digest", "rep", "mult", "raw")]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(home.astype(np.int32)), pa.array(index.probes(u, home, reach), pa.list_(pa.int32())), code_col, pa.array(miss)], names=["digest", "rep", "mult", "raw", "list", "probes", "code", "miss"])
-
-    coded = written(reps.select("digest", "rep", "mult", "raw").mapInArrow(encode, "digest binary, rep long, mult long, raw binary, list int, probes array<int>, code binary, miss double"), "pq-index")
-    # at most one row a list, and lists are no more than an eighth of the sample
-    own = {r["list"]: r["count"] for r in coded.groupBy("list").count().collect()}
-    guests = {r["list"]: r["count"] for r in coded.select(F.explode("probes").alias("list")).groupBy("list").count().collect()}
-    blocks = coded.sparkSession.createDataFrame([(k, -(-c // block_rows), -(-guests.get(k, 0) // block_rows)) for k, c in own.items()], "list int, nb int, ng int")
+            for dim in b.column("dim").unique().to_pylist():
+                (index, first), mine = indexes[dim], b.filter(pc.equal(b.column("dim"), dim))
+                for k in range(0, mine.num_rows, 2000):
+                    part = mine.slice(k, 2000)
+                    u = unit_rows(_plain(part.column("raw"), dtype, dim))
+                    home, code, miss = index.encode(u)
+                    near = [first + p for p in index.probes(u, home, probe_sd * radius / np.sqrt(dim))]
+                    code_col = pa.array([c.tobytes() for c in code], pa.binary())
+                    cols = [part.column(c) for c in ("digest", "rep", "mult", "raw")]
+                    yield pa.RecordBatch.from_arrays([*cols, pa.array(first + home), pa.array(near, pa.list_(pa.int64())), code_col, pa.array(miss)], names=["digest", "rep", "mult", "raw", "list", "probes", "code", "miss"])
+
+    coded = written(reps.mapInArrow(encode, "digest binary, rep long, mult long, raw binary, list long, probes array<long>, code binary, miss double"), "pq-index")
+    guests = coded.select(F.explode("probes").alias("list")).groupBy("list").agg(F.count("*").alias("g"))
+    part = lambda c: F.ceil(F.coalesce(c, F.lit(0)) / block_rows).cast("int")
+    blocks = coded.groupBy("list").agg(F.count("*").alias("c")).join(guests, "list", "left").select("list", part(F.col("c")).alias("nb"), part(F.col("g")).alias("ng"))
+    blocks = written(blocks, "pq-lists")
     place = lambda n: F.pmod(F.xxhash64("digest"), F.col(n)).cast("int")
     span = lambda a, b: F.when(F.lit(True) & (a <= b), F.sequence(a, b)).otherwise(F.array().cast("array<int>"))
-    m = coded.join(F.broadcast(blocks), "list").withColumn("i", place("nb"))
+    m = coded.join(blocks, "list").withColumn("i", place("nb"))
     cols = ["list", "i", "j", "role", "digest", "rep", "mult", "raw", "code", "miss"]
     # tiles of a list: members i against members j >= i, and (j below 0) against guests
     held = F.concat(span(F.col("i"), F.col("nb") - 1), F.when(F.col("ng") > 0, F.transform(F.sequence(F.lit(1), F.col("ng")), lambda x: -x)).otherwise(F.array().cast("array<int>")))
     member = m.withColumn("j", F.explode(held)).withColumn("role", F.lit(0)).select(*cols)
     again = m.where("i > 0").withColumn("j", F.col("i")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("j") - 1))).withColumn("role", F.lit(1)).select(*cols)
-    guest = coded.withColumn("list", F.explode("probes")).join(F.broadcast(blocks), "list").withColumn("j", -1 - place("ng"))
+    guest = coded.withColumn("list", F.explode("probes")).join(blocks, "list").withColumn("j", -1 - place("ng"))
     guest = guest.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumn("role", F.lit(1))
     guest = guest.select(*[F.lit(None).cast("binary").alias("code") if c == "code" else c for c in cols])
     tiles = member.unionByName(again).unionByName(guest)
@@ -241,6 +292,9 @@ def _linked(reps: DataFrame, n: int, dim: int, dtype: str, cosine: float, sample
     def run(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
         at, i, j = (t.column(c)[0].as_py() for c in ("list", "i", "j"))
+        dim = len(t.column("raw")[0].as_py()) // width
+        index, first = indexes[dim]
+        at -= first
         role, rep, mult = (t.column(c).to_numpy() for c in ("role", "rep", "mult"))
         u = unit_rows(_plain(t.column("raw"), dtype, dim))
         a, b = np.flatnonzero(role == 0), np.flatnonzero(role == 1)

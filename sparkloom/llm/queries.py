@@ -139,8 +139,8 @@ FROM f
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    heads = cotraining.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = cotraining.score(docs, heads)
+    trained = cotraining.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = cotraining.score_views(trained.views, trained.heads)
     return scored.select("*", ((F.col("p_quality") >= 0.5) & (F.col("p_toxic") < 0.5)).alias("kept"))
 
 

@@ -19,18 +19,62 @@ def test_newton_fits_a_separable_and_a_noisy_set():
     assert ((cotraining.logit(x, cotraining.logistic(x, noisy, np.ones(400), 1e-3)) > 0) == (y > 0)).mean() > 0.93
 
 
-def test_views_teach_each_other():
-    """The metadata view sees few labels of its own; the text view's pseudo-labels fill it."""
+def rows_of(spark, y, bits, meta):
+    """Written views: two words and no shape; y is nan where unlabelled."""
+    n = len(meta)
+    rows = [(np.zeros(9, np.float32).tobytes(), int(meta[k]), np.packbits(bits[k]).tobytes(), None if np.isnan(y[k]) else float(y[k]), k % 5) for k in range(n)]
+    return spark.createDataFrame(rows, "shape binary, meta int, bits_0 binary, y_0 double, fold int")
+
+
+def plain_co_training(y, bits, meta, rounds, confident, weight, l2=1e-3):
+    """Co-training on full rows in plain NumPy."""
+    x = np.hstack([np.zeros((len(y), 9)), bits]).astype(float)
+    one = cotraining.meta_matrix()[meta]
+    fold, own = np.arange(len(y)) % 5, ~np.isnan(y)
+    tr, bound = own & (fold != 0), np.log(confident / (1 - confident))
+    mean, sd = x.mean(axis=0), x.std(axis=0)
+    inv = np.where(sd > 1e-6, 1 / np.where(sd > 1e-6, sd, 1), 0)
+    z = np.hstack([(x - mean) * inv, np.ones((len(x), 1))])
+
+    def fit(a, use, t, w):
+        b = np.zeros(a.shape[1])
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-a[use] @ b))
+            pen = np.append(np.full(a.shape[1] - 1, l2 * w[use].sum()), 1e-9)
+            b -= np.linalg.solve((a[use] * (w * 1.0)[use][:, None] * (p * (1 - p))[:, None]).T @ a[use] + np.diag(pen), a[use].T @ (w[use] * (p - t[use])) + pen * b)
+        return b
+
+    st = sm = np.zeros(len(y))
+    for r in range(rounds + 1):
+        new = []
+        for a, other in ((z, sm), (None, st)):
+            sure = ~own & (np.abs(other) >= bound) & (r > 0)
+            use, t, w = tr | sure, np.where(tr, np.nan_to_num(y), other > 0), np.where(tr, 1.0, weight)
+            if a is None:
+                m, s = one[use].mean(axis=0), one[use].std(axis=0)
+                a = np.hstack([(one - m) * np.where(s > 1e-9, 1 / np.where(s > 1e-9, s, 1), 0), np.ones((len(one), 1))])
+            new.append(a @ fit(a, use, t, w))
+        st, sm = new
+    return st, sm
+
+
+def test_heads_equal_plain_co_training_on_full_rows(spark):
+    """Few labels, many unlabelled documents: every one of them takes part, in any partitioning."""
     rng = np.random.default_rng(2)
-    y_all = (rng.random(3000) < 0.5).astype(float)
-    text = (y_all * 2 - 1)[:, None] + rng.normal(size=(3000, 1)) * 0.3
-    meta = np.eye(40)[(y_all * 20 + rng.integers(0, 20, 3000)).astype(int)]
-    n = 60
-    fold = np.arange(n) % 5
-    with_pool = cotraining.co_train(text[:n], meta[:n], y_all[:n], fold, text[n:2000], meta[n:2000], 2, 0.95, 0.5)
-    alone = cotraining.co_train(text[:n], meta[:n], y_all[:n], fold, text[:0], meta[:0], 2, 0.95, 0.5)
-    right = lambda h: ((cotraining.logit(meta[2000:], h[1]) > 0) == (y_all[2000:] > 0)).mean()
-    assert right(with_pool) > 0.97 and right(with_pool) > right(alone)
+    truth = (rng.random(2500) < 0.5).astype(float)
+    y = np.where(np.arange(2500) < 60, truth, np.nan)
+    bits = np.stack([rng.random(2500) < 0.1 + 0.75 * truth, rng.random(2500) < 0.9 - 0.75 * truth, rng.random(2500) < 0.5, rng.random(2500) < 0.2 + 0.6 * truth], axis=1)
+    meta = ((truth * 16 + rng.integers(0, 16, 2500)) * 240 + rng.integers(0, 240, 2500)).astype(int)
+    words = [np.arange(4, dtype=np.uint64)]
+    df = rows_of(spark, y, bits, meta)
+    for parts in (1, 7):
+        h = cotraining.fit_heads(df.repartition(parts), ("q",), words, 2, 0.95, 0.5)[0]
+        st, sm = plain_co_training(y, bits, meta, 2, 0.95, 0.5)
+        x = np.hstack([np.zeros((2500, 9)), bits]).astype(float)
+        assert np.allclose(cotraining.logit(x, h.text), st, atol=1e-3) and np.allclose(cotraining.logit(cotraining.meta_matrix()[meta], h.meta), sm, atol=1e-3)
+    alone = cotraining.fit_heads(df.where("y_0 is not null"), ("q",), words, 2, 0.95, 0.5)[0]
+    right = lambda h: ((cotraining.logit(cotraining.meta_matrix()[meta[60:]], h.meta) > 0) == (truth[60:] > 0)).mean()
+    assert right(h) > right(alone) and h.cal[0] > 0
 
 
 def test_features_of_edge_texts():
@@ -48,21 +92,23 @@ def test_features_of_edge_texts():
 def test_defined_cases(spark):
     docs = spark.createDataFrame([(1, None, None, None, None, "x"), (2, "", "s", "en", -4, "x"), (None, "a b", "s", "en", 3, "x"), (3, "a", "s", "en", 1, "x"), (3, "a", "s", "en", 1, "x")], DOC)
     labels = spark.createDataFrame([(3, 1, None), (None, 1, 1), (3, 0, None), (9, 0, 0)], "doc_id long, quality int, toxic int")
-    heads = cotraining.train(docs, labels)
+    trained = cotraining.train(docs, labels)
+    heads = trained.heads
     out = cotraining.score(docs, heads)
     assert out.count() == 5
+    assert sorted(map(str, out.collect())) == sorted(map(str, cotraining.score_views(trained.views, heads).collect()))
     assert out.where("p_toxic = 0.5").count() == 5  # no label of a known document
     assert out.where("p_quality > 0.99").count() == 5  # one class only (a mean of 0.5 counts as 1)
     assert cotraining.score(docs.limit(0), heads).count() == 0
-    assert len(cotraining.train(docs.limit(0), labels)) == 2
-    assert len(cotraining.train(docs.select("doc_id", "text"), labels.limit(0))) == 2
+    assert len(cotraining.train(docs.limit(0), labels).heads) == 2
+    assert len(cotraining.train(docs.select("doc_id", "text"), labels.limit(0)).heads) == 2
 
 
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     fold = F.pmod(F.xxhash64("doc_id"), F.lit(4))
-    out = cotraining.score(docs, cotraining.train(docs, labels.where(fold != 0))).join(labels.where(fold == 0), "doc_id")
+    out = cotraining.score(docs, cotraining.train(docs, labels.where(fold != 0)).heads).join(labels.where(fold == 0), "doc_id")
     right = out.select(F.avg(((F.col("p_quality") >= 0.5).cast("int") == F.col("quality")).cast("int")).alias("q"), F.avg(((F.col("p_toxic") >= 0.5).cast("int") == F.col("toxic")).cast("int")).alias("t")).first()
     assert right["q"] > 0.93 and right["t"] > 0.85
 

@@ -10,16 +10,20 @@ from sparkloom.llm import pq_dedup, queries
 SCHEMA = "vec_id long, embedding array<float>, label int, component_id string"
 
 
-def usable(v, dim):
-    return v is not None and len(v) == dim and all(x is not None and math.isfinite(x) for x in v) and any(v)
-
-
-def brute(rows, dim, cosine=0.95):
-    """vec_id -> (n_links, component)."""
-    ok = [k for k, (i, v) in enumerate(rows) if i is not None and usable(v, dim)]
-    x = np.array([np.array(rows[k][1], np.float32).astype(float) for k in ok]).reshape(len(ok), dim)
+def usable(v):
+    return v and all(x is not None and math.isfinite(x) for x in v) and any(v)
+
+
+def brute(rows, cosine=0.95):
+    """vec_id -> (n_links, component); vectors of different lengths never link."""
+    ok = [k for k, (i, v) in enumerate(rows) if i is not None and usable(v)]
+    dim = max((len(rows[k][1]) for k in ok), default=1)
+    x = np.zeros((len(ok), dim))
+    size = np.array([len(rows[k][1]) for k in ok])
+    for at, k in enumerate(ok):
+        x[at, : size[at]] = np.array(rows[k][1], np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    link = x @ x.T >= cosine
+    link = (x @ x.T >= cosine) & (size[:, None] == size)
     np.fill_diagonal(link, False)
     ids = np.array([rows[k][0] for k in ok])
     low = ids.copy()
@@ -55,11 +59,35 @@ def run(spark, rows, **options):
     return sorted([(r["vec_id"], r["n_links"], r["component_id"]) for r in out], key=str)
 
 
-@pytest.mark.parametrize("block_rows", [16, 2048])
-def test_groups_equal_brute_force(spark, block_rows):
+@pytest.mark.parametrize("options", [{"block_rows": 16}, {}, {"list_rows": 4}, {"lists": 1, "list_rows": 40, "block_rows": 8}])
+def test_groups_equal_brute_force(spark, options):
+    """Tiles of several blocks, lists of one level and of two."""
     x = clustered(400, 16, 1, (60, 20, 2, 2, 3))
     rows = [(int(7 * k % 401), [float(z) for z in v]) for k, v in enumerate(x)]
-    assert run(spark, rows, block_rows=block_rows, probe_sd=4.0) == brute(rows, 16)
+    assert run(spark, rows, **options) == brute(rows)
+
+
+def test_lengths_are_groups_of_their_own(spark):
+    rows = [(k, [float(z) for z in v]) for k, v in enumerate(clustered(60, 8, 3, (20, 5)))]
+    rows += [(100 + k, [float(z) for z in v]) for k, v in enumerate(clustered(40, 5, 4, (10,)))]
+    rows += [(200, [1.0, 2.0]), (201, [1.0, 2.0]), (202, [2.0, 4.1]), (203, [7.0])]
+    got = run(spark, rows)
+    assert got == brute(rows)
+    assert (200, 2, 200) in got and (203, 0, 203) in got
+
+
+def test_index_keeps_list_sizes_as_tables_grow():
+    rng = np.random.default_rng(6)
+    u = pq_dedup.unit_rows(rng.normal(size=(4000, 12)))
+    index = pq_dedup.Index(u[:1000], 10, 25, 4, 64)
+    home, code, miss = index.encode(u)
+    assert index.size == 250 and np.bincount(home).max() < 200
+    near = pq_dedup.unit_rows(u + rng.normal(size=u.shape) * 0.06)
+    other, _, _ = index.encode(near)
+    probes = [set(p.tolist()) for p in index.probes(u, home, 4 * 0.3162 / 12**0.5)]
+    back = [set(p.tolist()) for p in index.probes(near, other, 4 * 0.3162 / 12**0.5)]
+    met = [a == b or b in p or a in q for a, b, p, q in zip(home, other, probes, back, strict=True)]
+    assert np.mean(met) > 0.999 and all(max(p, default=-1) < h for p, h in zip(probes, home, strict=True))
 
 
 def test_defined_cases(spark):
@@ -67,8 +95,7 @@ def test_defined_cases(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, v), (2, v), (3, [2 * a for a in v]), (4, None), (5, []), (6, [0.0] * 4), (7, [1.0, None, 3.0, 4.0]), (8, [nan, 1.0, 1.0, 1.0]), (9, [inf, 1.0, 1.0, 1.0]), (10, [1.0, 2.0]), (11, [-a for a in v]), (None, v), (12, [3e38, 0.0, 0.0, 0.0]), (13, [1.0, 0.0, 0.0, 0.0])]
     rows += [(11, [0.0, 0.0, 0.0, 5.0]), (20, [0.0, 0.0, 0.0, 1.0]), (2, [1.0, 0.0, 0.0, 0.0])]
-    got, want = run(spark, rows), brute(rows, 4)
-    assert got == want
+    assert run(spark, rows) == brute(rows)
 
 
 def test_empty_table(spark):
@@ -78,8 +105,8 @@ def test_empty_table(spark):
 
 def test_query_recall(spark, sf):
     rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
-    want = {i: (n, c) for i, n, c in brute(rows, 64)}
+    want = {i: (n, c) for i, n, c in brute(rows)}
     out = queries.op7_embedding_duplicates(spark, sf).collect()
     assert len(out) == len(rows)
-    assert sum(r["n_links"] for r in out) >= 0.99 * sum(n for n, _ in want.values())
+    assert sum(r["n_links"] for r in out) >= 0.999 * sum(n for n, _ in want.values())
     assert all(r["n_links"] <= want[r["vec_id"]][0] for r in out)
