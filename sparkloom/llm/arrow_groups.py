@@ -17,8 +17,9 @@ def block_count(total_bytes: int, block_bytes: int = BLOCK_BYTES) -> int:
     return max(8, -(-total_bytes // block_bytes))
 
 
-def block_of(key: str, n: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+def block_of(n: int, *cols: str) -> Column:
+    """The block of a row by a hash of the columns. With the text among them, rows of one id (or none) spread."""
+    return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
 
 
 def runs(batches: Iterator[pa.RecordBatch], key: int, limit: int, rows: int = 40_000) -> Iterator[tuple[pa.Table, np.ndarray, bool]]:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,11 +20,13 @@ GAP = r"[\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors and the driver share (spark.checkpoint.dir).
 
-    Where the session names none, as in local tests, a temporary folder is
-    made once and set as the checkpoint folder.
+    Where a local session names none, as in tests, a temporary folder is made
+    once and set as the checkpoint folder; on a cluster it must be set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
@@ -35,32 +37,31 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting that holds within the block."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.
 
     Cuts the lineage: what follows survives lost executors without running
-    the earlier stages again, and every later use sees the same rows.
+    the earlier stages again, and every later use sees the same rows. Nothing
+    can need the job's shuffle files again, so Spark removes them at its end.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished jobs now.
-
-    It does so when the driver collects its garbage, which may come only after
-    far more than one step's files have gathered. The first round frees what
-    Python still held, the second the shuffles behind it.
-    """
-    for _ in range(2):
-        gc.collect()
-        time.sleep(1)
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def words_of(text: Column) -> Column:
     """The words of a text as an array; none for null or blank texts."""
     bare = F.btrim(text, F.lit(WS))

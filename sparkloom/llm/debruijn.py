@@ -1,23 +1,30 @@
 """Exact substring de-duplication over a De Bruijn graph of repeated windows.
 
-The edges of the graph are k-mers: windows of k consecutive words. A word is
-removed if a window over it also starts earlier in the corpus (a smaller
+The edges of the graph are k-mers: windows of k consecutive words. A k-mer
+leads from the node of its first k - 1 words to that of its last k - 1. A word
+is removed if a window over it also starts earlier in the corpus (a smaller
 doc_id, or the same document further left).
 
 1. Seeds. The window's minimiser (smallest hash of its short word grams) is
    the same wherever the window occurs. Only minimisers that occur twice can
    belong to a repeated window; that leaves a fraction of the k-mers.
 2. Edges. Blocks of documents emit each k-mer under a repeated seed once, with
-   its first place in the block. Grouped by k-mer, these give the repeated
-   edges with their source coordinates (the first place of all).
-3. Compaction. Edges that follow each other in the source and lead to the same
-   blocks form a path without branches and become one row.
+   its node, its first place in the block and the word before it. All edges
+   that leave a node meet by its hash: this gives the repeated edges with
+   their source coordinates (the first place of all), and the node's degrees,
+   out (different next words) and in (different words before).
+3. Compaction. A node with one edge in and one out continues a path. The edge
+   out of it stands one word further in the same source, so paths are read off
+   the source coordinates in one sort instead of rounds of pointer joins; a
+   path becomes one row a block that holds it.
 4. Paths are joined back to the blocks they occur in. A window is removed
-   where both its hash and a second, independent check hash equal the
-   path's and its place is not the source's: the coordinates verify the span.
+   where both its node's hash and an independent check of all its words equal
+   the path's and its place is not the source's: the coordinates verify the
+   span.
 
 A block sees a k-mer once however often it holds it, so a passage in a third
-of all documents costs one row a block.
+of all documents costs one row a block; where more blocks hold a k-mer than a
+task should hold at once, its parts go by the same source.
 
 Defined cases: null and blank texts have no words; texts shorter than k words
 lose nothing; rows that repeat a doc_id are the same place, so neither is
@@ -38,18 +45,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkloom.llm.arrow_groups import block_count, block_of, runs
-from sparkloom.llm.common import release, text_bytes, written
-from sparkloom.llm.wordhash import U64, hash_words, inside, ngram_hash, raw
+from sparkloom.llm.common import text_bytes, written
+from sparkloom.llm.wordhash import U64, hash_words, inside, mix, ngram_hash, raw
 
 SEED_WORDS = 6
 LAST = np.iinfo(np.int64).max
+#: Blocks a row of repeated edges names at most.
+LOT = 1024
+#: In place of the hash of a word before: there are several, or none.
+BRANCH = -1
 
 
-def _windows(texts, k: int, check: bool = False) -> tuple:
-    """Words, positions of whole windows, their hashes (and checks), and their minimisers."""
+def _windows(texts, k: int) -> tuple:
+    """Words, positions of whole windows, and their minimisers."""
     w = hash_words(texts)
     at = np.flatnonzero(inside(w.doc, k))
-    full = ngram_hash(w.hash, k, 1)[at]
     g = ngram_hash(w.hash, min(SEED_WORDS, k), 2)
     span, low = k - min(SEED_WORDS, k) + 1, g
     have = 1
@@ -57,8 +67,18 @@ def _windows(texts, k: int, check: bool = False) -> tuple:
         step = min(have, span - have)
         low = np.minimum(low[: len(low) - step], low[step:])
         have += step
-    chk = (ngram_hash(w.hash, k, 3)[at] >> U64(32)).astype(np.uint32).view(np.int32) if check else None
-    return w, at, full, chk, low[at]
+    return w, at, low[at]
+
+
+def _edge_of(w, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The node each window leads from (64 bits of its first k - 1 words) and a check of all its words (32 bits)."""
+    node = ngram_hash(w.hash, k - 1, 1)[at] if k > 1 else np.zeros(len(at), U64)
+    return node, (ngram_hash(w.hash, k, 3)[at] >> U64(32)).astype(np.uint32).view(np.int32)
+
+
+def _edge_key(node: np.ndarray, chk: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(node ^ (chk.view(np.uint32).astype(U64) * U64(0x9E3779B97F4A7C15)))
 
 
 def _seeds(docs: DataFrame, k: int) -> DataFrame:
@@ -66,9 +86,10 @@ def _seeds(docs: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            w, at, full, _, low = _windows(b.column(1), k)
+            w, at, low = _windows(b.column(1), k)
             if not len(at):
                 continue
+            full = ngram_hash(w.hash, k, 1)[at]
             doc = np.searchsorted(w.doc, at, "right") - 1
             block = b.column(0).to_numpy()[doc]
             first = np.ones(len(at), bool)
@@ -108,66 +129,98 @@ def _ids(t: pa.Table | pa.RecordBatch) -> np.ndarray:
 
 
 def _edges(docs: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
-    """Each block's distinct k-mers under repeated seeds with their first place and number."""
-    names = ["kmer", "chk", "block", "doc", "start", "n"]
+    """Each block's distinct k-mers under repeated seeds with their first place, number and word before (BRANCH: several, or none)."""
+    names = ["node", "chk", "block", "doc", "start", "n", "prev"]
 
     def run(d: pa.Table, s: pa.Table) -> pa.Table:
-        empty = pa.table([pa.array([], t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32())], names=names)
+        empty = pa.table([pa.array([], t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32())], names=names)
         if not d.num_rows or not s.num_rows:
             return empty
-        w, at, full, chk, low = _windows(d.column("_text"), k, check=True)
+        w, at, low = _windows(d.column("_text"), k)
         known = np.unique(s.column("seed").to_numpy().view(np.uint64))
-        hit = known[np.minimum(np.searchsorted(known, low), len(known) - 1)] == low
-        at, full, chk = at[hit], full[hit], chk[hit]
+        at = at[known[np.minimum(np.searchsorted(known, low), len(known) - 1)] == low]
         if not len(at):
             return empty
+        node, chk = _edge_of(w, at, k)
         row = np.searchsorted(w.doc, at, "right") - 1
         doc, start = _ids(d)[row], (at - w.doc[row]).astype(np.int32)
-        order = np.lexsort((start, doc, chk, full))
-        full, chk, doc, start = full[order], chk[order], doc[order], start[order]
-        first = np.concatenate(([True], (full[1:] != full[:-1]) | (chk[1:] != chk[:-1])))
-        n = np.diff(np.append(np.flatnonzero(first), len(full))).astype(np.int32)
+        prev = np.where(start > 0, (w.hash[np.maximum(at - 1, 0)] >> U64(33)).astype(np.int32), BRANCH)
+        order = np.lexsort((start, doc, chk, node))
+        node, chk, doc, start, prev = (x[order] for x in (node, chk, doc, start, prev))
+        first = np.flatnonzero(np.concatenate(([True], (node[1:] != node[:-1]) | (chk[1:] != chk[:-1]))))
+        n = np.diff(np.append(first, len(node))).astype(np.int32)
+        one = np.minimum.reduceat(prev, first) == np.maximum.reduceat(prev, first)
         block = np.full(len(n), d.column("block")[0].as_py(), np.int32)
-        return pa.table([pa.array(full[first].view(np.int64)), pa.array(chk[first]), pa.array(block), pa.array(doc[first]), pa.array(start[first]), pa.array(n)], names=names)
+        return pa.table([pa.array(node[first].view(np.int64)), pa.array(chk[first]), pa.array(block), pa.array(doc[first]), pa.array(start[first]), pa.array(n), pa.array(np.where(one, prev[first], BRANCH))], names=names)
+
+    return docs.select("block", "_id", "_text").groupBy("block").cogroup(seeds.groupBy("block")).applyInArrow(run, "node long, chk int, block int, doc long, start int, n int, prev int")
 
-    return docs.select("block", "_id", "_text").groupBy("block").cogroup(seeds.groupBy("block")).applyInArrow(run, "kmer long, chk int, block int, doc long, start int, n int")
 
+def _repeated(edges: DataFrame, limit: int = 1 << 20) -> DataFrame:
+    """Repeated edges with source coordinates, the blocks that hold them (in
+    numbered lots, one row each), and head: whether the node they leave has not
+    one edge in and one out.
 
-def _repeated(edges: DataFrame) -> DataFrame:
-    """Repeated edges with source coordinates and the blocks that hold them."""
+    Where a node's edges come in parts (more than limit rows), a k-mer goes by
+    the source that its first part named, its last one in a part is kept
+    whatever its number there, and all its edges are heads.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, _, _ in runs(batches, 0, 1 << 20):
-            kmer, chk, block, doc, start, n = (t.column(c).to_numpy() for c in range(6))
-            first = np.concatenate(([True], (kmer[1:] != kmer[:-1]) | (chk[1:] != chk[:-1])))
-            at = np.append(np.flatnonzero(first), len(kmer))
-            keep = np.add.reduceat(n.astype(np.int64), at[:-1]) > 1
-            size = np.diff(at)
-            rows = np.repeat(keep, size)
-            a = at[:-1][keep]
-            blocks = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size[keep]))).astype(np.int32)), pa.array(block[rows]))
-            yield pa.RecordBatch.from_arrays([pa.array(doc[a]), pa.array(start[a]), pa.array(kmer[a]), pa.array(chk[a]), blocks], names=["doc", "start", "kmer", "chk", "blocks"])
+        before = None  # node, check, doc and start of the last k-mer of a part
+        for t, _, hot in runs(batches, 0, limit):
+            node, chk, block, doc, start, n, prev = (t.column(c).to_numpy() for c in range(7))
+            at = np.flatnonzero(np.concatenate(([True], (node[1:] != node[:-1]) | (chk[1:] != chk[:-1]))))
+            total, size = np.add.reduceat(n.astype(np.int64), at), np.diff(np.append(at, len(node)))
+            doc, start, keep = doc[at], start[at], total > 1
+            if hot:
+                if before and before[:2] == (node[0], chk[0]):
+                    doc[0], start[0], keep[0] = before[2], before[3], True
+                keep[-1] = True
+                before = (node[-1], chk[-1], doc[-1], start[-1])
+            at, size, doc, start = at[keep], size[keep], doc[keep], start[keep]
+            if not len(at):
+                continue
+            rows = np.repeat(at - np.cumsum(size) + size, size) + np.arange(size.sum())
+            first = np.cumsum(size) - size
+            low, high = np.minimum.reduceat(prev[rows], first), np.maximum.reduceat(prev[rows], first)
+            of = node[at]
+            begin = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+            out = np.diff(np.append(begin, len(of)))
+            low, high = np.minimum.reduceat(low, begin), np.maximum.reduceat(high, begin)
+            head = np.repeat((out > 1) | (low != high) | (high == BRANCH) | hot, out)
+            lots = -(-size // LOT)
+            lot = np.arange(lots.sum()) - np.repeat(np.cumsum(lots) - lots, lots)
+            off = np.append(np.repeat(first, lots) + lot * LOT, size.sum())
+            each = lambda v: pa.array(np.repeat(v, lots))
+            blocks = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(block[rows]))
+            yield pa.RecordBatch.from_arrays([each(doc), pa.array(lot.astype(np.int32)), each(start), each(of), each(chk[at]), each(head), blocks], names=["doc", "lot", "start", "node", "chk", "head", "blocks"])
 
     parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return edges.repartition(parts, "kmer").sortWithinPartitions("kmer", "chk", "doc", "start").mapInArrow(run, "doc long, start int, kmer long, chk int, blocks array<int>")
+    return edges.repartition(parts, "node").sortWithinPartitions("node", "chk", "doc", "start").mapInArrow(run, "doc long, lot int, start int, node long, chk int, head boolean, blocks array<int>")
 
 
 def _paths(edges: DataFrame) -> DataFrame:
-    """Compacted paths, one row for each block they occur in: block, doc, start, kmers, chks."""
-    kind = pa.schema([("block", pa.int32()), ("doc", pa.int64()), ("start", pa.int32()), ("kmers", pa.list_(pa.int64())), ("chks", pa.list_(pa.int32()))])
+    """Compacted paths, one row for each block they occur in: block, doc, start, nodes, chks.
+
+    Edges are sorted by ranges of their source, so that a document of any
+    length, or many without an id, spread; a path ends where a partition does.
+    """
+    kind = pa.schema([("block", pa.int32()), ("doc", pa.int64()), ("start", pa.int32()), ("nodes", pa.list_(pa.int64())), ("chks", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, _, _ in runs(batches, 0, 1 << 20):
+        for t, _, _ in runs(batches, 0, 1 << 14, 10_000):
             t = t.combine_chunks()
-            doc, start = t.column(0).to_numpy(), t.column(1).to_numpy()
-            lists = t.column(4).chunk(0)
+            doc, lot, start = (t.column(c).to_numpy() for c in range(3))
+            lists = t.column(6).chunk(0)
             off, flat = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten().to_numpy()
             size = np.diff(off)
             with np.errstate(over="ignore"):
                 p = (flat.astype(np.uint64) + U64(1)) * U64(0x9E3779B97F4A7C15)
                 print_ = np.add.reduceat(p ^ (p >> U64(29)), off[:-1])
-            head = np.ones(len(doc), bool)
-            head[1:] = (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1) | (size[1:] != size[:-1]) | (print_[1:] != print_[:-1])
+            head = t.column(5).to_numpy().copy()
+            head[0] = True
+            head[1:] |= (doc[1:] != doc[:-1]) | (lot[1:] != lot[:-1]) | (start[1:] != start[:-1] + 1) | (size[1:] != size[:-1]) | (print_[1:] != print_[:-1])
             h = np.flatnonzero(head)
             reps = size[h]
             length = np.diff(np.append(h, len(doc)))
@@ -180,41 +233,43 @@ def _paths(edges: DataFrame) -> DataFrame:
             rows = np.repeat(h[which] - o[:-1], n) + np.arange(o[-1])
             o = pa.array(o.astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(block), pa.array(doc[h][which]), pa.array(start[h][which]), pa.ListArray.from_arrays(o, pa.array(t.column(2).to_numpy()[rows])), pa.ListArray.from_arrays(o, pa.array(t.column(3).to_numpy()[rows]))],
+                [pa.array(block), pa.array(doc[h][which]), pa.array(start[h][which]), pa.ListArray.from_arrays(o, pa.array(t.column(3).to_numpy()[rows])), pa.ListArray.from_arrays(o, pa.array(t.column(4).to_numpy()[rows]))],
                 schema=kind,
             )
 
     parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return edges.repartition(parts, "doc").sortWithinPartitions("doc", "start").mapInArrow(run, "block int, doc long, start int, kmers array<long>, chks array<int>")
+    return edges.repartitionByRange(parts, "doc", "lot", "start").sortWithinPartitions("doc", "lot", "start").mapInArrow(run, "block int, doc long, start int, nodes array<long>, chks array<int>")
 
 
 def _removed(texts, ids: np.ndarray, p: pa.Table, k: int) -> np.ndarray:
     """For every word of the block's texts: whether a window over it starts earlier elsewhere."""
-    w, at, full, chk, _ = _windows(texts, k, check=True)
+    w = hash_words(texts)
+    at = np.flatnonzero(inside(w.doc, k))
     gone = np.zeros(int(w.doc[-1]) + 1, np.int32)
     if p.num_rows and len(at):
         p = p.combine_chunks()
-        lists = p.column("kmers").chunk(0)
+        lists = p.column("nodes").chunk(0)
         size = np.diff(lists.offsets.to_numpy())
-        kmer = lists.flatten().to_numpy().view(np.uint64)
-        check = p.column("chks").chunk(0).flatten().to_numpy()
-        step = np.arange(len(kmer)) - np.repeat(np.concatenate(([0], np.cumsum(size)[:-1])), size)
+        node, chk = lists.flatten().to_numpy().view(U64), p.column("chks").chunk(0).flatten().to_numpy()
+        step = np.arange(len(node)) - np.repeat(np.concatenate(([0], np.cumsum(size)[:-1])), size)
         sdoc, sstart = np.repeat(p.column("doc").to_numpy(), size), np.repeat(p.column("start").to_numpy(), size) + step
-        order = np.lexsort((check, kmer))
-        kmer, check, sdoc, sstart = kmer[order], check[order], sdoc[order], sstart[order]
-        key = (kmer, check)
-        a = np.minimum(np.searchsorted(kmer, full), len(kmer) - 1)
+        key = _edge_key(node, chk)
+        order = np.argsort(key, kind="stable")
+        key, node, chk, sdoc, sstart = (x[order] for x in (key, node, chk, sdoc, sstart))
+        own_node, own_chk = _edge_of(w, at, k)
+        full = _edge_key(own_node, own_chk)
+        a = np.minimum(np.searchsorted(key, full), len(key) - 1)
         row = np.searchsorted(w.doc, at, "right") - 1
         doc, start = ids[row], at - w.doc[row]
-        open_ = key[0][a] == full
-        while True:  # equal hashes with other checks stand next to each other
-            wrong = open_ & (check[a] != chk)
+        open_ = key[a] == full
+        while True:  # edges of equal keys stand next to each other
+            wrong = open_ & ((node[a] != own_node) | (chk[a] != own_chk))
             if not wrong.any():
                 break
             a[wrong] += 1
-            over = a >= len(kmer)
-            a[over] = len(kmer) - 1
-            open_ &= ~over & (kmer[a] == full)
+            over = a >= len(key)
+            a[over] = len(key) - 1
+            open_ &= ~over & (key[a] == full)
         dup = at[open_ & ((doc != sdoc[a]) | (start != sstart[a]))]
         np.add.at(gone, dup, 1)
         np.add.at(gone, dup + k, -1)
@@ -227,12 +282,10 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", words: int = 20) ->
     made = ("n_words", "n_removed", "kept_text", "block", "_id", "_text")
     keep = [c for c in docs.columns if c not in made]
     base = docs.select(*keep, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_id"))
-    base = base.withColumn("block", block_of("_id", n))
+    base = base.withColumn("block", block_of(n, "_id", text_col))
     texts = base.select("block", "_id", F.col(text_col).alias("_text"))
     seeds = written(_twice(_seeds(texts, words), n), "seeds")
-    release(docs.sparkSession)
     edges = written(_repeated(_edges(texts, seeds, words)), "edges")
-    release(docs.sparkSession)
     paths = _paths(edges)
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
 

@@ -1,14 +1,17 @@
 """MinHash near-duplicates with an LSH forest.
 
 Every document gets the set of its word shingles and a signature of 128
-min-hashes. The forest holds several orders (permutations of the signature);
-documents that share a prefix of an order are neighbours in it, and all pairs
-of neighbours at the first depth are covered. To link most of a region larger
-than ``region_docs`` cheaply, it is split at the next depth, down to the whole
-signature, where consecutive documents of the sorted order become candidates;
-its members are also candidates of its two ends, so that a large group holds
-together. What pairs this leaves between components are then tested in tiles
-of the whole region (block against block), so depth costs no recall.
+min-hashes. The forest holds several orders: in each, documents are sorted by
+a permutation of the signature (a hash of the first DEPTH values, then the next
+LABEL values), by ranges, so that a group of any size spreads over partitions.
+Documents that share the first DEPTH values are a region, and all pairs of a
+region are covered. A region larger than ``region_docs`` is divided where it
+stands in the order: each part goes down to the least depth at which no more
+than region_docs documents share a prefix, so the depth adapts to the region,
+and each document is a candidate of its neighbours in the order, those of the
+longest common prefix. That links most of a large region cheaply; the pairs it
+leaves between components are then tested in tiles of the whole region (block
+against block), so depth costs no recall.
 
 Copies (equal sets) are folded first. Candidates within a region are screened
 by their signatures at four and a half standard errors below the threshold,
@@ -32,11 +35,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.arrow_groups import runs
@@ -46,7 +49,7 @@ from sparkloom.llm.wordhash import U64, hash_words, mix, ngram_hash, row_slices,
 
 SIG = 128
 ORDERS = 24
-DEPTHS = (5, 8, 12, 20, 40, 128)
+DEPTH, LABEL = 5, 15
 SMALL = 8
 _A = (stream(3, SIG) >> U64(32)).astype(np.uint32) | np.uint32(1)
 _B = (stream(4, SIG) >> U64(32)).astype(np.uint32)
@@ -103,71 +106,130 @@ def _keys(sig: np.ndarray, order: int, depth: int) -> np.ndarray:
         return mix((mix(part) * stream(900 + order, depth)).sum(axis=1, dtype=U64)).view(np.int64)
 
 
+def _binary(m: np.ndarray) -> pa.Array:
+    """The rows of a matrix of bytes as binaries."""
+    off = np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(m), [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(m))])
+
+
 def _entries(reps: DataFrame) -> DataFrame:
-    """(tree, key, rep) for every order at the first depth."""
+    """(tree, key, label, rep) for every order: a hash of the first DEPTH values, and a byte of each of the next LABEL."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sig, n = _matrix(b.column(1), "<u4"), b.num_rows
             for t in range(ORDERS):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, np.int32)), pa.array(_keys(sig, t, DEPTHS[0])), b.column(0)], names=["tree", "key", "rep"])
+                label = (sig[:, _PERM[t][DEPTH : DEPTH + LABEL]] & 0xFF).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, np.int32)), pa.array(_keys(sig, t, DEPTH)), _binary(label), b.column(0)], names=["tree", "key", "label", "rep"])
 
-    return reps.select("rep", "sig").mapInArrow(run, "tree int, key long, rep long")
+    return reps.select("rep", "sig").mapInArrow(run, "tree int, key long, label binary, rep long")
 
 
-def _deeper(hot: DataFrame, reps: DataFrame, depth: int) -> DataFrame:
-    """The members of regions that are too large, with keys of the next depth."""
+def divided(label: np.ndarray, limit: int) -> list[tuple[int, int, int]]:
+    """Parts (begin, end, depth) of sorted labels: each the longest run with a
+    common prefix that has no more than limit rows. Rows equal to the end of
+    their labels are cut every limit rows."""
+    same = np.cumprod(label[1:] == label[:-1], axis=1, dtype=np.int64).sum(axis=1)  # common prefix of neighbours
+    out, open_ = [], [(0, len(label), 0)]
+    while open_:
+        a, b, depth = open_.pop()
+        if b - a <= limit:
+            out.append((a, b, depth))
+        elif depth == label.shape[1]:
+            out += [(k, min(k + limit, b), depth) for k in range(a, b, limit)]
+        else:
+            cut = np.concatenate(([a], a + 1 + np.flatnonzero(same[a : b - 1] <= depth), [b]))
+            open_ += [(i, j, depth + 1) for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+    return sorted(out)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            tree, sig = b.column(0).to_numpy(), _matrix(b.column(2), "<u4")
-            key = np.zeros(len(tree), np.int64)
-            for t in np.unique(tree):
-                key[tree == t] = _keys(sig[tree == t], int(t), depth)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(key), b.column(1)], names=["tree", "key", "rep"])
 
-    return hot.join(reps, "rep").select("tree", "rep", "sig").mapInArrow(run, "tree int, key long, rep long")
+_FOUND = "tree int, key long, rep long, size int, depth int, nxt long, part int"
 
 
 def _regions(entries: DataFrame, limit: int) -> DataFrame:
-    """Members of regions of two or more: tree, key, rep, size (0 where the region is too large)."""
+    """Rows of regions as the sorted order shows them in each partition.
+
+    size: number of members (of two or more); 0 where there are more than
+    limit: those rows have the next document in the order as nxt, and their
+    parts' members follow at a greater depth. A region at a partition's border
+    may go on in the next one, so it is kept with more than SMALL as its size,
+    and rows of size -1 name the keys at both borders.
+    """
+
+    def rows(key: np.ndarray, size, depth, nxt: pa.Array | None, tree: pa.Array, rep: pa.Array) -> pa.RecordBatch:
+        n, part = len(key), TaskContext.get().partitionId()
+        after = pa.nulls(n, pa.int64()) if nxt is None else nxt
+        full = lambda v: pa.array(np.broadcast_to(np.asarray(v, np.int32), n).copy())
+        return pa.RecordBatch.from_arrays([tree, pa.array(key), rep, full(size), full(depth), after, full(part)], names=["tree", "key", "rep", "size", "depth", "nxt", "part"])
+
+    def large(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        tree, key, rep = _column(t, "tree"), t.column("key").to_numpy(), t.column("rep").to_numpy()
+        label = _matrix(_column(t, "label"), "u1")
+        nxt = pa.concat_arrays([pa.array(rep[1:]), pa.nulls(1, pa.int64())])
+        yield rows(key, 0, DEPTH, nxt, tree, pa.array(rep))
+        parts = np.array([p for p in divided(label, limit) if p[1] - p[0] > 1], np.int64).reshape(-1, 3)
+        size = parts[:, 1] - parts[:, 0]
+        at = np.repeat(parts[:, 0] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        with np.errstate(over="ignore"):  # a key of its own for every part
+            own = mix(key[parts[:, 0]].view(U64) ^ mix(rep[parts[:, 0]].view(U64) * U64(2 * LABEL + 1) + parts[:, 2].astype(U64)))
+        depth = np.repeat(DEPTH + np.maximum(parts[:, 2], 1), size)
+        yield rows(np.repeat(own.view(np.int64), size), np.repeat(size, size), depth, None, tree.take(pa.array(at)), pa.array(rep[at]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, at, hot in runs(batches, 1, limit):
-            size = np.diff(at)
-            keep = np.repeat(size > 1, size)
-            s = np.zeros(t.num_rows, np.int32) if hot else np.repeat(size, size).astype(np.int32)
-            t = t.append_column("size", pa.array(s))
-            yield from (t if hot else t.filter(pa.array(keep))).combine_chunks().to_batches()
+        ends: list[int] = []
+
+        def watched() -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    ends[1:] = [b.column(1)[b.num_rows - 1].as_py()]
+                    if len(ends) == 1:
+                        ends.insert(0, b.column(1)[0].as_py())
+                yield b
+
+        def give(t: pa.Table, at: np.ndarray, hot: bool, last: bool) -> Iterator[pa.RecordBatch]:
+            if hot:
+                yield from large(t)
+                return
+            key, size = t.column("key").to_numpy(), np.diff(at)
+            border = key[at[:-1]] == ends[0]
+            border[-1] |= last
+            keep = np.repeat((size > 1) | border, size)
+            if not keep.any():
+                return
+            size = np.repeat(np.where(border, np.maximum(size, SMALL + 1), size), size)
+            t = t.filter(pa.array(keep))
+            yield rows(key[keep], size[keep], DEPTH, None, _column(t, "tree"), _column(t, "rep"))
+
+        held = None
+        for now in runs(watched(), 1, limit):
+            if held:
+                yield from give(*held, False)
+            held = now
+        if held:
+            yield from give(*held, True)
+            k = sorted(set(ends))
+            none = pa.nulls(len(k), pa.int64())
+            yield rows(np.array(k), -1, DEPTH, None, pa.nulls(len(k), pa.int32()), none)
 
     n = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return entries.repartition(n, "key").sortWithinPartitions("key", "rep").mapInArrow(run, "tree int, key long, rep long, size int")
+    return entries.repartitionByRange(n, "key", "label").sortWithinPartitions("key", "label", "rep").mapInArrow(run, _FOUND)
 
 
-def forest(reps: DataFrame, region_docs: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
-    """Members of bounded regions, candidate pairs (a, b) of those too large,
-    and the members of regions too large at the first depth.
-
-    A region too large goes on at the next depth; its members are also
-    candidates of its smallest and largest id, and where the whole signature
-    is equal, of their neighbours in the order.
-    """
+def forest(reps: DataFrame, region_docs: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members of bounded regions (tree, key, rep, size, depth), pairs of
+    neighbours (a, b) in those too large, and the members of these regions."""
     found = written(_regions(_entries(reps), region_docs), "forest")
-    first = found.where("size = 0").drop("size")
-    parts, pairs = [found.where("size > 0").withColumn("depth", F.lit(DEPTHS[0]))], []
-    for depth in [*DEPTHS[1:], None]:
-        hot = found.where("size = 0").drop("size")
-        if hot.isEmpty():
-            break
-        ends = hot.groupBy("tree", "key").agg(F.min("rep").alias("low"), F.max("rep").alias("high"))
-        pairs.append(hot.join(ends, ["tree", "key"]).select(F.explode(F.array("low", "high")).alias("a"), F.col("rep").alias("b")).where("a <> b"))
-        if depth is None:
-            nxt = F.lead("rep").over(Window.partitionBy("key").orderBy("rep"))
-            pairs.append(hot.select(F.col("rep").alias("a"), nxt.alias("b")).where("b is not null"))
-            break
-        found = written(_regions(_deeper(hot, reps, depth), region_docs), "forest")
-        parts.append(found.where("size > 0").withColumn("depth", F.lit(depth)))
-    return reduce(DataFrame.unionByName, parts), reduce(DataFrame.unionByName, pairs) if pairs else None, first if pairs else None
+    # regions that lie in several partitions; a partition has two borders, which bounds both tables
+    cut = written(found.where("size = -1").groupBy("key").count().where("count > 1").select("key"), "forest-borders")
+    pieces = found.where(f"size >= 0 and depth = {DEPTH}").join(F.broadcast(cut), "key").groupBy("key")
+    large = written(pieces.agg(F.count("*").alias("m"), F.min("size").alias("least")).where((F.col("m") > region_docs) | (F.col("least") == 0)).select("key"), "forest-large")
+    kept = found.where("size > 0")
+    more = kept.where(f"depth = {DEPTH}").join(F.broadcast(large), "key", "left_semi")
+    cols = ["tree", "key", "rep", "size", "depth"]
+    members = kept.join(F.broadcast(large), "key", "left_anti").select(*cols)
+    members = members.unionByName(more.select("tree", F.xxhash64("key", "part").alias("key"), "rep", "size", (F.col("depth") + 1).alias("depth")))
+    first = found.where("size = 0").select("tree", "key", "rep").unionByName(more.select("tree", "key", "rep"))
+    return members, found.where("nxt is not null").select(F.least("rep", "nxt").alias("a"), F.greatest("rep", "nxt").alias("b")), first
 
 
 def _spanning(sig: np.ndarray, n: np.ndarray, least: float, share: float) -> Iterator[tuple[int, int]]:
@@ -394,7 +456,7 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", words: int = 5, per
     sk = written(_sketches(base, words), "sketches")
     same = sk.where("digest is not null and doc_id is not null").groupBy("digest")
     reps = written(same.agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "reps")
-    members, chain, first_depth = forest(reps.select("rep", "sig"), region_docs)
+    members, neighbours, first_depth = forest(reps.select("rep", "sig"), region_docs)
 
     def low_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -403,10 +465,7 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", words: int = 5, per
 
     sig8 = reps.select("rep", "n", "sig").mapInArrow(low_bytes, "rep long, n long, sig8 binary")
     members = written(members.join(sig8, "rep"), "members")
-    first = _candidates(members, least, thr, region_docs)
-    if chain is not None:
-        first = first.unionByName(chain.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
-    first = written(first, "pairs")
+    first = written(_candidates(members, least, thr, region_docs).unionByName(neighbours).distinct(), "pairs")
     ids = first.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     sets = written(_sets(base.join(ids, "doc_id", "left_semi"), words).dropDuplicates(["rep"]), "sets")
     node = written(sk.select("doc_id", "n_shingles", "digest").join(reps.select("digest", "rep"), "digest", "left").drop("digest"), "nodes")
@@ -419,9 +478,9 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", words: int = 5, per
         own = regions.join(comp.withColumnRenamed("node", "rep"), "rep", "left").join(trees, "rep").withColumn("component", F.coalesce("component", "rep"))
         return own.select("key", "rep", "n", "component", "tree", "sig8", "trees")
 
-    large = with_trees(members.where(f"size > {SMALL} and depth = {DEPTHS[0]}"))
+    large = with_trees(members.where(f"size > {SMALL} and depth = {DEPTH}"))
     open_ = _open_members(large, least, thr, region_docs, block_shingles)
-    if first_depth is not None:
+    if not first_depth.isEmpty():
         tiles = written(_region_tiles(first_depth, comp, max(1, region_docs // 2)), "tiles")
         if not tiles.isEmpty():
             wide = with_trees(first_depth.join(tiles.select("key").distinct(), "key", "left_semi").join(sig8, "rep"))

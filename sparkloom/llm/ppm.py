@@ -228,7 +228,7 @@ def score(docs: DataFrame, train: Column, text_col: str = "text", depth: int = 5
         raise ValueError("depth must lie between 1 and 6")
     n = block_count(text_bytes(docs, text_col), BLOCK_BYTES)
     base = docs.select("doc_id", F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.coalesce(train, F.lit(False)).alias("_train"))
-    base = base.withColumn("block", block_of("doc_id", n))
+    base = base.withColumn("block", block_of(n, "doc_id", "_text"))
     counts = written(_counts(base, depth), "ppm-counts")
     words = written(counts.where(f"kind = {WORD}").groupBy("key").agg(F.sum("n").alias("c")), "ppm-words")
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()

@@ -55,6 +55,38 @@ def test_defined_cases(spark):
     assert got == [(2, 0), (2, 0), (30, 29), (30, 29), (30, 30)]
 
 
+def test_one_passage_in_more_blocks_than_a_task_holds_at_once(spark, monkeypatch):
+    """Hot k-mers that come in parts go by one source; lots of blocks are small."""
+    monkeypatch.setattr(debruijn, "block_count", lambda *_: 60)
+    monkeypatch.setattr(debruijn, "LOT", 7)
+    whole = debruijn._repeated
+    monkeypatch.setattr(debruijn, "_repeated", lambda e: whole(e, 5))
+    rng = random.Random(5)
+    hot = [f"h{j}" for j in range(30)]
+    rows = [(i, " ".join([f"a{rng.randrange(9)}" for _ in range(rng.randrange(6))] + hot + [f"b{i}"] * rng.randrange(9))) for i in range(120)]
+    assert run(spark, rows, 8) == brute(rows, 8)
+
+
+def test_nodes_with_several_edges_end_paths(spark):
+    """Passages that fork and join at shared words."""
+    rng = random.Random(6)
+    piece = [[f"q{j}_{x}" for x in range(12)] for j in range(5)]
+    rows = [(i, " ".join(w for _ in range(6) for w in rng.choice(piece))) for i in range(80)]
+    assert run(spark, rows, 5) == brute(rows, 5)
+    assert run(spark, rows, 1) == brute(rows, 1)
+
+
+def test_half_the_ids_are_null(spark):
+    """Texts without an id spread over blocks; each comes after all texts with one."""
+    rng = random.Random(7)
+    texts = [" ".join(f"w{rng.randrange(12)}" for _ in range(40)) for _ in range(60)]
+    df = spark.createDataFrame([(None if i % 2 else i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    with_ids = brute([(i, t) for i, t in enumerate(texts) if i % 2 == 0], 6)
+    got = debruijn.remove_repeats(df, words=6)
+    assert got.where("doc_id is null").count() == 30
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in got.where("doc_id is not null").collect()} == with_ids
+
+
 def test_query(spark, sf):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     want = {i: (n, r, hashlib.sha256(t.encode()).hexdigest()) for i, (n, r, t) in brute(rows, 20).items()}

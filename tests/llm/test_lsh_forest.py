@@ -63,13 +63,70 @@ def test_groups_equal_brute_force(spark, options):
     rows += [(0, " ".join(f"u{rng.randrange(10**6)}" for _ in range(rng.randrange(1, 300)))) for _ in range(60)]
     rng.shuffle(rows)
     rows = [(i * 3 + 1, t) for i, (_, t) in enumerate(rows)]
-    got, want = run(spark, rows, **options), brute(rows, 3, 85)
-    assert [r[:2] for r in got] == [r[:2] for r in want]
-    if "region_docs" in options:  # deeper regions may miss a pair, never make one
-        wrong = [(g, w) for g, w in zip(got, want, strict=True) if g != w]
-        assert len(wrong) <= 0.05 * len(rows)
-    else:
-        assert got == want
+    assert run(spark, rows, **options) == brute(rows, 3, 85)
+
+
+def test_template_of_many_distinct_texts(spark):
+    """1,500 documents of one template, seven edits each, with planted pairs just above the threshold: regions far above region_docs lose no link."""
+    rng = random.Random(12)
+    base = [f"t{i}" for i in range(200)]
+    rows = []
+    while len(rows) < 1500:
+        w = edited(rng, base, 7).split(" ")
+        rows += [" ".join(w), edited(rng, w, 4)] if rng.random() < 0.1 else [" ".join(w)]
+    rows = [(i, t) for i, t in enumerate(rows)]
+    got, want = run(spark, rows, region_docs=64), brute_sets(rows, 3, 85)
+    assert {c for _, _, c in got} == {c for _, _, c in want} and got == want
+
+
+def brute_sets(rows, k, percent):
+    """As brute, by counting shared shingles (for more rows)."""
+    import numpy as np
+
+    sets = [shingles(t, k) for _, t in rows]
+    code = {g: j for j, g in enumerate(sorted(set().union(*sets)))}
+    m = np.zeros((len(rows), len(code)), np.float32)
+    for i, s in enumerate(sets):
+        m[i, [code[g] for g in s]] = 1
+    both, n = m @ m.T, m.sum(axis=1)
+    link = 100 * both >= percent * (n[:, None] + n - both)
+    low = np.arange(len(rows))
+    while True:
+        nxt = np.where(link, low, len(rows)).min(axis=1)
+        if (nxt == low).all():
+            return sorted(((i, len(s), int(low[i])) for i, s in enumerate(sets)), key=str)
+        low = nxt
+
+
+def test_regions_are_divided_by_common_prefixes():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    label = np.unique(rng.integers(0, 3, (3000, 15)).astype(np.uint8), axis=0)
+    label = np.vstack([label, np.full((500, 15), 7, np.uint8)])
+    parts = lsh_forest.divided(label, 40)
+    assert [p[0] for p in parts[1:]] == [p[1] for p in parts[:-1]] and parts[0][0] == 0 and parts[-1][1] == len(label)
+    for a, b, depth in parts:
+        assert b - a <= 40 and (label[a:b, :depth] == label[a, :depth]).all()
+        if 0 < depth < 15:  # one value less would be too many
+            assert (label[:, : depth - 1] == label[a, : depth - 1]).all(axis=1).sum() > 40
+    assert len({d for _, _, d in parts}) > 2  # the depth adapts
+
+
+def test_regions_across_partitions(spark):
+    """Regions that the sorted order cuts at partition borders, small and large ones."""
+    rng, rows = random.Random(21), []
+    for g in range(12):
+        base = [f"g{g}w{i}" for i in range(120)]
+        rows += [edited(rng, base, rng.randrange(4)) for _ in range(12)]
+    rows = [(i, t) for i, t in enumerate(rows)]
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        for limit in (4096, 9):
+            assert run(spark, rows, region_docs=limit) == brute(rows, 3, 85)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
 
 
 def test_defined_cases(spark):
