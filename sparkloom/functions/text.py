@@ -122,6 +122,11 @@ def kilobytes(content: Column) -> Column:
     return F.floor(F.octet_length(content) / 1024).cast("bigint")
 
 
+def new_id() -> Column:
+    """a random UUID for each row; stage the rows before using it twice."""
+    return F.expr("uuid()")
+
+
 def valid_message(s: Column, least: int = 1, most: int = 1000) -> Column:
     """P10: 1 to 1000 characters and not blank."""
     return F.coalesce(F.length(s).between(least, most) & (strip(s) != ""), F.lit(False))

@@ -7,7 +7,9 @@ plumbing, not retrieval quality.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+import time
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import numpy as np
@@ -51,22 +53,28 @@ class TemplateGenerator:
         return f"Based on the context: {user.splitlines()[0] if user else ''}", len((system + " " + user).split())
 
 
-def embed_texts(df: DataFrame, text: str, embedder: Embedder, out: str = "embedding", batch: int = 64) -> DataFrame:
-    """Vectors in batches inside tasks; a failed batch gives nulls, never zero vectors."""
+class Unavailable(Exception):
+    """What an embedder raises when its service fails; anything else is a bug and fails the job."""
 
-    @F.pandas_udf("array<float>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+
+def embed_texts(df: DataFrame, text: str, embedder: Embedder, out: str = "embedding", batch: int = 64, error: str | None = None) -> DataFrame:
+    """Vectors in batches inside tasks; a batch whose service fails
+    gives nulls, never zero vectors, and its error in the column `error` if named."""
+
+    @F.pandas_udf("v array<float>, e string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
             got: list = []
             for k in range(0, len(s), batch):
                 part = s.iloc[k : k + batch].fillna("").tolist()
                 try:
-                    got += embedder.embed(part)
-                except Exception:  # a failing service must not fail the job: the rows stay without a vector
-                    got += [None] * len(part)
-            yield pd.Series(got, index=s.index)
+                    got += [(v, None) for v in embedder.embed(part)]
+                except (Unavailable, OSError, TimeoutError) as e:
+                    got += [(None, f"{embedder.name}: {e}")] * len(part)
+            yield pd.DataFrame(got, columns=["v", "e"])
 
-    return df.withColumn(out, run(F.col(text)))
+    made = df.withColumn("_made", run(F.col(text))).withColumn(out, F.col("_made.v"))
+    return (made.withColumn(error, F.col("_made.e")) if error else made).drop("_made")
 
 
 def cache_split(texts: DataFrame, cache: DataFrame, text: str, model: str) -> tuple[DataFrame, DataFrame]:
@@ -83,24 +91,33 @@ def embed_cached(texts: DataFrame, cache: DataFrame, text: str, embedder: Embedd
     return hits.select(text, "embedding").unionByName(made.select(text, "embedding")), made.where("embedding is not null").select("md5", "model", "embedding")
 
 
-def generate(df: DataFrame, system: str, user: str, providers: list[Generator], on_answer: Callable[[str], None] | None = None) -> DataFrame:
-    """Providers in order, the first success wins; without any the row's answer is null and its error set."""
-    schema = "response string, tokens_used int, provider_used string, error string"
+def generate(df: DataFrame, system: str, user: str, providers: list[Generator], timeout_s: float = 10.0) -> DataFrame:
+    """Providers in order, the first success wins.
+
+    A provider with an empty `key` is left out; one that takes longer than
+    timeout_s or raises has failed. Where all have, the answer is null and
+    error tells why. latency_ms is that of the call that succeeded.
+    """
+    schema = "response string, tokens_used int, provider_used string, latency_ms int, error string"
+    usable = [p for p in providers if not hasattr(p, "key") or p.key]
 
     @F.pandas_udf(schema)
     def run(systems: pd.Series, users: pd.Series) -> pd.DataFrame:
         rows = []
         for s, u in zip(systems.fillna(""), users.fillna(""), strict=True):
             errors = []
-            for p in providers:
+            for p in usable:
+                began, pool = time.perf_counter(), ThreadPoolExecutor(1)
                 try:
-                    text, tokens = p.generate(s, u)
-                    rows.append((text, tokens, p.name, None))
+                    text, tokens = pool.submit(p.generate, s, u).result(timeout=timeout_s)
+                    rows.append((text, tokens, p.name, int((time.perf_counter() - began) * 1000), None))
                     break
                 except Exception as e:
-                    errors.append(f"{p.name}: {e}")
+                    errors.append(f"{p.name}: {e or type(e).__name__}")
+                finally:
+                    pool.shutdown(wait=False)
             else:
-                rows.append((None, None, None, "; ".join(errors) or "no provider"))
-        return pd.DataFrame(rows, columns=["response", "tokens_used", "provider_used", "error"])
+                rows.append((None, None, None, None, "; ".join(errors) or "no provider with a key"))
+        return pd.DataFrame(rows, columns=["response", "tokens_used", "provider_used", "latency_ms", "error"])
 
     return df.withColumn("_g", run(F.col(system), F.col(user))).select("*", "_g.*").drop("_g")

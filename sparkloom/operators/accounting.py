@@ -32,15 +32,40 @@ def session_metrics_exact(log: DataFrame, session: str, order: list[str], cost:
     of any length needs the memory of one batch; its walk is one task's.
     """
     ansi = log.sparkSession.conf.get("spark.sql.ansi.enabled") == "true"
-
-    def step(state: tuple, lat: int | None, c: float | None) -> tuple:
-        n, total, avg = state
-        avg = None if avg is None or lat is None else (avg * n + lat) // (n + 1)
-        return n + 1, None if total is None or c is None else _six_decimals(float(total) + c, ansi), avg
-
     out = S.StructType([S.StructField("question_count", S.LongType()), S.StructField("total_cost", S.DecimalType(10, 6)), S.StructField("avg_latency_ms", S.LongType())])
     values = [F.col(latency).cast("bigint").alias("_l"), F.col(cost).cast("double").alias("_c")]
-    return ordered_fold(log, session, order, values, (0, Decimal(0), 0), step, out)
+    return ordered_fold(log, session, order, values, (0, Decimal(0), 0), lambda state, lat, c: turn(state, lat, c, ansi), out)
+
+
+def turn(state: tuple, lat: int | None, c: float | None, ansi: bool = True) -> tuple:
+    """(questions, cost, mean latency) after one more turn."""
+    n, total, avg = state
+    avg = None if avg is None or lat is None else (avg * n + lat) // (n + 1)
+    return n + 1, None if total is None or c is None else _six_decimals(float(total) + c, ansi), avg
+
+
+def session_rows(log: DataFrame, session: str, order: list[str], tokens: str, cost: str, latency: str, provider: str) -> DataFrame:
+    """K3, A1-A5: a session's row as its turns in order leave it: question_count,
+    total_tokens, total_cost and avg_latency_ms (rounded at every step), and
+    providers_used, the number of turns of each provider (there are few)."""
+    ansi = log.sparkSession.conf.get("spark.sql.ansi.enabled") == "true"
+
+    def step(state: tuple, t: int | None, lat: int | None, c: float | None, p: str | None) -> tuple:
+        n, total, money, avg, used = state
+        n, money, avg = turn((n, money, avg), lat, c, ansi)
+        used = used if p is None else {**used, p: used.get(p, 0) + 1}
+        return n, total + (t or 0), money, avg, used
+
+    names = ("question_count", "total_tokens", "total_cost", "avg_latency_ms", "providers_used")
+    kinds = (S.LongType(), S.LongType(), S.DecimalType(10, 6), S.LongType(), S.MapType(S.StringType(), S.LongType()))
+    values = [F.col(tokens).cast("bigint").alias("_t"), F.col(latency).cast("bigint").alias("_l"), F.col(cost).cast("double").alias("_c"), F.col(provider).cast("string").alias("_p")]
+    out = S.StructType([S.StructField(n, k) for n, k in zip(names, kinds, strict=True)])
+    return ordered_fold(log, session, order, values, (0, 0, Decimal(0), 0, {}), step, out)
+
+
+def json_text(value: Column) -> Column:
+    """an array or map as JSON text, whatever quotes its values hold."""
+    return F.to_json(value)
 
 
 def _six_decimals(x: float, ansi: bool) -> Decimal | None:

@@ -21,7 +21,8 @@ def ordered_fold(rows: DataFrame, key: str, order: list[str], values: list[Colum
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        give = lambda done: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), arrow, strict=True)], schema=arrow)
+        plain = lambda c: [list(v.items()) if isinstance(v, dict) else v for v in c]
+        give = lambda done: pa.RecordBatch.from_arrays([pa.array(plain(c), f.type) for c, f in zip(zip(*done, strict=True), arrow, strict=True)], schema=arrow)
         state, now = None, None
         for b in batches:
             done = []

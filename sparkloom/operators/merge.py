@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -33,10 +34,13 @@ def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder of spark.checkpoint.dir (a temporary one where none is set)."""
+    """A reliable checkpoint in the shared folder of spark.checkpoint.dir (a temporary one where a local session names none)."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base and not spark.conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(base or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
 
 
@@ -83,26 +87,64 @@ def touch(df: DataFrame, col: str = "updated_at") -> DataFrame:
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Write beside the table, then swap, so a failed write leaves the old one.
+    """Write beside the table, then swap, so a failed write leaves the old one."""
+    replace_tables({"": df}, path)
 
-    One writer at a time is assumed.
+
+def replace_tables(tables: dict[str, DataFrame], path: str) -> None:
+    """Several tables below one folder, all written beside it and swapped at once.
+
+    Every rename is checked; where the new folder cannot take its place, the
+    old one gets it back, and the old one goes last. Between the two renames
+    the folder is absent, and one writer at a time is assumed.
     """
-    spark = df.sparkSession
+    spark = next(iter(tables.values())).sparkSession
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    new, old = hadoop(f"{path}.new-{uuid.uuid4().hex}"), hadoop(f"{path}.old-{uuid.uuid4().hex}")
-    fs = new.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    df.write.parquet(new.toString())
-    if fs.exists(hadoop(path)):
-        fs.rename(hadoop(path), old)
-    fs.rename(new, hadoop(path))
-    fs.delete(old, True)
+    new, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
+    for name, df in tables.items():
+        df.write.parquet(f"{new}/{name}" if name else new)
+    swap(hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop(path), hadoop(new), hadoop(old))
+
+
+def swap(fs, path, new, old) -> None:
+    """new takes the place of path; fs has exists, rename (false on failure) and delete."""
+
+    def move(a, b) -> None:
+        if not fs.rename(a, b):
+            raise OSError(f"{a} could not be renamed to {b}")
+
+    there = fs.exists(path)
+    if there:
+        move(path, old)
+    try:
+        move(new, path)
+    except Exception:
+        if there:
+            move(old, path)
+        raise
+    if there:
+        fs.delete(old, True)
+
+
+def append(df: DataFrame, path: str, ddl: str) -> None:
+    """Append rows to the table at path, with its columns in their order; columns that df lacks are null."""
+    fields = T.StructType.fromDDL(ddl)
+    df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields]).write.mode("append").parquet(path)
 
 
 def create_table(spark, name: str, ddl: str) -> None:
-    """A table with an explicit schema."""
+    """A table with an explicit schema (columns may have a DEFAULT)."""
     spark.sql(f"create table if not exists {name} ({ddl}) using parquet")
 
 
+def add_columns(spark, name: str, ddl: str) -> None:
+    """Further columns, with their defaults for the rows that are there; those that exist are left alone."""
+    have = {c.lower() for c in spark.table(name).columns}
+    new = [c.strip() for c in ddl.split(";") if c.strip().split()[0].lower() not in have]
+    if new:
+        spark.sql(f"alter table {name} add columns ({', '.join(new)})")
+
+
 def applied(migrations: DataFrame, filename: str) -> bool:
     """Guard of a migration."""
     return not migrations.where(F.col("filename") == filename).isEmpty()

@@ -19,6 +19,8 @@ from sparkloom.functions import text as T
 from sparkloom.functions import vector as V
 from sparkloom.session import SETTINGS
 
+#: Fixed value: the answer where nothing relevant was found.
+APOLOGY = "Désolé, je n'ai pas trouvé d'information pertinente dans mon CV pour répondre à cette question."
 #: The columns every corpus has, in the order of the union.
 CORPUS = ("type", "id", "child_id", "title", "description", "embedding")
 
@@ -32,14 +34,20 @@ def corpus(df: DataFrame, kind: str, item_id: Column, title: Column, description
 def profile_corpora(experiences: DataFrame, projects: DataFrame, formations: DataFrame, informations: DataFrame, with_projects: bool = False) -> DataFrame:
     """The searched corpora. An experience appears once for each
     of its projects (and once without any), with the same id, title and score.
-    Descriptions keep the null of any part. Projects are searched on request only."""
-    e, p, f, i = experiences.alias("e"), projects.alias("p"), formations.alias("f"), informations.alias("i")
-    ep = e.join(p.select("id", "experience_id", "name", "description").alias("p"), F.col("e.id") == F.col("p.experience_id"), "left").select("e.*", F.col("p.id").alias("pid"), F.col("p.name").alias("pname"), F.col("p.description").alias("pdesc"))
-    c = F.col
+    Descriptions and titles keep the null of any part. Projects are searched on
+    request only."""
+    told = ("objective", "problem", "solution", "results", "impact", "description")
+    p = projects.select("experience_id", F.col("id").alias("project_id"), *[F.col(k).alias(f"p_{k}") for k in told])
+    e = experiences.select("id", "role", "start_date", "end_date", "context", "embedding").join(p, F.col("id") == F.col("experience_id"), "left")
+    c, span = F.col, [T.date_text(F.col("start_date")), " à ", T.date_text(F.col("end_date"))]
+    # The words between the fields.
+    story = [x for k in told for x in (" ", c(f"p_{k}"))]
+    person = ["je suis ", c("prenom"), " ", c("nom"), " avec le prenom prononcé ", c("prononciation"), " né à ", c("pays_naissance"), " le ", T.date_text(c("date_naissance"))]
+    passion = ["Passioné depuis par les sciences dures et les nouvelles technologies, aussi je suis ", c("passion")]
     parts = [
-        corpus(ep, "experience", c("id"), c("role"), T.concat_strict(c("company"), " - ", c("role"), " (", T.date_text(c("start_date")), " - ", T.date_text(c("end_date")), "): ", c("context"), " ", c("pname"), " ", c("pdesc")), c("pid")),
-        corpus(f.select("f.*"), "formation", c("id"), c("degree"), T.concat_strict(c("institution"), " - ", c("degree"), " (", T.date_text(c("start_date")), " - ", T.date_text(c("end_date")), "): ", c("description"))),
-        corpus(i.select("i.*"), "information", c("id"), T.concat_strict(c("prenom"), " ", c("nom")), T.concat_strict(c("prononciation"), " ", T.date_text(c("date_naissance")), " ", c("pays_naissance"), " ", c("location"), " ", c("passion"))),
+        corpus(e, "experience", c("id"), c("role"), T.concat_strict(*span, " description : ", c("context"), *story), c("project_id")),
+        corpus(formations, "formation", c("id"), c("degree"), T.concat_strict(*span, " description ", c("description"))),
+        corpus(informations, "information", c("id"), T.concat_strict(*person), T.concat_strict(*passion)),
     ]
     if with_projects:
         parts.append(corpus(projects, "project", c("id"), c("name"), c("description")))
@@ -85,8 +93,8 @@ def sources(hits: DataFrame, n: int = SETTINGS.sources_shown) -> DataFrame:
 
 
 def chunk_text(chars: int = SETTINGS.context_chars) -> Column:
-    """one chunk of the prompt; a null description is an empty one."""
-    return F.concat(F.lit("["), F.upper("type"), F.lit("] "), F.coalesce(F.col("title"), F.lit("")), F.lit(": "), T.prefix(F.coalesce(F.col("description"), F.lit("")), chars))
+    """one chunk of the prompt, its title on a line of its own; a null title or description is an empty one."""
+    return F.concat(F.lit("["), F.upper("type"), F.lit("] "), F.coalesce(F.col("title"), F.lit("")), F.lit("\n"), T.prefix(F.coalesce(F.col("description"), F.lit("")), chars))
 
 
 def prompt_context(hits: DataFrame, by: list[str] | None = None, chars: int = SETTINGS.context_chars) -> DataFrame:
@@ -101,7 +109,7 @@ def log_chunks(hits: DataFrame, by: list[str]) -> DataFrame:
     return hits.groupBy(*by).agg(F.transform(ordered, lambda x: F.struct(x["id"].alias("id"), x["type"].alias("type"), x["score"].alias("score"))).alias("retrieved_chunks"), F.count("*").alias("nb_chunks_retrieved"))
 
 
-def unanswered(questions: DataFrame, hits: DataFrame, qid: str = "query_id", apology: str = "No relevant information was found.") -> DataFrame:
+def unanswered(questions: DataFrame, hits: DataFrame, qid: str = "query_id", apology: str = APOLOGY) -> DataFrame:
     """Questions without a surviving chunk: fixed answer, provider none, no cost; never logged or counted."""
     left = questions.join(hits.select(qid).distinct(), qid, "left_anti")
     return left.withColumns({"response": F.lit(apology), "provider_used": F.lit("none"), "tokens_used": F.lit(0), "cost": F.lit(0.0)})

@@ -4,38 +4,53 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
 from sparkloom.models import Embedder, Generator, embed_texts, generate
-from sparkloom.operators import accounting, retrieval
+from sparkloom.operators import accounting, merge, retrieval
 from sparkloom.session import SETTINGS, Settings
 
-SYSTEM = "Answer the question from the context alone. Say so if the context does not hold the answer."
+SYSTEM = "Tu es un assistant qui répond aux questions sur un parcours professionnel."
+INSTRUCTIONS = "Réponds en français à partir du contexte seul, dans l'ordre chronologique, et dis-le clairement si la réponse n'y est pas."
 
 
 @dataclass
 class Answers:
+    """answered, log and sessions hold the turns that succeeded; failed those for
+    which every provider failed, with their error; unanswered those without
+    context; rejected the messages that are no valid question."""
+
     answered: DataFrame
+    failed: DataFrame
     unanswered: DataFrame
     rejected: DataFrame
     log: DataFrame
+    sessions: DataFrame
+
+
+def user_prompt(context: Column, question: Column, instructions: str = INSTRUCTIONS) -> Column:
+    """The context first, then the question, then what to heed."""
+    return F.concat(F.lit("Contexte :\n"), context, F.lit("\n\nQuestion : "), question, F.lit(f"\n\n{instructions}"))
 
 
-def answer(questions: DataFrame, corpora: DataFrame, prices: DataFrame, embedder: Embedder, providers: list[Generator], settings: Settings = SETTINGS) -> Answers:
+def answer(questions: DataFrame, corpora: DataFrame, prices: DataFrame, embedder: Embedder, providers: list[Generator], settings: Settings = SETTINGS, system: str = SYSTEM, instructions: str = INSTRUCTIONS) -> Answers:
     """questions: query_id, session_id, query_text, created_at.
 
     Questions without a chunk above the threshold are answered with a fixed
-    text and are neither logged nor counted.
+    text; these, failed and rejected ones are neither logged nor counted (W5).
+    Answers are staged, so that no provider is asked twice.
     """
     ok = questions.where(T.valid_message(F.col("query_text"), settings.min_message, settings.max_message))
     rejected = questions.where(~T.valid_message(F.col("query_text"), settings.min_message, settings.max_message))
     asked = embed_texts(ok, "query_text", embedder, "query_embedding")
     hits = retrieval.relevant(retrieval.search_many(corpora, asked, settings.top_k), settings.threshold)
     chunks = retrieval.log_chunks(hits, ["query_id"]).join(retrieval.prompt_context(hits, ["query_id"], settings.context_chars), "query_id")
-    prompts = ok.join(chunks, "query_id").withColumn("system", F.lit(SYSTEM)).withColumn("user", F.concat(F.lit("Question: "), F.col("query_text"), F.lit("\n\nContext:\n"), F.col("context")))
-    made = generate(prompts, "system", "user", providers).where(F.col("response").isNotNull())
-    made = accounting.with_cost(made, prices, "provider_used", "tokens_used")
-    made = made.withColumns({"embedding_tokens": T.word_count(F.col("query_text")), "retrieval_s": F.lit(0.0), "generation_s": F.lit(0.0)})
-    return Answers(made, retrieval.unanswered(ok, hits), rejected, accounting.query_log(made, settings.embedding_price))
+    prompts = ok.join(chunks, "query_id").withColumn("system", F.lit(system)).withColumn("user", user_prompt(F.col("context"), F.col("query_text"), instructions))
+    turns = merge.staged(generate(prompts, "system", "user", providers, settings.timeout_s))
+    made = accounting.with_cost(turns.where(F.col("response").isNotNull()), prices, "provider_used", "tokens_used")
+    made = made.withColumns({"embedding_tokens": T.word_count(F.col("query_text")), "retrieval_s": F.lit(0.0), "generation_s": F.col("latency_ms") / 1000}).drop("latency_ms")
+    log = accounting.query_log(made, settings.embedding_price)
+    sessions = accounting.session_rows(log.withColumn("tokens", F.col("embedding_tokens") + F.col("llm_tokens")), "session_id", ["created_at", "query_id"], "tokens", "total_cost", "latency_total_ms", "llm_provider")
+    return Answers(made, turns.where(F.col("response").isNull()), retrieval.unanswered(ok, hits), rejected, log, sessions)

@@ -12,7 +12,7 @@ from sparkloom.functions import text as T
 from sparkloom.functions import vector as V
 from sparkloom.operators import accounting, merge, quota, retrieval
 from sparkloom.plans import answering
-from sparkloom.sources import ingest
+from sparkloom.sources import assets, ingest
 from sparkloom.streaming import sessions
 
 HOUR_MS = 3_600_000
@@ -31,33 +31,48 @@ def _six(c: str) -> F.Column:
     return F.round(F.col(c), 6).alias(c)
 
 
-def stand_in_corpora(spark: SparkSession, sf: str) -> DataFrame:
-    """Three corpora over the driver's tables: customers with their orders (a fan-out), documents and nations."""
-    e = _t(spark, sf, "embeddings")
+def stand_in_profile(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """The four profile tables over the driver's: customers with their orders (a fan-out), documents and nations."""
+    e = _t(spark, sf, "embeddings").select("vec_id", "embedding")
     c, o, d, n = (_t(spark, sf, x) for x in ("customer", "orders", "documents", "nation"))
-    vec = lambda lo, hi: e.where(F.col("label").between(lo, hi)).select("vec_id", "embedding")
-    co = vec(0, 3).join(c, F.col("vec_id") == F.col("c_custkey")).join(o, F.col("c_custkey") == F.col("o_custkey"), "left")
-    text = T.concat_strict(F.col("c_mktsegment"), " (", T.date_text(F.col("o_orderdate")), "): ", F.col("o_orderpriority"))
-    exp = retrieval.corpus(co, "experience", F.col("c_custkey"), F.col("c_name"), text, F.col("o_orderkey"))
-    form = retrieval.corpus(vec(4, 6).join(d, F.col("vec_id") == F.col("doc_id")), "formation", F.col("doc_id"), F.col("source"), T.concat_strict(F.col("lang"), ": ", T.prefix(F.col("text"), 40)))
-    info = retrieval.corpus(vec(7, 9).join(n, F.col("vec_id") == F.col("n_nationkey")), "information", F.col("n_nationkey"), F.col("n_name"), F.col("n_name"))
-    return exp.union(form).union(info)
+    day = lambda key, unless=None: F.date_add(F.lit("2001-02-03").cast("date"), (F.col(key) % 1000).cast("int")) if unless is None else F.when(F.col(key) % unless != unless - 1, F.date_add(F.lit("2004-05-06").cast("date"), (F.col(key) % 1000).cast("int")))
+    at = lambda t, key: t.join(e, F.col(key) == F.col("vec_id"))
+    k = F.col
+    return {
+        "experiences": at(c, "c_custkey").select(k("c_custkey").alias("id"), k("c_name").alias("company"), k("c_mktsegment").alias("role"), day("c_custkey").alias("start_date"), day("c_custkey", 7).alias("end_date"), k("c_name").alias("context"), "embedding"),
+        "projects": o.select(
+            k("o_orderkey").alias("id"), k("o_custkey").alias("experience_id"), k("o_orderpriority").alias("name"), k("o_orderpriority").alias("objective"), k("o_orderstatus").alias("problem"), k("o_orderkey").cast("string").alias("solution"),
+            F.when(k("o_orderkey") % 5 != 0, k("o_orderstatus")).alias("results"), k("o_orderpriority").alias("impact"), T.date_text(k("o_orderdate")).alias("description"), F.lit(None).cast("array<float>").alias("embedding"),
+        ),
+        "formations": at(d, "doc_id").select(k("doc_id").alias("id"), k("source").alias("degree"), day("doc_id").alias("start_date"), day("doc_id", 3).alias("end_date"), k("text").alias("description"), "embedding"),
+        "informations": at(n, "n_nationkey").select(k("n_nationkey").alias("id"), k("n_name").alias("nom"), F.lower("n_name").alias("prenom"), k("n_name").alias("prononciation"), day("n_nationkey").alias("date_naissance"), k("n_name").alias("pays_naissance"), k("n_name").alias("passion"), "embedding"),
+    }
+
+
+def stand_in_corpora(spark: SparkSession, sf: str) -> DataFrame:
+    return retrieval.profile_corpora(**stand_in_profile(spark, sf))
 
 
 _COS = "list_inner_product({a}::DOUBLE[], {b}::DOUBLE[]) / (sqrt(list_inner_product({a}::DOUBLE[], {a}::DOUBLE[])) * sqrt(list_inner_product({b}::DOUBLE[], {b}::DOUBLE[])))"
 _CLAMPED = f"greatest(-1.0, least(1.0, {_COS}))"
-_CORPORA = """
+_DAY = "strftime(DATE '{from_}' + ({key} % 1000)::INT, '%Y-%m-%d')"
+_BEGIN, _END = (lambda key: _DAY.format(from_="2001-02-03", key=key)), (lambda key, n: f"(CASE WHEN {key} % {n} <> {n - 1} THEN " + _DAY.format(from_="2004-05-06", key=key) + " END)")
+_CORPORA = f"""
 q AS (SELECT embedding AS qe FROM embeddings WHERE vec_id = 0),
 corp AS (
-  SELECT 'experience' AS type, c_custkey AS id, o_orderkey AS child_id, c_name AS title,
-    c_mktsegment || ' (' || strftime(o_orderdate, '%Y-%m-%d') || '): ' || o_orderpriority AS description, embedding
-  FROM embeddings JOIN customer ON vec_id = c_custkey LEFT JOIN orders ON c_custkey = o_custkey WHERE label BETWEEN 0 AND 3
+  SELECT 'experience' AS type, c_custkey AS id, o_orderkey AS child_id, c_mktsegment AS title,
+    {_BEGIN("c_custkey")} || ' à ' || {_END("c_custkey", 7)} || ' description : ' || c_name || ' ' || o_orderpriority || ' ' || o_orderstatus || ' ' || o_orderkey || ' '
+      || (CASE WHEN o_orderkey % 5 <> 0 THEN o_orderstatus END) || ' ' || o_orderpriority || ' ' || strftime(o_orderdate, '%Y-%m-%d') AS description, embedding
+  FROM embeddings JOIN customer ON vec_id = c_custkey LEFT JOIN orders ON c_custkey = o_custkey
   UNION ALL
-  SELECT 'formation', doc_id, NULL, source, lang || ': ' || substring(text, 1, 40), embedding
-  FROM embeddings JOIN documents ON vec_id = doc_id WHERE label BETWEEN 4 AND 6
+  SELECT 'formation', doc_id, NULL, source, {_BEGIN("doc_id")} || ' à ' || {_END("doc_id", 3)} || ' description ' || text, embedding
+  FROM embeddings JOIN documents ON vec_id = doc_id
   UNION ALL
-  SELECT 'information', n_nationkey, NULL, n_name, n_name, embedding
-  FROM embeddings JOIN nation ON vec_id = n_nationkey WHERE label BETWEEN 7 AND 9),
+  SELECT 'information', n_nationkey, NULL,
+    'je suis ' || lower(n_name) || ' ' || n_name || ' avec le prenom prononcé ' || n_name || ' né à ' || n_name || ' le ' || {_BEGIN("n_nationkey")},
+    'Passioné depuis par les sciences dures et les nouvelles technologies, aussi je suis ' || n_name, embedding
+  FROM embeddings JOIN nation ON vec_id = n_nationkey),
+""" + """
 hits AS (
   SELECT type, id, child_id, title, description, {cos} AS score FROM corp, q WHERE embedding IS NOT NULL
   ORDER BY score DESC NULLS LAST, type, id, child_id NULLS FIRST LIMIT 20),
@@ -82,6 +97,12 @@ def _hits(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.relevant(retrieval.search(stand_in_corpora(spark, sf), _query(spark, sf)))
 
 
+@_register(f"WITH {_CORPORA} SELECT type, id, child_id, title, description FROM corp")
+def profile_corpora(spark, sf):
+    """All rows of the three corpora."""
+    return stand_in_corpora(spark, sf).drop("embedding")
+
+
 @_register(f"WITH {_CORPORA} SELECT type, id, child_id, title, description, round(score, 6) AS score FROM kept")
 def context_search(spark, sf):
     """Flagship."""
@@ -98,7 +119,7 @@ def context_sources_top3(spark, sf):
 
 
 @_register(
-    f"WITH {_CORPORA} SELECT string_agg('[' || upper(type) || '] ' || coalesce(title, '') || ': ' || substring(coalesce(description, ''), 1, 500), chr(10) || chr(10) "
+    f"WITH {_CORPORA} SELECT string_agg('[' || upper(type) || '] ' || coalesce(title, '') || chr(10) || substring(coalesce(description, ''), 1, 500), chr(10) || chr(10) "
     "ORDER BY score DESC, type, id, coalesce(child_id, -1)) AS context, count(*) AS n_chunks FROM kept"
 )
 def prompt_context(spark, sf):
@@ -118,11 +139,11 @@ def vector_topk(spark, sf):
 
 @_register(
     f"SELECT query_id, id, round(score, 6) AS score, rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, {_CLAMPED.format(a='e.embedding', b='q.embedding')} AS score, "
-    f"row_number() OVER (PARTITION BY q.vec_id ORDER BY {_CLAMPED.format(a='e.embedding', b='q.embedding')} DESC, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id < 10) WHERE rank <= 5"
+    f"row_number() OVER (PARTITION BY q.vec_id ORDER BY {_CLAMPED.format(a='e.embedding', b='q.embedding')} DESC, e.vec_id) AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0) WHERE rank <= 5"
 )
 def vector_topk_multi(spark, sf):
-    """J2 O4."""
-    q = _t(spark, sf, "embeddings").where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    """Questions are all vectors whose id is divisible by 100."""
+    q = _t(spark, sf, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
     return retrieval.search_many(_plain_corpus(spark, sf), q, 5).select("query_id", "id", _six("score"), F.col("rank").cast("bigint"))
 
 
@@ -204,7 +225,7 @@ def cost_lookup_default(spark, sf):
 
 @_register("SELECT k AS key, p_partkey, name FROM (SELECT p_partkey, trim(p_name) AS name, lower(trim(p_name)) AS k, row_number() OVER (PARTITION BY lower(trim(p_name)), p_brand ORDER BY p_partkey) AS rn FROM part WHERE trim(p_name) <> '') WHERE rn = 1")
 def skill_dedup_first_wins(spark, sf):
-    """A7 F12 U2."""
+    """A7 F12."""
     s = _t(spark, sf, "part").select("p_partkey", F.col("p_name").alias("name"), F.col("p_brand").alias("category"), F.lit(None).cast("string").alias("proficiency_level"))
     return ingest.unique_skills([s], ["p_partkey"]).select("key", "p_partkey", "name")
 
@@ -221,7 +242,7 @@ def upsert_last_wins(spark, sf):
 
 @_register("SELECT DISTINCT l_orderkey, l_partkey FROM lineitem")
 def insert_ignore_bridge(spark, sf):
-    """K5 J3."""
+    """K5."""
     li = _t(spark, sf, "lineitem").select("l_orderkey", "l_partkey")
     old = li.where("l_orderkey % 2 = 0").distinct()
     return merge.insert_ignore(old, li, ["l_orderkey", "l_partkey"])
@@ -229,7 +250,7 @@ def insert_ignore_bridge(spark, sf):
 
 @_register("SELECT id, l_orderkey, l_linenumber FROM lineitem JOIN (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS id FROM orders) ON o_orderkey = l_orderkey")
 def surrogate_keys(spark, sf):
-    """K6 J4."""
+    """K6."""
     o = merge.surrogate_keys(_t(spark, sf, "orders").select("o_orderkey", "o_orderdate"), ["o_orderdate", "o_orderkey"])
     return _t(spark, sf, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("id", "l_orderkey", "l_linenumber")
 
@@ -254,7 +275,7 @@ def session_metrics_exact_fold(spark, sf):
 
 @_register(f"SELECT user_id, count(*) AS question_count, sum(lat)::BIGINT AS total_tokens, round(sum(cost), 9) AS total_cost, floor(avg(lat))::BIGINT AS avg_latency_ms FROM ({_LOG}) GROUP BY user_id")
 def session_metrics(spark, sf):
-    """A1 A2 A10."""
+    """A1 A2."""
     m = accounting.session_metrics(_log(spark, sf), "user_id", "lat", "cost", "lat")
     return m.withColumn("total_cost", F.round("total_cost", 9))
 
@@ -278,26 +299,26 @@ def chat_transcript(spark, sf):
     return accounting.transcript(p).select(F.col("session_id").alias("conv_id"), F.col("query_id").alias("turn"), "seq", "role", "content", "tokens_used")
 
 
-@_register("SELECT a.conv_id, coalesce(nullif(c.n, 0), 1)::BIGINT AS questions_count, 3 - coalesce(nullif(c.n, 0), 1)::BIGINT AS questions_remaining FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN (SELECT conv_id, count(*) AS n FROM conversations WHERE role = 'user' AND conv_id % 3 <> 0 GROUP BY conv_id) c USING (conv_id)")
+@_register("SELECT conv_id, coalesce(nullif(count(*) FILTER (WHERE role = 'user'), 0), 1)::BIGINT AS questions_count, 3 - coalesce(nullif(count(*) FILTER (WHERE role = 'user'), 0), 1)::BIGINT AS questions_remaining FROM conversations GROUP BY conv_id")
 def question_count_default(spark, sf):
     """S5 P11."""
     c = _t(spark, sf, "conversations")
-    counted = c.where("role = 'user' and conv_id % 3 <> 0").groupBy("conv_id").agg(F.count("*").alias("question_count"))
+    counted = c.where("role = 'user'").groupBy("conv_id").agg(F.count("*").alias("question_count"))
     out = accounting.question_count(counted, c, "conv_id")
     return out.withColumn("questions_remaining", accounting.remaining(F.col("questions_count")))
 
 
 @_register(
-    "WITH q AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id < 50), e AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id >= 50), "
-    f"h AS (SELECT DISTINCT query_id FROM q, e WHERE {_CLAMPED.format(a='e.embedding', b='q.embedding')} >= 0.9) "
-    "SELECT query_id, 'No relevant information was found.' AS response, 'none' AS provider_used, 0 AS tokens_used, 0.0::DOUBLE AS cost FROM q WHERE query_id NOT IN (SELECT query_id FROM h)"
+    f"SELECT vec_id AS query_id, '{retrieval.APOLOGY.replace("'", "''")}' AS response, 'none' AS provider_used, 0 AS tokens_used, 0.0::DOUBLE AS cost FROM embeddings q WHERE vec_id % 100 = 0 "
+    f"AND NOT EXISTS (SELECT 1 FROM embeddings e WHERE e.vec_id <> q.vec_id AND {_CLAMPED.format(a='e.embedding', b='q.embedding')} >= 0.9)"
 )
 def no_context_branch(spark, sf):
-    """P6 T16."""
+    """Questions are all vectors whose id is divisible by 100, each against all others."""
     e = _t(spark, sf, "embeddings")
-    q = e.where("vec_id < 50").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
-    hits = retrieval.relevant(retrieval.search_many(retrieval.corpus(e.where("vec_id >= 50"), "v", F.col("vec_id"), F.lit(""), F.lit("")), q, 1), 0.9)
-    return retrieval.unanswered(q, hits).drop("query_embedding")
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    # of the two best at least one is another vector
+    best = retrieval.search_many(retrieval.corpus(e, "v", F.col("vec_id"), F.lit(""), F.lit("")), q, 2).where("id <> query_id")
+    return retrieval.unanswered(q, retrieval.relevant(best, 0.9)).drop("query_embedding")
 
 
 @_register("SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations WHERE role = 'user') WHERE rn <= 3")
@@ -316,7 +337,7 @@ def quota_first3(spark, sf):
     "SELECT user_id, asked, blocked, sessions, cnt AS open_count FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY rn DESC) AS r FROM f) WHERE r = 1"
 )
 def quota_cooldown_fold(spark, sf):
-    """W2 W3 with a cooldown of a day."""
+    """W2 with a cooldown of a day."""
     e = _t(spark, sf, "events").select("user_id", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
     return quota.quota_fold(e, "user_id", "ms", "event_id", 3, 24 * HOUR_MS)
 
@@ -349,7 +370,7 @@ def exists_and_count_guard(spark, sf):
 
 @_register("SELECT * FROM orders WHERE o_orderkey = 7")
 def point_lookup(spark, sf):
-    """S4 S7 O3."""
+    """S4 P7."""
     return _t(spark, sf, "orders").where("o_orderkey = 7")
 
 
@@ -390,3 +411,161 @@ def answered_questions(spark, sf):
     corpus = retrieval.corpus(embed_texts(d, "text", HashEmbedder()), "formation", F.col("doc_id"), F.col("source"), F.col("text"))
     prices = spark.createDataFrame([("template", 0.3)], "model string, price double")
     return answering.answer(q, corpus, prices, HashEmbedder(), [TemplateGenerator()]).log
+
+
+# ---- texts that are embedded, over stand-ins with nulls and empty values
+
+_MAYBE = {"a": "CASE WHEN p_partkey % 3 <> 0 THEN p_name END", "b": "CASE WHEN p_partkey % 4 <> 0 THEN p_brand WHEN p_partkey % 8 = 0 THEN '' END", "c": "CASE WHEN p_partkey % 5 <> 0 THEN p_type END", "d": "CASE WHEN p_partkey % 7 <> 0 THEN 'd' || p_size END"}
+
+
+def _parts(spark, sf, **cols: str) -> DataFrame:
+    return _t(spark, sf, "part").select("p_partkey", *[F.expr(_MAYBE[v]).alias(k) for k, v in cols.items()])
+
+
+_OR = lambda x: f"coalesce({x}, '')"
+_P = "(SELECT p_partkey, " + ", ".join(f"{v} AS {k}" for k, v in _MAYBE.items()) + " FROM part)"
+_JOINED = lambda *parts: f"array_to_string(list_filter([{', '.join(parts)}], lambda x: x IS NOT NULL AND x <> ''), ' | ')"
+
+
+@_register(f"""SELECT p_partkey, {_JOINED("'Je suis ' || coalesce(a, '') || ' ' || coalesce(b, '') || ', avec mon prénom qui se prononce ' || coalesce(c, 'None') || ' '", "'Je suis née à ' || coalesce(d, 'None') || ' le ' || coalesce(a, 'None')", "'Je suis arrivé en ' || coalesce(b, 'None') || ' en 2015'", "'En plus de ma grande passion pour l''informatique, je suis également ' || coalesce(c, 'None')")} AS text FROM {_P}""")
+def text_information(spark, sf):
+    """F4."""
+    return _parts(spark, sf, prenom="a", nom="b", prononciation="c", pays_naissance="d", date_naissance="a", location="b", passion="c").select("p_partkey", ingest.information_text().alias("text"))
+
+
+@_register(
+    f"""SELECT p_partkey, {_JOINED("'Date : ' || coalesce(a, '') || ' à ' || coalesce(b, '')", "'Entreprise : ' || coalesce(c, '') || ', ' || coalesce(d, 'None')", "'Rôle : ' || coalesce(a, '')", "'Type : ' || coalesce(b, '')", "c", "CASE WHEN p_partkey % 2 = 0 THEN a END", "CASE WHEN p_partkey % 2 = 0 THEN b END", "CASE WHEN p_partkey % 2 = 0 THEN c END", "CASE WHEN p_partkey % 2 = 0 THEN d END", "CASE WHEN p_partkey % 2 = 0 THEN b END", "'Technologies : ' || CASE WHEN p_partkey % 6 <> 0 THEN d || ', x' ELSE '' END")} AS text """
+    f"FROM (SELECT p_partkey, a, b, c, coalesce(d, '') AS e, d FROM {_P})".replace("d || ', x' ELSE ''", "e || ', x' ELSE ''")
+)
+def text_experience(spark, sf):
+    """With a first project for every second row."""
+    p = _parts(spark, sf, start_date="a", end_date="b", company="c", location="d", role="a", mission_type="b", context="c", objective="a", problem="b", solution="c", results="d", impact="b")
+    first = F.struct(*["objective", "problem", "solution", "results", "impact"])
+    even, sixth = F.col("p_partkey") % 2 == 0, F.col("p_partkey") % 6 != 0
+    p = p.withColumn("projects", F.when(even, F.array(first, first)).when(F.col("p_partkey") % 3 == 0, F.array().cast("array<struct<objective:string,problem:string,solution:string,results:string,impact:string>>")))
+    p = p.withColumn("technologies", F.when(sixth, F.array(F.coalesce("location", F.lit("")), F.lit("x"))))
+    return p.select("p_partkey", ingest.experience_text().alias("text"))
+
+
+@_register(f"""SELECT p_partkey, {_JOINED("'Projet : ' || coalesce(a, '')", "'Date : ' || coalesce(b, '') || ' à ' || coalesce(c, '')", "d", "'Objectif : ' || coalesce(a, '')", "'Problème : ' || coalesce(b, '')", "'Solution : ' || coalesce(c, '')", "'Résultats : ' || coalesce(d, '')", "'Impact : ' || coalesce(a, '')", "'Stack : ' || coalesce(b, '')")} AS text FROM {_P}""")
+def text_project(spark, sf):
+    """F4."""
+    return _parts(spark, sf, name="a", start_date="b", end_date="c", description="d", objective="a", problem="b", solution="c", results="d", impact="a", stack="b").select("p_partkey", ingest.project_text().alias("text"))
+
+
+@_register(f"""SELECT p_partkey, {_JOINED("coalesce(a, '') || ' à ' || coalesce(b, '')", "'Date : ' || coalesce(c, '') || ' à ' || coalesce(d, '')", "'Domaine : ' || coalesce(a, '')", "b", "'Apprentissages clés : ' || coalesce(c, '')")} AS text FROM {_P}""")
+def text_formation(spark, sf):
+    """F4."""
+    return _parts(spark, sf, degree="a", institution="b", start_date="c", end_date="d", field="a", description="b", key_learnings="c").select("p_partkey", ingest.formation_text().alias("text"))
+
+
+# ---- operators that had no query of their own
+
+_MAP = "(SELECT user_id, string_agg(event_type || ':' || n, ',' ORDER BY event_type) AS providers FROM (SELECT user_id, event_type, count(*) AS n FROM {src} GROUP BY ALL) GROUP BY user_id)"
+_AS_TEXT = lambda m: F.array_join(F.array_sort(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string")))), ",")
+
+
+@_register(f"SELECT user_id, providers FROM {_MAP.format(src='events')}")
+def provider_map(spark, sf):
+    """A5 as a map (shown as text)."""
+    m = accounting.provider_map(_t(spark, sf, "events"), "user_id", "event_type")
+    return m.select("user_id", _AS_TEXT(F.col("providers_used")).alias("providers"))
+
+
+@_register(
+    f"WITH RECURSIVE l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM ({_LOG})), "
+    "f AS (SELECT user_id, 1::BIGINT AS n, lat AS tokens, lat AS avg, round(cost, 6)::DECIMAL(10,6) AS cost FROM l WHERE rn = 1 UNION ALL "
+    "SELECT f.user_id, f.n + 1, f.tokens + l.lat, (f.avg * f.n + l.lat) // (f.n + 1), (f.cost::DOUBLE + l.cost)::DECIMAL(10,6) FROM f JOIN l ON l.user_id = f.user_id AND l.rn = f.n + 1) "
+    f"SELECT user_id, n AS question_count, tokens::BIGINT AS total_tokens, cost::DOUBLE AS total_cost, avg AS avg_latency_ms, providers FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC) AS r FROM f) "
+    f"JOIN {_MAP.format(src='(SELECT * FROM events WHERE value IS NOT NULL)')} USING (user_id) WHERE r = 1"
+)
+def chat_session_rows(spark, sf):
+    """K3 A1-A5: the whole session row, rounded at every step."""
+    r = accounting.session_rows(_log(spark, sf), "user_id", ["ts", "event_id"], "lat", "cost", "lat", "event_type")
+    return r.select("user_id", "question_count", "total_tokens", F.col("total_cost").cast("double"), "avg_latency_ms", _AS_TEXT(F.col("providers_used")).alias("providers"))
+
+
+@_register(f"WITH {_CORPORA} SELECT string_agg(type || '-' || id || '-' || round(score, 6)::DECIMAL(8,6), ' ' ORDER BY score DESC, type, id) AS chunks, count(*) AS nb_chunks_retrieved FROM kept")
+def logged_chunks(spark, sf):
+    """What the log keeps of the chunks."""
+    got = retrieval.log_chunks(_hits(spark, sf), [])
+    text = F.array_join(F.transform("retrieved_chunks", lambda c: F.concat(c["type"], F.lit("-"), c["id"].cast("string"), F.lit("-"), c["score"].cast("decimal(8,6)").cast("string"))), " ")
+    return got.select(text.alias("chunks"), F.col("nb_chunks_retrieved"))
+
+
+_TURNS = "SELECT event_id, user_id, abs(value) / 7 AS r, abs(value) / 3 AS g, floor(abs(value))::INT AS tokens FROM events WHERE value IS NOT NULL"
+
+
+@_register(f"SELECT event_id, trunc(r * 1000)::INT AS latency_retrieval_ms, trunc(g * 1000)::INT AS latency_generation_ms, (trunc(r * 1000) + trunc(g * 1000))::INT AS latency_total_ms, (tokens * 0.13 / 1e6)::DECIMAL(10,6)::DOUBLE AS embedding_cost, (tokens * 0.13 / 1e6 + g / 1000)::DECIMAL(10,6)::DOUBLE AS total_cost FROM ({_TURNS})")
+def query_log_rows(spark, sf):
+    """Latencies truncated to milliseconds, costs to six decimals."""
+    e = _t(spark, sf, "events").where("value is not null")
+    v = F.abs("value")
+    turns = e.select(
+        F.col("event_id").alias("query_id"), F.col("user_id").alias("session_id"), F.lit("").alias("query_text"), F.array().cast("array<string>").alias("retrieved_chunks"), F.col("ts").alias("created_at"), F.lit("p").alias("provider_used"),
+        F.floor(v).cast("int").alias("embedding_tokens"), F.lit(0).alias("tokens_used"), (v / 3 / 1000).alias("cost"), (v / 7).alias("retrieval_s"), (v / 3).alias("generation_s"),
+    )
+    log = accounting.query_log(turns, 0.13)
+    return log.select(F.col("query_id").alias("event_id"), "latency_retrieval_ms", "latency_generation_ms", "latency_total_ms", F.col("embedding_cost").cast("double"), F.col("total_cost").cast("double"))
+
+
+@_register("SELECT DISTINCT p_partkey AS owner, s_suppkey AS skill_id FROM part JOIN supplier ON lower('SUPPLIER#' || lpad((p_partkey % 150)::VARCHAR, 9, '0')) = lower(trim(s_name))")
+def skill_links(spark, sf):
+    """Look-up by normalised name; names that match nothing vanish."""
+    owners = _t(spark, sf, "part").select(F.col("p_partkey").alias("owner"), F.concat(F.lit(" SUPPLIER#"), F.lpad((F.col("p_partkey") % 150).cast("string"), 9, "0"), F.lit(" ")).alias("name"))
+    skills = _t(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    return ingest.link_skills(owners, skills, "owner")
+
+
+@_register("SELECT o_orderkey AS exp_idx, i - 1 AS pos, w[i] AS name FROM (SELECT o_orderkey, string_split(o_orderpriority, '-') AS w, unnest(range(1, len(string_split(o_orderpriority, '-')) + 1)) AS i FROM orders)")
+def nested_projects(spark, sf):
+    """Nested records with their parent's and their own ordinal."""
+    o = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("exp_idx"), F.transform(F.split("o_orderpriority", "-"), lambda x: F.struct(x.alias("name"))).alias("projects"))
+    return ingest.child_projects(o).select("exp_idx", F.col("pos").cast("bigint"), "name")
+
+
+@_register("SELECT name FROM (SELECT name, row_number() OVER (PARTITION BY lower(trim(name)) ORDER BY src, id) AS rn FROM (SELECT 0 AS src, n_nationkey AS id, n_name AS name FROM nation UNION ALL SELECT 1, r_regionkey, lower(r_name) FROM region UNION ALL SELECT 2, n_nationkey, lower(n_name) FROM nation)) WHERE rn = 1")
+def skill_sources(spark, sf):
+    """Several sources one after the other, of equal names the first."""
+    rows = lambda t, k, name: _t(spark, sf, t).select(F.col(k).alias("id"), name.alias("name"), F.lit(None).cast("string").alias("category"), F.lit("").alias("proficiency_level"))
+    found = ingest.unique_skills([rows("nation", "n_nationkey", F.col("n_name")), rows("region", "r_regionkey", F.lower("r_name")), rows("nation", "n_nationkey", F.lower("n_name"))], ["id"])
+    return found.select("name")
+
+
+@_register("SELECT vec_id, list_sum(list_transform(embedding, lambda x: round(x::DOUBLE, 2)::FLOAT::DOUBLE))::DECIMAL(18,4)::DOUBLE AS total FROM embeddings WHERE embedding IS NOT NULL")
+def rounded_vectors(spark, sf):
+    """F13."""
+    v = T.vector_rounded(F.col("embedding"), 2)
+    total = F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return _t(spark, sf, "embeddings").where("embedding is not null").select("vec_id", total.cast("decimal(18,4)").cast("double").alias("total"))
+
+
+@_register(
+    "SELECT p_partkey, len(list_filter(string_split(p_type, ' '), lambda x: nullif(x, '') IS NOT NULL))::BIGINT AS items, regexp_extract('/a/' || p_name || '/' || p_brand, '[^/]+$') AS base, "
+    "coalesce(nullif(CASE WHEN p_size < 10 THEN '' WHEN p_size > 40 THEN NULL ELSE p_type END, ''), 'Autres') AS kind, (octet_length(encode(repeat(p_type, p_size * 5))) // 1024)::BIGINT AS kb FROM part"
+)
+def small_functions(spark, sf):
+    """F15 F26 F27 F28."""
+    c = F.col
+    items = F.size(F.filter(T.blank_items_null(F.split("p_type", " ")), lambda x: x.isNotNull())).cast("bigint")
+    kind = T.falsy_default(F.when(c("p_size") < 10, F.lit("")).when(c("p_size") <= 40, c("p_type")), "Autres")
+    return _t(spark, sf, "part").select("p_partkey", items.alias("items"), T.basename(F.concat(F.lit("/a/"), "p_name", F.lit("/"), "p_brand")).alias("base"), kind.alias("kind"), T.kilobytes(F.encode(F.repeat("p_type", c("p_size") * 5), "UTF-8")).alias("kb"))
+
+
+@_register("SELECT event_id, CASE WHEN event_id % 5 >= 3 THEN greatest(0, 86400000 - event_id * 7919)::BIGINT END AS remaining_ms FROM events")
+def cooldown_left(spark, sf):
+    """What is left of a day's cooldown."""
+    return _t(spark, sf, "events").select("event_id", quota.remaining_ms((F.col("event_id") % 5), F.lit(0).cast("bigint"), F.col("event_id") * 7919, 3, 24 * HOUR_MS).alias("remaining_ms"))
+
+
+@_register("SELECT url AS filename, page_id AS page_number FROM pages WHERE page_id = 7 ORDER BY url LIMIT 1")
+def page_lookup(spark, sf):
+    """One page by number."""
+    p = _t(spark, sf, "pages").select(F.col("url").alias("filename"), F.col("page_id").alias("page_number"))
+    return assets.page(p, 7)
+
+
+@_register("SELECT url AS filename FROM pages ORDER BY page_id LIMIT 1")
+def first_file(spark, sf):
+    """One file, the first by id."""
+    return assets.first_file(_t(spark, sf, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("filename"))).select("filename")

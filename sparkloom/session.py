@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import os
+from collections.abc import Mapping
+from dataclasses import dataclass, fields
 
 from pyspark.sql import SparkSession
 
@@ -20,6 +22,19 @@ class Settings:
     embedding_price: float = 0.13  # per million tokens
     min_message: int = 1
     max_message: int = 1000
+    timeout_s: float = 10.0  # of a provider
+
+    @classmethod
+    def from_env(cls, path: str | None = None, env: Mapping[str, str] = os.environ) -> Settings:
+        """Values named like the fields (in any case), from a file of NAME=value lines and from the environment, which wins."""
+        found: dict[str, str] = {}
+        if path and os.path.exists(path):
+            with open(path, encoding="utf-8") as f:
+                lines = (x.strip() for x in f)
+                found |= dict((k.strip().lower(), v.strip().strip("'\"")) for k, _, v in (x.partition("=") for x in lines if "=" in x and not x.startswith("#")))
+        found |= {k.lower(): v for k, v in env.items()}
+        kinds = {f.name: type(f.default) for f in fields(cls)}
+        return cls(**{k: kind(found[k]) for k, kind in kinds.items() if k in found})
 
 
 SETTINGS = Settings()

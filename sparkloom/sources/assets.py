@@ -8,7 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom import schemas
 from sparkloom.functions import text as T
+from sparkloom.operators import merge
 
 PAGES = "filename string, page_number int, image_data binary, width int, height int"
 Renderer = Callable[[bytes], list[tuple[bytes, int, int]]]
@@ -21,8 +23,16 @@ def read_files(spark: SparkSession, path: str, content_type: str = "application/
 
 
 def first_file(files: DataFrame) -> DataFrame:
-    """One file, the first by name."""
-    return files.orderBy("filename").limit(1)
+    """One file: the first by id where the table has ids, else by name."""
+    return files.orderBy("id" if "id" in files.columns else "filename").limit(1)
+
+
+def store(files: DataFrame, renderer: Renderer, folder: str, first_id: int = 1) -> None:
+    """Append files and their rendered pages to the tables cv_files and cv_pages below folder."""
+    made = merge.surrogate_keys(files, ["filename"], "id", first_id)
+    merge.append(made, f"{folder}/cv_files", schemas.CV_FILES)
+    pages = merge.surrogate_keys(render_pages(made, renderer), ["filename", "page_number"], "id", first_id)
+    merge.append(pages.withColumn("created_at", F.current_timestamp()), f"{folder}/cv_pages", schemas.CV_PAGES)
 
 
 def render_pages(files: DataFrame, renderer: Renderer) -> DataFrame:

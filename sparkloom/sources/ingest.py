@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -12,36 +13,92 @@ from sparkloom.functions import text as T
 from sparkloom.operators import merge
 
 
-def load_json(spark: SparkSession, path: str, schema: str, encoding: str = "UTF-8") -> DataFrame:
-    """A JSON array as rows; a missing file is an empty table."""
+def sniff_encoding(spark: SparkSession, path: str, head: int = 10_000) -> str:
+    """The encoding of a file by its first bytes: a byte order mark, else UTF-8 where they are valid, else Latin-1."""
+    data = bytes(spark.read.format("binaryFile").load(path).select(F.substring("content", 1, head)).first()[0])
+    for mark, name in ((b"\xef\xbb\xbf", "UTF-8"), (b"\xff\xfe", "UTF-16LE"), (b"\xfe\xff", "UTF-16BE")):
+        if data.startswith(mark):
+            return name
     try:
-        return spark.read.schema(schema).option("multiLine", True).option("encoding", encoding).json(path)
+        codecs.getincrementaldecoder("utf-8")().decode(data)  # a character may be cut at the end
+    except UnicodeDecodeError:
+        return "ISO-8859-1"
+    return "UTF-8"
+
+
+def load_json(spark: SparkSession, path: str, schema: str, encoding: str | None = None) -> DataFrame:
+    """A JSON array as rows; a missing file is an empty table.
+
+    Without an encoding the file's first bytes tell it; bytes that do not
+    decode are replaced.
+    """
+    try:
+        return spark.read.schema(schema).option("multiLine", True).option("encoding", encoding or sniff_encoding(spark, path)).json(path)
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
             return spark.createDataFrame([], schema)
         raise
 
 
-def information_text(arrival: Column | None = None) -> Column:
+def _line(*parts: Column | str, none: str = "") -> Column:
+    """Text and values one after the other; a null value shows as `none`."""
+    return F.concat(*[F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit(none)) for p in parts])
+
+
+def _paragraph(parts: list[Column], default: str) -> Column:
+    return T.falsy_default(T.join_parts(parts), default)
+
+
+# The labels, the order and the defaults of the four texts that are embedded.
+# Fields that have no default of their own show a null as `none`; all others as nothing.
+
+
+def information_text(year: str | Column = "2015", none: str = "None") -> Column:
+    """what a person says of themselves; year is that of the arrival."""
     c = F.col
-    parts = [T.labelled("Nom", F.concat_ws(" ", "prenom", "nom")), T.labelled("Prononciation", c("prononciation")), T.labelled("Date de naissance", c("date_naissance")), T.labelled("Pays de naissance", c("pays_naissance")), T.labelled("Lieu", c("location")), T.labelled("Passion", c("passion"))]
-    return T.join_parts(parts + ([T.labelled("Arrivée", arrival)] if arrival is not None else []))
+    parts = [
+        F.concat(_line("Je suis ", c("prenom"), " ", c("nom")), _line(", avec mon prénom qui se prononce ", c("prononciation"), " ", none=none)),
+        _line("Je suis née à ", c("pays_naissance"), " le ", c("date_naissance"), none=none),
+        F.concat(_line("Je suis arrivé en ", c("location"), none=none), _line(" en ", year)),
+        _line("En plus de ma grande passion pour l'informatique, je suis également ", c("passion"), none=none),
+    ]
+    return _paragraph(parts, "Informations sociales")
 
 
-def experience_text() -> Column:
-    """With the first project's name and description, if there is one."""
+def experience_text(none: str = "None") -> Column:
+    """With the goal, problem, solution, results and impact of the first project, if there is one."""
     c, first = F.col, F.get(F.col("projects"), 0)
-    return T.join_parts([T.labelled("Entreprise", c("company")), T.labelled("Rôle", c("role")), T.labelled("Contexte", c("context")), T.labelled("Projet", first["name"]), T.labelled("Description", first["description"]), T.labelled("Technologies", T.array_text(c("technologies")))])
+    parts = [
+        _line("Date : ", c("start_date"), " à ", c("end_date")),
+        F.concat(_line("Entreprise : ", c("company")), _line(", ", c("location"), none=none)),
+        _line("Rôle : ", c("role")),
+        _line("Type : ", c("mission_type")),
+        c("context"),
+        *[first[k] for k in ("objective", "problem", "solution", "results", "impact")],
+        _line("Technologies : ", T.array_text(c("technologies"))),
+    ]
+    return _paragraph(parts, "Expérience professionnelle")
 
 
 def project_text() -> Column:
+    """F4."""
     c = F.col
-    return T.join_parts([T.labelled("Projet", c("name")), T.labelled("Description", c("description")), T.labelled("Objectif", c("objective")), T.labelled("Problème", c("problem")), T.labelled("Solution", c("solution")), T.labelled("Résultats", c("results")), T.labelled("Impact", c("impact")), T.labelled("Stack", c("stack"))])
+    labels = (("Objectif", "objective"), ("Problème", "problem"), ("Solution", "solution"), ("Résultats", "results"), ("Impact", "impact"), ("Stack", "stack"))
+    parts = [_line("Projet : ", c("name")), _line("Date : ", c("start_date"), " à ", c("end_date")), c("description"), *[_line(f"{label} : ", c(k)) for label, k in labels]]
+    return _paragraph(parts, "Projet")
 
 
 def formation_text() -> Column:
+    """F4."""
     c = F.col
-    return T.join_parts([T.labelled("Diplôme", c("degree")), T.labelled("Établissement", c("institution")), T.labelled("Domaine", c("field")), T.labelled("Description", c("description")), T.labelled("Apprentissages", c("key_learnings"))])
+    parts = [
+        _line(c("degree"), " à ", c("institution")),
+        _line("Date : ", c("start_date"), " à ", c("end_date")),
+        _line("Domaine : ", c("field")),
+        c("description"),
+        _line("Apprentissages clés : ", c("key_learnings")),
+    ]
+    return _paragraph(parts, "Formation")
 
 
 def numbered(df: DataFrame, out: str = "exp_idx") -> DataFrame:
@@ -54,6 +111,17 @@ def child_projects(experiences: DataFrame) -> DataFrame:
     return experiences.select("exp_idx", F.posexplode("projects").alias("pos", "p")).select("exp_idx", "pos", "p.*")
 
 
+def load_skills(spark: SparkSession, path: str) -> DataFrame:
+    """(i, raw): the items of a JSON array that mixes names and objects, as raw JSON in their order."""
+    try:
+        whole = spark.read.option("wholetext", True).text(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "i int, raw string")
+    return whole.select(F.posexplode(F.from_json("value", "array<string>")).alias("i", "raw"))
+
+
 def skill_rows(items: DataFrame, raw: str, seq: list[str], bare_category: str = "Programmation") -> DataFrame:
     """Skills from raw JSON: an object gives name, category and level, a bare string its name."""
     o = F.from_json(F.col(raw), "name string, category string, proficiency_level string")

@@ -2,45 +2,45 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
-from decimal import ROUND_HALF_UP, Decimal
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from sparkloom.operators import accounting
 from sparkloom.operators import quota as Q
 from sparkloom.session import SETTINGS
 
-METRICS = "session_id long, question_count long, total_cost decimal(10,6), avg_latency_ms long"
-SIX = Decimal("0.000001")
-
-
-def fold_metrics(state: tuple[int, int, str], rows: pd.DataFrame) -> tuple[int, int, str]:
-    """A3, A4 over rows in order: the mean floors, the cost is rounded at every step."""
-    n, avg, cost = state
-    for lat, c in zip(rows["latency"].tolist(), rows["cost"].tolist(), strict=True):
-        avg = (avg * n + int(lat)) // (n + 1)
-        n += 1
-        cost = str(Decimal(repr(float(cost) + c)).quantize(SIX, ROUND_HALF_UP))
-    return n, avg, cost
+METRICS = "session_id long, question_count long, total_tokens long, total_cost decimal(10,6), avg_latency_ms long, providers_used map<string,bigint>"
 
 
 def session_metrics_stream(turns: DataFrame) -> DataFrame:
-    """Turns (session_id, ts, event_id, latency, cost) -> running metrics, update mode.
+    """Turns (session_id, ts, event_id, tokens, latency, cost, provider) -> the running session row, update mode.
 
     A micro-batch's turns are sorted before they are folded, so one batch and
-    the batch operator agree; turns must not arrive later than their successors.
+    the batch operator agree; turns must not arrive later than their
+    successors. A session's rows of one micro-batch are held together (bound
+    them by the source's maxFilesPerTrigger or the like); its state is a few
+    numbers, kept for good since a session never closes.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"], kind="stable")
-        s = fold_metrics(tuple(state.get) if state.exists else (0, 0, "0"), rows)
-        state.update(s)
-        yield pd.DataFrame({"session_id": [key[0]], "question_count": [s[0]], "total_cost": [Decimal(s[2])], "avg_latency_ms": [s[1]]})
-
-    return turns.groupBy("session_id").applyInPandasWithState(run, METRICS, "n long, avg long, cost string", "update", GroupStateTimeout.NoTimeout)
+        n, tokens, avg, cost, used = tuple(state.get) if state.exists else (0, 0, 0, "0", "{}")
+        money, used = Decimal(cost), json.loads(used)
+        for t, lat, c, p in zip(rows["tokens"].tolist(), rows["latency"].tolist(), rows["cost"].tolist(), rows["provider"].tolist(), strict=True):
+            n, money, avg = accounting.turn((n, money, avg), int(lat), c)
+            tokens += int(t)
+            if p is not None:
+                used[p] = used.get(p, 0) + 1
+        state.update((n, tokens, avg, str(money), json.dumps(used)))
+        yield pd.DataFrame({"session_id": [key[0]], "question_count": [n], "total_tokens": [tokens], "total_cost": [money], "avg_latency_ms": [avg], "providers_used": [used]})
+
+    return turns.groupBy("session_id").applyInPandasWithState(run, METRICS, "n long, tokens long, avg long, cost string, used string", "update", GroupStateTimeout.NoTimeout)
 
 
 def quota_stream(turns: DataFrame, quota: int = SETTINGS.quota, cooldown_ms: int = SETTINGS.cooldown_ms) -> DataFrame:
