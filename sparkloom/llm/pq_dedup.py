@@ -9,8 +9,8 @@
 3. A vector probes the lists whose border with its own list it is near: a
    neighbour within the radius r of the threshold can only lie beyond a border
    closer than r, and a displacement without a preferred direction crosses
-   one at ``probe_sd`` * r / sqrt(dim) or more with small probability (0.003 %
-   at 4 for a pair just at the threshold). Of two lists the higher one's
+   one at ``probe_sd`` * r / sqrt(dim) or more with small probability (0.023 %
+   at 3.5 for a pair just at the threshold). Of two lists the higher one's
    vectors probe the lower one, so a pair meets once.
 4. Within a list, asymmetric distances from look-up tables give a lower bound
    (distance to the code less the code's own error), so no pair within the
@@ -197,7 +197,7 @@ def _tile(index: Index, at: int, members: tuple, others: tuple, same: bool, thre
 
 def near_duplicates(
     vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = 0.95,
-    sample_rows: int = 20_000, lists: int | None = None, list_rows: int = 4096, subspaces: int = 8, codes: int = 256, probe_sd: float = 4.0, block_rows: int = 2048,
+    sample_rows: int = 20_000, lists: int | None = None, list_rows: int = 4096, subspaces: int = 8, codes: int = 256, probe_sd: float = 3.5, block_rows: int = 2048,
 ) -> DataFrame:
     """id_col, n_links, component_id (smallest id reachable over links), kept.
 
