@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,8 +34,28 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_MADE: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def clean() -> int:
+    """Remove what this process wrote into the shared folder; returns the number of paths.
+
+    Results are lazy and read these tables, so call it when all results are stored.
+    """
+    done = 0
+    while _MADE:
+        path = _MADE.pop()
+        store, root = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+        if store.get_file_info(root).type == fs.FileType.Directory:
+            store.delete_dir(root)
+            done += 1
+    return done
 
 
 @contextmanager

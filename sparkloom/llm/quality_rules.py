@@ -40,11 +40,14 @@ RULES = (
     Rule("symbols", "100 * n_symbols > 25 * n_words"),
     Rule("duplicate_lines", "2 * n_dup_lines > n_lines"),
     Rule("word_length", "word_chars < 2 * n_words or word_chars > 15 * n_words"),
+    Rule("no_words", "n_words = 0"),
 )
 #: Version -> names of the rules that reject.
 POLICIES = {
     "base": ("too_few_words", "repeated_windows"),
     "v1": ("too_few_words", "repeated_windows", "symbols", "duplicate_lines", "word_length"),
+    # for corpora that are packed: a short text is not a poor one
+    "v2": ("repeated_windows", "symbols", "duplicate_lines", "word_length", "no_words"),
 }
 
 

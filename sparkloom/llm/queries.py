@@ -130,9 +130,10 @@ m AS (
   FROM d LEFT JOIN c USING (r)),
 f AS (
   SELECT *, ((n_words < 50)::BIGINT | ((100 * n_repeat_words > 50 * n_words)::BIGINT << 1) | ((100 * n_symbols > 25 * n_words)::BIGINT << 2)
-    | ((2 * n_dup_lines > n_lines)::BIGINT << 3) | ((word_chars < 2 * n_words OR word_chars > 15 * n_words)::BIGINT << 4)) AS fail_bits
+    | ((2 * n_dup_lines > n_lines)::BIGINT << 3) | ((word_chars < 2 * n_words OR word_chars > 15 * n_words)::BIGINT << 4)
+    | ((n_words = 0)::BIGINT << 5)) AS fail_bits
   FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, (fail_bits & 31) = 0 AS kept, fail_bits
 FROM f
 """
 

@@ -67,11 +67,10 @@ def test_heads_equal_plain_co_training_on_full_rows(spark):
     meta = ((truth * 16 + rng.integers(0, 16, 2500)) * 240 + rng.integers(0, 240, 2500)).astype(int)
     words = [np.arange(4, dtype=np.uint64)]
     df = rows_of(spark, y, bits, meta)
-    for parts in (1, 7):
-        h = cotraining.fit_heads(df.repartition(parts), ("q",), words, 2, 0.95, 0.5)[0]
-        st, sm = plain_co_training(y, bits, meta, 2, 0.95, 0.5)
-        x = np.hstack([np.zeros((2500, 9)), bits]).astype(float)
-        assert np.allclose(cotraining.logit(x, h.text), st, atol=1e-3) and np.allclose(cotraining.logit(cotraining.meta_matrix()[meta], h.meta), sm, atol=1e-3)
+    h = cotraining.fit_heads(df.repartition(7), ("q",), words, 2, 0.95, 0.5)[0]
+    st, sm = plain_co_training(y, bits, meta, 2, 0.95, 0.5)
+    x = np.hstack([np.zeros((2500, 9)), bits]).astype(float)
+    assert np.allclose(cotraining.logit(x, h.text), st, atol=1e-3) and np.allclose(cotraining.logit(cotraining.meta_matrix()[meta], h.meta), sm, atol=1e-3)
     alone = cotraining.fit_heads(df.where("y_0 is not null"), ("q",), words, 2, 0.95, 0.5)[0]
     right = lambda h: ((cotraining.logit(cotraining.meta_matrix()[meta[60:]], h.meta) > 0) == (truth[60:] > 0)).mean()
     assert right(h) > right(alone) and h.cal[0] > 0

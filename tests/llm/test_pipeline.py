@@ -22,7 +22,7 @@ def bad_quality(t):
     hit = {i + k for i, g in enumerate(zip(w, w[1:], w[2:])) if grams[g] > 1 for k in range(3)}
     lines = [x for x in (t or "").split("\n") if words(x)]
     chars = sum(map(len, w))
-    return len(w) < 50 or 100 * len(hit) > 50 * len(w) or 100 * len(re.findall(r"[#*$%&|<>]", t or "")) > 25 * len(w) or 2 * (len(lines) - len(set(lines))) > len(lines) or not 2 * len(w) <= chars <= 15 * len(w)
+    return not w or 100 * len(hit) > 50 * len(w) or 100 * len(re.findall(r"[#*$%&|<>]", t or "")) > 25 * len(w) or 2 * (len(lines) - len(set(lines))) > len(lines) or not 2 * len(w) <= chars <= 15 * len(w)
 
 
 def without_repeats(rows, k=20):
@@ -118,11 +118,41 @@ def test_packing(stages):
     assert len(bins) <= 1.02 * sum(r["length"] for r in rows) / 2048 + 1
 
 
-def test_edge_rows_and_empty_tables(spark, sf):
-    long = " ".join(f"w{i} of {i * 7 % 11}" for i in range(3000))
-    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, long, "en", None, 5), (3, long, "en", None, 5), (None, long + " x", "en", "a", 1), (4, "short", "en", "a", 5)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("key", F.lit(1)).withColumn("component_id", F.lit("x"))
-    for d in (docs, docs.limit(0)):
-        for name, f in P.STAGES:
-            d = f(spark, d, sf)
-            d.collect()
+LONG = " ".join(f"w{i} of {i * 7 % 11}" for i in range(3000))
+OTHER = " ".join(f"v{i}" for i in range(80))
+EDGE = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, LONG, "en", None, 5), (3, LONG, "en", None, 5), (None, LONG + " x", "en", "a", 1), (4, "short text", "en", "a", 5), (5, OTHER, "en", "a", 9), (5, OTHER + " and more", "de", "b", 9), (None, None, None, None, None)]
+
+
+def edge_docs(spark, rows=EDGE):
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("key", F.lit(1)).withColumn("component_id", F.lit("x")).withColumn("kept", F.lit(False))
+
+
+def test_edge_rows(spark, sf):
+    stage = dict(P.STAGES)
+    docs = edge_docs(spark)
+    key = lambda rows: sorted((tuple(r) for r in rows), key=str)
+    assert key(stage["quality rules"](spark, docs, sf).collect()) == key(r for r in EDGE if r[1])
+    seen = set()
+    for order in (docs, docs.orderBy(F.desc("n_chars"), F.desc("text")).coalesce(1)):  # one of each id, the same one in any order
+        got = stage["near duplicates"](spark, order, sf).collect()
+        assert key(r for r in got if r["doc_id"] != 5) == key([*EDGE[:3], EDGE[4], EDGE[5], EDGE[8]])
+        five = [tuple(r) for r in got if r["doc_id"] == 5]
+        assert len(five) == 1 and five[0] in EDGE
+        seen.add(five[0])
+    assert len(seen) == 1
+    got = stage["substring dedup"](spark, docs, sf).collect()
+    assert key((r["doc_id"], r["text"]) for r in got) == key([(1, None), (2, ""), (3, LONG), (3, LONG), (None, "x"), (4, "short text"), (5, OTHER), (5, OTHER + " and more"), (None, None)])
+    assert {r["n_chars"] for r in got if r["text"] == "x"} == {1}
+    mixed = stage["mixing"](spark, docs, sf)
+    assert mixed.columns == list(P.COLUMNS) and {tuple(r) for r in mixed.collect()} <= set(EDGE)
+    assert max(Counter(map(tuple, mixed.collect())).values()) <= 6  # two equal rows, three times each
+    pieces = stage["packing"](spark, docs, sf).collect()
+    assert Counter(r["doc_id"] for r in pieces if r["piece"] == 0) == Counter(r[0] for r in EDGE)
+    assert all(r["length"] == 1 for r in pieces if r["doc_id"] in (1, 2))
+
+
+def test_empty_tables(spark, sf):
+    docs = edge_docs(spark).limit(0)
+    for _, f in P.STAGES:
+        docs = f(spark, docs, sf)
+        assert docs.count() == 0

@@ -91,10 +91,15 @@ def test_empty_table_null_ids_and_repeats(spark):
     assert ppm.score(df.limit(0), F.lit(True)).count() == 0
 
 
-def test_query_and_longer_contexts(spark, sf):
+def test_query_equals_brute_force_over_the_whole_table(spark, sf):
+    """The registered query at its own depth of 5."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()
+    trained = [zlib.crc32(str(r["doc_id"]).encode()) % 7 != 2 for r in docs]
     out = queries.op4_lm_scores(spark, sf)
     assert out.columns[:7] == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    assert out.where("held_out <> (crc32(cast(doc_id as string)) % 7 = 2) or score >= 0").count() == 0
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
-    total = lambda d: ppm.score(docs, ~ppm.held_out(F.col("doc_id")), depth=d).where("not trained").agg(F.sum("score")).first()[0]
-    assert total(4) > total(1)
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert len(got) == len(docs) and len({r["train_tokens"] for r in got.values()}) == 1
+    for d, t, want in zip(docs, trained, brute([(d["text"], t) for d, t in zip(docs, trained, strict=True)], 5), strict=True):
+        r = got[d["doc_id"]]
+        assert (r["held_out"], r["n_tokens"], r["n_known"]) == (not t, *want[:2])
+        assert r["base_score"] == pytest.approx(want[2], rel=1e-9) and r["score"] == pytest.approx(want[3], rel=1e-9)

@@ -21,7 +21,7 @@ def measures(t):
 
 
 def bits(n, chars, sym, lines, dup, rep):
-    return (n < 50) | (100 * rep > 50 * n) << 1 | (100 * sym > 25 * n) << 2 | (2 * dup > lines) << 3 | (chars < 2 * n or chars > 15 * n) << 4
+    return (n < 50) | (100 * rep > 50 * n) << 1 | (100 * sym > 25 * n) << 2 | (2 * dup > lines) << 3 | (chars < 2 * n or chars > 15 * n) << 4 | (n == 0) << 5
 
 
 EDGE = [None, "", " \n\t", "a b c a b c", "a b c", "a a a a", "x\ny\nx\n\n \nx", "# $ | <é漢🙂>", "one two three\x0bfour\x0cfive\r\nsix", "w " * 20_000, " ".join(f"v{i}" for i in range(20_000)), "a b c d", "a\x1cb c"]
