@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,17 +34,31 @@ def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.unionByName(new.dropDuplicates(keys).join(old.select(*keys), keys, "left_anti").select(*old.columns))
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder of spark.checkpoint.dir (a temporary one where a local session names none)."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir (a temporary one where a local session names none)."""
     if not spark.sparkContext.getCheckpointDir():
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base and not spark.conf.get("spark.master", "").startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(base or tempfile.mkdtemp(prefix="spark-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
+def gathered(spark: SparkSession, parts: Iterable[DataFrame]) -> DataFrame:
+    """The rows of all parts, written part by part into the shared folder: the plan does not grow with their number."""
+    path, schema = f"{shared_dir(spark)}/gathered-{uuid.uuid4().hex}", None
+    for df in parts:
+        df.write.mode("append").parquet(path)
+        schema = df.schema
+    return spark.read.schema(schema).parquet(path)
+
+
 def surrogate_keys(df: DataFrame, order: list, out: str = "id", start: int = 1) -> DataFrame:
     """K6: consecutive ids in a total order, with one shuffle and no task that sees all rows.
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
 from sparkloom.functions import vector as V
+from sparkloom.operators import merge
 from sparkloom.session import SETTINGS
 
 #: Fixed value: the answer where nothing relevant was found.
@@ -66,19 +67,23 @@ def search_many(corpora: DataFrame, questions: DataFrame, k: int = SETTINGS.top_
     """The k best rows for each of many questions (qid, vec).
 
     Questions are taken in blocks of broadcast_rows, so that what is broadcast
-    has a bound; each block is one pass over the corpora.
+    has a bound; each block is one pass over the corpora. With several blocks
+    the questions are staged first, and each block's hits are written.
     """
     q = questions.where(F.col(vec).isNotNull()).select(qid, vec, V.norm(F.col(vec)).alias("_qn"))
     c = corpora.where(F.col("embedding").isNotNull()).withColumn("_cn", V.norm(F.col("embedding")))
-    n = q.count()
-    blocks = max(1, -(-n // broadcast_rows))
-    parts = [q] if blocks == 1 else [q.where(F.pmod(F.xxhash64(qid), F.lit(blocks)) == b) for b in range(blocks)]
     best = Window.partitionBy(qid).orderBy(F.col("score").desc_nulls_last(), "type", "id", F.col("child_id").asc_nulls_first())
-    out = []
-    for part in parts:
+
+    def hits(part: DataFrame) -> DataFrame:
         j = c.crossJoin(F.broadcast(part)).withColumn("score", V.cosine(V.dot(F.col("embedding"), F.col(vec)), F.col("_cn") * F.col("_qn")))
-        out.append(j.select(qid, "type", "id", "child_id", "title", "description", "score").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k))
-    return reduce(DataFrame.unionByName, out)
+        return j.select(qid, "type", "id", "child_id", "title", "description", "score").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+    n = q.count()
+    if n <= broadcast_rows:
+        return hits(q)
+    blocks = -(-2 * n // broadcast_rows)  # half full on average, so none is over the bound
+    q = merge.staged(q.withColumn("_block", F.pmod(F.xxhash64(qid), F.lit(blocks))))
+    return merge.gathered(q.sparkSession, (hits(q.where(F.col("_block") == b).drop("_block")) for b in range(blocks)))
 
 
 def relevant(hits: DataFrame, threshold: float = SETTINGS.threshold) -> DataFrame:
