@@ -129,11 +129,15 @@ def _ids(t: pa.Table | pa.RecordBatch) -> np.ndarray:
 
 
 def _edges(docs: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
-    """Each block's distinct k-mers under repeated seeds with their first place, number and word before (BRANCH: several, or none)."""
-    names = ["node", "chk", "block", "doc", "start", "n", "prev"]
+    """Each block's distinct k-mers under repeated seeds with their first place and a mark.
+
+    mark: 1 if the block holds the k-mer more than once, plus twice 15 bits of
+    the word before it, or BRANCH in their place for several words, or none.
+    """
+    names = ["node", "chk", "block", "doc", "start", "mark"]
 
     def run(d: pa.Table, s: pa.Table) -> pa.Table:
-        empty = pa.table([pa.array([], t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32())], names=names)
+        empty = pa.table([pa.array([], t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32())], names=names)
         if not d.num_rows or not s.num_rows:
             return empty
         w, at, low = _windows(d.column("_text"), k)
@@ -144,16 +148,17 @@ def _edges(docs: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
         node, chk = _edge_of(w, at, k)
         row = np.searchsorted(w.doc, at, "right") - 1
         doc, start = _ids(d)[row], (at - w.doc[row]).astype(np.int32)
-        prev = np.where(start > 0, (w.hash[np.maximum(at - 1, 0)] >> U64(33)).astype(np.int32), BRANCH)
+        prev = np.where(start > 0, (w.hash[np.maximum(at - 1, 0)] >> U64(49)).astype(np.int32), BRANCH)
         order = np.lexsort((start, doc, chk, node))
         node, chk, doc, start, prev = (x[order] for x in (node, chk, doc, start, prev))
         first = np.flatnonzero(np.concatenate(([True], (node[1:] != node[:-1]) | (chk[1:] != chk[:-1]))))
-        n = np.diff(np.append(first, len(node))).astype(np.int32)
+        many = np.diff(np.append(first, len(node))) > 1
         one = np.minimum.reduceat(prev, first) == np.maximum.reduceat(prev, first)
-        block = np.full(len(n), d.column("block")[0].as_py(), np.int32)
-        return pa.table([pa.array(node[first].view(np.int64)), pa.array(chk[first]), pa.array(block), pa.array(doc[first]), pa.array(start[first]), pa.array(n), pa.array(np.where(one, prev[first], BRANCH))], names=names)
+        mark = (2 * np.where(one, prev[first], BRANCH) + many).astype(np.int32)
+        block = np.full(len(mark), d.column("block")[0].as_py(), np.int32)
+        return pa.table([pa.array(node[first].view(np.int64)), pa.array(chk[first]), pa.array(block), pa.array(doc[first]), pa.array(start[first]), pa.array(mark)], names=names)
 
-    return docs.select("block", "_id", "_text").groupBy("block").cogroup(seeds.groupBy("block")).applyInArrow(run, "node long, chk int, block int, doc long, start int, n int, prev int")
+    return docs.select("block", "_id", "_text").groupBy("block").cogroup(seeds.groupBy("block")).applyInArrow(run, "node long, chk int, block int, doc long, start int, mark int")
 
 
 def _repeated(edges: DataFrame, limit: int = 1 << 20) -> DataFrame:
@@ -169,7 +174,8 @@ def _repeated(edges: DataFrame, limit: int = 1 << 20) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = None  # node, check, doc and start of the last k-mer of a part
         for t, _, hot in runs(batches, 0, limit):
-            node, chk, block, doc, start, n, prev = (t.column(c).to_numpy() for c in range(7))
+            node, chk, block, doc, start, mark = (t.column(c).to_numpy() for c in range(6))
+            n, prev = 1 + (mark & 1), mark >> 1
             at = np.flatnonzero(np.concatenate(([True], (node[1:] != node[:-1]) | (chk[1:] != chk[:-1]))))
             total, size = np.add.reduceat(n.astype(np.int64), at), np.diff(np.append(at, len(node)))
             doc, start, keep = doc[at], start[at], total > 1
