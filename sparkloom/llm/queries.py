@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import cotraining, debruijn, lsh_forest, mixing, packing, ppm, pq_dedup, quality_rules, token_counts, warc_bundles
-from sparkloom.llm.common import documents, n_words_of
+from sparkloom.llm.common import documents, n_words_of, written
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,6 +138,19 @@ FROM f
 """
 
 
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of op8's policy decides, from the ledger alone."""
+    return quality_rules.ablations(written(quality_rules.ledger(documents(spark, sf_dir).select("doc_id", "text")).select("fail_bits"), "ledger"), "v1")
+
+
+ABLATIONS_SQL = f"""
+WITH b AS (SELECT fail_bits & 31 AS b FROM ({OP8_SQL})),
+r(rule, bit) AS (VALUES ('too_few_words', 1::BIGINT), ('repeated_windows', 2), ('symbols', 4), ('duplicate_lines', 8), ('word_length', 16))
+SELECT rule, 'v1' AS policy, count(*) FILTER (b & bit <> 0) AS n_failed, count(*) FILTER (b = bit) AS n_only, count(*) FILTER (b <> 0) AS n_rejected
+FROM b, r GROUP BY rule
+"""
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     trained = cotraining.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -151,5 +164,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_warc_bundles, op3_near_duplicates, op4_lm_scores, op5_substring_dedup, op6_pack_sequences, op7_embedding_duplicates, op8_quality_rules, op9_quality_classifier, op10_token_counts)}
-SQL = {"op2_warc_bundles": OP2_SQL, "op3_near_duplicates": OP3_SQL, "op5_substring_dedup": OP5_SQL, "op7_embedding_duplicates": OP7_SQL, "op8_quality_rules": OP8_SQL}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_warc_bundles, op3_near_duplicates, op4_lm_scores, op5_substring_dedup, op6_pack_sequences, op7_embedding_duplicates, op8_quality_rules, op9_quality_classifier, op10_token_counts, rule_ablations)}
+SQL = {"op2_warc_bundles": OP2_SQL, "op3_near_duplicates": OP3_SQL, "op5_substring_dedup": OP5_SQL, "op7_embedding_duplicates": OP7_SQL, "op8_quality_rules": OP8_SQL, "rule_ablations": ABLATIONS_SQL}

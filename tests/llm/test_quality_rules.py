@@ -58,3 +58,13 @@ def test_query_is_native_and_follows_the_base(spark, sf):
     assert not re.search("Python|Pandas|Arrow", plan)
     assert out.where("kept and base_failed").count() == 0
     assert out.where("base_failed <> (n_words < 50 or 100 * n_repeat_words > 50 * n_words)").count() == 0
+
+
+def test_ablation_query_equals_sql(spark, sf):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{sf}/documents.parquet'")
+    want = con.sql(queries.SQL["rule_ablations"])
+    got = queries.rule_ablations(spark, sf)
+    assert sorted(got.select(*want.columns).collect()) == sorted(want.fetchall()) and got.count() == 5
