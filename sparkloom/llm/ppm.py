@@ -43,7 +43,7 @@ from sparkloom.llm.arrow_groups import block_count, block_of
 from sparkloom.llm.common import text_bytes, written
 from sparkloom.llm.wordhash import hash_words, large_string, raw
 
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 18 << 20
 PIECE_BYTES = 1 << 19
 #: Hash that stands for the end token among the word keys.
 END = 0x5EED_0E4D
