@@ -1,4 +1,4 @@
-"""The registered queries opN_<name> of the ten operators, with SQL where it can express them.
+"""The registered queries opN_<name> of the operators, with SQL where it can express them.
 
 Each query applies its operator, with production parameters, to its whole
 table and derives the contract's columns from the operator's results.
@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import cotraining, debruijn, lsh_forest, mixing, packing, ppm, pq_dedup, quality_rules, token_counts, warc_bundles
+from sparkloom.llm import (
+    conversation_repair, cotraining, debruijn, filter_audit, lsh_forest, mixing, packing, ppm, pq_dedup, quality_rules, range_coder, token_counts, warc_bundles, word_bpe,
+)
 from sparkloom.llm.common import documents, n_words_of, written
 
 
@@ -164,5 +166,51 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_warc_bundles, op3_near_duplicates, op4_lm_scores, op5_substring_dedup, op6_pack_sequences, op7_embedding_duplicates, op8_quality_rules, op9_quality_classifier, op10_token_counts, rule_ablations)}
-SQL = {"op2_warc_bundles": OP2_SQL, "op3_near_duplicates": OP3_SQL, "op5_substring_dedup": OP5_SQL, "op7_embedding_duplicates": OP7_SQL, "op8_quality_rules": OP8_SQL, "rule_ablations": ABLATIONS_SQL}
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = written(word_bpe.encode_documents(documents(spark, sf_dir), tokenizer="word_bpe_49k.json", end_id=1), "token-ids")
+    out = range_coder.id_dir(spark)
+    return range_coder.read_ids(range_coder.write_ids(ids, out), out, with_ids=False)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = filter_audit.mask_counts(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return filter_audit.audit(written(counts, "masks"))
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+e AS (SELECT t, min(doc_id) AS first FROM d GROUP BY t),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+m AS (
+  SELECT part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * (length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 3 * length(t),
+    regexp_matches(t, '[#$%&*|]'), coalesce(d.doc_id > first, false)] AS fails, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+  FROM d JOIN e USING (t) LEFT JOIN l ON l.doc_id = d.doc_id),
+c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY ALL),
+f AS (SELECT unnest(range(1, 6)) AS i),
+o AS (SELECT [a.i, b.i, x.i, y.i, z.i] AS o FROM f a, f b, f x, f y, f z WHERE len(list_distinct([a.i, b.i, x.i, y.i, z.i])) = 5),
+s AS (
+  SELECT part, array_to_string(list_transform(o, lambda k: substr('ABCDE', k, 1)), '') AS filter_order, step.i AS step, o[step.i] AS k, n, good, toxic, fails,
+    list_bool_or(list_transform(o[1:step.i - 1], lambda k: fails[k])) IS TRUE AS gone
+  FROM c, o, f step),
+r AS (
+  SELECT part, filter_order, step::INT AS step, substr('ABCDE', k, 1) AS filter,
+    coalesce(sum(n) FILTER (NOT gone AND NOT fails[k]), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (NOT gone AND fails[k]), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (gone AND fails[k]), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (fails[k] AND len(list_filter(fails, lambda x: x)) = 1), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (NOT gone AND fails[k]), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (NOT gone AND fails[k]), 0)::BIGINT AS toxic_lost
+  FROM s GROUP BY ALL)
+SELECT *, (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley FROM r
+"""
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    found = conversation_repair.repair(conversation_repair.damage(turns)).withColumnRenamed("conv_id", "c")
+    every = turns.select("conv_id").distinct()
+    none = {x: F.coalesce(F.col(x), F.lit(0)).cast("long").alias(x) for x in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")}
+    text = [F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")]
+    return every.join(found, every["conv_id"].eqNullSafe(found["c"]), "left").select("conv_id", *none.values(), *text)
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_warc_bundles, op3_near_duplicates, op4_lm_scores, op5_substring_dedup, op6_pack_sequences, op7_embedding_duplicates, op8_quality_rules, op9_quality_classifier, op10_token_counts, op11_token_files, op12_filter_audit, op13_conversation_repair, rule_ablations)}
+SQL = {"op2_warc_bundles": OP2_SQL, "op3_near_duplicates": OP3_SQL, "op5_substring_dedup": OP5_SQL, "op7_embedding_duplicates": OP7_SQL, "op8_quality_rules": OP8_SQL, "op12_filter_audit": OP12_SQL, "rule_ablations": ABLATIONS_SQL}
