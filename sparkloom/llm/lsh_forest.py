@@ -27,7 +27,7 @@ Expected recall of a pair at the threshold s, in regions of any size:
 Defined cases: a document without words or with null text has an empty set
 and is linked with nothing; with fewer words than a shingle, its whole
 sequence is its only shingle; a null id is linked with nothing; rows that
-repeat an id are one node; an empty table gives an empty result; further
+repeat an id are one node, whatever their texts; an empty table gives an empty result; further
 columns are not read.
 """
 
@@ -79,6 +79,10 @@ def signature(s: np.ndarray) -> np.ndarray:
     return out
 
 
+def _digest(s: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+
+
 def _sketches(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, n_shingles, digest (null without shingles), sig."""
 
@@ -87,7 +91,7 @@ def _sketches(docs: DataFrame, words: int) -> DataFrame:
             n, dig, sig = [], [], []
             for s in shingle_sets(b.column(1), words):
                 n.append(len(s))
-                dig.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                dig.append(_digest(s))
                 sig.append(signature(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(dig, pa.binary()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "digest", "sig"])
 
@@ -431,14 +435,17 @@ def _tile_links(tiles: DataFrame, least: float, share: float, percent: int, chun
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, digest, s: the sorted shingle set of each text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j in row_slices(b.column(1)):
                 sets = [np.sort(x.view(np.int64)) for x in shingle_sets(b.column(1).slice(i, j - i), words)]
                 off = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.ListArray.from_arrays(off, pa.array(np.concatenate(sets)))], names=["rep", "s"])
+                dig = pa.array([_digest(x) for x in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), dig, pa.ListArray.from_arrays(off, pa.array(np.concatenate(sets)))], names=["doc_id", "digest", "s"])
 
-    return docs.mapInArrow(run, "rep long, s array<long>")
+    return docs.mapInArrow(run, "doc_id long, digest binary, s array<long>")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -455,7 +462,10 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", words: int = 5, per
     least = thr - 4.5 * (thr * (1 - thr) / SIG) ** 0.5
     sk = written(_sketches(base, words), "sketches")
     same = sk.where("digest is not null and doc_id is not null").groupBy("digest")
-    reps = written(same.agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "reps")
+    reps = written(same.agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "reps")
+    # a set's node is its smallest id, or a number where ids repeat with sets of their own, as two sets could then have one id
+    shared = not reps.groupBy("id").count().where("count > 1").isEmpty()
+    reps = written(reps.withColumn("rep", F.monotonically_increasing_id()), "reps") if shared else reps.withColumn("rep", F.col("id"))
     members, neighbours, first_depth = forest(reps.select("rep", "sig"), region_docs)
 
     def low_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -466,8 +476,13 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", words: int = 5, per
     sig8 = reps.select("rep", "n", "sig").mapInArrow(low_bytes, "rep long, n long, sig8 binary")
     members = written(members.join(sig8, "rep"), "members")
     first = written(_candidates(members, least, thr, region_docs).unionByName(neighbours).distinct(), "pairs")
-    ids = first.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = written(_sets(base.join(ids, "doc_id", "left_semi"), words).dropDuplicates(["rep"]), "sets")
+    wanted = first.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    if shared:
+        wanted = written(reps.select("id", "digest", "rep").join(wanted, "rep", "left_semi"), "wanted")
+        found = _sets(base.join(wanted.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"), words).join(wanted.select("digest", "rep"), "digest")
+    else:
+        found = _sets(base.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi"), words).withColumnRenamed("doc_id", "rep")
+    sets = written(found.select("rep", "s").dropDuplicates(["rep"]), "sets")
     node = written(sk.select("doc_id", "n_shingles", "digest").join(reps.select("digest", "rep"), "digest", "left").drop("digest"), "nodes")
     ids = node.where("doc_id is not null and rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z")
     again = ids.join(node, "doc_id").select("a", F.col("rep").alias("b"))  # one id, several texts
@@ -493,5 +508,9 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", words: int = 5, per
         if not more.isEmpty():
             comp = components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     out = node.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    if shared:
+        out = written(out.withColumn("at", F.coalesce("component", "rep")), "nodes")
+        least = out.where("at is not null and doc_id is not null").groupBy("at").agg(F.min("doc_id").alias("least"))
+        out = out.join(least, "at", "left").select("doc_id", "n_shingles", F.col("least").alias("component"), F.lit(None).cast("long").alias("rep"))
     comp_id = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "rep", "doc_id"))
     return out.select("doc_id", "n_shingles", comp_id.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

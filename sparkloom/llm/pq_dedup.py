@@ -8,10 +8,13 @@
    exact distance between residual and code.
 3. A vector probes the lists whose border with its own list it is near: a
    neighbour within the radius r of the threshold can only lie beyond a border
-   closer than r, and a displacement without a preferred direction crosses
-   one at ``probe_sd`` * r / sqrt(dim) or more with small probability (0.023 %
-   at 3.5 for a pair just at the threshold). Of two lists the higher one's
-   vectors probe the lower one, so a pair meets once.
+   closer than r. How much closer is measured, as real vectors fill few of
+   their dimensions: the reach is ``probe_sd`` standard deviations of a
+   displacement of length r along the direction in which the sample's
+   residuals vary most, no less than what the sample's own linked pairs need
+   to meet, and never more than r, where nothing can be lost. ``probe_sd=None``
+   sets the reach to r: the exact way. Of two lists the higher one's vectors
+   probe the lower one, so a pair meets once.
 4. Within a list, asymmetric distances from look-up tables give a lower bound
    (distance to the code less the code's own error), so no pair within the
    radius is lost there; what passes gets its exact cosine in doubles.
@@ -90,10 +93,13 @@ class Index:
         self.coarse = kmeans(sample, lists)
         rest = sample - self.coarse[nearest(sample, self.coarse)]
         self.fine = kmeans(rest, cells) if cells > 1 else np.zeros((1, sample.shape[1]))
-        rest -= self.fine[nearest(rest, self.fine)]
+        rest = rest - self.fine[nearest(rest, self.fine)]
         self.parts = [p for p in np.array_split(np.arange(sample.shape[1]), subspaces) if len(p)]
         self.books = [kmeans(rest[:, p], codes, 8) for p in self.parts]
         self.size = len(self.coarse) * len(self.fine)
+        # the part of the variance in its strongest direction: 1 / dim where none is preferred
+        spread = np.linalg.eigvalsh(rest.T @ rest)
+        self.strongest = float(spread[-1] / spread.sum()) if spread.sum() > 0 else 1.0
 
     def centre(self, at: int) -> np.ndarray:
         return self.coarse[at // len(self.fine)] + self.fine[at % len(self.fine)]
@@ -124,6 +130,36 @@ class Index:
         order = np.argsort(r, kind="stable")
         return np.split(at[order], np.cumsum(np.bincount(r, minlength=len(u)))[:-1])
 
+    def crossings(self, u: np.ndarray, threshold: float, rows: int = 4000, most: int = 200_000) -> np.ndarray:
+        """For linked pairs of u in different lists, the reach at which they meet. Up to rows vectors meet all others, up to most pairs are measured."""
+        home, _, _ = self.encode(u)
+        k, out, n = len(self.fine), [], 0
+        for i in range(0, min(rows, len(u)), 500):
+            a, b = np.nonzero(u[i : min(i + 500, rows)] @ u.T >= threshold)
+            a += i
+            # the vector of the higher list is the one that probes
+            a, b = np.where(home[a] > home[b], a, b), np.where(home[a] > home[b], b, a)
+            own = home[a] != home[b]
+            a, b = a[own], b[own]
+            for at in range(0, len(a), 2000):
+                x, to = u[a[at : at + 2000]], home[b[at : at + 2000]]
+                pick = np.arange(len(x))
+                coarse = _borders(x, self.coarse, home[a[at : at + 2000]] // k)[pick, to // k]
+                rest = x - self.coarse[to // k]
+                out.append(np.maximum(coarse, _borders(rest, self.fine, nearest(rest, self.fine))[pick, to % k]))
+            n += len(a)
+            if n >= most:
+                break
+        return np.concatenate(out) if out else np.zeros(0)
+
+    def reach(self, u: np.ndarray, threshold: float, probe_sd: float | None, share: float = 0.9995) -> float:
+        """How near a border a vector probes beyond it; at least what brings that share of the sample's linked pairs together, and a tenth more."""
+        radius = np.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
+        if probe_sd is None:
+            return radius
+        need = self.crossings(u, threshold)
+        return min(radius, max(probe_sd * radius * np.sqrt(self.strongest), 1.1 * np.quantile(need, share) if len(need) else 0.0))
+
     def distances(self, u: np.ndarray, at: int, code: np.ndarray) -> np.ndarray:
         """Asymmetric distances from vectors to the coded members of list `at`."""
         rest = u - self.centre(at)
@@ -197,7 +233,7 @@ def _tile(index: Index, at: int, members: tuple, others: tuple, same: bool, thre
 
 def near_duplicates(
     vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = 0.95,
-    sample_rows: int = 20_000, lists: int | None = None, list_rows: int = 4096, subspaces: int = 8, codes: int = 256, probe_sd: float = 3.5, block_rows: int = 2048,
+    sample_rows: int = 20_000, lists: int | None = None, list_rows: int = 4096, subspaces: int = 8, codes: int = 256, probe_sd: float | None = 3.5, block_rows: int = 2048,
 ) -> DataFrame:
     """id_col, n_links, component_id (smallest id reachable over links), kept.
 
@@ -238,8 +274,8 @@ def near_duplicates(
     return out.select(F.col("id").alias(id_col), n_links.alias("n_links"), cid.alias("component_id")).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
 
 
-def _index(reps: DataFrame, sizes: dict[int, int], dtype: str, sample_rows: int, lists: int | None, list_rows: int, subspaces: int, codes: int) -> dict[int, tuple[Index, int]]:
-    """For each length: an index fitted on its share of the sample, and the number of its first list."""
+def _index(reps: DataFrame, sizes: dict[int, int], dtype: str, sample_rows: int, lists: int | None, list_rows: int, subspaces: int, codes: int, cosine: float, probe_sd: float | None) -> dict[int, tuple[Index, int, float]]:
+    """For each length: an index fitted on its share of the sample, the number of its first list, and the reach of its probes."""
     out, first, total = {}, 0, sum(sizes.values())
     for dim, n in sizes.items():
         share = max(min(n, 64), sample_rows * n // total)
@@ -248,25 +284,25 @@ def _index(reps: DataFrame, sizes: dict[int, int], dtype: str, sample_rows: int,
         most = max(1, len(sample) // 8)
         coarse = max(1, min(lists or round(n**0.5), most))
         index = Index(sample, coarse, max(1, min(-(-n // (coarse * list_rows)), most)), subspaces, min(codes, 256))
-        out[dim] = (index, first)
+        out[dim] = (index, first, index.reach(sample, cosine, probe_sd))
         first += index.size
     return out
 
 
-def _linked(reps: DataFrame, sizes: dict[int, int], dtype: str, cosine: float, sample_rows: int, lists: int | None, list_rows: int, subspaces: int, codes: int, probe_sd: float, block_rows: int) -> DataFrame:
+def _linked(reps: DataFrame, sizes: dict[int, int], dtype: str, cosine: float, sample_rows: int, lists: int | None, list_rows: int, subspaces: int, codes: int, probe_sd: float | None, block_rows: int) -> DataFrame:
     """(digest, rep, n, low) of every tile: links counted there, and the smallest id reached."""
-    indexes = _index(reps, sizes, dtype, sample_rows, lists, list_rows, subspaces, codes)
-    radius, width = np.sqrt(max(0.0, 2 - 2 * cosine)), int(dtype[-1])
+    indexes = _index(reps, sizes, dtype, sample_rows, lists, list_rows, subspaces, codes, cosine, probe_sd)
+    width = int(dtype[-1])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for dim in b.column("dim").unique().to_pylist():
-                (index, first), mine = indexes[dim], b.filter(pc.equal(b.column("dim"), dim))
+                (index, first, reach), mine = indexes[dim], b.filter(pc.equal(b.column("dim"), dim))
                 for k in range(0, mine.num_rows, 2000):
                     part = mine.slice(k, 2000)
                     u = unit_rows(_plain(part.column("raw"), dtype, dim))
                     home, code, miss = index.encode(u)
-                    near = [first + p for p in index.probes(u, home, probe_sd * radius / np.sqrt(dim))]
+                    near = [first + p for p in index.probes(u, home, reach)]
                     code_col = pa.array([c.tobytes() for c in code], pa.binary())
                     cols = [part.column(c) for c in ("digest", "rep", "mult", "raw")]
                     yield pa.RecordBatch.from_arrays([*cols, pa.array(first + home), pa.array(near, pa.list_(pa.int64())), code_col, pa.array(miss)], names=["digest", "rep", "mult", "raw", "list", "probes", "code", "miss"])
@@ -293,7 +329,7 @@ def _linked(reps: DataFrame, sizes: dict[int, int], dtype: str, cosine: float, s
         t = t.combine_chunks()
         at, i, j = (t.column(c)[0].as_py() for c in ("list", "i", "j"))
         dim = len(t.column("raw")[0].as_py()) // width
-        index, first = indexes[dim]
+        index, first, _ = indexes[dim]
         at -= first
         role, rep, mult = (t.column(c).to_numpy() for c in ("role", "rep", "mult"))
         u = unit_rows(_plain(t.column("raw"), dtype, dim))

@@ -11,14 +11,15 @@ All blocks of a batch go in step: one NumPy operation advances every block by on
 the coder needs no compiled code. A batch has at most 1024 blocks of 8192 ids, which
 bounds a task's memory; ids are streamed through it whatever a file's or document's size.
 
-A file: magic; the blocks; a footer with, for each block, offset, bytes, ids and CRC-32 of
-its ids, and for each document id and number of ids; the footer's length and CRC-32; magic.
+A file: magic; the blocks; a footer with, for each block, offset, bytes, ids and the CRC-32 of
+its bytes and of its ids, and for each document id and number of ids; the footer's length and
+CRC-32; magic.
 Executors write files into the shared folder, each attempt under a name of its own; the
 index, written by Spark's own commit, names those that count.
 
 Defined cases: a null text is empty, so it has its end id alone; ids ascend, null ids last;
 rows of one id follow each other by their token ids; an empty table gives no file; other
-columns are not read. A block whose ids do not have its checksum raises an error.
+columns are not read. A block whose bytes or ids do not have their checksum raises an error.
 """
 
 from __future__ import annotations
@@ -272,14 +273,14 @@ def decode_blocks(blocks: list[bytes], sizes: np.ndarray) -> np.ndarray:
 
 
 def _footer(blocks: np.ndarray, docs: list[int | None], counts: list[int]) -> bytes:
-    """blocks: rows of offset, bytes, ids, CRC-32."""
+    """blocks: rows of offset, bytes, ids, CRC-32 of the bytes, CRC-32 of the ids."""
     body = struct.pack("<qq", len(blocks), len(docs)) + blocks.astype("<i8").tobytes()
     body += np.array([d is not None for d in docs], "u1").tobytes() + np.array([d or 0 for d in docs], "<i8").tobytes() + np.array(counts, "<i8").tobytes()
     return body + struct.pack("<qI", len(body), zlib.crc32(body)) + MAGIC
 
 
 def read_footer(f) -> tuple[np.ndarray, list[int | None], np.ndarray]:
-    """Block rows (offset, bytes, ids, CRC-32), document ids and their numbers of ids, of an open file."""
+    """Block rows (offset, bytes, ids, both sums), document ids and their numbers of ids, of an open file."""
     size = f.size()
     f.seek(size - 20)
     n, crc, magic = struct.unpack("<qI8s", f.read(20))
@@ -288,8 +289,8 @@ def read_footer(f) -> tuple[np.ndarray, list[int | None], np.ndarray]:
     if magic != MAGIC or zlib.crc32(body) != crc:
         raise ValueError("no footer, or a damaged one")
     n_blocks, n_docs = struct.unpack_from("<qq", body)
-    blocks = np.frombuffer(body, "<i8", 4 * n_blocks, 16).reshape(-1, 4)
-    at = 16 + 32 * n_blocks
+    blocks = np.frombuffer(body, "<i8", 5 * n_blocks, 16).reshape(-1, 5)
+    at = 16 + 40 * n_blocks
     there = np.frombuffer(body, "u1", n_docs, at)
     names = np.frombuffer(body, "<i8", n_docs, at + n_docs)
     return blocks, [int(d) if ok else None for d, ok in zip(names, there, strict=True)], np.frombuffer(body, "<i8", n_docs, at + 9 * n_docs)
@@ -320,7 +321,7 @@ class _Writer:
         payloads, sizes = encode_blocks(ids)
         for data, k in zip(payloads, sizes.tolist(), strict=True):
             self.f.write(data)
-            self.blocks.append((self.size, len(data), k, zlib.crc32(ids[at : at + k].astype("<u4"))))
+            self.blocks.append((self.size, len(data), k, zlib.crc32(data), zlib.crc32(ids[at : at + k].astype("<u4"))))
             self.size += len(data)
             at += k
         self.ids += n
@@ -328,7 +329,7 @@ class _Writer:
     def close(self) -> None:
         if self.n:
             self._flush(self.n)
-        tail = _footer(np.array(self.blocks, np.int64).reshape(-1, 4), self.docs, self.counts)
+        tail = _footer(np.array(self.blocks, np.int64).reshape(-1, 5), self.docs, self.counts)
         self.f.write(tail)
         self.size += len(tail)
         self.f.close()
@@ -437,10 +438,12 @@ def _decoded(f, blocks: np.ndarray) -> Iterator[np.ndarray]:
         at += len(some)
         f.seek(int(some[0, 0]))
         data = f.read(int(some[:, 1].sum()))
-        ends = np.cumsum(some[:, 1])
-        ids = decode_blocks([data[e - k : e] for e, k in zip(ends.tolist(), some[:, 1].tolist(), strict=True)], some[:, 2])
+        payloads = [data[e - k : e] for e, k in zip(np.cumsum(some[:, 1]).tolist(), some[:, 1].tolist(), strict=True)]
+        if [zlib.crc32(x) for x in payloads] != some[:, 3].tolist():
+            raise ValueError("a block's bytes do not have its checksum")
+        ids = decode_blocks(payloads, some[:, 2])
         cut = np.cumsum(some[:, 2])
-        for e, k, crc in zip(cut.tolist(), some[:, 2].tolist(), some[:, 3].tolist(), strict=True):
+        for e, k, crc in zip(cut.tolist(), some[:, 2].tolist(), some[:, 4].tolist(), strict=True):
             if zlib.crc32(ids[e - k : e].astype("<u4")) != crc:
                 raise ValueError("a block's ids do not have its checksum")
         yield ids

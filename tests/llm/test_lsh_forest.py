@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from sparkloom.llm import lsh_forest
@@ -169,3 +170,24 @@ def test_regions_too_large_in_several_blocks_of_sets(spark):
     base = [f"t{i}" for i in range(200)]
     rows = [(i, edited(rng, base, rng.randrange(3, 14))) for i in range(120)]
     assert run(spark, rows, region_docs=16, block_shingles=600) == brute(rows, 3, 85)
+
+
+def test_one_id_with_several_texts_of_its_own(spark):
+    """Every text of an id keeps its set: near copies of each are found."""
+    rnd = np.random.default_rng(8)
+    rows = []
+    for f in range(20):
+        for text in range(2):
+            w = [f"w{x}" for x in rnd.integers(0, 10**9, 120)]
+            rows.append((f, " ".join(w)))
+            w[60] = "other"
+            rows.append((1000 + 2 * f + text, " ".join(w)))
+    rows += [(500, "alone a b c"), (500, None), (501, ""), (None, rows[0][1])]
+    got = sorted((tuple(r)[0], r["component_id"], r["kept"]) for r in F_near(spark, rows) if r["doc_id"] is not None)
+    want = sorted([(i, i % 1000 if i < 500 else (i - 1000) // 2 if i >= 1000 else i, None) for i, _ in rows if i is not None])
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert all(k == (i == c) for i, c, k in got)
+
+
+def F_near(spark, rows):
+    return lsh_forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=3, percent=85).collect()

@@ -76,6 +76,37 @@ def test_lengths_are_groups_of_their_own(spark):
     assert (200, 2, 200) in got and (203, 0, 203) in got
 
 
+@pytest.mark.parametrize("dim", [64, 8, 4, 3])
+def test_vectors_of_few_dimensions(spark, dim):
+    """3,000 vectors of 64 components that fill a subspace: no link is lost, whatever the borders' directions."""
+    rng = np.random.default_rng(dim)
+    x = rng.normal(size=(3000, dim))
+    x[:600] = x[rng.integers(600, 3000, 600)] + rng.normal(size=(600, dim)) * 0.2
+    x = (x @ np.linalg.qr(rng.normal(size=(64, dim)))[0].T).astype(np.float32)
+    want = {i: n for i, n, _ in brute([(k, v.tolist()) for k, v in enumerate(x)])}
+    got = {i: n for i, n, _ in run(spark, [(k, v.tolist()) for k, v in enumerate(x)])}
+    assert sum(got.values()) >= 0.9995 * sum(want.values()) > 0
+    assert dim == 64 or got == want
+
+
+def test_reach_follows_the_linked_pairs():
+    """Displacements along one direction, in vectors that fill all 24: borders are crossed further off than chance has it."""
+    rng = np.random.default_rng(9)
+    u = pq_dedup.unit_rows(rng.normal(size=(3000, 24)))
+    line = np.eye(24)[0]
+    v = pq_dedup.unit_rows(u + rng.uniform(-0.3, 0.3, 3000)[:, None] * line)
+    both = np.concatenate([u, v])
+    index = pq_dedup.Index(both, 40, 1, 4, 64)
+    need = index.crossings(both, 0.95)
+    assert index.reach(both, 0.95, 0.1) >= np.quantile(need, 0.999) and len(need) > 100
+    assert index.reach(both, 0.95, None) == pytest.approx(0.1**0.5) and index.reach(both, 0.95, 3.5) <= 0.1**0.5 + 1e-6
+
+
+def test_exact_way(spark):
+    rows = [(k, v.tolist()) for k, v in enumerate(clustered(500, 6, 11, (90, 40)))]
+    assert run(spark, rows, probe_sd=None) == brute(rows)
+
+
 def test_index_keeps_list_sizes_as_tables_grow():
     rng = np.random.default_rng(6)
     u = pq_dedup.unit_rows(rng.normal(size=(4000, 12)))
@@ -84,8 +115,8 @@ def test_index_keeps_list_sizes_as_tables_grow():
     assert index.size == 250 and np.bincount(home).max() < 200
     near = pq_dedup.unit_rows(u + rng.normal(size=u.shape) * 0.06)
     other, _, _ = index.encode(near)
-    probes = [set(p.tolist()) for p in index.probes(u, home, 4 * 0.3162 / 12**0.5)]
-    back = [set(p.tolist()) for p in index.probes(near, other, 4 * 0.3162 / 12**0.5)]
+    probes = [set(p.tolist()) for p in index.probes(u, home, index.reach(u[:1000], 0.95, 3.5))]
+    back = [set(p.tolist()) for p in index.probes(near, other, index.reach(u[:1000], 0.95, 3.5))]
     met = [a == b or b in p or a in q for a, b, p, q in zip(home, other, probes, back, strict=True)]
     assert np.mean(met) > 0.999 and all(max(p, default=-1) < h for p, h in zip(probes, home, strict=True))
 
