@@ -5,12 +5,14 @@ Ids in the docstrings are those of the operator inventory.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
 from sparkloom.functions import vector as V
-from sparkloom.operators import accounting, merge, quota, retrieval
+from sparkloom.operators import accounting, merge, pruned, quota, retrieval
 from sparkloom.plans import answering
 from sparkloom.sources import assets, ingest
 from sparkloom.streaming import sessions
@@ -147,6 +149,16 @@ def vector_topk_multi(spark, sf):
     return retrieval.search_many(_plain_corpus(spark, sf), q, 5).select("query_id", "id", _six("score"), F.col("rank").cast("bigint"))
 
 
+@_register(SQL["vector_topk_multi"])
+def vector_topk_pruned(spark, sf):
+    """The same over an index of clusters, most of which the bounds skip."""
+    e = _t(spark, sf, "embeddings")
+    c = retrieval.corpus(e, "v", F.col("vec_id"), F.lit(""), F.lit(""))
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    index = pruned.build(c, f"{merge.shared_dir(spark)}/clusters-{uuid.uuid4().hex}")
+    return pruned.search(index, q, 5).select("query_id", "id", _six("score"), F.col("rank").cast("bigint"))
+
+
 @_register(
     "WITH v AS (SELECT vec_id AS id, embedding FROM embeddings UNION ALL SELECT -1, list_transform(embedding, lambda x: 0) FROM embeddings WHERE vec_id = 0 UNION ALL SELECT -2, NULL), "
     f"s AS (SELECT id, CASE WHEN list_inner_product(embedding, embedding) = 0 THEN 'NaN'::DOUBLE ELSE {_CLAMPED.format(a='embedding', b='qe')} END AS score "
