@@ -141,10 +141,15 @@ def swap(fs, path, new, old) -> None:
         fs.delete(old, True)
 
 
+def shaped(df: DataFrame, ddl: str) -> DataFrame:
+    """df with the columns of ddl in their order and types; those that it lacks are null."""
+    fields = T.StructType.fromDDL(ddl)
+    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
+
+
 def append(df: DataFrame, path: str, ddl: str) -> None:
     """Append rows to the table at path, with its columns in their order; columns that df lacks are null."""
-    fields = T.StructType.fromDDL(ddl)
-    df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields]).write.mode("append").parquet(path)
+    shaped(df, ddl).write.mode("append").parquet(path)
 
 
 def create_table(spark, name: str, ddl: str) -> None:
