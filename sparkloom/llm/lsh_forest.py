@@ -440,9 +440,10 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j in row_slices(b.column(1)):
-                sets = [np.sort(x.view(np.int64)) for x in shingle_sets(b.column(1).slice(i, j - i), words)]
-                off = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
+                sets = list(shingle_sets(b.column(1).slice(i, j - i), words))
                 dig = pa.array([_digest(x) for x in sets], pa.binary())
+                sets = [np.sort(x.view(np.int64)) for x in sets]
+                off = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), dig, pa.ListArray.from_arrays(off, pa.array(np.concatenate(sets)))], names=["doc_id", "digest", "s"])
 
     return docs.mapInArrow(run, "doc_id long, digest binary, s array<long>")
