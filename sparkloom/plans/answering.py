@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -9,8 +10,9 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
 from sparkloom.models import Embedder, Generator, embed_texts, generate
-from sparkloom.operators import accounting, merge, retrieval
+from sparkloom.operators import accounting, incremental, merge, retrieval
 from sparkloom.session import SETTINGS, Settings
+from sparkloom.streaming import sinks
 
 SYSTEM = "Tu es un assistant qui répond aux questions sur un parcours professionnel."
 INSTRUCTIONS = "Réponds en français à partir du contexte seul, dans l'ordre chronologique, et dis-le clairement si la réponse n'y est pas."
@@ -36,21 +38,47 @@ def user_prompt(context: Column, question: Column, instructions: str = INSTRUCTI
 
 
 def answer(questions: DataFrame, corpora: DataFrame, prices: DataFrame, embedder: Embedder, providers: list[Generator], settings: Settings = SETTINGS, system: str = SYSTEM, instructions: str = INSTRUCTIONS) -> Answers:
-    """questions: query_id, session_id, query_text, created_at.
+    """questions: session_id, query_text, created_at and query_id, if they have one (F19: else each gets a new one).
 
     Questions without a chunk above the threshold are answered with a fixed
     text; these, failed and rejected ones are neither logged nor counted (W5).
-    Answers are staged, so that no provider is asked twice.
+    Vectors, hits and answers are staged, so that no service is asked twice.
+    A question's retrieval takes the time of its embedding call and its share
+    of the search, which is one job for all.
     """
+    own = F.col("query_id").cast("string") if "query_id" in questions.columns else F.lit(None).cast("string")
+    questions = merge.staged(questions.withColumn("query_id", F.coalesce(own, T.new_id())))
     ok = questions.where(T.valid_message(F.col("query_text"), settings.min_message, settings.max_message))
     rejected = questions.where(~T.valid_message(F.col("query_text"), settings.min_message, settings.max_message))
-    asked = embed_texts(ok, "query_text", embedder, "query_embedding")
-    hits = retrieval.relevant(retrieval.search_many(corpora, asked, settings.top_k), settings.threshold)
+    asked = merge.staged(embed_texts(ok, "query_text", embedder, "query_embedding", seconds="_embed_s"))
+    n, began = asked.count(), time.perf_counter()
+    hits = merge.staged(retrieval.relevant(retrieval.search_many(corpora, asked, settings.top_k), settings.threshold))
+    share = (time.perf_counter() - began) / max(n, 1)
     chunks = retrieval.log_chunks(hits, ["query_id"]).join(retrieval.prompt_context(hits, ["query_id"], settings.context_chars), "query_id")
-    prompts = ok.join(chunks, "query_id").withColumn("system", F.lit(system)).withColumn("user", user_prompt(F.col("context"), F.col("query_text"), instructions))
+    timed = asked.select("query_id", "session_id", "query_text", "created_at", (F.col("_embed_s") + F.lit(share)).alias("retrieval_s"))
+    prompts = timed.join(chunks, "query_id").withColumn("system", F.lit(system)).withColumn("user", user_prompt(F.col("context"), F.col("query_text"), instructions))
     turns = merge.staged(generate(prompts, "system", "user", providers, settings.timeout_s))
     made = accounting.with_cost(turns.where(F.col("response").isNotNull()), prices, "provider_used", "tokens_used")
-    made = made.withColumns({"embedding_tokens": T.word_count(F.col("query_text")), "retrieval_s": F.lit(0.0), "generation_s": F.col("latency_ms") / 1000}).drop("latency_ms")
+    made = made.withColumns({"embedding_tokens": T.word_count(F.col("query_text")), "generation_s": F.col("latency_ms") / 1000}).drop("latency_ms")
     log = accounting.query_log(made, settings.embedding_price)
     sessions = accounting.session_rows(log.withColumn("tokens", F.col("embedding_tokens") + F.col("llm_tokens")), "session_id", ["created_at", "query_id"], "tokens", "total_cost", "latency_total_ms", "llm_provider")
     return Answers(made, turns.where(F.col("response").isNull()), retrieval.unanswered(ok, hits), rejected, log, sessions)
+
+
+def record(answers: Answers, folder: str, batch: int, settings: Settings = SETTINGS, writer: str = "batch", buckets: int = 64) -> None:
+    """K1-K3: log and transcript of a run of answers, together and once (a batch number that is there adds nothing), then the rows of their sessions.
+
+    Session rows are computed from the log, for the buckets of the sessions asked
+    in only; those of other buckets keep their files. Running a batch again
+    mends what failed between the two.
+    """
+    spark = answers.answered.sparkSession
+    sink = sinks.turns_sink(folder, settings.embedding_price, writer)
+    sink(answers.answered, batch)
+    bucket = incremental.bucket("session_id", buckets)
+    touched = [r["b"] for r in answers.answered.select(bucket.alias("b")).distinct().collect()]
+    if not touched:
+        return
+    log = sink.read(spark, "retrieval_logs").where(bucket.isin(touched)).withColumn("tokens", F.col("embedding_tokens") + F.col("llm_tokens"))
+    rows = accounting.session_rows(log, "session_id", ["created_at", "query_id"], "tokens", "total_cost", "latency_total_ms", "llm_provider")
+    rows.withColumn("bucket", bucket).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{folder}/chat_sessions")

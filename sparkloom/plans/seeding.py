@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,9 +10,10 @@ from pyspark.sql import functions as F
 
 from sparkloom import schemas
 from sparkloom.functions import text as T
-from sparkloom.models import Embedder, embed_cached
+from sparkloom.models import Embedder, embed_cached, embed_texts
 from sparkloom.operators import merge
 from sparkloom.sources import ingest
+from sparkloom.sources.cache import VectorCache
 
 
 @dataclass(frozen=True)
@@ -32,9 +34,9 @@ def _dates(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({c: F.nullif(F.col(c), F.lit("")).cast("date") for c in names})
 
 
-def _with_vectors(df: DataFrame, text: Column, cache: DataFrame, embedder: Embedder) -> tuple[DataFrame, DataFrame]:
+def _with_vectors(df: DataFrame, text: Column, cache: DataFrame, embedder: Embedder, embed: Callable[..., DataFrame]) -> tuple[DataFrame, DataFrame]:
     rows = df.withColumn("_text", text)
-    vectors, fresh = embed_cached(rows, cache, "_text", embedder)
+    vectors, fresh = embed_cached(rows, cache, "_text", embedder, embed)
     return rows.join(vectors.withColumn("embedding", T.vector_rounded(F.col("embedding"))), "_text", "left").drop("_text"), fresh
 
 
@@ -43,6 +45,7 @@ def read(spark: SparkSession, files: dict[str, str]) -> dict[str, DataFrame]:
     kinds = {"experiences": schemas.EXPERIENCES_JSON, "formations": schemas.FORMATIONS_JSON, "informations": schemas.INFORMATIONS_JSON}
     got = {k: ingest.load_json(spark, files.get(k, "/nonexistent"), ddl) for k, ddl in kinds.items()}
     got["experiences"] = merge.staged(ingest.numbered(got["experiences"]))
+    got |= {k: merge.staged(ingest.numbered(got[k], "_n")) for k in ("formations", "informations")}
     got["skills"] = ingest.load_skills(spark, files.get("skills", "/nonexistent"))
     return got
 
@@ -67,26 +70,31 @@ def skills_of(inputs: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame, DataF
     return merge.staged(skills), own(rows[1]).withColumnRenamed("a", "experience_id"), own(rows[2])
 
 
-def seed(spark: SparkSession, files: dict[str, str], embedder: Embedder, cache: DataFrame | None = None, use_cache: bool = True) -> Seeded:
-    """The tables of one ingest. Without use_cache every text is embedded again."""
+def seed(spark: SparkSession, files: dict[str, str], embedder: Embedder, cache: DataFrame | None = None, use_cache: bool = True, exact_links: bool = True, embed: Callable[..., DataFrame] = embed_texts) -> Seeded:
+    """The tables of one ingest, ids in the order of the files.
+
+    Without use_cache every text is embedded again (K12). Links find a skill by
+    its very name, or by its key without exact_links (T13). embed is embed_texts,
+    or embed_paced for a service that is limited.
+    """
     inputs = read(spark, files)
     known = cache if cache is not None and use_cache else spark.createDataFrame([], schemas.EMBEDDINGS_CACHE)
     skills, of_exp, of_proj = skills_of(inputs)
-    exp, fresh_e = _with_vectors(inputs["experiences"], ingest.experience_text(), known, embedder)
-    proj, fresh_p = _with_vectors(ingest.child_projects(inputs["experiences"]), ingest.project_text(), known, embedder)
-    form, fresh_f = _with_vectors(inputs["formations"], ingest.formation_text(), known, embedder)
-    info, fresh_i = _with_vectors(inputs["informations"], ingest.information_text(), known, embedder)
+    exp, fresh_e = _with_vectors(inputs["experiences"], ingest.experience_text(), known, embedder, embed)
+    proj, fresh_p = _with_vectors(ingest.child_projects(inputs["experiences"]), ingest.project_text(), known, embedder, embed)
+    form, fresh_f = _with_vectors(inputs["formations"], ingest.formation_text(), known, embedder, embed)
+    info, fresh_i = _with_vectors(inputs["informations"], ingest.information_text(), known, embedder, embed)
     proj = merge.staged(merge.surrogate_keys(proj, ["exp_idx", "pos"]))
     of_proj = of_proj.join(proj.select(F.col("exp_idx").cast("long").alias("a"), F.col("pos").cast("long").alias("b"), F.col("id").alias("project_id")), ["a", "b"])
     exp = exp.withColumnRenamed("exp_idx", "id").withColumn("technologies", T.blank_items_null(F.coalesce("technologies", F.array().cast("array<string>"))))
     tables = {
         "skills": (skills, schemas.SKILLS, ()),
-        "informations": (merge.surrogate_keys(info, ["nom", "prenom"]), schemas.INFORMATIONS, ("date_naissance",)),
+        "informations": (info.withColumnRenamed("_n", "id"), schemas.INFORMATIONS, ("date_naissance",)),
         "experiences": (exp, schemas.EXPERIENCES, ("start_date", "end_date")),
-        "formations": (merge.surrogate_keys(form, ["institution", "degree", "start_date"]), schemas.FORMATIONS, ("start_date", "end_date")),
+        "formations": (form.withColumnRenamed("_n", "id"), schemas.FORMATIONS, ("start_date", "end_date")),
         "projects": (proj.withColumnRenamed("exp_idx", "experience_id"), schemas.PROJECTS, ("start_date", "end_date")),
-        "experience_skills": (ingest.link_skills(of_exp, skills, "experience_id", exact=True), schemas.EXPERIENCE_SKILLS, ()),
-        "project_skills": (ingest.link_skills(of_proj, skills, "project_id", exact=True), schemas.PROJECT_SKILLS, ()),
+        "experience_skills": (ingest.link_skills(of_exp, skills, "experience_id", exact=exact_links), schemas.EXPERIENCE_SKILLS, ()),
+        "project_skills": (ingest.link_skills(of_proj, skills, "project_id", exact=exact_links), schemas.PROJECT_SKILLS, ()),
     }
     out = {}
     for name, (df, ddl, dates) in tables.items():
@@ -97,6 +105,11 @@ def seed(spark: SparkSession, files: dict[str, str], embedder: Embedder, cache:
     return Seeded(out, fresh)
 
 
-def load(seeded: Seeded, folder: str) -> None:
-    """K7-K9: all tables below the folder, written beside it and swapped at once: a failed ingest changes nothing."""
+def load(seeded: Seeded, folder: str, cache: VectorCache | None = None) -> None:
+    """K7-K9: all tables below the folder, written beside it and swapped at once: a failed ingest changes nothing.
+
+    New vectors go to the cache first (S11), so a failed load does not pay for them again.
+    """
+    if cache is not None:
+        cache.append(seeded.new_vectors)
     merge.replace_tables(seeded.tables, folder)

@@ -12,6 +12,7 @@ from sparkloom import schemas
 from sparkloom.functions import text as T
 from sparkloom.operators import merge
 
+T_PAGES = "page_number int, image_data binary, width int, height int"
 PAGES = "filename string, page_number int, image_data binary, width int, height int"
 Renderer = Callable[[bytes], list[tuple[bytes, int, int]]]
 
@@ -47,6 +48,22 @@ def render_pages(files: DataFrame, renderer: Renderer) -> DataFrame:
     return files.select("filename", "file_data").mapInPandas(run, PAGES)
 
 
+def register_pages(spark: SparkSession, renderer: Renderer, name: str = "render_pages") -> None:
+    """The renderer as a table function for SQL: `select f.filename, p.* from files f, lateral render_pages(f.file_data) p`.
+
+    A null file has no pages.
+    """
+
+    @F.udtf(returnType=T_PAGES)
+    class Pages:
+        def eval(self, data: bytes):
+            if data is not None:
+                for k, (image, width, height) in enumerate(renderer(bytes(data)), 1):
+                    yield k, image, width, height
+
+    spark.udtf.register(name, Pages)
+
+
 def page(pages: DataFrame, number: int) -> DataFrame:
     """A page by number; no row where it is absent."""
     return pages.where(F.col("page_number") == number).orderBy("filename").limit(1)
