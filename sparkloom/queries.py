@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
 from sparkloom.functions import vector as V
-from sparkloom.operators import accounting, merge, pruned, quota, retrieval
+from sparkloom.operators import accounting, incremental, merge, pruned, quota, retrieval, segments
 from sparkloom.plans import answering
 from sparkloom.sources import assets, ingest
-from sparkloom.streaming import sessions
+from sparkloom.streaming import sessions, sinks
 
 HOUR_MS = 3_600_000
 PRICES = [("1-URGENT", 0.30), ("2-HIGH", 0.25), ("3-MEDIUM", 0.0)]
@@ -354,6 +354,29 @@ def quota_cooldown_fold(spark, sf):
     return quota.quota_fold(e, "user_id", "ms", "event_id", 3, 24 * HOUR_MS)
 
 
+_HOT = "(SELECT CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id END AS user_id, event_id, ts, value FROM events)"
+
+
+def _hot(spark, sf):
+    """Events of which one user has a third and more."""
+    return _t(spark, sf, "events").withColumn("user_id", F.when(F.col("event_id") % 3 == 0, 0).otherwise(F.col("user_id")))
+
+
+@_register(SQL["quota_cooldown_fold"].replace("FROM events", f"FROM {_HOT}"))
+def quota_hot_user(spark, sf):
+    """W2 with a user whose questions are dealt over tasks."""
+    e = _hot(spark, sf).select("user_id", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
+    return segments.quota_split(e, "user_id", "ms", "event_id", 3, 24 * HOUR_MS, hot_rows=1000, block_rows=512)
+
+
+@_register(SQL["session_metrics_exact_fold"].replace("FROM events", f"FROM {_HOT}"))
+def session_metrics_hot_user(spark, sf):
+    """A3 A4 with a session whose turns are dealt over tasks."""
+    e = _hot(spark, sf).where("value is not null").select("user_id", "ts", "event_id", F.floor(F.abs("value") * 10).cast("bigint").alias("lat"), (F.abs("value") / 999983.0).alias("cost"))
+    m = segments.metrics_split(e, "user_id", ["ts", "event_id"], "cost", "lat", hot_rows=1000, block_rows=512)
+    return m.select("user_id", "question_count", F.col("total_cost").cast("double"), "avg_latency_ms")
+
+
 @_register(
     "WITH l AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 1 HOUR, TRUE) AS fresh, event_id FROM events), "
     "s AS (SELECT user_id, ts, sum(fresh::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM l) "
@@ -497,6 +520,36 @@ def chat_session_rows(spark, sf):
     return r.select("user_id", "question_count", "total_tokens", F.col("total_cost").cast("double"), "avg_latency_ms", _AS_TEXT(F.col("providers_used")).alias("providers"))
 
 
+_TALK = "SELECT conv_id AS user_id, turn AS ts, turn AS event_id, length(text)::BIGINT AS lat, length(text) / 999983.0::DOUBLE AS cost, role AS event_type FROM conversations"
+
+
+@_register(SQL["chat_session_rows"].replace(_LOG, _TALK).replace("(SELECT * FROM events WHERE value IS NOT NULL)", f"({_TALK})"))
+def session_rows_by_bucket(spark, sf):
+    """Session rows after three appends in an order that is not that of the turns; each renews the buckets it touches."""
+    n = F.length("text")
+    t = _t(spark, sf, "conversations").select(F.col("conv_id").alias("session_id"), F.timestamp_seconds("turn").cast("timestamp_ntz").alias("ts"), F.col("turn").alias("event_id"), n.alias("tokens"), n.alias("latency"), (n / 999983.0).alias("cost"), F.col("role").alias("provider"))
+    path = f"{merge.shared_dir(spark)}/sessions-{uuid.uuid4().hex}"
+    for k in (1, 2, 0):
+        incremental.append(t.where(F.col("event_id") % 3 == k), path, buckets=16)
+    r = incremental.sessions(spark, path).withColumnRenamed("session_id", "user_id")
+    return r.select("user_id", "question_count", "total_tokens", F.col("total_cost").cast("double"), "avg_latency_ms", _AS_TEXT(F.col("providers_used")).alias("providers"))
+
+
+@_register(SQL["chat_transcript"])
+def recorded_transcript(spark, sf):
+    """K1 K2: log and transcript written together in three batches, one of which runs again, and read back."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    t = _t(spark, sf, "conversations").where("role <> 'system'").withColumns({"nr": F.lead("role").over(w), "answer": F.lead("text").over(w)})
+    p = t.where("role = 'user' and nr = 'assistant'").select(
+        F.col("turn").cast("string").alias("query_id"), F.col("conv_id").cast("string").alias("session_id"), F.col("text").alias("query_text"), F.col("answer").alias("response"), F.length("answer").alias("tokens_used"), F.lit(None).cast("timestamp").alias("created_at"),
+        F.array().cast("array<struct<id:bigint,type:string,score:double>>").alias("retrieved_chunks"), F.lit(0.0).alias("retrieval_s"), F.lit(0.0).alias("generation_s"), F.lit("p").alias("provider_used"), F.lit(0).alias("embedding_tokens"), F.lit(0.0).alias("cost"),
+    )
+    sink = sinks.turns_sink(f"{merge.shared_dir(spark)}/turns-{uuid.uuid4().hex}", 0.13)
+    for k in (0, 1, 2, 1):
+        sink(p.where(F.col("query_id").cast("long") % 3 == k), k)
+    return sink.read(spark, "chat_messages").select(F.col("session_id").cast("bigint").alias("conv_id"), F.col("query_id").cast("bigint").alias("turn"), "seq", "role", "content", "tokens_used")
+
+
 @_register(f"WITH {_CORPORA} SELECT string_agg(type || '-' || id || '-' || round(score, 6)::DECIMAL(8,6), ' ' ORDER BY score DESC, type, id) AS chunks, count(*) AS nb_chunks_retrieved FROM kept")
 def logged_chunks(spark, sf):
     """What the log keeps of the chunks."""
