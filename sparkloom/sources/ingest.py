@@ -13,9 +13,26 @@ from sparkloom.functions import text as T
 from sparkloom.operators import merge
 
 
+def _head(spark: SparkSession, path: str, n: int) -> bytes:
+    """The first bytes of a file (of a folder's first file), read as a stream; none where there is no file."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = sorted((s for s in fs.globStatus(at) or []), key=lambda s: s.getPath().toString())
+    if found and found[0].isDirectory():
+        found = sorted((s for s in fs.listStatus(found[0].getPath()) if s.isFile() and not s.getPath().getName().startswith(("_", "."))), key=lambda s: s.getPath().toString())
+    if not found:
+        return b""
+    stream = fs.open(found[0].getPath())
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(jvm.org.apache.commons.io.input.BoundedInputStream(stream, n), "ISO-8859-1").encode("latin-1")
+    finally:
+        stream.close()
+
+
 def sniff_encoding(spark: SparkSession, path: str, head: int = 10_000) -> str:
     """The encoding of a file by its first bytes: a byte order mark, else UTF-8 where they are valid, else Latin-1."""
-    data = bytes(spark.read.format("binaryFile").load(path).select(F.substring("content", 1, head)).first()[0])
+    data = _head(spark, path, head)
     for mark, name in ((b"\xef\xbb\xbf", "UTF-8"), (b"\xff\xfe", "UTF-16LE"), (b"\xfe\xff", "UTF-16BE")):
         if data.startswith(mark):
             return name
