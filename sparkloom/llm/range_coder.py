@@ -1,6 +1,6 @@
 """Token ids in files: an adaptive context-mixing range coder over independent blocks.
 
-Blocks of up to 8192 ids are coded each from an empty model. Two contexts predict ids:
+Blocks of up to 2048 ids are coded each from an empty model. Two contexts predict ids:
 the last two ids (one candidate) and the last id (two candidates); below them stands
 the order-0 model, the counts of the ids so far, with an escape to ids not yet seen.
 The share of each prediction is learnt as it goes, by how sure the contexts are; where
@@ -8,7 +8,7 @@ contexts agree on an id their shares add. A 64-bit range coder codes the choice,
 where no context had the id, the id by order 0.
 
 All blocks of a batch go in step: one NumPy operation advances every block by one id, so
-the coder needs no compiled code. A batch has at most 1024 blocks of 8192 ids, which
+the coder needs no compiled code. A batch has at most 4096 blocks of 2048 ids, which
 bounds a task's memory; ids are streamed through it whatever a file's or document's size.
 
 A file: magic; the blocks; a footer with, for each block, offset, bytes, ids and the CRC-32 of
@@ -38,12 +38,12 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.common import new_path, written
 
-BLOCK, LEAST, LANES = 8192, 1024, 1024
+BLOCK, LEAST, LANES = 2048, 1024, 4096
 MAGIC = b"SLRC0001"
 FILES = "path string, part long, n_ids long, n_docs long, n_blocks long, n_bytes long"
 DOCS = "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary"
 
-_S2, _S1 = 1 << 12, 1 << 11
+_S2, _S1 = 1 << 11, 1 << 10
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 _32, _WORD, _LOW = np.uint64(32), np.uint64(0xFFFFFFFF), np.uint64(1 << 32)
 _NEW = 1 << 16
@@ -173,8 +173,8 @@ class _Model:
         self.n += 1
 
     def due(self) -> bool:
-        """Whether order 0 is to be counted anew, from all ids so far: at 16, 64, 256, 1024, 4096."""
-        return self.n in (16, 64, 256, 1024, 4096)
+        """Whether order 0 is to be counted anew, from all ids so far: at 16, 64, 256, 1024."""
+        return self.n in (16, 64, 256, 1024)
 
     def count(self) -> np.ndarray:
         """Counts order 0. A lane's ids lie sorted, so a count's place is a position; returns where runs of equal ids begin."""
@@ -195,7 +195,7 @@ class _Model:
 
 
 def _sizes(n: int) -> np.ndarray:
-    """Block sizes for n ids: equal but for one, 8192 at most, and smaller ones rather than few lanes."""
+    """Block sizes for n ids: equal but for one, 2048 at most, and smaller ones rather than few lanes."""
     blocks = max(-(-n // BLOCK), min(256, n // LEAST), 1)
     return np.full(blocks, n // blocks) + (np.arange(blocks) < n % blocks)
 

@@ -36,19 +36,22 @@ def _classes() -> np.ndarray:
 
 
 CLASSES = _classes()
+LOWER = np.array([ord(chr(c).lower()) for c in range(256)], np.uint8)
 
 
 def marked(text: str) -> str:
-    """The pieces of lower-case text, each with its end; CUT stays."""
-    c = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    """The text in lower case with the end of every piece marked: white space after a piece gives way to its mark."""
+    try:
+        c, back = LOWER.take(np.frombuffer(text.encode("latin-1"), np.uint8)), "latin-1"
+    except UnicodeEncodeError:
+        c, back = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32).copy(), "utf-32-le"
     kind = CLASSES.take(c)
-    piece = (kind > 0) & (kind < 4)
-    ends = piece.copy()
+    ends = (kind > 0) & (kind < 4)
     ends[:-1] &= (kind[1:] != kind[:-1]) | (kind[:-1] == 2)
     # 's 't 'm 'd 're 've 'll are pieces where the sign begins one
     at = (c == 39).nonzero()[0]
     if len(at):
-        far = np.append(c, np.zeros(2, np.uint32))
+        far = np.append(c, np.zeros(2, c.dtype))
         at = at[(at == 0) | (kind[at - 1] != 3)]
         one, two = far[at + 1], far[at + 2]
         short = np.isin(one, [ord(x) for x in "stmd"])
@@ -56,11 +59,10 @@ def marked(text: str) -> str:
         ends[at[short | long]] = False
         ends[at[short] + 1] = True
         ends[at[long] + 2] = True
-    kept = kind > 0
-    place = np.cumsum(kept + ends.view(np.uint8)) - 1 - ends
-    out = np.full(int(kept.sum() + ends.sum()), ord(END), np.uint32)
-    out[place[kept]] = c[kept]
-    return out.tobytes().decode("utf-32-le")
+    after = ends.nonzero()[0] + 1  # the last character ends a text, not a piece
+    bare = kind[after] == 0
+    c[after[bare]] = ord(END)
+    return np.insert(c, after[~bare], ord(END)).tobytes().decode(back)
 
 
 def _bytes_of_characters() -> dict[str, int]:
@@ -92,7 +94,7 @@ class WordBPE:
         ids = {raw(t): i for t, i in model["vocab"].items() if byte.keys() >= set(t.removesuffix(close))}
         self.ids = np.array([ids.get(t, 0) for t in ranks], np.uint16)
         self.ids[ord(CUT)] = end_id
-        self.fast = tiktoken.Encoding("word", pat_str=f"[^{END}{CUT}]+{END}|{CUT}", mergeable_ranks=ranks, special_tokens={})
+        self.fast = tiktoken.Encoding("word", pat_str=f"[^\\s{END}{CUT}]+{END}|{CUT}", mergeable_ranks=ranks, special_tokens={})
 
     def library(self, text: str) -> np.ndarray:
         if self.slow is None:
@@ -119,7 +121,7 @@ class WordBPE:
         return out
 
     def _bulk(self, texts: list[str], which: list[int], out: list) -> None:
-        joined = marked(CUT.join([*(texts[i] for i in which), ""]).lower())
+        joined = marked(CUT.join([*(texts[i] for i in which), ""]))
         ranks = self.fast.encode_to_numpy(joined)
         ends = (ranks == ord(CUT)).nonzero()[0] + 1
         for i, ids in zip(which, np.split(self.ids.take(ranks), ends[:-1]), strict=True):
