@@ -24,7 +24,7 @@ from __future__ import annotations
 import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import groupby, islice
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -176,17 +176,20 @@ def completions(counts: dict[int, int], room: int) -> Iterator[tuple[int, ...]]:
                     yield f
 
 
-def fillings(counts: dict[int, int], cap: int, width: int, look: int = 8) -> Iterator[tuple[tuple[int, int], ...]]:
-    """Fillings of a bin around the largest length, as ((length, number), ...).
+def fillings(counts: dict[int, int], cap: int, width: int, look: int = 8, narrow: list[bool] | None = None) -> Iterator[tuple[tuple[int, int], ...]]:
+    """Up to width fillings of a bin around the largest length, as ((length, number), ...).
 
-    Of each run of look * width completions those that another one there
-    dominates are left out; the first is never dominated by a later one.
+    Of the first look * width completions those that another one there
+    dominates are left out; the first is never dominated by a later one. Where
+    there may be more than these, narrow[0] is set.
     """
     top = max(counts)
     rest = {s: c - (s == top) for s, c in counts.items() if c > (s == top)}
     found: list[tuple[int, ...]] = []
-    for k, x in enumerate(islice(completions(rest, cap - top), look * width)):
-        if len(found) >= width:
+    for k, x in enumerate(completions(rest, cap - top)):
+        if len(found) >= width or k >= look * width:
+            if narrow is not None:
+                narrow[0] = True
             return
         if k and any(dominates(y, x) for y in found):
             continue
@@ -210,7 +213,7 @@ class Solution:
     visited: int
 
 
-def bin_completion(counts: dict[int, int], cap: int, nodes: int = 4000, width: int = 6) -> Solution:
+def bin_completion(counts: dict[int, int], cap: int, nodes: int = 4000, width: int = 6, look: int = 8, offer_every: int = 16) -> Solution:
     """Holds all counted lengths in as few bins as found.
 
     A step fills bins around the largest length with one filling, as often as
@@ -218,8 +221,13 @@ def bin_completion(counts: dict[int, int], cap: int, nodes: int = 4000, width: i
     filling of least waste, then with one other choice (another filling, or
     the same for one bin only), then two, and so on. Nodes whose waste bound
     reaches the best solution are left; best-fit decreasing over what is left
-    completes nodes to solutions. Stops at the waste bound (then optimal), when
-    all is searched, or after `nodes` nodes with the best solution so far.
+    completes nodes to solutions (every node where fewer than 64 lengths are
+    left, else every offer_every-th, as it costs as much as many nodes). A node
+    has up to width fillings, of its first look * width completions; where all
+    that is searched, width doubles and the search begins anew, until it has
+    left out nothing. Stops at the waste bound (then optimal), when all is
+    searched, or after `nodes` nodes with the best solution so far: the only
+    limit, and Solution tells the gap it may leave.
     """
     counts = {int(s): int(c) for s, c in counts.items() if c}
     number = lambda sol: sum(t for t, _ in sol)
@@ -251,9 +259,9 @@ def bin_completion(counts: dict[int, int], cap: int, nodes: int = 4000, width: i
             visited += 1
             if not rest or used + waste_bound(rest, cap) >= number(best):
                 return offer(taken, rest) if not rest else None
-            if not others and (len(rest) < 64 or visited % 16 == 0):
+            if not others and (len(rest) < 64 or visited % offer_every == 0):
                 offer(taken, rest)
-            options = fillings(rest, cap, width)
+            options = fillings(rest, cap, width, look, narrow)
             first = next(options)
             times = min(rest[s] // k for s, k in first)
             cut |= not others
@@ -268,13 +276,15 @@ def bin_completion(counts: dict[int, int], cap: int, nodes: int = 4000, width: i
             rest, used = step(rest, first, times), used + times
             taken.append((times, first))
 
-    others = 0
-    while number(best) > bound and visited < nodes and others < len(counts) + sum(counts.values()):
+    others, narrow = 0, [False]
+    while number(best) > bound and visited < nodes:
         cut = False
         search(counts, [], 0, others)
-        if not cut:  # every choice was followed
-            break
         others += 1
+        if not cut:  # every choice was followed
+            if not narrow[0]:
+                break
+            others, narrow[0], width = 0, False, 2 * width
     return Solution(best, number(best), bound, visited)
 
 
@@ -293,8 +303,10 @@ def slots(patterns: list[Pattern]) -> list[tuple[int, int, int, int, int, int]]:
     return out
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, bucket_pieces: int = 5000, nodes: int = 4000, broadcast_slots: int = 250_000) -> DataFrame:
-    """pieces (with doc_id, piece, length) with sequence_id and offset (long).
+def pack(pieces: DataFrame, capacity: int = 2048, bucket_pieces: int = 5000, nodes: int = 4000, broadcast_slots: int = 250_000, gap: str | None = None) -> DataFrame:
+    """pieces (with doc_id, piece, length) with sequence_id and offset (long);
+    in the column gap, if named, how many sequences more than the waste bound
+    were used (0: proven the least).
 
     Only the histogram (at most `capacity` rows) reaches the driver; the slot
     table sent back holds one row a length and pattern and is broadcast up to
@@ -311,7 +323,8 @@ def pack(pieces: DataFrame, capacity: int = 2048, bucket_pieces: int = 5000, nod
     hist = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
     if any(s is None or s > capacity or s < 1 for s in hist):
         raise ValueError("a piece is longer than the capacity, or empty")
-    table = slots(bin_completion(hist, capacity, nodes).patterns)
+    solution = bin_completion(hist, capacity, nodes)
+    table = slots(solution.patterns)
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("length", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     order = Window.partitionBy("length", "_bucket").orderBy("_salt", "doc_id", "piece")
@@ -325,6 +338,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, bucket_pieces: int = 5000, nod
         *[F.col(f"p.{c}") for c in cols],
         (F.col("seq0") + F.floor(k / F.col("per"))).cast("long").alias("sequence_id"),
         (F.col("off0") + (k % F.col("per")) * F.col("p.length")).cast("long").alias("offset"),
+        *([F.lit(solution.bins - solution.bound).cast("long").alias(gap)] if gap else []),
     )
 
 

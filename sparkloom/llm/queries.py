@@ -87,7 +87,7 @@ FROM d LEFT JOIN a USING (doc_id)
 
 def op6_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pieces_of(documents(spark, sf_dir), capacity=2048, tokenizer="byte_bpe_50k.json", end_id=0)
-    return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), capacity=2048)
+    return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), capacity=2048, gap="gap")
 
 
 def op7_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

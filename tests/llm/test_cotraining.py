@@ -1,6 +1,10 @@
 """Co-training: held-out accuracy, and each step on small data."""
 
+import re
+from collections import Counter
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sparkloom.llm import cotraining, queries
@@ -117,3 +121,24 @@ def test_query(spark, sf):
     assert {"doc_id", "p_quality", "p_toxic", "kept"} <= set(out.columns)
     assert out.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
     assert out.where("kept is null or kept <> (p_quality >= 0.5 and p_toxic < 0.5)").count() == 0
+
+
+def test_choice_of_words_equals_a_plain_count(spark, sf):
+    """Chi-square over the words of every labelled text, counted in plain Python."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").select(F.col("text").alias("_text"), F.col("quality").cast("double").alias("q"), F.col("toxic").cast("double").alias("t"))
+    docs = docs.unionByName(spark.createDataFrame([("", 1.0, None), ("Ünï x-Y 9z", None, 0.0), ("same same", 0.0, 1.0)], docs.schema))
+    rows = [tuple(r) for r in docs.collect()]
+    got = cotraining._words_by_label(docs, ["q", "t"], 50, 3.0)
+    for k, words in enumerate(got, 1):
+        own = [(set(re.findall(rb"[a-z\x80-\xff]+", r[0].encode().lower())), r[k]) for r in rows if r[k] is not None]
+        n, pos = len(own), sum(y for _, y in own)
+        count, hits = Counter(), Counter()
+        for ws, y in own:
+            count.update(ws)
+            hits.update(ws if y else ())
+        hashed = {w: int(cotraining.hash_words(pa.array([w.decode()]), lower=False).hash[0]) for w in count}
+        chi2 = {hashed[w]: n * (hits[w] * n - m * pos) ** 2 / (m * (n - m) * pos * (n - pos)) for w, m in count.items() if 0 < m < n}
+        told = sorted((v for v in chi2.values() if v >= 3.0), reverse=True)[:50]
+        assert len(words) == len(told) and len(told) > 5
+        assert np.allclose(sorted((chi2[int(w)] for w in words), reverse=True), told)
+    assert [len(w) for w in cotraining._words_by_label(docs.where("q = 1"), ["q"], 50, 3.0)] == [0]

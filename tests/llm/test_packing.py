@@ -1,6 +1,7 @@
 """Packing: pieces against the tokenizers library, bins against bounds and exact optima."""
 
 import itertools
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -148,3 +149,32 @@ def test_defined_cases(spark):
     assert twice.count() == 2 * packed.count()
     with pytest.raises(ValueError):
         packing.pack(pieces, capacity=100).count()
+
+
+def test_widening_search_is_complete():
+    """With one filling a node at first, all small problems are still solved to their optimum."""
+    rnd = random.Random(4)
+    for _ in range(60):
+        sizes = [rnd.randrange(2, 20) for _ in range(rnd.randrange(4, 10))]
+        counts = {s: sizes.count(s) for s in sizes}
+        got = packing.bin_completion(counts, 20, nodes=10**6, width=1, look=1)
+        assert got.bins == fewest(tuple(sorted(sizes, reverse=True)), 20), sizes
+
+
+def fewest(sizes, cap):
+    """The least number of bins, by trying every place for every piece."""
+    best = len(sizes)
+
+    def place(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(sizes):
+            best = len(rooms)
+            return
+        for k in {r: k for k, r in enumerate(rooms) if r >= sizes[i]}.values():
+            place(i + 1, (*rooms[:k], rooms[k] - sizes[i], *rooms[k + 1 :]))
+        place(i + 1, (*rooms, cap - sizes[i]))
+
+    place(0, ())
+    return best
