@@ -209,8 +209,8 @@ def encode_blocks(ids: np.ndarray) -> tuple[list[bytes], np.ndarray]:
     coming[:, :many] = ids[: many * steps].reshape(many, steps).T
     coming[:short, many:] = ids[many * steps :].reshape(lanes - many, short).T
     model, coder, every = _Model(lanes, steps), _Encoder(lanes, steps), np.arange(lanes)
-    first = size = np.zeros((steps, lanes), np.int32)
-    began = 0
+    # of the ids up to the next count: their place and number in order 0, and which are new to it
+    first, size, new, total, began = np.zeros((steps, lanes), np.int32), np.ones((steps, lanes), np.int32), np.ones((steps, lanes), bool), model.escape(every), 0
     for t in range(steps):
         m = lanes if t < short else many
         x = coming[t, :m].astype(np.int64)
@@ -221,25 +221,36 @@ def encode_blocks(ids: np.ndarray) -> tuple[list[bytes], np.ndarray]:
         start = ends.take(at, mode="clip")
         coder.put(slice(0, m), start, ends.take(at + m, mode="clip") - start, model.ends[4])
         if len(k := (right == 0).nonzero()[0]):
-            n = size[t - began].take(k, mode="clip").astype(np.int64)
-            new = n == 0
-            coder.put(k, np.where(new, model.counted, first[t - began].take(k, mode="clip")).astype(np.int64), np.where(new, model.novel[k], n), model.escape(k))
-            if len(k := k[new]):
+            coder.put(k, first[t - began].take(k, mode="clip").astype(np.int64), size[t - began].take(k, mode="clip").astype(np.int64), total.take(k, mode="clip"))
+            if len(k := k[new[t - began].take(k, mode="clip")]):
                 coder.put(k, x[k], np.ones(len(k), np.int64), np.full(len(k), _NEW))
         model.learn(x, right, m)
         if model.due():
-            # where the ids up to the next count stand among the counted ones
             runs, began = model.count(), t + 1
-            keys = runs // began << 16 | model.sorted[runs]
-            asked = (coming[began : 4 * began].T.astype(np.int64) + (every << 16)[:, None]).ravel()
-            place = keys.searchsorted(asked)
-            place[place == len(keys)] = 0
-            there, runs = keys[place] == asked, runs[place]
-            first = np.ascontiguousarray(model.first[runs].reshape(lanes, -1).T)
-            size = np.ascontiguousarray(np.where(there, model.size[runs], 0).astype(np.int32).reshape(lanes, -1).T)
+            at = _places(model.sorted[runs], np.bincount(runs // began, minlength=lanes), coming[began : 4 * began].T)
+            new = np.ascontiguousarray((at < 0).T)
+            runs = runs[at]
+            first = np.ascontiguousarray(np.where(at < 0, began, model.first[runs]).T.astype(np.int32))
+            size = np.ascontiguousarray(np.where(at < 0, model.novel[:, None], model.size[runs]).T.astype(np.int32))
+            total = model.escape(every)
     return coder.done(), sizes
 
 
+def _places(counted: np.ndarray, n: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """For each lane's ids asked for, their place among all lanes' counted ids (n a lane, one after the other), or -1.
+
+    A table by id serves all lanes: a lane's entries are told from former ones by their place.
+    """
+    table, out, begin = np.full(1 << 16, -1), np.empty(asked.shape, np.int64), 0
+    for lane, end in enumerate(np.cumsum(n).tolist()):
+        table[counted[begin:end]] = np.arange(begin, end)
+        at = table[asked[lane]]
+        at[at < begin] = -1
+        out[lane] = at
+        begin = end
+    return out
+
+
 def decode_blocks(blocks: list[bytes], sizes: np.ndarray) -> np.ndarray:
     """The ids of blocks whose sizes descend and differ by one at most."""
     lanes, steps, short = len(sizes), int(sizes[0]), int(sizes[-1])

@@ -1,10 +1,14 @@
 """Ids of the word vocabulary (lower case, word ends, white space dropped) in bulk.
 
-Texts of Latin letters without control characters are cut into the vocabulary's pieces
-with NumPy, a whole batch at once, and merged by tiktoken: a piece's end is a byte of its
-own (0x7F) that merges with the byte before it first, as the vocabulary's word ends do.
-All other texts, and those with a special string, go to the ``tokenizers`` library. Both
-give the library's ids (tested on whole tables, the whole vocabulary and odd texts).
+No piece of the vocabulary spans a space or a line's end. So the texts of a batch are cut
+there, each distinct word is encoded once, and the texts are put together from the words'
+ids, all in Arrow and NumPy.
+
+Words of Latin letters without control characters are cut into the vocabulary's pieces with
+NumPy, all at once, and merged by tiktoken: a piece's end is a byte of its own (0x7F) that
+merges with the byte before it first, as the vocabulary's word ends do. All other words,
+and those with a special string, go to the ``tokenizers`` library. Both give the library's
+ids (tested on whole tables, the whole vocabulary and odd texts).
 """
 
 from __future__ import annotations
@@ -17,11 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 END, CUT = "\x7f", "\x1e"
-BATCH_CHARS = 1 << 20
+BATCH_BYTES = 8 << 20
 #: Characters that the bulk path knows: white space, printable ASCII, Latin-1 and Latin Extended-A; the dotted capital I has no lower case of one character.
 _OTHER = re.compile("[^\t-\r\x20-\x7e\x80-įı-ſ]|<\\|")
 _LOADED: dict[str, WordBPE] = {}
@@ -96,36 +101,57 @@ class WordBPE:
         self.ids[ord(CUT)] = end_id
         self.fast = tiktoken.Encoding("word", pat_str=f"[^\\s{END}{CUT}]+{END}|{CUT}", mergeable_ranks=ranks, special_tokens={})
 
-    def library(self, text: str) -> np.ndarray:
+    def library(self, text: str) -> list[int]:
         if self.slow is None:
             from tokenizers import Tokenizer
 
             self.slow = Tokenizer.from_file(self.path)
-        return np.array([*self.slow.encode(text, add_special_tokens=False).ids, self.end_id], np.uint16)
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return self.slow.encode(text, add_special_tokens=False).ids
+
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of many words in one array, with each word's first place there and number."""
+        odd = [k for k, w in enumerate(words) if _OTHER.search(w)] if _OTHER.search(" ".join(words)) else []
+        plain = list(words)
+        for k in odd:
+            plain[k] = ""
+        ranks = self.fast.encode_to_numpy(marked(CUT.join([*plain, ""])))
+        ends = (ranks == ord(CUT)).nonzero()[0]
+        # the marks between words go, so a word's ids begin as many places earlier as there are words before it
+        first = np.concatenate(([0], ends[:-1] + 1)) - np.arange(len(ends))
+        size = np.diff(ends, prepend=-1) - 1
+        ids = self.ids.take(ranks[ranks != ord(CUT)])
+        found = [np.array(self.library(words[k]), np.uint16) for k in odd]
+        at = len(ids)
+        for k, x in zip(odd, found, strict=True):
+            first[k], size[k] = at, len(x)
+            at += len(x)
+        return np.concatenate([ids, *found]), first, size
+
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts with their end ids, and where each text's begin (and the last ends)."""
+        # line ends become spaces, so one that is a word of its own is the end of a text
+        lines = pc.binary_join_element_wise(pc.replace_substring(texts.fill_null(""), "\n", " "), pa.scalar("\n"), pa.scalar(" "))
+        split = pc.split_pattern(lines, " ")
+        coded = split.flatten().dictionary_encode()
+        known = coded.dictionary.to_pylist()
+        ids, first, size = self.words(["" if w == "\n" else w for w in known])
+        end = known.index("\n")
+        first[end], size[end] = len(ids), 1
+        ids = np.append(ids, np.uint16(self.end_id))
+        word = coded.indices.to_numpy()
+        n = size.take(word)
+        upto = np.cumsum(n)
+        place = np.repeat(first.take(word) - upto + n, n)
+        place += np.arange(len(place))
+        offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
+        return ids.take(place), np.concatenate(([0], upto))[offsets]
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of every text, its end id last."""
-        out: list[np.ndarray | None] = [None] * len(texts)
-        held, size = [], 0
-        for i, t in enumerate(texts):
-            if _OTHER.search(t):
-                out[i] = self.library(t)
-                continue
-            held.append(i)
-            size += len(t)
-            if size >= BATCH_CHARS:
-                self._bulk(texts, held, out)
-                held, size = [], 0
-        if held:
-            self._bulk(texts, held, out)
-        return out
-
-    def _bulk(self, texts: list[str], which: list[int], out: list) -> None:
-        joined = marked(CUT.join([*(texts[i] for i in which), ""]))
-        ranks = self.fast.encode_to_numpy(joined)
-        ends = (ranks == ord(CUT)).nonzero()[0] + 1
-        for i, ids in zip(which, np.split(self.ids.take(ranks), ends[:-1]), strict=True):
-            out[i] = ids
+        if not texts:
+            return []
+        ids, at = self.texts(pa.array(texts, pa.string()))
+        return np.split(ids, at[1:-1])
 
 
 def encoder(name: str, end_id: int) -> WordBPE:
@@ -141,7 +167,19 @@ def encode_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, end_id)
         for b in batches:
-            ids = [x.astype("<u2").tobytes() for x in enc.encode([t or "" for t in b.column(1).to_pylist()])]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+            for i, j in _slices(b.column(1)):
+                ids, at = enc.texts(b.column(1).slice(i, j - i))
+                col = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((at * 2).astype(np.int32)), pa.py_buffer(ids.astype("<u2"))])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), col], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary")
+
+
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Runs of rows of about BATCH_BYTES; a longer text is one of its own."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64))
+    i = 0
+    while i < len(size):
+        j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + BATCH_BYTES, "right")))
+        yield i, j
+        i = j
