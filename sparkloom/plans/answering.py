@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
 from sparkloom.models import Embedder, Generator, embed_texts, generate
-from sparkloom.operators import accounting, incremental, merge, retrieval
+from sparkloom.operators import accounting, incremental, merge, pruned, retrieval
 from sparkloom.session import SETTINGS, Settings
 from sparkloom.streaming import sinks
 
@@ -37,14 +37,15 @@ def user_prompt(context: Column, question: Column, instructions: str = INSTRUCTI
     return F.concat(F.lit("Contexte :\n"), context, F.lit("\n\nQuestion : "), question, F.lit(f"\n\n{instructions}"))
 
 
-def answer(questions: DataFrame, corpora: DataFrame, prices: DataFrame, embedder: Embedder, providers: list[Generator], settings: Settings = SETTINGS, system: str = SYSTEM, instructions: str = INSTRUCTIONS) -> Answers:
+def answer(questions: DataFrame, corpora: DataFrame, prices: DataFrame, embedder: Embedder, providers: list[Generator], settings: Settings = SETTINGS, system: str = SYSTEM, instructions: str = INSTRUCTIONS, index: pruned.Clusters | None = None) -> Answers:
     """questions: session_id, query_text, created_at and query_id, if they have one (F19: else each gets a new one).
 
     Questions without a chunk above the threshold are answered with a fixed
     text; these, failed and rejected ones are neither logged nor counted (W5).
     Vectors, hits and answers are staged, so that no service is asked twice.
     A question's retrieval takes the time of its embedding call and its share
-    of the search, which is one job for all.
+    of the search, which is one job for all. With an index of the corpora
+    (pruned.build) the search reads it in their place, with the same hits.
     """
     own = F.col("query_id").cast("string") if "query_id" in questions.columns else F.lit(None).cast("string")
     questions = merge.staged(questions.withColumn("query_id", F.coalesce(own, T.new_id())))
@@ -52,7 +53,8 @@ def answer(questions: DataFrame, corpora: DataFrame, prices: DataFrame, embedder
     rejected = questions.where(~T.valid_message(F.col("query_text"), settings.min_message, settings.max_message))
     asked = merge.staged(embed_texts(ok, "query_text", embedder, "query_embedding", seconds="_embed_s"))
     n, began = asked.count(), time.perf_counter()
-    hits = merge.staged(retrieval.relevant(retrieval.search_many(corpora, asked, settings.top_k), settings.threshold))
+    found = retrieval.search_many(corpora, asked, settings.top_k) if index is None else pruned.search(index, asked, settings.top_k)
+    hits = merge.staged(retrieval.relevant(found, settings.threshold))
     share = (time.perf_counter() - began) / max(n, 1)
     chunks = retrieval.log_chunks(hits, ["query_id"]).join(retrieval.prompt_context(hits, ["query_id"], settings.context_chars), "query_id")
     timed = asked.select("query_id", "session_id", "query_text", "created_at", (F.col("_embed_s") + F.lit(share)).alias("retrieval_s"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom import models, schemas
-from sparkloom.operators import accounting, merge, migrations, retrieval
+from sparkloom.operators import accounting, merge, migrations, pruned, retrieval
 from sparkloom.plans import answering, seeding
 from sparkloom.sources import assets
 from sparkloom.sources.cache import VectorCache
@@ -63,6 +63,19 @@ def test_each_question_is_embedded_once_and_recorded(spark, tmp_path):
     assert {k: r["question_count"] for k, r in rows.items()} == want
 
 
+def test_answers_over_an_index_are_the_same(spark, tmp_path):
+    e = models.HashEmbedder(8)
+    docs = models.embed_texts(spark.createDataFrame([(k, f"w{k}") for k in range(60)], "id int, t string"), "t", e)
+    corpus = retrieval.corpus(docs, "formation", F.col("id"), F.col("t"), F.col("t"))
+    q = spark.createDataFrame([(f"q{k}", "s", f"w{k}") for k in range(0, 90, 7)], "query_id string, session_id string, query_text string").withColumn("created_at", F.current_timestamp())
+    prices = spark.createDataFrame([("template", 1.0)], "model string, price double")
+    index = pruned.build(corpus, str(tmp_path / "i"))
+    plain, over = (answering.answer(q, corpus, prices, e, [models.TemplateGenerator()], settings=answering.Settings(threshold=0.3, top_k=4), index=i) for i in (None, index))
+    for name in ("answered", "unanswered"):
+        a, b = (sorted(map(repr, getattr(x, name).select("query_id", *(["context", "retrieved_chunks"] if name == "answered" else [])).collect())) for x in (plain, over))
+        assert a == b and a
+
+
 def test_paced_calls(spark, tmp_path):
     e = Counting(tmp_path / "calls")
     clock = tmp_path / "clock"
