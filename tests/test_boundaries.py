@@ -70,7 +70,7 @@ def test_answers_over_an_index_are_the_same(spark, tmp_path):
     q = spark.createDataFrame([(f"q{k}", "s", f"w{k}") for k in range(0, 90, 7)], "query_id string, session_id string, query_text string").withColumn("created_at", F.current_timestamp())
     prices = spark.createDataFrame([("template", 1.0)], "model string, price double")
     index = pruned.build(corpus, str(tmp_path / "i"))
-    plain, over = (answering.answer(q, corpus, prices, e, [models.TemplateGenerator()], settings=answering.Settings(threshold=0.3, top_k=4), index=i) for i in (None, index))
+    plain, over = (answering.answer(q, corpus, prices, e, [models.TemplateGenerator()], settings=answering.Settings(threshold=0.8, top_k=4), index=i) for i in (None, index))
     for name in ("answered", "unanswered"):
         a, b = (sorted(map(repr, getattr(x, name).select("query_id", *(["context", "retrieved_chunks"] if name == "answered" else [])).collect())) for x in (plain, over))
         assert a == b and a
