@@ -448,6 +448,39 @@ def answered_questions(spark, sf):
     return answering.answer(q, corpus, prices, HashEmbedder(), [TemplateGenerator()]).log
 
 
+@_register(
+    "WITH q AS (SELECT conv_id, turn, text, 'Contexte :' || chr(10) || text AS u FROM conversations WHERE role = 'user') "
+    "SELECT conv_id, turn, 'Based on the context: Contexte :' AS response, len(regexp_extract_all('be brief ' || u, '[^ \\t\\n\\x0b\\f\\r]+'))::INT AS tokens_used, 'template' AS provider_used FROM q"
+)
+def generated_answers(spark, sf):
+    """The first provider has no key, the second is down, the third answers."""
+    from sparkloom.models import TemplateGenerator, Unavailable, generate
+
+    class Keyless(TemplateGenerator):
+        name, key = "keyless", ""
+
+    class Down(TemplateGenerator):
+        name = "down"
+
+        def generate(self, system: str, user: str) -> tuple[str, int]:
+            raise Unavailable("down")
+
+    c = _t(spark, sf, "conversations").where("role = 'user'")
+    p = c.select("conv_id", "turn", F.lit("be brief").alias("system"), F.concat(F.lit("Contexte :\n"), "text").alias("user"))
+    return generate(p, "system", "user", [Keyless(), Down(), TemplateGenerator()]).select("conv_id", "turn", "response", "tokens_used", "provider_used")
+
+
+@_register(
+    "WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS d FROM pages), n AS (SELECT page_id, octet_length(d) AS n FROM p) "
+    "SELECT page_id, k::INT AS page_number, least(1000, n - 1000 * (k - 1))::INT AS width, 20 AS height FROM (SELECT page_id, n, unnest(range(1, (n + 999) // 1000 + 1)) AS k FROM n)"
+)
+def rendered_pages(spark, sf):
+    """2.11: pages by a table function in SQL; here a page is 1000 bytes of a file."""
+    assets.register_pages(spark, lambda data: [(data[k : k + 1000], len(data[k : k + 1000]), 20) for k in range(0, len(data), 1000)], "sparkloom_pages")
+    _t(spark, sf, "pages").select("page_id", F.coalesce("html", F.lit("")).cast("binary").alias("file_data")).createOrReplaceTempView("sparkloom_files")
+    return spark.sql("select f.page_id, p.page_number, p.width, p.height from sparkloom_files f, lateral sparkloom_pages(f.file_data) p")
+
+
 # ---- texts that are embedded, over stand-ins with nulls and empty values
 
 _MAYBE = {"a": "CASE WHEN p_partkey % 3 <> 0 THEN p_name END", "b": "CASE WHEN p_partkey % 4 <> 0 THEN p_brand WHEN p_partkey % 8 = 0 THEN '' END", "c": "CASE WHEN p_partkey % 5 <> 0 THEN p_type END", "d": "CASE WHEN p_partkey % 7 <> 0 THEN 'd' || p_size END"}
