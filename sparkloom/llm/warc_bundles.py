@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from sparkloom.llm.common import new_path, written
 
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
-INDEX = "page_id long, record_id string, path string, frame int, frame_offset long, frame_bytes long, offset long, length long"
+INDEX = "page_id long, record_id string, path string, frame int, frame_offset long, frame_bytes long, offset long, length long, folder string"
 RECORDS = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 DATE = "2000-01-01T00:00:00Z"
 
@@ -118,7 +118,11 @@ def roles(pages: DataFrame, id_col: str, payload_col: str) -> DataFrame:
 
 
 def write_bundles(pages: DataFrame, out: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", frame_bytes: int = 1 << 20, bundle_bytes: int = 256 << 20, level: int = 3) -> DataFrame:
-    """Write WARC bundles below the folder `out`; returns the index (written, too)."""
+    """Write WARC bundles below the folder `out` (a path or URI, in any store); returns the index (written, too).
+
+    An index row has the folder's URI, which names the store, and the bundle's path there.
+    """
+    out = as_uri(out)
     rows = roles(pages.select(id_col, url_col, payload_col), id_col, payload_col)
     rows = rows.select(F.col(id_col).cast("long"), url_col, "_payload", F.col("_refers").cast("long"), "_revisit")
     names = [x.split()[0] for x in INDEX.split(", ")]
@@ -142,7 +146,7 @@ def write_bundles(pages: DataFrame, out: str, id_col: str = "page_id", url_col:
                 f, frames, size = store.open_output_stream(path, compression=None), [], 0
             data = comp.compress(b"".join(held))
             f.write(data)
-            done = [(i, f"urn:page:{'null' if i is None else i}", path, len(frames), size, len(data), a, n) for i, a, n in meta]
+            done = [(i, f"urn:page:{'null' if i is None else i}", path, len(frames), size, len(data), a, n, out) for i, a, n in meta]
             frames.append((len(data), raw))
             size += len(data)
             held, meta, raw = [], [], 0
@@ -186,19 +190,19 @@ def read_bundles(index: DataFrame, frames_a_range: int = 16) -> DataFrame:
     seek table a range lies, and ranges of one bundle go to different tasks.
     Frames hold about as many bytes each, so equal ranges are equal work.
     """
-    spark, root = index.sparkSession, _root_uri(index)
+    spark = index.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, _ = fs.FileSystem.from_uri(root)
         unpack = zstandard.ZstdDecompressor()
         for b in batches:
-            for path, part in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for path, part, folder in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                store, _ = fs.FileSystem.from_uri(folder)
                 with store.open_input_file(path) as f:
                     for at, c, d in read_seek_table(f)[part * frames_a_range : (part + 1) * frames_a_range]:
                         f.seek(at)
                         yield _rows_batch(list(parse(unpack.decompress(f.read(c), max_output_size=d))))
 
-    ranges = index.select("path", F.floor(F.col("frame") / frames_a_range).cast("int").alias("part")).distinct()
+    ranges = index.select("path", F.floor(F.col("frame") / frames_a_range).cast("int").alias("part"), "folder").distinct()
     # a count without keys deals rows in turn, whatever the planner knows of their order, and stays as it is
     return ranges.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(run, RECORDS)
 
@@ -208,13 +212,12 @@ def fetch(index: DataFrame) -> DataFrame:
 
     Each wanted frame is read once, by its offset alone.
     """
-    root = _root_uri(index)
-    frames = index.groupBy("path", "frame_offset", "frame_bytes").agg(F.collect_set("offset").alias("offsets"))
+    frames = index.groupBy("folder", "path", "frame_offset", "frame_bytes").agg(F.collect_set("offset").alias("offsets"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, _ = fs.FileSystem.from_uri(root)
         for b in batches:
-            for path, at, n, offsets in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            for folder, path, at, n, offsets in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                store, _ = fs.FileSystem.from_uri(folder)
                 with store.open_input_file(path) as f:
                     f.seek(at)
                     data = zstandard.ZstdDecompressor().decompress(f.read(n))
@@ -224,13 +227,18 @@ def fetch(index: DataFrame) -> DataFrame:
     return frames.mapInArrow(run, RECORDS)
 
 
-def _root_uri(index: DataFrame) -> str:
-    """The file system of the bundles (their paths are relative to it)."""
-    base = index.sparkSession.conf.get("spark.checkpoint.dir")
-    scheme = base.split("://")[0] + "://" if "://" in base else "file://"
-    return base if scheme != "file://" else "file:///"
+def as_uri(path: str) -> str:
+    """A path with its scheme: `/x` and `file:/x` become `file:///x`."""
+    if "://" not in path:
+        path = "file://" + path.removeprefix("file:")
+    return path.rstrip("/")
+
+
+def _root_uri(index: DataFrame) -> str | None:
+    """The folder of an index's bundles, whose store holds them."""
+    row = index.select("folder").first()
+    return row[0] if row else None
 
 
 def bundle_dir(spark: SparkSession) -> str:
-    path = new_path(spark, "warc")
-    return path if "://" in path else f"file://{path}"
+    return as_uri(new_path(spark, "warc"))

@@ -84,3 +84,11 @@ def test_query(spark, sf):
     pages = [(r["page_id"], None, r["html"]) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
     got = sorted(tuple(r) for r in queries.op2_warc_bundles(spark, sf).select("page_id", "record_type", "refers_to", "payload_bytes", "payload_digest").collect())
     assert got == [(w[0], *w[2:6]) for w in want(pages)]
+
+
+def test_folders_by_path_and_by_uri(spark, tmp_path):
+    """The folder need not lie in the store of the checkpoint folder, and may be written in any form."""
+    for k, form in enumerate((str, lambda p: f"file:{p}", lambda p: f"file://{p}/")):
+        index = W.write_bundles(table(spark, 2), form(tmp_path / f"b{k}"))
+        assert {r["folder"] for r in index.select("folder").distinct().collect()} == {f"file://{tmp_path}/b{k}"}
+        assert W.read_bundles(index).count() == W.fetch(index).count() == index.count() > 0
