@@ -29,9 +29,16 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: list[str]) ->
     return old.join(last.select(*keys), keys, "left_anti").select(*old.columns).unionByName(last)
 
 
-def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """K5: rows whose key exists are left out, repeats among the new ones as well."""
-    return old.unionByName(new.dropDuplicates(keys).join(old.select(*keys), keys, "left_anti").select(*old.columns))
+def spread(df: DataFrame, keys: list[str], rows: int, task_rows: int = 1 << 20) -> DataFrame:
+    """df dealt by its keys over as many tasks as `rows` need: what a task holds for them does not grow with the table."""
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // task_rows))
+    return df.repartition(n, *keys)
+
+
+def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str], task_rows: int = 1 << 20) -> DataFrame:
+    """K5: rows whose key exists are left out, repeats among the new ones as well. A task takes about task_rows of the new rows."""
+    fresh = spread(new, keys, new.count(), task_rows).dropDuplicates(keys)
+    return old.unionByName(fresh.join(old.select(*keys), keys, "left_anti").select(*old.columns))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,6 +57,13 @@ def staged(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df as compressed Parquet in the shared folder: a fraction of a checkpoint's bytes, and readers take the columns they need."""
+    path = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def gathered(spark: SparkSession, parts: Iterable[DataFrame]) -> DataFrame:
     """The rows of all parts, written part by part into the shared folder: the plan does not grow with their number."""
     path, schema = f"{shared_dir(spark)}/gathered-{uuid.uuid4().hex}", None

@@ -256,8 +256,9 @@ def upsert_last_wins(spark, sf):
 def insert_ignore_bridge(spark, sf):
     """K5."""
     li = _t(spark, sf, "lineitem").select("l_orderkey", "l_partkey")
-    old = li.where("l_orderkey % 2 = 0").distinct()
-    return merge.insert_ignore(old, li, ["l_orderkey", "l_partkey"])
+    keys = ["l_orderkey", "l_partkey"]
+    old = merge.spread(li.where("l_orderkey % 2 = 0"), keys, li.count()).distinct()
+    return merge.insert_ignore(old, li, keys)
 
 
 @_register("SELECT id, l_orderkey, l_linenumber FROM lineitem JOIN (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS id FROM orders) ON o_orderkey = l_orderkey")
