@@ -27,16 +27,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkloom.operators import merge, retrieval
+from sparkloom.operators.tiles import SLACK, usable
+from sparkloom.operators.tiles import best as _best
+from sparkloom.operators.tiles import matrix as _matrix
 from sparkloom.session import SETTINGS
 
 ROWS = "cluster int, batch long, row long, distance double, type string, id long, child_id long, title string, description string, embedding array<double>"
-#: Slack for sums in another order: far above rounding, far below any two scores that matter.
-SLACK = 1e-9
 ZERO = -1  # the cluster of vectors without a direction
 
 
@@ -61,20 +62,6 @@ def nearest(u: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return near, np.sqrt(((u - c[near]) ** 2).sum(axis=1))
 
 
-def sums(products: np.ndarray) -> np.ndarray:
-    """Row sums from left to right, as a fold of the elements gives them."""
-    return np.cumsum(products, axis=1)[:, -1] if products.shape[1] else np.zeros(len(products))
-
-
-def _matrix(col: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
-    return np.asarray(col.combine_chunks().flatten() if isinstance(col, pa.ChunkedArray) else col.flatten(), np.float64).reshape(-1, dim)
-
-
-def usable(v: Column, dim: int) -> Column:
-    fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-    return v.isNotNull() & (F.size(v) == dim) & F.forall(v, fine)
-
-
 @dataclass
 class Clusters:
     """path holds the rows; centres (clusters by dim), radius and count describe them and are bounded by the number of clusters."""
@@ -190,35 +177,6 @@ def last_probes(index: Clusters, questions: DataFrame) -> DataFrame:
     return questions.select("qid", "q", "seen", "least").mapInArrow(run, _question_schema(questions))
 
 
-def _best(t: pa.Table, k: int, dim: int, group: int = 256) -> pa.Table:
-    """The k best rows of a tile for each of its questions."""
-    t = t.combine_chunks()
-    is_row = t.column("is_row").to_numpy(zero_copy_only=False)
-    rows, asked = t.filter(pa.array(is_row)), t.filter(pa.array(~is_row))
-    v, q = _matrix(rows.column("vector"), dim), _matrix(asked.column("vector"), dim)
-    n, picked = len(v), []
-    if n:
-        vn, qn = np.sqrt(sums(v * v)), np.sqrt(sums(q * q))
-        u = v / vn[:, None]
-        for i in range(0, len(q), group):
-            near = (q[i : i + group] / qn[i : i + group, None]) @ u.T
-            least = np.partition(near, n - min(k, n), axis=1)[:, n - min(k, n)]
-            a, b = np.nonzero(near >= least[:, None] - SLACK)
-            score = np.empty(len(a))
-            for j in range(0, len(a), 8192):
-                x, y = a[j : j + 8192] + i, b[j : j + 8192]
-                score[j : j + 8192] = np.clip(sums(v[y] * q[x]) / (vn[y] * qn[x]), -1, 1)
-            _, kind = np.unique(np.array(rows.column("type").to_pylist(), object).astype(str), return_inverse=True)
-            child = rows.column("child_id")
-            none, child = child.is_null().to_numpy(zero_copy_only=False), child.fill_null(0).to_numpy()
-            order = np.lexsort((child[b], ~none[b], rows.column("id").to_numpy()[b], kind[b], -score, a))
-            a, b, score = a[order], b[order], score[order]
-            keep = np.arange(len(a)) - np.searchsorted(a, a) < k
-            picked.append((a[keep] + i, b[keep], score[keep]))
-    a, b, score = (np.concatenate([p[j] for p in picked]) if picked else np.zeros(0, int if j < 2 else float) for j in range(3))
-    return pa.table({"qid": asked.column("qid").take(pa.array(a)), **{c: rows.column(c).take(pa.array(b)) for c in ("batch", "row", "type", "id", "child_id")}, "score": pa.array(score, pa.float64())})
-
-
 def _hits(index: Clusters, probes: DataFrame, k: int, block_rows: int) -> DataFrame:
     """Exact scores of the probed clusters: (qid, batch, row, type, id, child_id, score)."""
     spark = index.spark

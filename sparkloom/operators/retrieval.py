@@ -2,10 +2,9 @@
 
 A search is one scan of each corpus (only id, title, description and vector),
 a union and a top-k: a TakeOrderedAndProject, so each task sends k rows. With
-several questions, each task keeps the k best of every question before the
-shuffle (a window that Spark turns into a partial group limit), and the
-question table is broadcast only up to a checked number of rows; beyond it
-Spark runs it in blocks.
+several questions, rows and questions are cut into blocks of bounded size; a
+tile is one against the other, scored by products of matrices, and returns k
+rows a question at most. Titles and descriptions join the hits at the end.
 """
 
 from __future__ import annotations
@@ -14,10 +13,13 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from sparkloom.functions import text as T
 from sparkloom.functions import vector as V
+from sparkloom.functions.memory import lean
 from sparkloom.operators import merge
+from sparkloom.operators.tiles import best, usable
 from sparkloom.session import SETTINGS
 
 #: Fixed value: the answer where nothing relevant was found.
@@ -63,27 +65,73 @@ def search(corpora: DataFrame, query: list[float], k: int = SETTINGS.top_k) -> D
     return s.drop("embedding").orderBy(F.col("score").desc_nulls_last(), "type", "id", F.col("child_id").asc_nulls_first()).limit(k)
 
 
+#: Numbers (rows times dimensions) and questions of a tile. Rows are shuffled once a block of questions, and k hits a question once a block of rows.
+TILE_NUMBERS, TILE_QUESTIONS = 1 << 21, 8192
+#: Lengths between these have squares and products that neither vanish nor overflow.
+_SHORT, _LONG = 1e-140, 1e140
+
+
+def _kind(vec: str, dim: int) -> Column:
+    """0: a vector for the tiles; 1: one of length zero, which scores NaN; 2: any other, which only the plain expression scores."""
+    n = V.norm(F.col(vec))
+    return F.when(~usable(F.col(vec), dim), 2).when(n == 0, 1).when((n > _SHORT) & (n < _LONG), 0).otherwise(2)
+
+
+def _tiles(rows: DataFrame, asked: DataFrame, n_rows: int, n_asked: int, dim: int, k: int) -> DataFrame:
+    """_qid, _row, type, id, child_id and score: k rows a question of each block of rows."""
+    i, j = max(1, -(-n_rows // max(1, TILE_NUMBERS // dim))), max(1, -(-n_asked // TILE_QUESTIONS))
+    qid, vector = asked.schema["_qid"].dataType, "array<float>" if rows.schema["embedding"].dataType == asked.schema["_q"].dataType == S.ArrayType(S.FloatType()) else "array<double>"
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    none = {"row": "long", "type": "string", "id": "long", "child_id": "long"}
+    left = rows.select(F.pmod(F.xxhash64("_row"), F.lit(i)).cast("int").alias("i"), F.lit(True).alias("is_row"), F.lit(None).cast(qid).alias("qid"), F.col("_row").alias("row"), "type", "id", "child_id", F.col("embedding").cast(vector).alias("vector"), each(j).alias("j"))
+    right = asked.select(F.pmod(F.xxhash64("_qid", "_q"), F.lit(j)).cast("int").alias("j"), F.lit(False).alias("is_row"), F.col("_qid").alias("qid"), *[F.lit(None).cast(t).alias(c) for c, t in none.items()], F.col("_q").cast(vector).alias("vector"), each(i).alias("i"))
+    out = S.StructType([S.StructField("qid", qid), *[S.StructField(c, S.StringType() if c == "type" else S.LongType()) for c in ("batch", *none)], S.StructField("score", S.DoubleType())])
+    both = left.unionByName(right).withColumn("batch", F.lit(0).cast("long"))
+    hits = both.groupBy("i", "j").applyInArrow(lean(lambda t: best(t, k, dim, 64)), out)
+    return hits.select(F.col("qid").alias("_qid"), F.col("row").alias("_row"), "type", "id", "child_id", "score")
+
+
 def search_many(corpora: DataFrame, questions: DataFrame, k: int = SETTINGS.top_k, qid: str = "query_id", vec: str = "query_embedding", broadcast_rows: int = 10_000) -> DataFrame:
     """The k best rows for each of many questions (qid, vec).
 
-    Questions are taken in blocks of broadcast_rows, so that what is broadcast
-    has a bound; each block is one pass over the corpora. With several blocks
-    the questions are staged first, and each block's hits are written.
+    Corpora and questions are stored first. Vectors of finite numbers, as many
+    as most questions have, meet in tiles. Of those of length zero, which score
+    NaN with all, the first k rows serve every question. Any others are scored
+    by the plain expression, with questions in blocks of broadcast_rows, so that
+    what is broadcast has a bound.
     """
-    q = questions.where(F.col(vec).isNotNull()).select(qid, vec, V.norm(F.col(vec)).alias("_qn"))
-    c = corpora.where(F.col("embedding").isNotNull()).withColumn("_cn", V.norm(F.col("embedding")))
-    best = Window.partitionBy(qid).orderBy(F.col("score").desc_nulls_last(), "type", "id", F.col("child_id").asc_nulls_first())
-
-    def hits(part: DataFrame) -> DataFrame:
-        j = c.crossJoin(F.broadcast(part)).withColumn("score", V.cosine(V.dot(F.col("embedding"), F.col(vec)), F.col("_cn") * F.col("_qn")))
-        return j.select(qid, "type", "id", "child_id", "title", "description", "score").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-
-    n = q.count()
-    if n <= broadcast_rows:
-        return hits(q)
-    blocks = -(-2 * n // broadcast_rows)  # half full on average, so none is over the bound
-    q = merge.staged(q.withColumn("_block", F.pmod(F.xxhash64(qid), F.lit(blocks))))
-    return merge.gathered(q.sparkSession, (hits(q.where(F.col("_block") == b).drop("_block")) for b in range(blocks)))
+    q = questions.where(F.col(vec).isNotNull()).select(F.col(qid).alias("_qid"), F.col(vec).alias("_q"))
+    q = merge.stored(q.withColumn("_n", F.size("_q")))
+    most = q.groupBy("_n").count().orderBy(F.desc("count"), "_n").first()
+    dim = max(1, most["_n"]) if most else 1
+    q = q.select("_qid", "_q", _kind("_q", dim).alias("_kind"))
+    c = merge.stored(corpora.where(F.col("embedding").isNotNull()).select(*CORPUS, F.monotonically_increasing_id().alias("_row"), _kind("embedding", dim).alias("_kind")))
+    rows_of, asked_of = ({r["_kind"]: r["count"] for r in t.groupBy("_kind").count().collect()} for t in (c, q))
+    keys = ["_row", "type", "id", "child_id"]
+    by = [F.col("score").desc_nulls_last(), "type", "id", F.col("child_id").asc_nulls_first(), "_row"]
+    top = lambda df: df.withColumn("rank", F.row_number().over(Window.partitionBy("_qid").orderBy(*by))).where(F.col("rank") <= k)
+    of = lambda t, *kinds: t.where(F.col("_kind").isin(*kinds))
+    first = lambda t: F.broadcast(t.select(*keys).orderBy(*by[1:]).limit(k))
+    nan = F.lit(float("nan")).alias("score")
+
+    def plain(rows: DataFrame, asked: DataFrame, n: int) -> DataFrame:
+        rows, asked = rows.withColumn("_cn", V.norm(F.col("embedding"))), asked.withColumn("_qn", V.norm(F.col("_q")))
+        blocks = 1 if n <= broadcast_rows else -(-2 * n // broadcast_rows)  # half full on average, so none is over the bound
+        score = V.cosine(V.dot(F.col("embedding"), F.col("_q")), F.col("_cn") * F.col("_qn")).alias("score")
+        parts = (top(rows.crossJoin(F.broadcast(asked.where(F.pmod(F.xxhash64("_qid", "_q"), F.lit(blocks)) == b))).select("_qid", *keys, score)).drop("rank") for b in range(blocks))
+        return merge.gathered(q.sparkSession, parts)
+
+    found = _tiles(of(c, 0), of(q, 0), rows_of.get(0, 0), asked_of.get(0, 0), dim, k)
+    if rows_of.get(1):
+        found = found.unionByName(of(q, 0).select("_qid").crossJoin(first(of(c, 1))).select("_qid", *keys, nan))
+    if asked_of.get(1):
+        found = found.unionByName(of(q, 1).select("_qid").crossJoin(first(of(c, 0, 1))).select("_qid", *keys, nan))
+    if rows_of.get(2):
+        found = found.unionByName(plain(of(c, 2), q, sum(asked_of.values())))
+    if asked_of.get(2):
+        found = found.unionByName(plain(of(c, 0, 1), of(q, 2), asked_of[2]))
+    texts = c.select("_row", "title", "description")
+    return top(found).join(texts, "_row").select(F.col("_qid").alias(qid), "type", "id", "child_id", "title", "description", "score", "rank")
 
 
 def relevant(hits: DataFrame, threshold: float = SETTINGS.threshold) -> DataFrame:
