@@ -16,6 +16,9 @@ segment keeps the sums between these turns, which are replayed with the true tot
 Mean. The floored mean after a segment is a monotone step function of the mean before it
 (and of the number of turns before, known from the numbering). A segment tabulates it over
 the range of the session's latencies; applying the tables in order gives the last mean.
+
+Summaries of both kinds compose: those of WIDE segments in a row become that of one, again
+and again, so the task that ends a session reads WIDE summaries at most.
 """
 
 from __future__ import annotations
@@ -32,10 +35,12 @@ from pyspark.sql import types as T
 
 from sparkloom.operators import accounting, quota
 from sparkloom.operators.folds import ordered_fold
-from sparkloom.operators.merge import staged
+from sparkloom.operators.merge import staged, stored
 from sparkloom.session import SETTINGS
 
 NONE = np.iinfo(np.int64).min
+#: Summaries that become one.
+WIDE = 64
 
 
 def _join(a: DataFrame, b: DataFrame, cols: list[str], how: str = "inner") -> DataFrame:
@@ -190,7 +195,9 @@ def metrics_split(log: DataFrame, session: str, order: list[str], cost: str, lat
         return pa.table(cols | {k: pa.array([one.get(k)], kind) for k, kind in kinds.items()})
 
     schema = _like(rows, session, *fields)
-    parts = staged(large.groupBy(session, "_seg").applyInArrow(summarise, schema))
+    parts = stored(large.groupBy(session, "_seg").applyInArrow(summarise, schema))
+    most = hot.agg(F.max("_total")).first()[0]
+    parts = composed(parts, session, -(-most // block_rows))
     out = T.StructType([T.StructField("question_count", T.LongType()), T.StructField("total_cost", T.DecimalType(10, 6)), T.StructField("avg_latency_ms", T.LongType())])
 
     def step(state: tuple, n: int, gaps, lows, highs, costs, begins, means) -> tuple:
@@ -205,6 +212,47 @@ def metrics_split(log: DataFrame, session: str, order: list[str], cost: str, lat
     return walked.unionByName(done)
 
 
+def composed(parts: DataFrame, session: str, most: int) -> DataFrame:
+    """Summaries of runs of segments, WIDE a session at most. most: the segments of the longest session."""
+    columns = parts.columns
+
+    def compose(t: pa.Table) -> pa.Table:
+        t = t.sort_by("_seg").combine_chunks()
+        whole = lambda c: t.column(c).null_count == 0
+        one = {"n": sum(t.column("n").to_pylist())}
+        if whole("gaps"):
+            one |= _costs_in_row(*(t.column(c).to_pylist() for c in ("gaps", "lows", "highs", "costs")))
+        if whole("begins"):
+            tables = [[x.values.to_numpy() for x in t.column(c)] for c in ("begins", "means")]
+            begins, means = tables[0][0], tables[1][0]
+            for first, ends in zip(*(x[1:] for x in tables), strict=True):
+                means = ends[np.searchsorted(first, means, "right") - 1]
+                new = np.concatenate(([True], means[1:] != means[:-1]))
+                begins, means = begins[new], means[new]
+            one |= {"begins": begins, "means": means}
+        kinds = {c: t.schema.field(c).type for c in columns[3:]}
+        cols = {session: t.column(session).slice(0, 1), "_seg": t.column("_up").slice(0, 1), "n": pa.array([one["n"]])}
+        return pa.table(cols | {c: pa.array([one.get(c)], kind) for c, kind in kinds.items()})
+
+    while most > WIDE:
+        up = parts.withColumn("_up", F.floor(F.col("_seg") / WIDE))
+        parts, most = stored(up.groupBy(session, "_up").applyInArrow(compose, parts.schema)), -(-most // WIDE)
+    return parts
+
+
+def _costs_in_row(gaps: list, lows: list, highs: list, costs: list) -> dict:
+    """Cost summaries in order as one: a segment's last sum and the next one's first are those of one stretch."""
+    out = {"gaps": [0], "lows": [0], "highs": [0], "costs": []}
+    for g, low, high, c in zip(gaps, lows, highs, costs, strict=True):
+        at = out["gaps"][-1]
+        out["lows"][-1], out["highs"][-1] = min(out["lows"][-1], at + low[0]), max(out["highs"][-1], at + high[0])
+        out["gaps"][-1] = at + g[0]
+        for name, values in (("gaps", g), ("lows", low), ("highs", high)):
+            out[name] += values[1:]
+        out["costs"] += c
+    return out
+
+
 #: In millionths: a cost nearer than this to a half may round either way with the total. Sums below 10,000 err by less than a hundredth of it.
 NEAR = 1e-3
 

@@ -108,3 +108,18 @@ def test_summaries_of_costs():
         total = accounting.turn((0, total, None), None, c)[1]
     s = segments._cost_summary(np.array(costs))
     assert segments._cost_after(Decimal(0), s["gaps"], s["lows"], s["highs"], s["costs"], True) == total and 0 < len(s["costs"]) < 400
+
+
+def test_summaries_compose(spark, monkeypatch):
+    """Summaries in a row as one: the task that ends a session reads `WIDE` at most, with the same row."""
+    rng = np.random.default_rng(8)
+    rows = [("hot", k, int(rng.integers(50, 90)), float(rng.integers(0, 10**6)) / 1e6 + (0.5e-6 if k % 7 == 0 else 0.0)) for k in range(1500)]
+    rows += [("none", k, None if k == 70 else 3, None if k == 90 else 0.25) for k in range(400)]
+    log = spark.createDataFrame(rows, "s string, at long, l long, c double")
+    want = sorted(map(tuple, accounting.session_metrics_exact(log, "s", ["at"], "c", "l").collect()))
+    monkeypatch.setattr(segments, "WIDE", 4)
+    read, fold = [], segments.ordered_fold
+    monkeypatch.setattr(segments, "ordered_fold", lambda parts, *a: read.append(parts.groupBy("s").count().agg({"count": "max"}).first()[0]) or fold(parts, *a))
+    got = segments.metrics_split(log, "s", ["at"], "c", "l", hot_rows=100, block_rows=16)
+    assert sorted(map(tuple, got.collect())) == want
+    assert read and read[0] <= 4
