@@ -53,8 +53,10 @@ def answer(questions: DataFrame, corpora: DataFrame, prices: DataFrame, embedder
     rejected = questions.where(~T.valid_message(F.col("query_text"), settings.min_message, settings.max_message))
     asked = merge.staged(embed_texts(ok, "query_text", embedder, "query_embedding", seconds="_embed_s"))
     n, began = asked.count(), time.perf_counter()
-    found = retrieval.search_many(corpora, asked, settings.top_k) if index is None else pruned.search(index, asked, settings.top_k)
-    hits = merge.staged(retrieval.relevant(found, settings.threshold))
+    # of a description no more than the prompt shows, before each of a question's hits carries it
+    shown = T.prefix(F.col("description"), settings.context_chars)
+    found = retrieval.search_many(corpora.withColumn("description", shown), asked, settings.top_k) if index is None else pruned.search(index, asked, settings.top_k).withColumn("description", shown)
+    hits = merge.stored(retrieval.relevant(found, settings.threshold))
     share = (time.perf_counter() - began) / max(n, 1)
     chunks = retrieval.log_chunks(hits, ["query_id"]).join(retrieval.prompt_context(hits, ["query_id"], settings.context_chars), "query_id")
     timed = asked.select("query_id", "session_id", "query_text", "created_at", (F.col("_embed_s") + F.lit(share)).alias("retrieval_s"))
