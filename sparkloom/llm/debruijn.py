@@ -44,11 +44,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkloom.functions.memory import give_back, lean
 from sparkloom.llm.arrow_groups import block_count, block_of, runs
 from sparkloom.llm.common import text_bytes, written
-from sparkloom.llm.wordhash import U64, hash_words, inside, mix, ngram_hash, raw
+from sparkloom.llm.wordhash import U64, hash_words, inside, mix, ngram_hash, raw, row_slices
 
 SEED_WORDS = 6
+#: Bytes of text whose windows are taken at once to find seeds.
+SEED_BYTES = 4 << 20
 LAST = np.iinfo(np.int64).max
 #: Blocks a row of repeated edges names at most.
 LOT = 1024
@@ -84,8 +87,15 @@ def _edge_key(node: np.ndarray, chk: np.ndarray) -> np.ndarray:
 def _seeds(docs: DataFrame, k: int) -> DataFrame:
     """(seed, block, n): n is 2 where the seed may already cover a window twice within the batch."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The batches in pieces of bounded bytes: windows take ten times those of their texts."""
         for b in batches:
+            for i, j in row_slices(b.column(1), SEED_BYTES):
+                yield b.slice(i, j - i)
+            give_back()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches):
             w, at, low = _windows(b.column(1), k)
             if not len(at):
                 continue
@@ -158,7 +168,7 @@ def _edges(docs: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
         block = np.full(len(mark), d.column("block")[0].as_py(), np.int32)
         return pa.table([pa.array(node[first].view(np.int64)), pa.array(chk[first]), pa.array(block), pa.array(doc[first]), pa.array(start[first]), pa.array(mark)], names=names)
 
-    return docs.select("block", "_id", "_text").groupBy("block").cogroup(seeds.groupBy("block")).applyInArrow(run, "node long, chk int, block int, doc long, start int, mark int")
+    return docs.select("block", "_id", "_text").groupBy("block").cogroup(seeds.groupBy("block")).applyInArrow(lean(run, 2), "node long, chk int, block int, doc long, start int, mark int")
 
 
 def _repeated(edges: DataFrame, limit: int = 1 << 20) -> DataFrame:
@@ -309,4 +319,4 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", words: int = 20) ->
             t = t.append_column(name, v)
         return t
 
-    return base.groupBy("block").cogroup(paths.groupBy("block")).applyInArrow(run, schema)
+    return base.groupBy("block").cogroup(paths.groupBy("block")).applyInArrow(lean(run, 2), schema)
