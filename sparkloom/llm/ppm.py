@@ -39,6 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.functions.memory import lean
 from sparkloom.llm.arrow_groups import block_count, block_of
 from sparkloom.llm.common import text_bytes, written
 from sparkloom.llm.wordhash import hash_words, large_string, raw
@@ -174,7 +175,7 @@ def _counts(docs: DataFrame, depth: int) -> DataFrame:
             out.append(pa.table({"block": pa.array(np.full(len(key), block, np.int32)), "kind": pa.array(np.full(len(key), kind, np.int8)), "key": pa.array(key), "n": pa.array(n)}))
         return pa.concat_tables(out)
 
-    return docs.groupBy("block").applyInArrow(run, "block int, kind byte, key long, n long")
+    return docs.groupBy("block").applyInArrow(lean(run), "block int, kind byte, key long, n long")
 
 
 def _contexts(grams: DataFrame, shorter: DataFrame | None, depth: int) -> DataFrame:
@@ -258,5 +259,5 @@ def score(docs: DataFrame, train: Column, text_col: str = "text", depth: int = 5
         cat = lambda k, t: pa.array(np.concatenate(cols[k]).astype(t) if cols[k] else np.zeros(0, t))
         return pa.table({"doc_id": d.column("doc_id"), "trained": d.column("_train"), "n_tokens": cat(0, np.int64), "n_known": cat(1, np.int64), "base_score": cat(2, float), "score": cat(3, float)})
 
-    scored = base.groupBy("block").cogroup(per_block.groupBy("block")).applyInArrow(run, f"doc_id {id_type}, trained boolean, n_tokens long, n_known long, base_score double, score double")
+    scored = base.groupBy("block").cogroup(per_block.groupBy("block")).applyInArrow(lean(run, 2), f"doc_id {id_type}, trained boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "trained", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score")
