@@ -39,159 +39,184 @@ from pyspark.sql import functions as F
 from sparkloom.llm.common import new_path, written
 
 BLOCK, LEAST, LANES = 2048, 1024, 4096
-MAGIC = b"SLRC0001"
+MAGIC = b"SLRC0002"
 FILES = "path string, part long, n_ids long, n_docs long, n_blocks long, n_bytes long"
 DOCS = "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary"
 
 _S2, _S1 = 1 << 11, 1 << 10
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 _32, _WORD, _LOW = np.uint64(32), np.uint64(0xFFFFFFFF), np.uint64(1 << 32)
-_NEW = 1 << 16
-#: Shares lie packed, 16 bits each: first and second candidate, third, order 0.
-_START, _LIMIT, _HALF, _LEAST_SHARES = 6 | 3 << 16 | 2 << 32 | 8 << 48, 1 << 12, 0x7FFF7FFF7FFF7FFF, 0x0001000100010001
-#: By the candidates that are right (bits 1, 2, 4): what the shares gain, and which interval is coded.
+#: Keeps a quotient of rounded doubles at or below the true one.
+_BELOW = 1 - 2.0**-50
+#: Shares lie packed, 16 bits each: last id's first candidate, last two ids' one, last id's second, order 0. A product with _ENDS sums them up.
+_START, _LIMIT, _HALF, _ENDS = 3 | 6 << 16 | 2 << 32 | 8 << 48, 1 << 12, 0x7FFF7FFF7FFF7FFF, 0x0001000100010001
+#: By the candidates that are right (bits 1, 2, 4, in the order of the shares): what the shares gain, and which ends bound
+#: the interval. Where contexts agree on an id, it has the intervals of both, which lie side by side.
 _GAIN = np.array([16 << 48] + [sum(16 << 16 * k for k in range(3) if hits >> k & 1) for hits in range(1, 8)])
-_SLOT = np.array([3, 0, 1, 0, 2, 0, 1, 0])
-#: By how sure a context was (0 to 3), and 4 more where its candidate was right: how sure it is now.
-_SURE = np.array([0, 0, 1, 1, 1, 2, 3, 3])
+_FROM, _TO = np.array([48, 0, 16, 0, 32, 0, 16, 0]), np.array([48, 0, 16, 16, 32, 0, 32, 16])
+#: By how sure the contexts of two ids (times 32) and of one (times 8) were, 0 to 3, and the candidates that are right: how sure they are now.
+_SURE = np.array([[0, 0, 1, 1], [1, 2, 3, 3]])
+_SURE2 = np.array([_SURE[k >> 1 & 1, k >> 5] << 18 for k in range(128)])
+_SURE1 = np.array([_SURE[k & 1, k >> 3 & 3] << 32 for k in range(128)])
 
 
 class _Encoder:
-    """Range coders of all lanes: intervals in, 32-bit words out. Carries run back into words already out."""
+    """Range coders of all lanes: intervals in, 32-bit words out.
+
+    Each step notes for every lane the word that may leave, whether it does, and whether a carry runs back
+    into the words before it; done() puts them together.
+    """
 
     def __init__(self, lanes: int, steps: int):
         self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, _FULL)
-        self.out, self.at = np.zeros((lanes, 3 * steps // 2 + 8), np.uint32), np.zeros(lanes, np.int64)
+        self.words, self.out, self.carry = np.empty((steps + 2, lanes), np.uint32), np.ones((steps + 2, lanes), bool), np.zeros((steps + 2, lanes), bool)
+        self.n = 0
 
-    def put(self, lanes: np.ndarray | slice, start: np.ndarray, size: np.ndarray, total: np.ndarray) -> None:
-        """lanes: a slice of the first ones, or numbers."""
-        before = self.low[lanes]
-        each = self.range[lanes] // total.view(np.uint64)
+    def put(self, m: int, start: np.ndarray, size: np.ndarray, total: np.ndarray) -> None:
+        """For the first m lanes."""
+        before, out = self.low, self.out[self.n]
+        each = _share(self.range, total)
         low, rng = before + start.view(np.uint64) * each, size.view(np.uint64) * each
-        over, short = (low < before).nonzero()[0], (rng < _LOW).nonzero()[0]
-        for k in over if isinstance(lanes, slice) else lanes[over]:
-            j = self.at[k] - 1
-            while self.out[k, j] == 0xFFFFFFFF:
-                self.out[k, j] = 0
-                j -= 1
-            self.out[k, j] += 1
-        if len(short):
-            k = short if isinstance(lanes, slice) else lanes[short]
-            at, part = self.at[k], low[short]
-            self.out[k, at] = (part >> _32).astype(np.uint32)
-            self.at[k] = at + 1
-            low[short] = part << _32
-            rng[short] = rng[short] << _32
-        self.low[lanes], self.range[lanes] = low, rng
+        np.less(low, before, out=self.carry[self.n])
+        np.less(rng, _LOW, out=out)
+        if m < len(low):
+            low[m:], out[m:], self.carry[self.n, m:] = before[m:], False, False
+        np.right_shift(low, _32, out=self.words[self.n], casting="unsafe")
+        far = out.astype(np.uint64) << np.uint64(5)
+        self.low, self.range = low << far, rng << far
+        self.n += 1
 
-    def done(self) -> list[bytes]:
-        k = np.arange(len(self.at))
-        for word in (self.low >> _32, self.low & _WORD):
-            self.out[k, self.at] = word
-            self.at += 1
-        return [self.out[i, :n].astype("<u4").tobytes() for i, n in enumerate(self.at)]
+    def done(self) -> tuple[np.ndarray, np.ndarray]:
+        """The words of all lanes, one lane after the other, and the number of each."""
+        self.words[-2:] = self.low >> _32, self.low & _WORD
+        out = np.ascontiguousarray(self.out.T)
+        words, counts = np.ascontiguousarray(self.words.T)[out], out.sum(1)
+        if self.carry.any():
+            lane, step = np.ascontiguousarray(self.carry.T).nonzero()
+            # as many words of the lane are out before the step
+            at = np.cumsum(out, dtype=np.int32)[lane * out.shape[1] + step] - out[lane, step] - 1
+            while len(at):
+                np.add.at(words, at, np.uint32(1))
+                at = at[words[at] == 0] - 1
+        return words, counts
 
 
 class _Decoder:
-    def __init__(self, blocks: list[bytes]):
-        words = [np.frombuffer(b, "<u4") for b in blocks]
-        self.words = np.zeros((len(blocks), max(map(len, words)) + 2), np.uint32)
-        for i, w in enumerate(words):
-            self.words[i, : len(w)] = w
-        self.code, self.at = self.words[:, 0].astype(np.uint64) << _32 | self.words[:, 1], np.full(len(blocks), 2)
-        self.range = np.full(len(blocks), _FULL)
-
-    def value(self, lanes: np.ndarray | slice, total: np.ndarray) -> np.ndarray:
-        self.each = self.range[lanes] // total.view(np.uint64)
-        return np.minimum((self.code[lanes] // self.each).view(np.int64), total - 1)
-
-    def take(self, lanes: np.ndarray | slice, start: np.ndarray, size: np.ndarray) -> None:
+    def __init__(self, words: np.ndarray, counts: np.ndarray):
+        self.words, self.at = words, np.cumsum(counts) - counts
+        self.code = words[self.at].astype(np.uint64) << _32 | words[self.at + 1]
+        self.at += 2
+        self.range = np.full(len(counts), _FULL)
+
+    def value(self, total: np.ndarray) -> np.ndarray:
+        self.each = _share(self.range, total)
+        return np.minimum((self.code // self.each).view(np.int64), total - 1)
+
+    def take(self, start: np.ndarray, size: np.ndarray) -> None:
         """Passes the interval that value() fell into."""
-        code, rng = self.code[lanes] - start.view(np.uint64) * self.each, size.view(np.uint64) * self.each
-        short = (rng < _LOW).nonzero()[0]
-        if len(short):
-            k = short if isinstance(lanes, slice) else lanes[short]
+        self.code -= start.view(np.uint64) * self.each
+        self.range = rng = size.view(np.uint64) * self.each
+        k = (rng < _LOW).nonzero()[0]
+        if len(k):
             at = self.at[k]
-            code[short] = code[short] << _32 | self.words[k, at]
-            rng[short] = rng[short] << _32
+            self.code[k] = self.code[k] << _32 | self.words.take(at, mode="clip")
+            rng[k] = rng[k] << _32
             self.at[k] = at + 1
-        self.code[lanes], self.range[lanes] = code, rng
+
+
+def _share(rng: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """The range over the total, at most: double precision gives both sides the same, below 2^-8 of a share off (total < 2^24)."""
+    return (rng.astype(np.float64) * _BELOW / total).astype(np.uint64)
+
+
+def _whole(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a // b of small numbers, by way of doubles, where it is exact."""
+    return (a / b).astype(np.int64)
 
 
 class _Model:
     """Predictions of all lanes; encoder and decoder advance it alike."""
 
-    def __init__(self, lanes: int, steps: int):
+    def __init__(self, lanes: int):
         self.order2, self.order1 = np.zeros(lanes * _S2, np.int32), np.zeros(lanes * _S1, np.int64)
         self.shares = np.full(lanes * 16, _START)
         lane = np.arange(lanes)
         self.base2, self.base1, self.base = lane * _S2, lane * _S1, lane * 16
-        self.one, self.two = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.seen, self.n, self.counted = np.zeros((steps, lanes), np.uint16), 0, 0
-        self.novel = np.ones(lanes, np.int64)
-        self.sorted, self.first, self.size = np.zeros(1, np.uint16), np.zeros(1, np.int32), np.zeros(1, np.int32)
-
-    def predict(self, m: int) -> None:
-        """For the first m lanes: three candidates and the ends of their intervals."""
-        one = self.one[:m]
-        mixed = one * 40503
-        self.i1 = (mixed >> 5 & _S1 - 1) + self.base1[:m]
-        self.i2 = (mixed + self.two[:m] * 60493 >> 4 & _S2 - 1) + self.base2[:m]
-        self.e1 = e1 = self.order1.take(self.i1, mode="clip")
-        e2 = self.order2.take(self.i2, mode="clip").astype(np.int64)
+        self.one, self.mixed, self.two = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.n, self.counted, self.novel = 0, 0, np.ones(lanes, np.int64)
+        #: total of order 0 with the share of ids not counted
+        self.total = self.novel
+
+    def predict(self) -> None:
+        """Three candidates a lane and the ends of their shares."""
+        self.i1 = (self.mixed >> 5 & _S1 - 1) + self.base1
+        self.i2 = (self.mixed + self.two >> 4 & _S2 - 1) + self.base2
+        e1 = self.order1.take(self.i1, mode="clip")
+        self.e2 = e2 = self.order2.take(self.i2, mode="clip").astype(np.int64)
         self.a, self.b, self.c = e2 & 0xFFFF, e1 & 0xFFFF, e1 >> 16 & 0xFFFF
-        self.sure2, self.sure1 = e2 >> 16, e1 >> 32
-        self.ctx = (self.sure2 << 2) + self.sure1 + self.base[:m]
-        self.row = row = self.shares.take(self.ctx, mode="clip")
-        first, second, third = row & 0xFFFF, row >> 16 & 0xFFFF, row >> 32 & 0xFFFF
-        # where contexts agree on an id, its first interval has the shares of all
-        both, also = np.where(self.b == self.a, second, 0), np.where(self.c == self.a, third, 0)
-        self.ends = ends = np.zeros((5, m), np.int64)
-        np.add(first + both, also, out=ends[1])
-        np.add(first + second, also, out=ends[2])
-        np.add(first + second, third, out=ends[3])
-        np.add(ends[3], row >> 48 & 0xFFFF, out=ends[4])
+        self.sure = (e2 >> 16) + (e1 >> 32)
+        self.ctx = self.sure + self.base
+        self.row = self.shares.take(self.ctx, mode="clip")
+        self.ends = self.row * _ENDS
+        self.all = self.ends >> 48
 
     def right(self, x: np.ndarray) -> np.ndarray:
         """The candidates that are x, as bits."""
-        return (x == self.a) + (x == self.b) * np.int64(2) + (x == self.c) * np.int64(4)
-
-    def learn(self, x: np.ndarray, right: np.ndarray, m: int) -> None:
+        a, c = (x == self.a).view(np.uint8), (x == self.c).view(np.uint8)
+        self.first_right = x == self.b
+        a <<= 1
+        c <<= 2
+        a |= c
+        a |= self.first_right.view(np.uint8)
+        return a.astype(np.int64)
+
+    def interval(self, right: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of the interval, of all * total: that of the candidates or, in the share of order 0, that of first and size there.
+
+        Where a candidate is right, first is 0 and size the total of order 0.
+        """
+        start = self.ends << 16
+        start >>= _FROM.take(right, mode="clip")
+        start &= 0xFFFF
+        share = self.ends >> _TO.take(right, mode="clip")
+        share &= 0xFFFF
+        share -= start
+        start *= self.total
+        start += share * first
+        share *= size
+        return start, share
+
+    def learn(self, x: np.ndarray, right: np.ndarray) -> None:
         row = self.row + _GAIN.take(right, mode="clip")
-        full = (self.ends[4] > _LIMIT).nonzero()[0]
+        full = (self.all > _LIMIT).nonzero()[0]
         if len(full):
-            row[full] = row[full] >> 1 & _HALF | _LEAST_SHARES
+            row[full] = row[full] >> 1 & _HALF | _ENDS
         self.shares[self.ctx] = row
-        a, b = right & 1, right & 2
-        sure = _SURE.take(self.sure2 + (a << 2), mode="clip")
-        self.order2[self.i2] = (np.where(a + (self.sure2 >> 1) > 0, self.a, x) | sure << 16).astype(np.int32)
-        sure = _SURE.take(self.sure1 + (b << 1), mode="clip")
-        self.order1[self.i1] = np.where(b > 0, self.e1 & 0xFFFFFFFF, x | self.b << 16) | sure << 32
-        if m == len(self.one):
-            self.two, self.one = self.one, x
-        self.seen[self.n, :m] = x
+        key = (self.sure << 3) + right
+        # a sure candidate stays
+        self.order2[self.i2] = (np.where(self.e2 >= 2 << 18, self.a, x) | _SURE2.take(key, mode="clip")).astype(np.int32)
+        self.order1[self.i1] = x | np.where(self.first_right, self.c, self.b) << 16 | _SURE1.take(key, mode="clip")
+        self.two, self.one, self.mixed = self.one * 60493, x, x * 40503
         self.n += 1
 
     def due(self) -> bool:
         """Whether order 0 is to be counted anew, from all ids so far: at 16, 64, 256, 1024."""
         return self.n in (16, 64, 256, 1024)
 
-    def count(self) -> np.ndarray:
-        """Counts order 0. A lane's ids lie sorted, so a count's place is a position; returns where runs of equal ids begin."""
-        lanes, t = len(self.one), self.n
-        self.sorted = np.sort(self.seen[:t].T, axis=1, kind="stable").ravel()
+    def count(self, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Counts order 0 from the ids so far, one lane a row. A lane's ids lie sorted, so a count's place is a position.
+
+        Returns the ids sorted, and where runs of equal ids begin and their sizes.
+        """
+        lanes, t = seen.shape
+        ids = np.sort(seen, axis=1, kind="stable").ravel()
         change = np.ones(lanes * t, bool)
-        np.not_equal(self.sorted[1:], self.sorted[:-1], out=change[1:])
+        np.not_equal(ids[1:], ids[:-1], out=change[1:])
         change[::t] = True
         runs = change.nonzero()[0]
-        size = np.diff(runs, append=lanes * t)
-        self.first, self.size = np.repeat((runs % t).astype(np.int32), size), np.repeat(size.astype(np.int32), size)
         self.counted, self.novel = t, np.bincount(runs // t, minlength=lanes)
-        return runs
-
-    def escape(self, lanes: np.ndarray) -> np.ndarray:
-        """Total of order 0 with the share of ids not counted."""
-        return self.novel[lanes] + self.counted
+        self.total = self.novel + t
+        return ids, runs, np.diff(runs, append=lanes * t)
 
 
 def _sizes(n: int) -> np.ndarray:
@@ -201,52 +226,51 @@ def _sizes(n: int) -> np.ndarray:
 
 
 def encode_blocks(ids: np.ndarray) -> tuple[list[bytes], np.ndarray]:
-    """The blocks of a batch of ids (uint16) and their sizes."""
+    """The blocks of a batch of ids (uint16) and their sizes.
+
+    A block: the words of the range coder, the ids that order 0 did not know, the number of these.
+    """
     sizes = _sizes(len(ids))
     lanes, steps, short = len(sizes), int(sizes[0]), int(sizes[-1])
-    coming = np.zeros((steps, lanes), np.uint16)
-    many = int((sizes == steps).sum())
-    coming[:, :many] = ids[: many * steps].reshape(many, steps).T
-    coming[:short, many:] = ids[many * steps :].reshape(lanes - many, short).T
-    model, coder, every = _Model(lanes, steps), _Encoder(lanes, steps), np.arange(lanes)
+    own, many = np.zeros((lanes, steps), np.uint16), int((sizes == steps).sum())
+    own[:many] = ids[: many * steps].reshape(many, steps)
+    own[many:, :short] = ids[many * steps :].reshape(lanes - many, short)
+    coming, unknown = np.ascontiguousarray(own.T), np.zeros((steps, lanes), bool)
+    model, coder = _Model(lanes), _Encoder(lanes, steps)
     # of the ids up to the next count: their place and number in order 0, and which are new to it
-    first, size, new, total, began = np.zeros((steps, lanes), np.int32), np.ones((steps, lanes), np.int32), np.ones((steps, lanes), bool), model.escape(every), 0
+    first, size, new, began = np.zeros((steps, lanes), np.int32), np.ones((steps, lanes), np.int32), np.ones((steps, lanes), bool), 0
     for t in range(steps):
         m = lanes if t < short else many
-        x = coming[t, :m].astype(np.int64)
-        model.predict(m)
+        x = coming[t].astype(np.int64)
+        model.predict()
         right = model.right(x)
-        at = _SLOT.take(right, mode="clip") * m + every[:m]
-        ends = model.ends.ravel()
-        start = ends.take(at, mode="clip")
-        coder.put(slice(0, m), start, ends.take(at + m, mode="clip") - start, model.ends[4])
-        if len(k := (right == 0).nonzero()[0]):
-            coder.put(k, first[t - began].take(k, mode="clip").astype(np.int64), size[t - began].take(k, mode="clip").astype(np.int64), total.take(k, mode="clip"))
-            if len(k := k[new[t - began].take(k, mode="clip")]):
-                coder.put(k, x[k], np.ones(len(k), np.int64), np.full(len(k), _NEW))
-        model.learn(x, right, m)
+        missed = right == 0
+        start, share = model.interval(right, first[t - began] * missed, np.where(missed, size[t - began], model.total))
+        coder.put(m, start, share, model.all * model.total)
+        np.logical_and(missed[:m], new[t - began, :m], out=unknown[t, :m])
+        model.learn(x, right)
         if model.due():
-            runs, began = model.count(), t + 1
-            at = _places(model.sorted[runs], np.bincount(runs // began, minlength=lanes), coming[began : 4 * began].T)
-            new = np.ascontiguousarray((at < 0).T)
-            runs = runs[at]
-            first = np.ascontiguousarray(np.where(at < 0, began, model.first[runs]).T.astype(np.int32))
-            size = np.ascontiguousarray(np.where(at < 0, model.novel[:, None], model.size[runs]).T.astype(np.int32))
-            total = model.escape(every)
-    return coder.done(), sizes
-
-
-def _places(counted: np.ndarray, n: np.ndarray, asked: np.ndarray) -> np.ndarray:
-    """For each lane's ids asked for, their place among all lanes' counted ids (n a lane, one after the other), or -1.
-
-    A table by id serves all lanes: a lane's entries are told from former ones by their place.
-    """
-    table, out, begin = np.full(1 << 16, -1), np.empty(asked.shape, np.int64), 0
+            began = t + 1
+            known, runs, n = model.count(own[:, :began])
+            at = _looked_up(known[runs], runs % began | n << 16, np.bincount(runs // began, minlength=lanes), own[:, began : 4 * began if began < 1024 else steps]).T
+            new = np.ascontiguousarray(at < 0)
+            first, size = np.where(new, began, at & 0xFFFF).astype(np.int32), np.where(new, model.novel, at >> 16).astype(np.int32)
+    words, n_words = coder.done()
+    unknown = np.ascontiguousarray(unknown.T)
+    data, rest, n_rest = words.astype("<u4").tobytes(), own[unknown].astype("<u2").tobytes(), unknown.sum(1)
+    at, to = 4 * np.cumsum(n_words), 2 * np.cumsum(n_rest)
+    cuts = zip((at - 4 * n_words).tolist(), at.tolist(), (to - 2 * n_rest).tolist(), to.tolist(), n_rest.tolist(), strict=True)
+    return [b"".join((data[i:j], rest[k:e], struct.pack("<H", n))) for i, j, k, e, n in cuts], sizes
+
+
+def _looked_up(ids: np.ndarray, values: np.ndarray, n: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """For each lane's ids asked for, the value of that id among the lane's own (n a lane, one after the other), or -1. One table by id serves all lanes."""
+    table, out, values, begin = np.full(1 << 16, -1, np.int32), np.empty(asked.shape, np.int32), values.astype(np.int32), 0
     for lane, end in enumerate(np.cumsum(n).tolist()):
-        table[counted[begin:end]] = np.arange(begin, end)
-        at = table[asked[lane]]
-        at[at < begin] = -1
-        out[lane] = at
+        own = ids[begin:end]
+        table[own] = values[begin:end]
+        table.take(asked[lane], mode="clip", out=out[lane])
+        table[own] = -1
         begin = end
     return out
 
@@ -255,32 +279,43 @@ def decode_blocks(blocks: list[bytes], sizes: np.ndarray) -> np.ndarray:
     """The ids of blocks whose sizes descend and differ by one at most."""
     lanes, steps, short = len(sizes), int(sizes[0]), int(sizes[-1])
     many = int((sizes == steps).sum())
-    model, coder, every = _Model(lanes, steps), _Decoder(blocks), np.arange(lanes)
+    n_rest = np.array([b[-2] | b[-1] << 8 for b in blocks])
+    ends = [len(b) - 2 - 2 * n for b, n in zip(blocks, n_rest.tolist(), strict=True)]
+    words = np.frombuffer(b"".join(b[:e] for b, e in zip(blocks, ends, strict=True)), "<u4")
+    rest = np.frombuffer(b"".join(b[e:] for b, e in zip(blocks, ends, strict=True)), "<u2")  # with the numbers, so never empty
+    at_rest = np.cumsum(n_rest + 1) - n_rest - 1
+    model, coder, seen, counts = _Model(lanes), _Decoder(words, np.array(ends) // 4), np.zeros((steps, lanes), np.uint16), np.zeros(1, np.int64)
     for t in range(steps):
-        m = lanes if t < short else many
-        model.predict(m)
+        model.predict()
+        total = model.total
+        v = coder.value(model.all * total)
+        share = _whole(v, total)
         ends = model.ends
-        v = coder.value(slice(0, m), ends[4])
-        slot = (v >= ends[1]) + (v >= ends[2]).astype(np.int64) + (v >= ends[3])
-        at = slot * m + every[:m]
-        flat = ends.ravel()
-        start = flat.take(at, mode="clip")
-        coder.take(slice(0, m), start, flat.take(at + m, mode="clip") - start)
-        x = np.where(slot == 0, model.a, np.where(slot == 1, model.b, model.c))
-        if len(k := (slot == 3).nonzero()[0]):
-            v = coder.value(k, model.escape(k))
+        x = np.where(share < (ends & 0xFFFF), model.b, np.where(share < (ends >> 16 & 0xFFFF), model.a, model.c))
+        first, size = np.zeros(lanes, np.int64), total.copy()
+        third = ends >> 32 & 0xFFFF
+        k = (share >= third).nonzero()[0]
+        if len(k):
+            third = third[k]
+            v = _whole(v[k] - third * total[k], model.all[k] - third)
             new = v >= model.counted
-            at = np.where(new, 0, k * model.counted + v)
-            coder.take(k, np.where(new, model.counted, model.first.take(at, mode="clip")).astype(np.int64), np.where(new, model.novel[k], model.size.take(at, mode="clip")).astype(np.int64))
-            x[k] = model.sorted.take(at, mode="clip")
+            found = counts.take(k * model.counted + v, mode="clip")
+            first[k] = found >> 16 & 0xFFFF
+            size[k] = found >> 32
+            x[k] = found & 0xFFFF
             if len(k := k[new]):
-                v = coder.value(k, np.full(len(k), _NEW))
-                coder.take(k, v, np.ones(len(k), np.int64))
-                x[k] = v
-        model.learn(x, model.right(x), m)
+                first[k], size[k] = model.counted, model.novel[k]
+                at = at_rest[k]
+                x[k] = rest.take(at, mode="clip")
+                at_rest[k] = at + 1
+        right = model.right(x)
+        coder.take(*model.interval(right, first, size))
+        model.learn(x, right)
+        seen[t] = x
         if model.due():
-            model.count()
-    return np.concatenate((model.seen[:, :many].T.ravel(), model.seen[:short, many:].T.ravel()))
+            ids, runs, n = model.count(seen[: t + 1].T)
+            counts = np.repeat(runs % (t + 1) << 16 | n << 32, n) | ids
+    return np.concatenate((seen[:, :many].T.ravel(), seen[:short, many:].T.ravel()))
 
 
 def _footer(blocks: np.ndarray, docs: list[int | None], counts: list[int]) -> bytes:
@@ -328,11 +363,11 @@ class _Writer:
         ids = np.concatenate(self.held)
         self.held = [ids[n:]]
         self.n -= n
-        ids, at = ids[:n], 0
-        payloads, sizes = encode_blocks(ids)
+        payloads, sizes = encode_blocks(ids[:n])
+        sums, at = ids[:n].astype("<u4"), 0
         for data, k in zip(payloads, sizes.tolist(), strict=True):
             self.f.write(data)
-            self.blocks.append((self.size, len(data), k, zlib.crc32(data), zlib.crc32(ids[at : at + k].astype("<u4"))))
+            self.blocks.append((self.size, len(data), k, zlib.crc32(data), zlib.crc32(sums[at : at + k])))
             self.size += len(data)
             at += k
         self.ids += n
@@ -453,9 +488,9 @@ def _decoded(f, blocks: np.ndarray) -> Iterator[np.ndarray]:
         if [zlib.crc32(x) for x in payloads] != some[:, 3].tolist():
             raise ValueError("a block's bytes do not have its checksum")
         ids = decode_blocks(payloads, some[:, 2])
-        cut = np.cumsum(some[:, 2])
+        cut, sums = np.cumsum(some[:, 2]), ids.astype("<u4")
         for e, k, crc in zip(cut.tolist(), some[:, 2].tolist(), some[:, 4].tolist(), strict=True):
-            if zlib.crc32(ids[e - k : e].astype("<u4")) != crc:
+            if zlib.crc32(sums[e - k : e]) != crc:
                 raise ValueError("a block's ids do not have its checksum")
         yield ids
 

@@ -26,9 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 END, CUT = "\x7f", "\x1e"
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 24 << 20
 #: Characters that the bulk path knows: white space, printable ASCII, Latin-1 and Latin Extended-A; the dotted capital I has no lower case of one character.
 _OTHER = re.compile("[^\t-\r\x20-\x7e\x80-įı-ſ]|<\\|")
+#: Bytes that may belong to other characters: control characters, those from U+0180 on, and the first of U+0100 to U+013F.
+SUSPECT = np.array([b < 9 or 13 < b < 32 or b == 127 or b == 0xC4 or b > 0xC5 for b in range(256)])
 _LOADED: dict[str, WordBPE] = {}
 
 
@@ -108,19 +110,23 @@ class WordBPE:
             self.slow = Tokenizer.from_file(self.path)
         return self.slow.encode(text, add_special_tokens=False).ids
 
-    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The ids of many words in one array, with each word's first place there and number."""
-        odd = [k for k, w in enumerate(words) if _OTHER.search(w)] if _OTHER.search(" ".join(words)) else []
-        plain = list(words)
-        for k in odd:
-            plain[k] = ""
-        ranks = self.fast.encode_to_numpy(marked(CUT.join([*plain, ""])))
-        ends = (ranks == ord(CUT)).nonzero()[0]
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of many words without spaces in one array, with each word's first place there and number."""
+        joined, odd, found = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")[0].as_py(), [], []
+        if "<|" in joined or SUSPECT.take(np.frombuffer(joined.encode(), np.uint8)).any():
+            plain = joined.split(" ")
+            odd = [k for k, w in enumerate(plain) if _OTHER.search(w)]
+            for k in odd:
+                found.append(np.array(self.library(plain[k]), np.uint16))
+                plain[k] = ""
+            joined = " ".join(plain)
+        ranks = self.fast.encode_to_numpy(marked(joined.replace(" ", CUT) + CUT))
+        marks = ranks == ord(CUT)
+        ends = marks.nonzero()[0]
         # the marks between words go, so a word's ids begin as many places earlier as there are words before it
-        first = np.concatenate(([0], ends[:-1] + 1)) - np.arange(len(ends))
-        size = np.diff(ends, prepend=-1) - 1
-        ids = self.ids.take(ranks[ranks != ord(CUT)])
-        found = [np.array(self.library(words[k]), np.uint16) for k in odd]
+        first = (np.concatenate(([0], ends[:-1] + 1)) - np.arange(len(ends))).astype(np.int32)
+        size = (np.diff(ends, prepend=-1) - 1).astype(np.int32)
+        ids = self.ids.take(ranks[~marks])
         at = len(ids)
         for k, x in zip(odd, found, strict=True):
             first[k], size[k] = at, len(x)
@@ -129,20 +135,22 @@ class WordBPE:
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts with their end ids, and where each text's begin (and the last ends)."""
+        texts = texts.fill_null("")
+        if _lowers(texts):
+            texts = pc.ascii_lower(texts)
         # line ends become spaces, so one that is a word of its own is the end of a text
-        lines = pc.binary_join_element_wise(pc.replace_substring(texts.fill_null(""), "\n", " "), pa.scalar("\n"), pa.scalar(" "))
+        lines = pc.binary_join_element_wise(pc.replace_substring(texts, "\n", " "), pa.scalar("\n"), pa.scalar(" "))
         split = pc.split_pattern(lines, " ")
         coded = split.flatten().dictionary_encode()
-        known = coded.dictionary.to_pylist()
-        ids, first, size = self.words(["" if w == "\n" else w for w in known])
-        end = known.index("\n")
+        ids, first, size = self.words(coded.dictionary)
+        end = pc.index(coded.dictionary, "\n").as_py()
         first[end], size[end] = len(ids), 1
         ids = np.append(ids, np.uint16(self.end_id))
         word = coded.indices.to_numpy()
         n = size.take(word)
-        upto = np.cumsum(n)
+        upto = np.cumsum(n, dtype=np.int32)
         place = np.repeat(first.take(word) - upto + n, n)
-        place += np.arange(len(place))
+        place += np.arange(len(place), dtype=np.int32)
         offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
         return ids.take(place), np.concatenate(([0], upto))[offsets]
 
@@ -154,6 +162,16 @@ class WordBPE:
         return np.split(ids, at[1:-1])
 
 
+def _lowers(texts: pa.Array) -> bool:
+    """Whether A-Z may be lowered ahead of the vocabulary: not beside special strings, nor combining marks, which some small letters alone compose with."""
+    data = texts.buffers()[2]
+    if not len(texts) or data is None:
+        return False
+    offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset)
+    some = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]
+    return not (some.max(initial=0) > 0xC5 or pc.any(pc.match_substring(texts, "<|")).as_py())
+
+
 def encoder(name: str, end_id: int) -> WordBPE:
     key = f"{name} {end_id}"
     if key not in _LOADED:

@@ -79,6 +79,48 @@ def test_predictions_save_space():
     assert sum(map(len, blocks)) < 0.75 * order0 < 2 * len(text)
 
 
+def test_one_interval_an_id(monkeypatch):
+    calls, put = [], C._Encoder.put
+    monkeypatch.setattr(C._Encoder, "put", lambda self, *args: calls.append(1) or put(self, *args))
+    ids = np.random.default_rng(3).zipf(1.3, 6_000).astype(np.uint16)  # many that no context has, and many new to order 0
+    _, sizes = C.encode_blocks(ids)
+    assert len(calls) == sizes.max()
+
+
+def test_intervals_are_those_of_plain_arithmetic():
+    r, lanes, steps = np.random.default_rng(5), 40, 300
+    coder, low, rng, out = C._Encoder(lanes, steps), [0] * lanes, [2**64 - 1] * lanes, [0] * lanes
+    for _ in range(steps):
+        total = r.integers(2, 1 << 23, lanes)
+        size = np.minimum(1 + r.integers(0, 40, lanes), total)
+        start = total - size  # at the upper end, so that carries run far
+        coder.put(lanes, start, size, total)
+        for k in range(lanes):
+            each = int(np.float64(np.uint64(rng[k])) * C._BELOW / float(total[k]))
+            assert 0 <= rng[k] // int(total[k]) - each <= 1 + (each >> 48)
+            low[k], rng[k] = low[k] + int(start[k]) * each, int(size[k]) * each
+            if rng[k] < 1 << 32:
+                low[k], rng[k], out[k] = low[k] << 32, rng[k] << 32, out[k] + 1
+    words, counts = coder.done()
+    assert counts.tolist() == [n + 2 for n in out]
+    for k, w in enumerate(np.split(words, np.cumsum(counts)[:-1])):
+        assert int.from_bytes(w.astype(">u4").tobytes()) == low[k]
+
+
+def test_letters_are_lowered_ahead_only_where_that_keeps_the_ids(library):
+    enc = W.encoder("word_bpe_49k.json", 1)
+    for texts in (["The END, the End", "THE\nend"], ["J\u030c H\u0331 T\u0308 W\u030a", "A\u030a I\u0307"], ["<|ENDOFTEXT|> A<|endoftext|>B", "END"], ["\u0130 I ÀB"], ["", None], [None]):
+        assert [x.tolist() for x in enc.encode(texts)] == [library(t) for t in texts]
+
+
+def test_words_that_differ_in_case_are_encoded_once(monkeypatch):
+    enc, seen = W.encoder("word_bpe_49k.json", 1), []
+    words = enc.words
+    monkeypatch.setattr(enc, "words", lambda w: seen.append(len(w)) or words(w))
+    enc.encode(["Word word WORD wOrd"] * 3)
+    assert seen == [2]  # and the end of a text
+
+
 def plain(docs, library):
     """docs: (doc_id, text) to (start, n_tokens, crc) in order."""
     out, start = [], 0
