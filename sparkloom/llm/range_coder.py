@@ -69,21 +69,28 @@ class _Encoder:
 
     def __init__(self, lanes: int, steps: int):
         self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, _FULL)
+        self.before, self.each, self.share = np.zeros(lanes, np.uint64), np.zeros(lanes, np.uint64), _Share(lanes)
         self.words, self.out, self.carry = np.empty((steps + 2, lanes), np.uint32), np.ones((steps + 2, lanes), bool), np.zeros((steps + 2, lanes), bool)
         self.n = 0
 
     def put(self, m: int, start: np.ndarray, size: np.ndarray, total: np.ndarray) -> None:
         """For the first m lanes."""
-        before, out = self.low, self.out[self.n]
-        each = _share(self.range, total)
-        low, rng = before + start.view(np.uint64) * each, size.view(np.uint64) * each
-        np.less(low, before, out=self.carry[self.n])
-        np.less(rng, _LOW, out=out)
+        before, low, each, out, carry = self.low, self.before, self.each, self.out[self.n], self.carry[self.n]
+        self.share(self.range, total, each)
+        np.multiply(start.view(np.uint64), each, out=low)
+        low += before
+        np.less(low, before, out=carry)
+        np.multiply(size.view(np.uint64), each, out=self.range)
+        np.less(self.range, _LOW, out=out)
         if m < len(low):
-            low[m:], out[m:], self.carry[self.n, m:] = before[m:], False, False
-        np.right_shift(low, _32, out=self.words[self.n], casting="unsafe")
-        far = out.astype(np.uint64) << np.uint64(5)
-        self.low, self.range = low << far, rng << far
+            low[m:], out[m:], carry[m:] = before[m:], False, False
+        np.right_shift(low, _32, out=each)
+        self.words[self.n] = each
+        each[:] = out
+        each <<= np.uint64(5)
+        low <<= each
+        self.range <<= each
+        self.low, self.before = low, before
         self.n += 1
 
     def done(self) -> tuple[np.ndarray, np.ndarray]:
@@ -106,27 +113,36 @@ class _Decoder:
         self.words, self.at = words, np.cumsum(counts) - counts
         self.code = words[self.at].astype(np.uint64) << _32 | words[self.at + 1]
         self.at += 2
-        self.range = np.full(len(counts), _FULL)
+        self.range, self.each, self.share = np.full(len(counts), _FULL), np.zeros(len(counts), np.uint64), _Share(len(counts))
 
     def value(self, total: np.ndarray) -> np.ndarray:
-        self.each = _share(self.range, total)
+        self.share(self.range, total, self.each)
         return np.minimum((self.code // self.each).view(np.int64), total - 1)
 
     def take(self, start: np.ndarray, size: np.ndarray) -> None:
         """Passes the interval that value() fell into."""
-        self.code -= start.view(np.uint64) * self.each
-        self.range = rng = size.view(np.uint64) * self.each
-        k = (rng < _LOW).nonzero()[0]
+        np.multiply(size.view(np.uint64), self.each, out=self.range)
+        self.each *= start.view(np.uint64)
+        self.code -= self.each
+        k = (self.range < _LOW).nonzero()[0]
         if len(k):
             at = self.at[k]
             self.code[k] = self.code[k] << _32 | self.words.take(at, mode="clip")
-            rng[k] = rng[k] << _32
+            self.range[k] = self.range[k] << _32
             self.at[k] = at + 1
 
 
-def _share(rng: np.ndarray, total: np.ndarray) -> np.ndarray:
+class _Share:
     """The range over the total, at most: double precision gives both sides the same, below 2^-8 of a share off (total < 2^24)."""
-    return (rng.astype(np.float64) * _BELOW / total).astype(np.uint64)
+
+    def __init__(self, lanes: int):
+        self.a, self.b = np.zeros(lanes), np.zeros(lanes)
+
+    def __call__(self, rng: np.ndarray, total: np.ndarray, out: np.ndarray) -> None:
+        self.a[:], self.b[:] = rng, total
+        self.a *= _BELOW
+        self.a /= self.b
+        np.copyto(out, self.a, casting="unsafe")
 
 
 def _whole(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -135,69 +151,101 @@ def _whole(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class _Model:
-    """Predictions of all lanes; encoder and decoder advance it alike."""
+    """Predictions of all lanes; encoder and decoder advance it alike. Its arrays of one step are used again in the next."""
 
     def __init__(self, lanes: int):
         self.order2, self.order1 = np.zeros(lanes * _S2, np.int32), np.zeros(lanes * _S1, np.int64)
         self.shares = np.full(lanes * 16, _START)
         lane = np.arange(lanes)
         self.base2, self.base1, self.base = lane * _S2, lane * _S1, lane * 16
-        self.one, self.mixed, self.two = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.one, self.mixed, self.two = np.zeros((3, lanes), np.int64)
+        self.i1, self.i2, self.e1, self.e2, self.a, self.b, self.c, self.sure, self.ctx, self.row, self.ends, self.all = np.zeros((12, lanes), np.int64)
+        self.bits, self.start, self.share, self.some = np.zeros((4, lanes), np.int64)
+        self.kept, self.flags, self.keep = np.zeros(lanes, np.int32), np.zeros((3, lanes), bool), np.zeros(lanes, bool)
         self.n, self.counted, self.novel = 0, 0, np.ones(lanes, np.int64)
         #: total of order 0 with the share of ids not counted
         self.total = self.novel
 
     def predict(self) -> None:
         """Three candidates a lane and the ends of their shares."""
-        self.i1 = (self.mixed >> 5 & _S1 - 1) + self.base1
-        self.i2 = (self.mixed + self.two >> 4 & _S2 - 1) + self.base2
-        e1 = self.order1.take(self.i1, mode="clip")
-        self.e2 = e2 = self.order2.take(self.i2, mode="clip").astype(np.int64)
-        self.a, self.b, self.c = e2 & 0xFFFF, e1 & 0xFFFF, e1 >> 16 & 0xFFFF
-        self.sure = (e2 >> 16) + (e1 >> 32)
-        self.ctx = self.sure + self.base
-        self.row = self.shares.take(self.ctx, mode="clip")
-        self.ends = self.row * _ENDS
-        self.all = self.ends >> 48
+        i1, i2, e1, e2 = self.i1, self.i2, self.e1, self.e2
+        np.right_shift(self.mixed, 5, out=i1)
+        i1 &= _S1 - 1
+        i1 += self.base1
+        np.add(self.mixed, self.two, out=i2)
+        i2 >>= 4
+        i2 &= _S2 - 1
+        i2 += self.base2
+        self.order1.take(i1, mode="clip", out=e1)
+        self.order2.take(i2, mode="clip", out=self.kept)
+        e2[:] = self.kept
+        np.bitwise_and(e2, 0xFFFF, out=self.a)
+        np.bitwise_and(e1, 0xFFFF, out=self.b)
+        np.greater_equal(e2, 2 << 18, out=self.keep)
+        np.right_shift(e1, 16, out=self.c)
+        e2 >>= 16
+        e1 >>= 32
+        self.c &= 0xFFFF
+        np.add(e1, e2, out=self.sure)
+        np.add(self.sure, self.base, out=self.ctx)
+        self.shares.take(self.ctx, mode="clip", out=self.row)
+        np.multiply(self.row, _ENDS, out=self.ends)
+        np.right_shift(self.ends, 48, out=self.all)
 
     def right(self, x: np.ndarray) -> np.ndarray:
         """The candidates that are x, as bits."""
-        a, c = (x == self.a).view(np.uint8), (x == self.c).view(np.uint8)
-        self.first_right = x == self.b
-        a <<= 1
+        for found, flags in zip((self.b, self.a, self.c), self.flags, strict=True):
+            np.equal(x, found, out=flags)
+        b, a, c = self.flags.view(np.uint8)
+        a += a
         c <<= 2
         a |= c
-        a |= self.first_right.view(np.uint8)
-        return a.astype(np.int64)
+        a |= b
+        self.bits[:] = a
+        return self.bits
 
     def interval(self, right: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and size of the interval, of all * total: that of the candidates or, in the share of order 0, that of first and size there.
 
         Where a candidate is right, first is 0 and size the total of order 0.
         """
-        start = self.ends << 16
-        start >>= _FROM.take(right, mode="clip")
+        start, share, some = self.start, self.share, self.some
+        np.left_shift(self.ends, 16, out=start)
+        start >>= _FROM.take(right, mode="clip", out=some)
         start &= 0xFFFF
-        share = self.ends >> _TO.take(right, mode="clip")
+        np.right_shift(self.ends, _TO.take(right, mode="clip", out=some), out=share)
         share &= 0xFFFF
         share -= start
         start *= self.total
-        start += share * first
+        np.multiply(share, first, out=some)
+        start += some
         share *= size
         return start, share
 
     def learn(self, x: np.ndarray, right: np.ndarray) -> None:
-        row = self.row + _GAIN.take(right, mode="clip")
-        full = (self.all > _LIMIT).nonzero()[0]
-        if len(full):
-            row[full] = row[full] >> 1 & _HALF | _ENDS
+        row, key, some = self.row, self.sure, self.some
+        row += _GAIN.take(right, mode="clip", out=some)
         self.shares[self.ctx] = row
-        key = (self.sure << 3) + right
+        key <<= 3
+        key += right
         # a sure candidate stays
-        self.order2[self.i2] = (np.where(self.e2 >= 2 << 18, self.a, x) | _SURE2.take(key, mode="clip")).astype(np.int32)
-        self.order1[self.i1] = x | np.where(self.first_right, self.c, self.b) << 16 | _SURE1.take(key, mode="clip")
-        self.two, self.one, self.mixed = self.one * 60493, x, x * 40503
+        kept = np.where(self.keep, self.a, x)
+        kept |= _SURE2.take(key, mode="clip", out=some)
+        self.kept[:] = kept
+        self.order2[self.i2] = self.kept
+        kept = np.where(self.flags[0], self.c, self.b)
+        kept <<= 16
+        kept |= x
+        kept |= _SURE1.take(key, mode="clip", out=some)
+        self.order1[self.i1] = kept
+        np.multiply(self.one, 60493, out=self.two)
+        np.multiply(x, 40503, out=self.mixed)
+        self.one = x
         self.n += 1
+        if self.n % 64 == 0:
+            # 64 steps add 3072 at most, so all shares stay below 2^13
+            full = (self.shares * _ENDS >> 48 > _LIMIT).nonzero()[0]
+            self.shares[full] = self.shares[full] >> 1 & _HALF | _ENDS
 
     def due(self) -> bool:
         """Whether order 0 is to be counted anew, from all ids so far: at 16, 64, 256, 1024."""
@@ -235,26 +283,33 @@ def encode_blocks(ids: np.ndarray) -> tuple[list[bytes], np.ndarray]:
     own, many = np.zeros((lanes, steps), np.uint16), int((sizes == steps).sum())
     own[:many] = ids[: many * steps].reshape(many, steps)
     own[many:, :short] = ids[many * steps :].reshape(lanes - many, short)
-    coming, unknown = np.ascontiguousarray(own.T), np.zeros((steps, lanes), bool)
+    coming, missed, new = np.ascontiguousarray(own.T), np.zeros((steps, lanes), bool), np.ones((steps, lanes), bool)
     model, coder = _Model(lanes), _Encoder(lanes, steps)
-    # of the ids up to the next count: their place and number in order 0, and which are new to it
-    first, size, new, began = np.zeros((steps, lanes), np.int32), np.ones((steps, lanes), np.int32), np.ones((steps, lanes), bool), 0
+    # of the ids up to the next count: their place and number in order 0 (times 2^16); of a lane: the total for ids that a context has
+    placed, began, whole, here = np.full((steps, lanes), 1 << 16, np.int32), 0, model.total << 16, np.zeros(lanes, np.int64)
     for t in range(steps):
         m = lanes if t < short else many
         x = coming[t].astype(np.int64)
         model.predict()
         right = model.right(x)
-        missed = right == 0
-        start, share = model.interval(right, first[t - began] * missed, np.where(missed, size[t - began], model.total))
-        coder.put(m, start, share, model.all * model.total)
-        np.logical_and(missed[:m], new[t - began, :m], out=unknown[t, :m])
+        np.equal(right, 0, out=missed[t])
+        here[:] = placed[t - began]
+        size = np.where(missed[t], here, whole)
+        first = size & 0xFFFF
+        size >>= 16
+        start, share = model.interval(right, first, size)
+        coder.put(m, start, share, np.multiply(model.all, model.total, out=first))
         model.learn(x, right)
         if model.due():
             began = t + 1
             known, runs, n = model.count(own[:, :began])
-            at = _looked_up(known[runs], runs % began | n << 16, np.bincount(runs // began, minlength=lanes), own[:, began : 4 * began if began < 1024 else steps]).T
-            new = np.ascontiguousarray(at < 0)
-            first, size = np.where(new, began, at & 0xFFFF).astype(np.int32), np.where(new, model.novel, at >> 16).astype(np.int32)
+            upto = 4 * began if began < 1024 else steps
+            at = _looked_up(known[runs], runs % began | n << 16, np.bincount(runs // began, minlength=lanes), own[:, began:upto])
+            placed, whole = np.ascontiguousarray(at.T), model.total << 16
+            np.less(placed, 0, out=new[began:upto])
+            np.copyto(placed, (began | model.novel << 16).astype(np.int32), where=new[began:upto])
+    missed[short:, many:] = False
+    unknown = missed & new
     words, n_words = coder.done()
     unknown = np.ascontiguousarray(unknown.T)
     data, rest, n_rest = words.astype("<u4").tobytes(), own[unknown].astype("<u2").tobytes(), unknown.sum(1)
@@ -284,7 +339,9 @@ def decode_blocks(blocks: list[bytes], sizes: np.ndarray) -> np.ndarray:
     words = np.frombuffer(b"".join(b[:e] for b, e in zip(blocks, ends, strict=True)), "<u4")
     rest = np.frombuffer(b"".join(b[e:] for b, e in zip(blocks, ends, strict=True)), "<u2")  # with the numbers, so never empty
     at_rest = np.cumsum(n_rest + 1) - n_rest - 1
-    model, coder, seen, counts = _Model(lanes), _Decoder(words, np.array(ends) // 4), np.zeros((steps, lanes), np.uint16), np.zeros(1, np.int64)
+    model, coder, seen, counts = _Model(lanes), _Decoder(words, np.array(ends) // 4), np.zeros((steps, lanes), np.uint16), np.full(lanes, 1 << 32)
+    # a lane's places in order 0, and one more for all ids new to it: the id, its place (times 2^16) and number (times 2^32)
+    row, whole, here = np.arange(lanes), model.total << 32, np.zeros(lanes, np.int64)
     for t in range(steps):
         model.predict()
         total = model.total
@@ -292,29 +349,32 @@ def decode_blocks(blocks: list[bytes], sizes: np.ndarray) -> np.ndarray:
         share = _whole(v, total)
         ends = model.ends
         x = np.where(share < (ends & 0xFFFF), model.b, np.where(share < (ends >> 16 & 0xFFFF), model.a, model.c))
-        first, size = np.zeros(lanes, np.int64), total.copy()
+        here[:] = whole
         third = ends >> 32 & 0xFFFF
         k = (share >= third).nonzero()[0]
         if len(k):
             third = third[k]
             v = _whole(v[k] - third * total[k], model.all[k] - third)
             new = v >= model.counted
-            found = counts.take(k * model.counted + v, mode="clip")
-            first[k] = found >> 16 & 0xFFFF
-            size[k] = found >> 32
+            here[k] = found = counts.take(row[k] + np.minimum(v, model.counted), mode="clip")
             x[k] = found & 0xFFFF
             if len(k := k[new]):
-                first[k], size[k] = model.counted, model.novel[k]
                 at = at_rest[k]
                 x[k] = rest.take(at, mode="clip")
                 at_rest[k] = at + 1
+        first = here >> 16
+        first &= 0xFFFF
+        here >>= 32
         right = model.right(x)
-        coder.take(*model.interval(right, first, size))
+        coder.take(*model.interval(right, first, here))
         model.learn(x, right)
         seen[t] = x
         if model.due():
             ids, runs, n = model.count(seen[: t + 1].T)
-            counts = np.repeat(runs % (t + 1) << 16 | n << 32, n) | ids
+            counts = np.empty((lanes, t + 2), np.int64)
+            counts[:, :-1] = (np.repeat(runs % (t + 1) << 16 | n << 32, n) | ids).reshape(lanes, t + 1)
+            counts[:, -1] = t + 1 << 16 | model.novel << 32
+            counts, row, whole = counts.ravel(), np.arange(lanes) * (t + 2), model.total << 32
     return np.concatenate((seen[:, :many].T.ravel(), seen[:short, many:].T.ravel()))
 
 
