@@ -4,8 +4,9 @@ Blocks of up to 2048 ids are coded each from an empty model. Two contexts predic
 the last two ids (one candidate) and the last id (two candidates); below them stands
 the order-0 model, the counts of the ids so far, with an escape to ids not yet seen.
 The share of each prediction is learnt as it goes, by how sure the contexts are; where
-contexts agree on an id their shares add. A 64-bit range coder codes the choice, then,
-where no context had the id, the id by order 0.
+contexts agree on an id their shares add. A 64-bit range coder codes the choice and, where
+no context had the id, its place in order 0, all in one interval an id. Ids that order 0
+has not counted stand in 16 bits each behind the block's words.
 
 All blocks of a batch go in step: one NumPy operation advances every block by one id, so
 the coder needs no compiled code. A batch has at most 4096 blocks of 2048 ids, which

@@ -2,7 +2,8 @@
 
 No piece of the vocabulary spans a space or a line's end. So the texts of a batch are cut
 there, each distinct word is encoded once, and the texts are put together from the words'
-ids, all in Arrow and NumPy.
+ids, all in Arrow and NumPy. Letters A-Z are lowered before the words are told apart, unless
+the batch has a special string or characters from U+0180 on.
 
 Words of Latin letters without control characters are cut into the vocabulary's pieces with
 NumPy, all at once, and merged by tiktoken: a piece's end is a byte of its own (0x7F) that
