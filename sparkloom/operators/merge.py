@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkloom.session import setting
+
 
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of every key in a total order."""
@@ -59,16 +61,18 @@ def staged(df: DataFrame) -> DataFrame:
 
 def stored(df: DataFrame) -> DataFrame:
     """df as compressed Parquet in the shared folder: a fraction of a checkpoint's bytes, and readers take the columns they need."""
-    path = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return gathered(df.sparkSession, [df])
 
 
 def gathered(spark: SparkSession, parts: Iterable[DataFrame]) -> DataFrame:
-    """The rows of all parts, written part by part into the shared folder: the plan does not grow with their number."""
-    path, schema = f"{shared_dir(spark)}/gathered-{uuid.uuid4().hex}", None
+    """The rows of all parts, stored part by part in the shared folder: the plan does not grow with their number.
+
+    Nothing can need a part's shuffle files again, so Spark removes them at its end.
+    """
+    path, schema = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}", None
     for df in parts:
-        df.write.mode("append").parquet(path)
+        with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+            df.write.mode("append").option("compression", "zstd").parquet(path)
         schema = df.schema
     return spark.read.schema(schema).parquet(path)
 

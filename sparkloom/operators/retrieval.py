@@ -2,9 +2,10 @@
 
 A search is one scan of each corpus (only id, title, description and vector),
 a union and a top-k: a TakeOrderedAndProject, so each task sends k rows. With
-several questions, rows and questions are cut into blocks of bounded size; a
-tile is one against the other, scored by products of matrices, and returns k
-rows a question at most. Titles and descriptions join the hits at the end.
+several questions, rows and questions are packed into blocks of bounded size,
+which are shuffled once; a task reads blocks of rows beside one block of
+questions, scores them by products of matrices and keeps k rows a question.
+Titles and descriptions join the hits at the end.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ from sparkloom.functions import text as T
 from sparkloom.functions import vector as V
 from sparkloom.functions.memory import lean
 from sparkloom.operators import merge
-from sparkloom.operators.tiles import best, usable
+from sparkloom.operators.tiles import first as best_hits
+from sparkloom.operators.tiles import nearest, packed, usable
 from sparkloom.session import SETTINGS
 
 #: Fixed value: the answer where nothing relevant was found.
@@ -65,8 +67,12 @@ def search(corpora: DataFrame, query: list[float], k: int = SETTINGS.top_k) -> D
     return s.drop("embedding").orderBy(F.col("score").desc_nulls_last(), "type", "id", F.col("child_id").asc_nulls_first()).limit(k)
 
 
-#: Numbers (rows times dimensions) and questions of a tile. Rows are shuffled once a block of questions, and k hits a question once a block of rows.
-TILE_NUMBERS, TILE_QUESTIONS = 1 << 21, 8192
+#: Numbers (rows times dimensions) of a block of rows, and questions of a block at most.
+TILE_NUMBERS, TILE_QUESTIONS = 1 << 20, 8192
+#: Tasks a core among which pairs of blocks are dealt, and questions of a block at least for their sake.
+_WAVES, _FEW = 4, 1024
+#: Hits of a group, where those of all parts of the rows meet.
+_HITS = 1 << 19
 #: Lengths between these have squares and products that neither vanish nor overflow.
 _SHORT, _LONG = 1e-140, 1e140
 
@@ -77,41 +83,59 @@ def _kind(vec: str, dim: int) -> Column:
     return F.when(~usable(F.col(vec), dim), 2).when(n == 0, 1).when((n > _SHORT) & (n < _LONG), 0).otherwise(2)
 
 
-def _tiles(rows: DataFrame, asked: DataFrame, n_rows: int, n_asked: int, dim: int, k: int) -> DataFrame:
-    """_qid, _row, type, id, child_id and score: k rows a question of each block of rows."""
-    i, j = max(1, -(-n_rows // max(1, TILE_NUMBERS // dim))), max(1, -(-n_asked // TILE_QUESTIONS))
-    qid, vector = asked.schema["_qid"].dataType, "array<float>" if rows.schema["embedding"].dataType == asked.schema["_q"].dataType == S.ArrayType(S.FloatType()) else "array<double>"
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    none = {"row": "long", "type": "string", "id": "long", "child_id": "long"}
-    left = rows.select(F.pmod(F.xxhash64("_row"), F.lit(i)).cast("int").alias("i"), F.lit(True).alias("is_row"), F.lit(None).cast(qid).alias("qid"), F.col("_row").alias("row"), "type", "id", "child_id", F.col("embedding").cast(vector).alias("vector"), each(j).alias("j"))
-    right = asked.select(F.pmod(F.xxhash64("_qid", "_q"), F.lit(j)).cast("int").alias("j"), F.lit(False).alias("is_row"), F.col("_qid").alias("qid"), *[F.lit(None).cast(t).alias(c) for c, t in none.items()], F.col("_q").cast(vector).alias("vector"), each(i).alias("i"))
-    out = S.StructType([S.StructField("qid", qid), *[S.StructField(c, S.StringType() if c == "type" else S.LongType()) for c in ("batch", *none)], S.StructField("score", S.DoubleType())])
-    both = left.unionByName(right).withColumn("batch", F.lit(0).cast("long"))
-    hits = both.groupBy("i", "j").applyInArrow(lean(lambda t: best(t, k, dim, 64)), out)
-    return hits.select(F.col("qid").alias("_qid"), F.col("row").alias("_row"), "type", "id", "child_id", "score")
+def _packed(df: DataFrame, n: int, number: str, vec: str, kind: str, *cols: str) -> DataFrame:
+    """df in n blocks of a row each: block, cols as arrays, the block's vectors as bytes."""
+    out = S.StructType([S.StructField("block", S.IntegerType()), *[S.StructField(c, S.ArrayType(df.schema[c].dataType)) for c in cols], S.StructField("vector", S.BinaryType())])
+    blocks = df.select(F.pmod(number, F.lit(n)).cast("int").alias("block"), *cols, F.col(vec).cast(f"array<{kind}>").alias("vector"))
+    return blocks.groupBy("block").applyInArrow(lean(packed), out)
 
 
-def search_many(corpora: DataFrame, questions: DataFrame, k: int = SETTINGS.top_k, qid: str = "query_id", vec: str = "query_embedding", broadcast_rows: int = 10_000) -> DataFrame:
-    """The k best rows for each of many questions (qid, vec).
+def _tiles(rows: DataFrame, asked: DataFrame, n_rows: int, n_asked: int, dim: int, k: int) -> DataFrame:
+    """_qid, _row, _at and score: the k best rows of each question.
 
-    Corpora and questions are stored first. Vectors of finite numbers, as many
-    as most questions have, meet in tiles. Of those of length zero, which score
-    NaN with all, the first k rows serve every question. Any others are scored
-    by the plain expression, with questions in blocks of broadcast_rows, so that
-    what is broadcast has a bound.
+    Rows and questions are shuffled once, into blocks; a task reads every block
+    of its part of the rows beside one block of questions, and keeps k rows a
+    question. There are so few parts (one, where blocks of questions keep all
+    cores busy) that hits, too, grow with the questions alone.
+    """
+    spark, kind = rows.sparkSession, "float" if rows.schema["embedding"].dataType == asked.schema["_q"].dataType == S.ArrayType(S.FloatType()) else "double"
+    tasks, numbers = _WAVES * spark.sparkContext.defaultParallelism, max(1, TILE_NUMBERS // dim)
+    i, j = max(1, -(-n_rows // numbers)), max(1, -(-n_asked // min(TILE_QUESTIONS, numbers, max(_FEW, -(-n_asked // tasks)))))
+    parts = min(i, -(-tasks // j))
+    left = _packed(rows, i, "_row", "embedding", kind, "_row", "_at").repartitionById(parts, F.pmod("block", F.lit(parts)))
+    right = _packed(asked, j, "_no", "_q", kind, "_no", "_qid").repartitionById(j, F.col("block")).withColumnsRenamed({"block": "q_block", "vector": "q_vector"})
+    hit = S.StructType([S.StructField("_no", S.LongType()), S.StructField("_qid", asked.schema["_qid"].dataType), *[S.StructField(c, S.LongType()) for c in ("_row", "_at")], S.StructField("score", S.DoubleType())])
+    # a row of this join is a pair of blocks
+    pairs = left.drop("block").hint("shuffle_replicate_nl").crossJoin(right)
+    hits = merge.stored(pairs.mapInArrow(lambda batches: nearest(batches, k, dim, kind), hit))
+    groups = max(1, -(-n_asked * min(k * parts, n_rows) // _HITS))
+    return hits.groupBy(F.pmod("_no", F.lit(groups))).applyInArrow(lean(lambda t: best_hits(t, k)), S.StructType(hit.fields[1:]))
+
+
+def ranked(corpora: DataFrame, questions: DataFrame, k: int = SETTINGS.top_k, qid: str = "query_id", vec: str = "query_embedding", broadcast_rows: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    """The k best rows for each of many questions (qid, vec), as qid, _at, score and rank; and the corpora, with the _at of each row.
+
+    Corpora and questions are stored first, and the corpora's vectors in the
+    order of ties. Vectors of finite numbers, as many as most questions have,
+    meet in tiles. Of those of length zero, which score NaN with all, the first
+    k rows serve every question. Any others are scored by the plain expression,
+    with questions in blocks of broadcast_rows, so that what is broadcast has a
+    bound.
     """
     q = questions.where(F.col(vec).isNotNull()).select(F.col(qid).alias("_qid"), F.col(vec).alias("_q"))
-    q = merge.stored(q.withColumn("_n", F.size("_q")))
+    q = merge.stored(q.withColumns({"_n": F.size("_q"), "_no": F.monotonically_increasing_id()}))
     most = q.groupBy("_n").count().orderBy(F.desc("count"), "_n").first()
     dim = max(1, most["_n"]) if most else 1
-    q = q.select("_qid", "_q", _kind("_q", dim).alias("_kind"))
-    c = merge.stored(corpora.where(F.col("embedding").isNotNull()).select(*CORPUS, F.monotonically_increasing_id().alias("_row"), _kind("embedding", dim).alias("_kind")))
+    q = q.select("_no", "_qid", "_q", _kind("_q", dim).alias("_kind"))
+    whole = merge.stored(corpora.where(F.col("embedding").isNotNull()).select(*CORPUS, F.monotonically_increasing_id().alias("_at"), _kind("embedding", dim).alias("_kind")))
+    # _row: a row's place in the order of ties
+    ties = whole.drop("title", "description").orderBy("type", "id", F.col("child_id").asc_nulls_first(), "_at")
+    c = merge.stored(ties.select(F.monotonically_increasing_id().alias("_row"), "_at", "embedding", "_kind"))
     rows_of, asked_of = ({r["_kind"]: r["count"] for r in t.groupBy("_kind").count().collect()} for t in (c, q))
-    keys = ["_row", "type", "id", "child_id"]
-    by = [F.col("score").desc_nulls_last(), "type", "id", F.col("child_id").asc_nulls_first(), "_row"]
+    keys, by = ["_row", "_at"], [F.col("score").desc_nulls_last(), F.col("_row")]
     top = lambda df: df.withColumn("rank", F.row_number().over(Window.partitionBy("_qid").orderBy(*by))).where(F.col("rank") <= k)
     of = lambda t, *kinds: t.where(F.col("_kind").isin(*kinds))
-    first = lambda t: F.broadcast(t.select(*keys).orderBy(*by[1:]).limit(k))
+    first = lambda t: F.broadcast(t.select(*keys).orderBy("_row").limit(k))
     nan = F.lit(float("nan")).alias("score")
 
     def plain(rows: DataFrame, asked: DataFrame, n: int) -> DataFrame:
@@ -130,8 +154,17 @@ def search_many(corpora: DataFrame, questions: DataFrame, k: int = SETTINGS.top_
         found = found.unionByName(plain(of(c, 2), q, sum(asked_of.values())))
     if asked_of.get(2):
         found = found.unionByName(plain(of(c, 0, 1), of(q, 2), asked_of[2]))
-    texts = c.select("_row", "title", "description")
-    return top(found).join(texts, "_row").select(F.col("_qid").alias(qid), "type", "id", "child_id", "title", "description", "score", "rank")
+    return top(found).select(F.col("_qid").alias(qid), "_at", "score", "rank"), whole
+
+
+def told(best: DataFrame, rows: DataFrame, qid: str = "query_id") -> DataFrame:
+    """What ranked gives, with the rows themselves."""
+    return best.join(rows, "_at").select(qid, *[c for c in CORPUS if c != "embedding"], "score", "rank")
+
+
+def search_many(corpora: DataFrame, questions: DataFrame, k: int = SETTINGS.top_k, qid: str = "query_id", vec: str = "query_embedding", broadcast_rows: int = 10_000) -> DataFrame:
+    """The k best rows for each of many questions: qid, type, id, child_id, title, description, score, rank."""
+    return told(*ranked(corpora, questions, k, qid, vec, broadcast_rows), qid)
 
 
 def relevant(hits: DataFrame, threshold: float = SETTINGS.threshold) -> DataFrame:

@@ -17,6 +17,9 @@ from sparkloom.streaming import sinks
 SYSTEM = "Tu es un assistant qui répond aux questions sur un parcours professionnel."
 INSTRUCTIONS = "Réponds en français à partir du contexte seul, dans l'ordre chronologique, et dis-le clairement si la réponse n'y est pas."
 
+#: Prompts (about) of a slice of the questions; what shuffles hold of prompts at once has this bound.
+PROMPTS = 1 << 16
+
 
 @dataclass
 class Answers:
@@ -42,7 +45,8 @@ def answer(questions: DataFrame, corpora: DataFrame, prices: DataFrame, embedder
 
     Questions without a chunk above the threshold are answered with a fixed
     text; these, failed and rejected ones are neither logged nor counted (W5).
-    Vectors, hits and answers are staged, so that no service is asked twice.
+    Vectors, hits and answers are staged, so that no service is asked twice;
+    prompts, the larger part by far, are not.
     A question's retrieval takes the time of its embedding call and its share
     of the search, which is one job for all. With an index of the corpora
     (pruned.build) the search reads it in their place, with the same hits.
@@ -55,18 +59,31 @@ def answer(questions: DataFrame, corpora: DataFrame, prices: DataFrame, embedder
     n, began = asked.count(), time.perf_counter()
     # of a description no more than the prompt shows, before each of a question's hits carries it
     shown = T.prefix(F.col("description"), settings.context_chars)
-    found = retrieval.search_many(corpora.withColumn("description", shown), asked, settings.top_k) if index is None else pruned.search(index, asked, settings.top_k).withColumn("description", shown)
-    hits = merge.stored(retrieval.relevant(found, settings.threshold))
+    if index is None:
+        best, rows = retrieval.ranked(corpora.withColumn("description", shown), asked, settings.top_k)
+        # texts join the hits where they are used and are not stored with them
+        hits = retrieval.told(merge.stored(retrieval.relevant(best, settings.threshold)), rows)
+    else:
+        hits = merge.stored(retrieval.relevant(pruned.search(index, asked, settings.top_k).withColumn("description", shown), settings.threshold))
     share = (time.perf_counter() - began) / max(n, 1)
-    chunks = retrieval.log_chunks(hits, ["query_id"]).join(retrieval.prompt_context(hits, ["query_id"], settings.context_chars), "query_id")
+    context = lambda found: retrieval.prompt_context(found, ["query_id"], settings.context_chars)
     timed = asked.select("query_id", "session_id", "query_text", "created_at", (F.col("_embed_s") + F.lit(share)).alias("retrieval_s"))
-    prompts = timed.join(chunks, "query_id").withColumn("system", F.lit(system)).withColumn("user", user_prompt(F.col("context"), F.col("query_text"), instructions))
-    turns = merge.staged(generate(prompts, "system", "user", providers, settings.timeout_s))
+    prompted = lambda t: t.withColumn("system", F.lit(system)).withColumn("user", user_prompt(F.col("context"), F.col("query_text"), instructions))
+    slices = max(1, -(-n // PROMPTS))
+
+    def replies(b: int) -> DataFrame:
+        mine = hits.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == b)
+        prompts = prompted(timed.join(retrieval.log_chunks(mine, ["query_id"]).join(context(mine), "query_id"), "query_id"))
+        return generate(prompts, "system", "user", providers, settings.timeout_s).drop("system", "user", "context")
+
+    # answers are stored, prompts are not: who wants them puts them together from the hits again
+    turns = merge.gathered(asked.sparkSession, map(replies, range(slices)))
     made = accounting.with_cost(turns.where(F.col("response").isNotNull()), prices, "provider_used", "tokens_used")
     made = made.withColumns({"embedding_tokens": T.word_count(F.col("query_text")), "generation_s": F.col("latency_ms") / 1000}).drop("latency_ms")
+    whole = lambda t: prompted(t.join(context(hits).select("query_id", "context"), "query_id", "left"))
     log = accounting.query_log(made, settings.embedding_price)
     sessions = accounting.session_rows(log.withColumn("tokens", F.col("embedding_tokens") + F.col("llm_tokens")), "session_id", ["created_at", "query_id"], "tokens", "total_cost", "latency_total_ms", "llm_provider")
-    return Answers(made, turns.where(F.col("response").isNull()), retrieval.unanswered(ok, hits), rejected, log, sessions)
+    return Answers(whole(made), whole(turns.where(F.col("response").isNull())), retrieval.unanswered(ok, hits), rejected, log, sessions)
 
 
 def record(answers: Answers, folder: str, batch: int, settings: Settings = SETTINGS, writer: str = "batch", buckets: int = 64) -> None:
@@ -78,7 +95,7 @@ def record(answers: Answers, folder: str, batch: int, settings: Settings = SETTI
     """
     spark = answers.answered.sparkSession
     sink = sinks.turns_sink(folder, settings.embedding_price, writer)
-    sink(answers.answered, batch)
+    sink(answers.answered.drop("context", "system", "user"), batch)
     bucket = incremental.bucket("session_id", buckets)
     touched = [r["b"] for r in answers.answered.select(bucket.alias("b")).distinct().collect()]
     if not touched:

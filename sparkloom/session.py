@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
 from dataclasses import dataclass, fields
 
 from pyspark.sql import SparkSession
@@ -47,6 +48,17 @@ def session(app: str = "sparkloom", **conf: str) -> SparkSession:
     return b.getOrCreate()
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting that holds within the block."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def alive(spark: SparkSession) -> bool:
     """Liveness probe."""
     return spark.sql("select 1").first()[0] == 1
